@@ -45,6 +45,7 @@ class _Powers:
 
 
 _POWERS = _Powers()
+powers = _POWERS.upto
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ class Words:
         first = np.zeros(len(length), np.int64)
         np.cumsum(length[:-1], out=first[1:])
         place = np.arange(len(byte)) - np.repeat(first, length)
-        weight = _POWERS.upto(int(length.max()))[place]
+        weight = powers(int(length.max()))[place]
         h = np.add.reduceat((byte.astype(U64) + U64(1)) * weight, first)
         return mix(h + length.astype(U64) * NGRAM_BASE)
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import chat, exact_dedup, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_chat": chat.op2_chat,
+    "op4_mixing": mixing.op4_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-SQL = {"op6_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op2_chat": chat.SQL,
+    "op4_mixing": mixing.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op10_quality_rules": quality_rules.SQL,
+}
