@@ -60,7 +60,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, target: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, target: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about target bytes; a longer row is a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:

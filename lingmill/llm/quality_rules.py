@@ -38,11 +38,25 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return run[off[1:]] - run[off[:-1]]
 
 
+#: Low bits of a sort key that hold a position, so that one plain sort orders keys and places.
+PLACE_BITS = 20
+PLACES = U64((1 << PLACE_BITS) - 1)
+
+
 def _repeats(key: np.ndarray, first_too: bool) -> np.ndarray:
     """Which keys equal an earlier key; with first_too also the first of them."""
     out = np.zeros(len(key), bool)
     if len(key) < 2:
         return out
+    if len(key) <= int(PLACES):
+        packed = np.sort((key & ~PLACES) | np.arange(len(key), dtype=U64))
+        near = np.flatnonzero((packed[1:] ^ packed[:-1]) <= PLACES)
+        one, two = (packed[near] & PLACES).astype(np.int64), (packed[near + 1] & PLACES).astype(np.int64)
+        if not (key[one] != key[two]).any():  # else the cut keys mix different ones: sort in full
+            out[two] = True
+            if first_too:
+                out[one] = True
+            return out
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     out[order[1:][same]] = True
