@@ -71,11 +71,14 @@ def slices(off: np.ndarray, target: int = 1 << 18) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of some rows: byte spans and, for every row, the range of its words."""
+    """The words of some rows: byte spans and, for every row, the range of its words.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+    blank says for each byte whether it stands between words.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, blank: np.ndarray = SPACE) -> None:
         self.data, self.off = data, off
-        inside = ~SPACE[data]
+        inside = ~blank[data]
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
         heads = off[:-1][off[:-1] < len(data)]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, jaccard_join, mixing, packing, quality_classifier, quality_rules
+from . import chat, exact_dedup, html_extract, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_chat": chat.op2_chat,
+    "op3_html_extract": html_extract.op3_html_extract,
     "op4_mixing": mixing.op4_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_pii": pii.op8_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
