@@ -109,6 +109,21 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route_bits: in
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of equal texts.
+
+    Kept rows are found again by doc_id and the digest of their text; only where rows repeat
+    both, which is looked up first, are they reduced to one.
+    """
+    groups = stage(exact_groups(docs), "groups")
+    kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    digest = F.sha2(normalised(text_or_empty()).cast("binary"), 256)
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (digest == kept["kept_sha"]), "left_semi")
+    if groups.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count():
+        out = out.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    return out
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

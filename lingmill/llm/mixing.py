@@ -64,7 +64,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, start_rates: tuple[float, ...] = START_RATES) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position of every row, plus rid.
+    """rid, doc_id, source, size, source_size, target, taken and positions of every row.
+
+    positions has the training time of each whole lap; of the lap that the target cuts, where
+    at least half of the document is taken.
 
     Prefix sums take two levels: inside buckets of a source by a hash of the row, and over the
     bucket totals; the number of buckets grows with the largest source, so none is unbounded.
@@ -93,12 +96,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPE
     )
     size, total, goal, start = F.col("size"), F.col("t_source_size"), F.col("goal"), F.col("start")
     laps = F.when(total > 0, F.expr("goal div t_source_size")).otherwise(0)
-    taken = laps * size + F.when(total > 0, F.least(size, F.greatest(F.lit(0), goal - laps * total - start))).otherwise(0)
+    last = F.when(total > 0, F.least(size, F.greatest(F.lit(0), goal - laps * total - start))).otherwise(0)
     rate = F.element_at(F.array(*map(F.lit, start_rates)), (F.col("t_place") % len(start_rates) + 1).cast("int"))
-    share = F.when(goal > 0, (start + size / 2) / goal).otherwise(F.lit(1.0))
+    whole = F.when(size > 0, laps + F.when(2 * last >= size, 1).otherwise(0)).otherwise(0).cast("int")
+    at = lambda lap: invert_demand(F.least((lap * total + start + size / 2) / F.greatest(goal, F.lit(1)), F.lit(1.0)), rate)
     return placed.select(
-        "rid", "doc_id", "source", "size", total.alias("source_size"), F.col("t_target").alias("target"), taken.cast("long").alias("taken"),
-        F.when(taken > 0, invert_demand(F.least(share, F.lit(1.0)), rate)).alias("position"),
+        "rid", "doc_id", "source", "tie", "size", total.alias("source_size"), F.col("t_target").alias("target"), (laps * size + last).cast("long").alias("taken"),
+        F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), at)).otherwise(F.expr("cast(array() as array<double>)")).alias("positions"),
     )
 
 
@@ -112,9 +116,17 @@ def invert_demand(share: Column, rate: Column) -> Column:
     return F.when(bend == 0, share).otherwise(2 * share / (rate + root))
 
 
-def curriculum(mixed: DataFrame) -> DataFrame:
-    """The taken documents in training order: range-partitioned and sorted by position."""
-    return mixed.filter("taken > 0").repartitionByRange("position", "rid").sortWithinPartitions("position", "rid")
+def repeated(docs: DataFrame) -> DataFrame:
+    """The columns of docs in training order, each document as often as the mix takes it.
+
+    Every lap has a position of its own. Rows are sorted by range of position; the texts are
+    joined to their positions by doc_id and a hash, so rows that repeat both get the larger of
+    their numbers of laps each.
+    """
+    laps = mix(docs).groupBy("doc_id", "tie").agg(F.max(F.struct(F.size("positions").alias("n"), "positions")).alias("p"))
+    taken = laps.select(F.col("doc_id").alias("taken_id"), F.col("tie").alias("taken_tie"), F.explode("p.positions").alias("position"))
+    met = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]) & (F.xxhash64(docs["text"]) == taken["taken_tie"]))
+    return met.repartitionByRange("position", "taken_id").sortWithinPartitions("position", "taken_id").select(*[docs[c] for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from . import chat, exact_dedup, html_extract, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules
 
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline.py, which stands beside this package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_chat": chat.op2_chat,
@@ -14,6 +21,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 SQL = {
