@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, jaccard_join, mixing, packing, pii, quality_classifier, quality_rules
+from . import chat, exact_dedup, html_extract, jaccard_join, licenses, mixing, packing, pii, quality_classifier, quality_rules
 
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py, which stands beside this package."""
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_chat": chat.op2_chat,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_mixing": mixing.op4_mixing,
+    "op5_licenses": licenses.op5_licenses,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_pii": pii.op8_pii,
