@@ -9,8 +9,9 @@ or shuffled; where it does not, the set's lowest other tokens are added, and not
 Tokens of one document alone open the prefix and cannot match: a document with a fifth of such
 tokens leaves at once.
 
-Pairs are filtered by length, by position of the shared token and by a suffix bound (counts
-of tokens in hash cells bound the Hamming distance), then verified once on whole sets.
+Pairs are filtered by length, by position of the shared token and by a suffix bound (the
+parities of token counts in 512 hash cells: every token of one set alone flips one, so the
+cells that differ bound the Hamming distance), then verified once on whole sets.
 
 Large groups: equal sets are one set from the start. Then each token's members meet only a few
 pivots drawn by hash; verified links make components. Pairs in one component need no further
@@ -39,7 +40,9 @@ from .common import drop_stage, map_arrow, stage, table, text_or_empty
 
 #: One token in so many (by hash) is ordered by frequency; more than a prefix's share must be.
 HEAD_ONE_IN = 4
-CELLS = 16
+#: Cells of the parity signature, 64 to a column.
+CELLS = 512
+SIGNATURE = [f"s{k}" for k in range(CELLS // 64)]
 PIVOTS = 3
 #: Ids (8 bytes each) up to this many are broadcast; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -85,8 +88,8 @@ def _head(s: np.ndarray) -> tuple[np.ndarray, int]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, the set's size and digest, its head tokens, how many of these are ordered by
-    frequency, and its token counts in hash cells."""
-    schema = f"doc_id long, {SET_SCHEMA}, head array<long>, n_first int, cells array<long>"
+    frequency, and its parity signature."""
+    schema = f"doc_id long, {SET_SCHEMA}, head array<long>, n_first int, " + ", ".join(f"{c} long" for c in SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,10 +98,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(Words(data[off[i] : off[j]], off[i : j + 1] - off[i])))
                 d1, d2 = _digest(sets)
                 heads = [_head(s) for s in sets]
-                cells = [np.bincount((s >> U64(8)).astype(np.int64) & (CELLS - 1), minlength=CELLS) for s in sets]
+                odd = np.stack([np.bincount((s >> U64(8)).astype(np.int64) & (CELLS - 1), minlength=CELLS) & 1 for s in sets]).astype(np.uint8)
+                signature = np.packbits(odd, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array(d1), pa.array(d2), _lists([h for h, _ in heads]), pa.array([k for _, k in heads], pa.int32()), _lists(cells)],
-                    names=["doc_id", "n", "d1", "d2", "head", "n_first", "cells"],
+                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array(d1), pa.array(d2), _lists([h for h, _ in heads]), pa.array([k for _, k in heads], pa.int32()), *(pa.array(signature[:, k]) for k in range(len(SIGNATURE)))],
+                    names=["doc_id", "n", "d1", "d2", "head", "n_first", *SIGNATURE],
                 )
 
     return map_arrow(_texts(docs), run, schema)
@@ -129,37 +133,56 @@ def _reclaim(spark: SparkSession) -> None:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """token, sid, n, pos, cells: the prefix tokens of every set that another set also has."""
-    each = sets.select("sid", "n", "n_first", F.posexplode("head").alias("at", "token"))
+    """token, sid, n, own, pos and signature: the prefix tokens of every set that another set also has.
+
+    own is the share of its counted tokens that no other set has.
+
+    Only (token, sid) is shuffled for every token. Tokens of one set alone precede the shared
+    ones of the first class; among the others they are not counted, so a position there is a
+    lower bound, which the filters may use as well.
+    """
+    each = sets.select("sid", F.explode("head").alias("token"))
     frequency = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     late = F.col("token") % 2
-    shared = each.join(frequency, "token").withColumn("key", F.struct(late.alias("late"), F.when(late == 0, F.col("df")).otherwise(0).alias("df"), "token", "at"))
-    ordered = shared.groupBy("sid").agg(F.first("n").alias("n"), F.first("n_first").alias("n_first"), F.sort_array(F.collect_list("key")).alias("keys"))
-    # tokens of this set alone precede the shared ones of the first class
+    shared = each.join(frequency, "token").withColumn("key", F.struct(late.alias("late"), F.when(late == 0, F.col("df")).otherwise(0).alias("df"), "token"))
+    ordered = shared.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("sid", "n", "n_first", *SIGNATURE), "sid")
     alone = F.col("n_first") - F.size(F.filter("keys", lambda k: k["late"] == 0))
     placed = ordered.withColumn("alone", alone).select(
-        "sid", "n",
-        F.explode(F.transform("keys", lambda k, i: F.struct(k["token"].alias("token"), F.when(k["late"] == 0, F.col("alone") + i).otherwise(k["at"]).alias("pos")))).alias("t"),
-    )
-    return placed.select("t.token", "sid", "n", "t.pos").filter(F.col("pos") < F.col("n") - F.expr("(4 * n + 4) div 5") + 1)
+        "sid", "n", *SIGNATURE, (F.col("alone") / F.greatest("n_first", F.lit(1))).alias("own"), F.explode(F.transform("keys", lambda k, i: F.struct(k["token"].alias("token"), (F.col("alone") + i).alias("pos")))).alias("t")
+    )
+    return placed.select("t.token", "sid", "n", "own", "t.pos", *SIGNATURE).filter(F.col("pos") < F.col("n") - F.expr("(4 * n + 4) div 5") + 1)
+
+
+def _fits(one: str, two: str) -> F.Column:
+    """Length, positional and suffix filters for a token that two rows of postings share.
+
+    A pair that links has a first common token, and all its common tokens are that one and
+    later ones; so the pair passes by that token at least, and by others it need not.
+    """
+    c = lambda which, name: F.col(f"{which}{name}")
+    sizes = c(one, "n") + c(two, "n")
+    need = F.expr(f"(4 * ({one}n + {two}n) + 8) div 9")
+    length = (5 * c(one, "n") >= 4 * c(two, "n")) & (5 * c(two, "n") >= 4 * c(one, "n"))
+    place = F.least(c(one, "n") - c(one, "pos"), c(two, "n") - c(two, "pos")) >= need
+    apart = F.bit_count(c(one, SIGNATURE[0]).bitwiseXOR(c(two, SIGNATURE[0])))
+    for s in SIGNATURE[1:]:
+        apart = apart + F.bit_count(c(one, s).bitwiseXOR(c(two, s)))
+    return length & place & (apart <= sizes - 2 * need)
 
 
-def _fits(n1: str, n2: str, p1: str, p2: str) -> F.Column:
-    """Length and positional filters for a shared token at p1 and p2."""
-    need = F.expr(f"(4 * ({n1} + {n2}) + 8) div 9")
-    length = (5 * F.col(n1) >= 4 * F.col(n2)) & (5 * F.col(n2) >= 4 * F.col(n1))
-    return length & (F.least(F.col(p1), F.col(p2)) + 1 + F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) - 1 >= need)
+def _as(df: DataFrame, which: str, *columns: str) -> DataFrame:
+    """token and the columns under another first letter."""
+    return df.select("token", *(F.col(c).alias(f"{which}{c}") for c in columns))
 
 
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (x, y), on whole sets, after the suffix bound."""
-    a = full.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"), F.col("cells").alias("cx"))
-    b = full.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"), F.col("cells").alias("cy"))
+    """The linked ones of the pairs (x, y), on whole sets."""
+    a = full.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
+    b = full.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
     both = pairs.join(a, "x").join(b, "y")
     sizes = F.size("tx") + F.size("ty")
-    apart = F.aggregate(F.zip_with("cx", "cy", lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda s, v: s + v)
     common = F.size(F.array_intersect("tx", "ty"))
-    return both.filter(9 * apart <= sizes).withColumn("common", common).filter(F.col("common") * 180 >= 80 * sizes).select("x", "y")
+    return both.withColumn("common", common).filter(F.col("common") * 180 >= 80 * sizes).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,7 +215,7 @@ def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     every = stage(sketches(docs), "sketches")
     keys = ["n", "d1", "d2"]
     sets = stage(
-        every.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("n_first").alias("n_first"), F.first("cells").alias("cells")).withColumn("sid", F.monotonically_increasing_id()),
+        every.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("n_first").alias("n_first"), *(F.first(c).alias(c) for c in SIGNATURE)).withColumn("sid", F.monotonically_increasing_id()),
         "sets",
     )
     _reclaim(spark)
@@ -204,10 +227,12 @@ def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     full = _full_sets(docs, sets, prefix2)
     _reclaim(spark)
 
-    # pivots: the member of each token with the least draw
-    drawn = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("draw"), "sid", "n", "pos")).alias(f"p{k}") for k in range(pivots)]
-    chosen = prefix2.groupBy("token").agg(*drawn).select("token", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("p")).select("token", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")).distinct()
-    star = prefix2.join(chosen, "token").filter((F.col("sid") != F.col("pivot")) & _fits("n", "pn", "pos", "pp"))
+    # pivots: the member with the least of its own, which of copies is their origin, and others by draw
+    row = ["sid", "n", "pos", *SIGNATURE]
+    drawn = [F.min(F.struct((F.col("own") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("sid", F.lit(k)).alias("draw"), *row)).alias(f"p{k}") for k in range(pivots)]
+    chosen = prefix2.groupBy("token").agg(*drawn).select("token", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("p"))
+    chosen = chosen.select("token", *(F.col(f"p.{c}").alias(f"p{c}") for c in row)).dropDuplicates(["token", "psid"])
+    star = _as(prefix2, "m", *row).join(chosen, "token").filter((F.col("msid") != F.col("psid")) & _fits("m", "p")).select(F.col("msid").alias("sid"), F.col("psid").alias("pivot"))
     edges = stage(verify(star.select(F.least("sid", "pivot").alias("x"), F.greatest("sid", "pivot").alias("y")).distinct(), full), "links")
     comps = components(edges)
     _reclaim(spark)
@@ -229,26 +254,26 @@ def _between(prefix: DataFrame, comps: DataFrame) -> DataFrame:
     Per token, members outside its largest component meet all members; tokens whose members
     are of one component have no such pairs.
     """
-    member = prefix.join(comps, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("comp", "sid").alias("comp"))
+    member = prefix.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     member = stage(member, "members")
     count = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     major = count.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", F.col("m.comp").alias("major"))
-    open_rows = member.join(major, "token")
-    x = open_rows.filter("comp != major").select("token", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "pos", "comp")))
-    y = open_rows.select("token", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "comp")), (F.col("comp") == F.col("major")).alias("is_major"))
-    pairs = x.join(y, "token").filter((F.col("comp1") != F.col("comp2")) & (F.col("is_major") | (F.col("sid1") < F.col("sid2"))) & _fits("n1", "n2", "pos1", "pos2"))
-    return pairs.select(F.least("sid1", "sid2").alias("x"), F.greatest("sid1", "sid2").alias("y")).distinct()
+    open_rows = member.join(major, "token").withColumn("first", F.col("comp") == F.col("major"))
+    row = ["sid", "n", "pos", "comp", *SIGNATURE]
+    x, y = _as(open_rows.filter("not first"), "x", *row), _as(open_rows, "y", *row, "first")
+    pairs = x.join(y, "token").filter((F.col("xcomp") != F.col("ycomp")) & (F.col("yfirst") | (F.col("xsid") < F.col("ysid"))) & _fits("x", "y"))
+    return pairs.select(F.least("xsid", "ysid").alias("x"), F.greatest("xsid", "ysid").alias("y")).distinct()
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, prefix: DataFrame) -> DataFrame:
-    """sid, tokens, cells of the sets that have a candidate; their texts are read again."""
-    alive = stage(prefix.select("sid").distinct().join(sets.select("sid", "n", "d1", "d2", "rep", "cells"), "sid"), "alive")
+    """sid and tokens of the sets that have a candidate; their texts are read again."""
+    alive = stage(prefix.select("sid").distinct().join(sets.select("sid", "n", "d1", "d2", "rep"), "sid"), "alive")
     ids = alive.select("rep").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     some = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["rep"]), "left_semi")
     found = whole_sets(some).join(alive, ["n", "d1", "d2"])
-    return stage(found.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("cells").alias("cells")), "whole")
+    return stage(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "whole")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
