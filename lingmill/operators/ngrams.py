@@ -1,9 +1,8 @@
 """Character n-gram models: counting, top-K, weights, training, labelling and evaluation.
 
-Texts are handled line by line, as no n-gram spans a newline; a line becomes an array of its
-characters once and n-grams are slices of it, so cost is linear in its length. Counts combine
-before they are shuffled, and models are small against texts, so adaptive execution joins them
-by broadcast when their measured size allows it and by shuffle when not.
+Texts are handled line by line, as no n-gram spans a newline. Counts combine
+before they are shuffled. A model is small against texts: it is counted and joined by
+broadcast where it has few rows, by shuffle where not.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 #: Thresholds of the labels: unknown at or below, unsure below; lowest score shown.
 GUESS, UNSURE, ZERO = 0.2, 1.2, 0.01
 WEIGHT_POWER = 0.27
@@ -27,18 +28,24 @@ def tidy(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), "[ \\t\\r]+", " ")
 
 
-def grams_of(line: Column, n: int) -> Column:
-    """All n-grams of a line, in order, as an array."""
-    chars = F.split(line, "")
-    last = F.char_length(line) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))).otherwise(F.array().cast("array<string>"))
+#: Characters of a line whose n-grams are cut from one piece of it.
+PIECE = 256
 
 
 def explode_grams(rows: DataFrame, lengths: tuple[int, ...], line: str = "line") -> DataFrame:
-    """One row per n-gram occurrence: the other columns, n and gram."""
+    """One row per n-gram occurrence: the other columns, n and gram.
+
+    Lines are first cut into overlapping pieces, so that finding a character by its place
+    never walks a long line.
+    """
     other = [c for c in rows.columns if c != line]
-    every = F.flatten(F.array(*(F.transform(grams_of(F.col(line), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in lengths)))
-    return rows.select(*other, F.explode(every).alias("x")).select(*other, "x.n", "x.gram")
+    longest = max(lengths)
+    starts = F.expr(f"sequence(0, greatest(char_length({line}) - 1, 0), {PIECE})")
+    pieces = rows.select(*other, F.explode(F.transform(starts, lambda s: F.substr(F.col(line), s + 1, F.lit(PIECE + longest - 1)))).alias("__piece")).filter("__piece <> ''")
+
+    placed = pieces.select(*other, "__piece", F.explode(F.expr(f"sequence(1, least(char_length(__piece), {PIECE}))")).alias("__i"))
+    each = ", ".join(f"{n}, substring(__piece, __i, {n})" for n in lengths)
+    return placed.select(*other, F.expr(f"stack({len(lengths)}, {each}) as (n, gram)")).filter(F.char_length("gram") == F.col("n"))
 
 
 def trainable(gram: Column) -> Column:
@@ -166,11 +173,11 @@ def merged_by(model: DataFrame, charset: str) -> DataFrame:
 def identify(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
     """key, guess, score: sum of weight times length over occurrences, per character."""
     tidied = rows.select(*key, tidy(F.col("line")).alias("line"))
-    seen = explode_grams(tidied.withColumn("chars", F.char_length("line")), lengths).groupBy(*key, "chars", "n", "gram").agg(F.count(F.lit(1)).alias("seen"))
-    small = model.select(F.col(by).alias("guess"), "gram", "weight")
+    seen = explode_grams(tidied.withColumn("chars", F.char_length("line")), lengths)
+    known = small(model.select(F.col(by).alias("guess"), "gram", "weight"))
     return (
-        seen.join(small, "gram").groupBy(*key, "guess")
-        .agg((F.sum(F.col("seen") * F.col("weight") * F.col("n")) / F.greatest(F.max("chars"), F.lit(1))).alias("score"))
+        seen.join(known, "gram").groupBy(*key, "guess")
+        .agg((F.sum(F.col("weight") * F.col("n")) / F.greatest(F.max("chars"), F.lit(1))).alias("score"))
     )
 
 
