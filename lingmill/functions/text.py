@@ -6,9 +6,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*(?:[eE][+-]?[0-9]+)?|[\p{L}\p{M}]+(?:[-'][\p{L}\p{M}]+)*|[^\s\p{L}\p{M}0-9]"
 #: The named entities that the markup stripper knows.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "(c)", "&reg;": "(R)", "&middot;": "·", "&amp;": "&"}
@@ -42,6 +44,8 @@ def sentences(text: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Decimal entities with their semicolon; named ones stay."""
 
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:
         return col.map(decode_decimal, na_action="ignore")
@@ -136,6 +140,8 @@ def _roman(c: str) -> str:
 
 
 def romanise(text: Column) -> Column:
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:
         return col.map(romanised, na_action="ignore")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -79,7 +81,8 @@ def neighbours(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _together(vectors: DataFrame, run, schema: str = "vec_id long, cluster int") -> DataFrame:
-    return vectors.groupBy(F.lit(1)).applyInPandas(run, schema)
+    ship_package(vectors.sparkSession)
+    return vectors.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, schema)
 
 
 def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .sizes import small
 
 #: Thresholds of the labels: unknown at or below, unsure below; lowest score shown.
@@ -241,6 +242,7 @@ def smoothed(scores: DataFrame, doc: str = "doc_id", order: str = "line_no", max
         long.insert(0, doc, rows[doc].iloc[0])
         return long[[doc, order, "guess", "score"]]
 
+    ship_package(scores.sparkSession)
     return scores.groupBy(doc).applyInPandas(fold, f"{doc} long, {order} int, guess string, score double")
 
 

@@ -36,7 +36,8 @@ def uniform_lines(i: Column, n: int, total: Column) -> Column:
 
 
 def uniform_bytes(sizes: Column, n: int) -> Column:
-    """From an ordered array of sizes: which lines are kept, while kept bytes stay within the rate.
+    """From an ordered array of sizes: a line is kept while the bytes kept so far are within the rate of
+    those seen so far.
 
     The rate is (n + 1) / total bytes.
     """
@@ -45,7 +46,7 @@ def uniform_bytes(sizes: Column, n: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         seen = acc["seen"] + x
-        keep = (acc["got"] + x) * total <= seen * (n + 1)
+        keep = acc["got"] * total <= acc["seen"] * (n + 1)
         return F.struct(seen.alias("seen"), (acc["got"] + F.when(keep, x).otherwise(0)).alias("got"), F.array_append(acc["keep"], keep).alias("keep"))
 
     return F.aggregate(sizes, zero, step, lambda acc: acc["keep"])

@@ -51,8 +51,7 @@ def sample_uniform_lines(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT doc_id, ls, list_sum(list_transform(ls, lambda x: octet_length(encode(x)) + 1)) AS total FROM l0),
 w AS (SELECT doc_id, ls, total, 0 AS k, 0::HUGEINT AS seen, 0::HUGEINT AS got, false AS keep FROM l
   UNION ALL SELECT doc_id, ls, total, k + 1, seen + octet_length(encode(ls[k + 1])) + 1,
-    got + CASE WHEN (got + octet_length(encode(ls[k + 1])) + 1) * total <= (seen + octet_length(encode(ls[k + 1])) + 1) * 201 THEN octet_length(encode(ls[k + 1])) + 1 ELSE 0 END,
-    (got + octet_length(encode(ls[k + 1])) + 1) * total <= (seen + octet_length(encode(ls[k + 1])) + 1) * 201 FROM w WHERE k < len(ls))
+    got + CASE WHEN got * total <= seen * 201 THEN octet_length(encode(ls[k + 1])) + 1 ELSE 0 END, got * total <= seen * 201 FROM w WHERE k < len(ls))
 SELECT doc_id, k::BIGINT - 1 AS line_no FROM w WHERE keep""",
 )
 def sample_uniform_bytes(spark: SparkSession, d: str) -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming forms of the stateful operators."""
