@@ -31,7 +31,7 @@ def rows():
         if i % 5:
             w[draw.randrange(60)] = draw.choice(vocabulary)
         out.append(" ".join(w) if i % 7 else " ".join(w).upper())
-    out += [None, "", " \n\t ", "one two", "One TWO", "a b c d e", "x" * 9000 + " y", base[0], base[0].replace(" ", "\n"), "mail me@a-b.example.com or +1 (017) 555-7713 at 10.0.0.255 4845168114407329"]
+    out += [None, "", " \n\t ", "one two", "One TWO", "a b c d e", "x" * 9000 + " y", base[0], base[0].replace(" ", "\n"), "mail me@a-b.example.com or +1 (017) 555-7713 at 10.0.0.255 is 4111111111111111"]
     return [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or ""), 1) for i, t in enumerate(out)]
 
 
