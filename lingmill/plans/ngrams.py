@@ -189,9 +189,9 @@ def identify_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "label_lines",
-    f"""WITH {scores_sql(SMALL, K)}, r AS (SELECT *, round(score, 9) AS s, max(round(score, 9)) OVER (PARTITION BY doc_id, line_no) AS top,
+    f"""WITH {scores_sql(SMALL, K)}, rk AS (SELECT *, round(score, 9) AS s, max(round(score, 9)) OVER (PARTITION BY doc_id, line_no) AS top,
   row_number() OVER (PARTITION BY doc_id, line_no ORDER BY round(score, 9) DESC, guess) AS place FROM scores)
-SELECT doc_id, line_no, place, CASE WHEN s <= 0.2 THEN '??' WHEN s < 1.2 THEN guess || '?' ELSE guess END AS label FROM r WHERE place <= 3 AND s > 0.01 AND s >= 0.8 * top""",
+SELECT doc_id, line_no, place, CASE WHEN s <= 0.2 THEN '??' WHEN s < 1.2 THEN guess || '?' ELSE guess END AS label FROM rk WHERE place <= 3 AND s > 0.01 AND s >= 0.8 * top""",
 )
 def label_lines(spark: SparkSession, d: str) -> DataFrame:
     best = G.cut_off(line_scores(spark, d).withColumn("score", F.round("score", 9)))
