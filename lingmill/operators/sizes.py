@@ -12,3 +12,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, kept and counted once, for broadcast where it has few rows; else for a shuffle join."""
     df = df.persist()
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan dealt over the session's cores where its files give fewer tasks than that.
+
+    Large tables have a task per split and stay as they are; only a few small files, whose
+    rows would be worked on by one core, are shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

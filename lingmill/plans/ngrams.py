@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ngrams as G
+from ..operators.sizes import spread
 from ..session import table
 from .registry import query
 
@@ -38,7 +39,7 @@ model AS (SELECT lang, n, gram, cnt, pow(cnt / total, {G.WEIGHT_POWER}) AS weigh
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 @query("trigram_topk_by_lang", f"WITH {counts_sql((3,))}, {top_sql(K)} SELECT lang, gram, cnt, threshold FROM kept")

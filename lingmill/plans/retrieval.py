@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.sizes import spread
 from ..session import table
 from .registry import query
 
@@ -15,7 +16,7 @@ _TF = f"{_W}, per AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL), f
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 @query("tokens_blank", f"WITH {_W} SELECT doc_id, pos, term FROM w")

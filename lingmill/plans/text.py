@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import strings as S
 from ..operators.ngrams import lines
+from ..operators.sizes import spread
 from ..session import table
 from .registry import query
 
@@ -15,7 +16,7 @@ _L = "l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHE
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 @query("line_scan", f"WITH {_L} SELECT doc_id, line_no, length(line) AS chars, octet_length(encode(line)) AS bytes, md5(line) AS line_md5 FROM l")
