@@ -218,6 +218,8 @@ def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
         every.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("n_first").alias("n_first"), *(F.first(c).alias(c) for c in SIGNATURE)).withColumn("sid", F.monotonically_increasing_id()),
         "sets",
     )
+    heads, every = every, stage(every.select("doc_id", *keys), "identities")
+    drop_stage(heads)
     _reclaim(spark)
     prefix = stage(postings(sets), "postings")
     _reclaim(spark)
