@@ -218,3 +218,16 @@ def tight(vectors: DataFrame, k: int, samples: int = 10, share: float = 0.7, lea
         return _frame(ids, label)
 
     return _together(vectors, run)
+
+
+def average_linkage(assigned: DataFrame) -> DataFrame:
+    """one, two, linkage: the mean cosine over all pairs of members of every two clusters.
+
+    The mean of products is the product of sums, so no pair of members is formed: unit vectors
+    are added up by cluster, and only clusters meet, by coordinate.
+    """
+    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    size = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    parts = assigned.select("cluster", norm.alias("norm"), F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.sum(F.col("x") / F.col("norm")).alias("x")).join(size, "cluster")
+    one, two = (parts.select("i", F.col("cluster").alias(name), (F.col("x") / F.col("n")).alias(f"x_{name}")) for name in ("one", "two"))
+    return one.join(two, "i").filter("one < two").groupBy("one", "two").agg(F.sum(F.col("x_one") * F.col("x_two")).alias("linkage"))

@@ -117,7 +117,12 @@ def events_dedup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("grow_seeds")
+@query(
+    "grow_seeds",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT label AS cluster, arg_min(e, vec_id) AS c FROM v GROUP BY label),
+s AS (SELECT vec_id, cluster, round(list_cosine_similarity(e, c), 9) AS sim FROM v CROSS JOIN c)
+SELECT vec_id, cluster, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) AS r FROM s) WHERE r = 1 AND sim >= 0.1""",
+)
 def grow_seeds(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import cluster as C
 

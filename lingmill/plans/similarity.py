@@ -19,6 +19,9 @@ y AS (SELECT *, list_sum(list_transform(ab, lambda t: t[1] * t[2])) AS dot, list
   list_sum(list_transform(ab, lambda t: CASE WHEN t[1] <> 0 AND t[2] <> 0 THEN t[1] ELSE 0.0 END)) AS m1, list_sum(list_transform(ab, lambda t: CASE WHEN t[1] <> 0 AND t[2] <> 0 THEN t[2] ELSE 0.0 END)) AS m2,
   list_sum(list_transform(ab, lambda t: abs(t[1] / sa - t[2] / sb))) AS spread FROM z)"""
 
+_CA = "list_sum(list_transform(ab, lambda t: CASE WHEN t[1] <> 0 AND t[2] <> 0 THEN least(t[1] / ma, t[2] / mb) ELSE 0.0 END))"
+_CB = "list_sum(list_transform(ab, lambda t: CASE WHEN t[1] <> 0 AND t[2] = 0 THEN t[1] / ma ELSE 0.0 END))"
+_CC = "list_sum(list_transform(ab, lambda t: CASE WHEN t[1] = 0 AND t[2] <> 0 THEN t[2] / mb ELSE 0.0 END))"
 _BY_NAME = {
     "cosine": "dot / (na * nb)",
     "euclidean": "1 - sqrt(list_sum(list_transform(ab, lambda t: (t[1] - t[2]) * (t[1] - t[2]))))",
@@ -32,7 +35,15 @@ _BY_NAME = {
     "circle_product": "lo / n", "czekanowski": "2 * lo / (sa + sb)", "robinson": "(2 - spread) / 2", "drennan": "1 - spread / 2",
     "jensen_shannon": "1 - (list_sum(list_transform(ab, lambda t: CASE WHEN t[1] > 0 THEN t[1] / sa * log2(t[1] / sa / ((t[1] / sa + t[2] / sb) / 2)) ELSE 0.0 END)) + list_sum(list_transform(ab, lambda t: CASE WHEN t[2] > 0 THEN t[2] / sb * log2(t[2] / sb / ((t[1] / sa + t[2] / sb) / 2)) ELSE 0.0 END))) / 2",
     "binary_dice": "2 * bo / (2 * bo + o1 + o2)", "binary_anti_dice": "bo / (bo + 2 * (o1 + o2))",
+    "kulczynski1": "CASE WHEN sa - m1 + sb - m2 = 0 THEN m1 + m2 ELSE (m1 + m2) / 2 / (sa - m1 + sb - m2) END",
+    "similarity_ratio": "CASE WHEN a = b THEN 1.7976931348623157e308 ELSE dot / (na * na + nb * nb - dot) END",
+    "binary_gamma": "CASE WHEN bo * (n - bo - o1 - o2) + o1 * o2 = 0 THEN 1.0 ELSE (bo * (n - bo - o1 - o2) - o1 * o2) / (bo * (n - bo - o1 - o2) + o1 * o2) END",
+    "mountford": f"CASE WHEN 2 * {_CB} * {_CC} + {_CA} * ({_CB} + {_CC}) = 0 THEN 1.0 ELSE 2 * {_CA} / (2 * {_CB} * {_CC} + {_CA} * ({_CB} + {_CC})) END",
+    "fager_mcgowan": f"{_CA} / sqrt(({_CA} + {_CB}) * ({_CA} + {_CC})) - greatest({_CB}, {_CC}) / 2",
+    "tripartite": f"sqrt(log2(1 + (least({_CB}, {_CC}) + {_CA}) / (greatest({_CB}, {_CC}) + {_CA})) * pow(log2(2 + least({_CB}, {_CC}) / ({_CA} + 1)), -0.5) * log2(1 + {_CA} / ({_CA} + {_CB})) * log2(1 + {_CA} / ({_CA} + {_CC})))",
 }
+#: Ratios of small differences are compared to fewer digits.
+_DIGITS = {"kulczynski1": 4, "mountford": 6, "fager_mcgowan": 6, "tripartite": 6}
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +54,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _one(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _pairs(spark, d).select("vec_id", F.round(S.similarity(name, F.col("a"), F.col("b")), 9).alias("value"))
+        return _pairs(spark, d).select("vec_id", F.round(S.similarity(name, F.col("a"), F.col("b")), _DIGITS.get(name, 9)).alias("value"))
 
     run.__name__ = f"similarity_{name}"
     return run
@@ -57,7 +68,7 @@ def _names() -> list[str]:
 
 
 for _name in _names():
-    _sql = f"WITH {_V} SELECT vec_id, round({_BY_NAME[_name]}, 9) AS value FROM y" if _name in _BY_NAME else None
+    _sql = f"WITH {_V} SELECT vec_id, round({_BY_NAME[_name]}, {_DIGITS.get(_name, 9)}) AS value FROM y" if _name in _BY_NAME else None
     query(f"similarity_{_name}", _sql)(_one(_name))
 
 
@@ -128,7 +139,11 @@ def sparse_similarity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("bounded_neighbours")
+@query(
+    "bounded_neighbours",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT vec_id, other, round(sim, 6) AS sim, place FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS place FROM s) WHERE place <= 5""",
+)
 def bounded_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest vectors of each vector inside its label, by blocks of vectors."""
     from ..operators import cluster as C

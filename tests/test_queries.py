@@ -9,7 +9,7 @@ from lingmill import plans
 from lingmill.session import TABLES
 
 DIR = "/root/testdata/sf0.001"
-CHOSEN = ["trigram_topk_by_lang", "ngram_scaled_weights", "accuracy_micro_macro", "sample_uniform_bytes", "list_sets", "tfidf_values", "similarity_jensen_shannon", "frame_inherited", "string_confidence", "join_range_steps"]
+CHOSEN = ["trigram_topk_by_lang", "ngram_scaled_weights", "accuracy_micro_macro", "sample_uniform_bytes", "list_sets", "tfidf_values", "similarity_jensen_shannon", "frame_inherited", "string_confidence", "join_range_steps", "span_ordered", "interval_merged", "interval_covered", "prefix_completion", "cluster_average_linkage", "bounded_neighbours", "weight_scaling", "similarity_tripartite", "grow_seeds"]
 
 
 def plain(row):
