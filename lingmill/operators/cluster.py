@@ -231,3 +231,13 @@ def average_linkage(assigned: DataFrame) -> DataFrame:
     parts = assigned.select("cluster", norm.alias("norm"), F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.sum(F.col("x") / F.col("norm")).alias("x")).join(size, "cluster")
     one, two = (parts.select("i", F.col("cluster").alias(name), (F.col("x") / F.col("n")).alias(f"x_{name}")) for name in ("one", "two"))
     return one.join(two, "i").filter("one < two").groupBy("one", "two").agg(F.sum(F.col("x_one") * F.col("x_two")).alias("linkage"))
+
+
+def hierarchical_seeds(vectors: DataFrame, k: int) -> DataFrame:
+    """cluster, c: the centroids of the k largest of 3k agglomerated clusters, seeds for k_means().
+
+    The vectors given are merged in one task; callers pass a bounded set of them.
+    """
+    groups = vectors.join(agglomerative(vectors, 3 * k), "vec_id").persist()
+    largest = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(k).select("cluster")
+    return centroids(groups.join(largest, "cluster", "left_semi"))

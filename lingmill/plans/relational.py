@@ -154,3 +154,6 @@ def cluster_k_means(spark: SparkSession, d: str) -> DataFrame:
 
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return C.k_means(v.drop("cluster"), v.groupBy("cluster").agg(F.min_by("v", "vec_id").alias("c")), 5)
+
+
+query("cluster_k_means_seeded")(_clusters(lambda C, v: C.k_means(v, C.hierarchical_seeds(v, 5), 5)))

@@ -48,3 +48,15 @@ def test_spans(spark):
     ordered = row.select(I.span_order(F.col("s")).alias("s")).first().s
     assert [(x.end, x.score) for x in ordered] == [(4, 0.1), (2, 0.5), (2, 0.25)]
     assert len(row.select(I.without(F.col("s"), lambda x: x["end"] == 2).alias("s")).first().s) == 1
+
+
+def test_hierarchical_seeds_find_separate_groups(spark):
+    from lingmill.operators import cluster as C
+
+    ways = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(10 * g + i, [x + 0.01 * i * (j == (g + 1) % 3) for j, x in enumerate(w)]) for g, w in enumerate(ways) for i in range(6)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    seeds = C.hierarchical_seeds(v, 2)
+    assert seeds.count() == 2
+    got = C.k_means(v, seeds, 3)
+    assert got.count() == 18 and got.select("cluster").distinct().count() == 2
