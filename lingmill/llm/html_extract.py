@@ -1,14 +1,14 @@
-"""Main text of web pages: structure first, nearest-URL differencing for what it leaves open.
-
-A page is read once into blocks. A block inside an article or main element, and in none of the
-page furniture (navigation, headers and footers of the page, asides, forms, adverts, notices,
-reader comments, hidden parts), is text. On pages without such an element the remaining blocks
-are open lines: pages of a host are ordered by URL path, each page is paired with its
-neighbours in that order, the lines are aligned by longest common subsequence, and what a page
-shares with a neighbour is deleted, as the parts that pages of a site share are its frame.
-A neighbour with which nearly all is shared is a copy of the page and tells nothing; it is
-passed over. Differencing does not touch marked articles: a paragraph that two articles quote
-is text in both.
+"""Main text of web pages: nearest-URL differencing, with the page's structure as evidence.
+
+A page is read once into blocks. Page furniture (navigation, headers and footers of the page,
+asides, forms, adverts, notices, reader comments, hidden parts) is no text. All other blocks
+are lines, inside an article or main element or open. Pages of a host are ordered by URL path,
+every page is paired with the differing pages around it in that order, and the lines are
+aligned by longest common subsequence, as the parts that pages of a site share are its frame.
+Open lines that a neighbour shares are deleted. A line of a marked article is deleted only
+where all pages of other content within reach, four or more, share it, as a paragraph that two
+articles quote is text in both. On a page with an article, open lines outside it are text where a neighbour
+was there to compare with and lacks them.
 
 Defined cases: a null html is empty; a page without text gives the empty string; null or
 unreadable URLs are one host of their own order; repeated rows each get their text; an empty
@@ -197,19 +197,51 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     return kept
 
 
-#: A neighbour sharing more than this percentage of a page's characters is a copy of it.
-COPY_PERCENT = 80
+#: A neighbour sharing more than this percentage of a page's characters is close to it.
+CLOSE_PERCENT = 80
+#: Differing pages of the host that are looked at on either side.
+REACH = 4
+#: Decisions up to this many go to every worker; beyond, they are joined.
+BROADCAST_PAGES = 100_000
+#: Least number of far pages, all sharing it, that make a line inside an article frame.
+WITNESSES = 4
+
+
+def shared_lines(own: list[int], other: list[int]) -> list[bool]:
+    """common_lines() of the lines that both have, as no other can be common."""
+    there, here = set(other), set(own)
+    at = [i for i, x in enumerate(own) if x in there]
+    out = [False] * len(own)
+    if at:
+        for i, s in zip(at, common_lines([own[i] for i in at], [y for y in other if y in here]), strict=True):
+            out[i] = s
+    return out
+
 
+def kept_lines(kinds: list[int], sizes: list[int], names: list[int], others: list[tuple[int, list[int]]]) -> list[int]:
+    """The places of a page's lines that are text, from its differing neighbours (distance, names).
 
-def difference(lines: list[str], own: list[int], others: list[list[int]]) -> list[str]:
-    """The lines left after deleting what is shared with a neighbour that is no copy."""
-    drop = [False] * len(lines)
-    size = sum(map(len, lines))
-    for other in others:
-        shared = common_lines(own, other)
-        if 100 * sum(len(x) for x, s in zip(lines, shared, strict=True) if s) <= COPY_PERCENT * size:
-            drop = [d or s for d, s in zip(drop, shared, strict=True)]
-    return [x for x, d in zip(lines, drop, strict=True) if not d]
+    Open lines go where a far neighbour next to the page shares them. Lines of an article go
+    only where all far pages within reach share them and these are four or more, as two articles
+    may quote the same paragraph. Outside a marked article an open line needs a neighbour that lacks it.
+    """
+    whole, marked = sum(sizes), 2 in kinds
+    far: list[tuple[int, list[bool]]] = []
+    for distance, other in sorted(others, key=lambda x: (abs(x[0]), x[0])):
+        shared = shared_lines(names, other)
+        if 100 * sum(n for n, s in zip(sizes, shared, strict=True) if s) <= CLOSE_PERCENT * whole:
+            far.append((distance, shared))
+    beside = [s for d, s in far if abs(d) == 1]
+    around = [s for _, s in far]
+    out = []
+    for i, kind in enumerate(kinds):
+        if kind == 2:
+            keep = len(around) < WITNESSES or not all(s[i] for s in around)
+        else:
+            keep = not any(s[i] for s in beside) and (bool(beside) or not marked)
+        if keep:
+            out.append(i)
+    return out
 
 
 def _key(line: str) -> int:
@@ -229,8 +261,8 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, article (null where open), lines (open ones) and all line names."""
-    schema = "page_id long, url string, host string, path string, article string, lines array<string>, names array<long>"
+    """page_id, url, host, path, the lines that are no furniture with kinds, sizes and names, and a name of them all."""
+    schema = "page_id long, url string, host string, path string, lines array<string>, kinds array<int>, sizes array<int>, names array<long>, content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,48 +270,69 @@ def parsed(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 200)
                 rows = []
                 for page_id, url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    got = blocks(page or "")
-                    inside = [t for t, k in got if k == 2]
-                    opened = [] if inside else [t for t, k in got if k == 1]
-                    host, path = place(url)
-                    rows.append((page_id, url, host, path, None if opened else "\n".join(inside), opened, [_key(t) for t, k in got if k]))
+                    got = [(t, k) for t, k in blocks(page or "") if k]
+                    lines, kinds, names = [t for t, _ in got], [k for _, k in got], [_key(t) for t, _ in got]
+                    rows.append((page_id, url, *place(url), lines, kinds, [len(t) for t in lines], names, _content(names, kinds)))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), *[pa.string()] * 4, pa.list_(pa.string()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "url", "host", "path", "article", "lines", "names"])
+                kinds_of = [pa.int64(), *[pa.string()] * 3, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+                names_of = ["page_id", "url", "host", "path", "lines", "kinds", "sizes", "names", "content"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_of, strict=True)], names=names_of)
 
     return map_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), run, schema)
 
 
+def _content(names: list[int], kinds: list[int]) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(np.array([names, kinds], np.int64).tobytes())
+
+
 def _neighbours(read: DataFrame) -> DataFrame:
-    """For every open page: rid, its lines and the line names of both neighbours by URL.
+    """host, content, kinds, sizes, names and the differing pages around, of every distinct page of a host.
 
-    Pages are numbered in the order of (host, path): a range sort gives the order inside
-    partitions, the partitions' counts (a row each) their first numbers. Neighbours then meet
-    by number, in an even join; a host of any size is never one task.
+    Pages of equal lines are one page, which stands at the first URL of them. These are
+    numbered in the order of (host, path): a range sort gives the order inside partitions, the
+    partitions' counts (a row each) their first numbers. Neighbours then meet by number, in an
+    even join; a host of any size is never one task.
     """
-    order = ["host", "path", "page_id", "rid"]
-    light = stage(read.select(*order, "names", F.size("lines").alias("n_lines")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "order")
+    order = ["host", "path", "page_id", "content"]
+    one = read.filter(F.size("names") > 0).groupBy("host", "content").agg(F.min(F.struct("path", "page_id", "kinds", "sizes", "names")).alias("p")).select("host", "content", "p.*")
+    light = stage(one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "order")
     first = light.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("base"))
-    ranked = light.join(first, "part").select("host", "rid", "names", "n_lines", (F.col("base") + F.col("k")).alias("rank"))
-    wanted = ranked.filter("n_lines > 0")
-    around = ranked.select(F.col("host").alias("h"), F.col("names").alias("other"), F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"))
-    met = wanted.join(around, "rank", "left").groupBy("rid").agg(F.first("names").alias("names"), F.collect_list(F.when(F.col("h") == F.col("host"), F.col("other"))).alias("others"))
-    return read.filter(F.size("lines") > 0).select("rid", "page_id", "url", "lines").join(met, "rid")
+    ranked = light.join(first, "part").select("host", "content", "kinds", "sizes", "names", (F.col("base") + F.col("k")).alias("rank"))
+    steps = F.array(*[F.lit(d) for d in range(-REACH, REACH + 1) if d])
+    around = ranked.select(F.col("host").alias("h"), F.col("names").alias("other"), F.col("rank").alias("from"), F.explode(steps).alias("distance")).select("h", "distance", "other", (F.col("from") - F.col("distance")).alias("rank"))
+    found = F.collect_list(F.when(F.col("h") == F.col("host"), F.struct("distance", "other"))).alias("others")
+    own = F.first(F.struct("host", "content", "kinds", "sizes", "names")).alias("own")
+    return ranked.join(around, "rank", "left").groupBy("rank").agg(own, found).select("own.*", "others")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every row of pages."""
-    read = stage(parsed(pages).withColumn("rid", F.monotonically_increasing_id()), "parsed")
-    settled = read.filter(F.size("lines") == 0).select("page_id", "url", F.coalesce("article", F.lit("")).alias("text"))
-    if not read.filter(F.size("lines") > 0).limit(1).count():
-        return settled
+def decided(read: DataFrame) -> DataFrame:
+    """host, content, keep of the distinct pages whose text differs from what tags alone tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = ["\n".join(difference(r["lines"], r["names"], r["others"])) for r in batch.select(["lines", "names", "others"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+            keep, rows = [], []
+            for i, r in enumerate(batch.select(["kinds", "sizes", "names", "others"]).to_pylist()):
+                kinds = r["kinds"]
+                got = kept_lines(kinds, r["sizes"], r["names"], [(o["distance"], o["other"]) for o in r["others"]])
+                if got != [j for j, k in enumerate(kinds) if k == max(kinds)]:
+                    rows.append(i)
+                    keep.append(got)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("content").take(at), pa.array(keep, pa.list_(pa.int32()))], names=["host", "content", "keep"])
+
+    return map_arrow(_neighbours(read), run, "host string, content binary, keep array<int>")
 
-    return settled.unionByName(map_arrow(_neighbours(read), run, "page_id long, url string, text string"))
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url and text of every row of pages."""
+    read = stage(parsed(pages), "parsed")
+    told = stage(decided(read), "decided")
+    told = F.broadcast(told) if told.count() <= BROADCAST_PAGES else told
+    by_tags = "CASE WHEN array_contains(kinds, 2) THEN filter(lines, (x, i) -> kinds[i] = 2) ELSE lines END"
+    text = F.expr(f"array_join(CASE WHEN keep IS NULL THEN {by_tags} ELSE transform(keep, i -> lines[i]) END, '\n')")
+    return read.join(told, ["host", "content"], "left").select("page_id", "url", text.alias("text"))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,11 @@ def test_pipeline_stages(spark, tmp_path):
     left = components([(r["doc_id"], r["text"]) for r in kept])
     assert all(i == top for i, (_, top) in left.items())
     assert at.filter(F.col("text").isNull()).count() == 0
+
+
+def test_html_articles_are_differenced(spark):
+    marked = "<div><p>Site name</p></div><article><p>{0}</p><p>{1}</p><p>Share this story</p></article><div><p>{2}</p></div>"
+    bodies = [(f"story {i} " * 9, "quoted by two" if i in (2, 3) else f"more of {i}", f"dateline {i}") for i in range(6)]
+    pages = [(i, f"http://h.example/a/{i}", marked.format(*b)) for i, b in enumerate(bodies)] + [(9, "http://alone.example/", marked.format("a", "b", "c"))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join([a.strip(), b, c]) for i, (a, b, c) in enumerate(bodies)} | {9: "a\nb\nShare this story"}
