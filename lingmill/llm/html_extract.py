@@ -5,7 +5,9 @@ asides, forms, adverts, notices, reader comments, hidden parts) is no text. All
 are lines, inside an article or main element or open. Pages of a host are ordered by URL path,
 every page is paired with the differing pages around it in that order, and the lines are
 aligned by longest common subsequence, as the parts that pages of a site share are its frame.
-Open lines that a neighbour shares are deleted. A line of a marked article is deleted only
+Open lines that a neighbour shares are deleted. Pages of equal lines are copies and take one
+place in the order. Neighbours that share most of the page's characters are near copies where
+others share less, and are skipped; where all share most, their frame is long. A line of a marked article is deleted only
 where all pages of other content within reach, four or more, share it, as a paragraph that two
 articles quote is text in both. On a page with an article, open lines outside it are text where a neighbour
 was there to compare with and lacks them.
@@ -221,24 +223,28 @@ def shared_lines(own: list[int], other: list[int]) -> list[bool]:
 def kept_lines(kinds: list[int], sizes: list[int], names: list[int], others: list[tuple[int, list[int]]]) -> list[int]:
     """The places of a page's lines that are text, from its differing neighbours (distance, names).
 
-    Open lines go where a far neighbour next to the page shares them. Lines of an article go
+    Open lines go where the nearest far page of either side shares them. With close pages alone
+    around (a frame that is most of the text) lines go that the nearest of both sides share. Lines of an article go
     only where all far pages within reach share them and these are four or more, as two articles
     may quote the same paragraph. Outside a marked article an open line needs a neighbour that lacks it.
     """
     whole, marked = sum(sizes), 2 in kinds
     far: list[tuple[int, list[bool]]] = []
+    close: list[tuple[int, list[bool]]] = []
     for distance, other in sorted(others, key=lambda x: (abs(x[0]), x[0])):
         shared = shared_lines(names, other)
-        if 100 * sum(n for n, s in zip(sizes, shared, strict=True) if s) <= CLOSE_PERCENT * whole:
-            far.append((distance, shared))
-    beside = [s for d, s in far if abs(d) == 1]
+        is_far = 100 * sum(n for n, s in zip(sizes, shared, strict=True) if s) <= CLOSE_PERCENT * whole
+        (far if is_far else close).append((distance, shared))
+    nearest = [next((s for d, s in far or close if d * side > 0), None) for side in (-1, 1)]
+    beside = [s for s in nearest if s is not None]
+    shares = any if far else all
     around = [s for _, s in far]
     out = []
     for i, kind in enumerate(kinds):
         if kind == 2:
             keep = len(around) < WITNESSES or not all(s[i] for s in around)
         else:
-            keep = not any(s[i] for s in beside) and (bool(beside) or not marked)
+            keep = not (beside and shares(s[i] for s in beside)) and (bool(beside) or not marked)
         if keep:
             out.append(i)
     return out

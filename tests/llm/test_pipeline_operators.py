@@ -236,3 +236,13 @@ def test_html_articles_are_differenced(spark):
     pages = [(i, f"http://h.example/a/{i}", marked.format(*b)) for i, b in enumerate(bodies)] + [(9, "http://alone.example/", marked.format("a", "b", "c"))]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n".join([a.strip(), b, c]) for i, (a, b, c) in enumerate(bodies)} | {9: "a\nb\nShare this story"}
+
+
+def test_html_copies_and_long_frames(spark):
+    def pages(host, items, frame):
+        return [(f"http://{host}/{path}", f"<div><p>{frame} menu</p><p>{text}</p><p>{frame} foot</p></div>", text) for path, text in items]
+
+    every = pages("long.example", [(f"a/{i}", f"short {i}") for i in range(4)], "words of a long frame " * 20)
+    every += pages("copies.example", [(f"a/1{q}", "one story in many words of its own") for q in ("", "?utm_source=a", "?utm_source=b", "?utm_source=c")] + [("a/2", "another story told at its own length")], "site")
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(every)], "page_id long, url string, html string")).collect()}
+    assert got == {i: text for i, (_, _, text) in enumerate(every)}
