@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,23 @@ from ..session import table
 from .registry import query
 
 K, SMALL = 500, (3, 4)
+#: The size of the models that G.train() makes by itself.
+FULL_K = 3500
+
+
+def sized(name: str, sql: Callable[[tuple[int, ...], int], str] | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Registers a query twice: over small models, and as name_full over models of the full definition."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        for full, lengths, k in (("", SMALL, K), ("_full", G.LENGTHS, FULL_K)):
+
+            def run(spark: SparkSession, d: str, lengths: tuple[int, ...] = lengths, k: int = k) -> DataFrame:
+                return f(spark, d, lengths, k)
+
+            query(name + full, sql and sql(lengths, k))(run)
+        return f
+
+    return add
 
 LINES_SQL = r"""
 l0 AS (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -148,19 +167,19 @@ norm AS (SELECT lang, sqrt(sum(weight * weight)) AS norm FROM model GROUP BY lan
 sim AS (SELECT lang_a, lang_b, dot / (x.norm * y.norm) AS cosine FROM dot JOIN norm x ON x.lang = lang_a JOIN norm y ON y.lang = lang_b)"""
 
 
-@query("model_similarity", f"WITH {model_sql(SMALL, K)}, {_SIM} SELECT lang_a, lang_b, round(cosine, 6) AS cosine FROM sim")
-def model_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return G.model_similarity(G.train(_docs(spark, d), SMALL, K)).withColumn("cosine", F.round("cosine", 6))
+@sized("model_similarity", lambda n, k: f"WITH {model_sql(n, k)}, {_SIM} SELECT lang_a, lang_b, round(cosine, 6) AS cosine FROM sim")
+def model_similarity(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    return G.model_similarity(G.train(_docs(spark, d), lengths, k)).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(
+@sized(
     "model_stop_grams",
-    f"""WITH {model_sql(SMALL, K)}, {_SIM}, ways AS (SELECT lang_a AS lang, lang_b AS other FROM sim WHERE cosine >= 0.1 UNION ALL SELECT lang_b, lang_a FROM sim WHERE cosine >= 0.1)
+    lambda n, k: f"""WITH {model_sql(n, k)}, {_SIM}, ways AS (SELECT lang_a AS lang, lang_b AS other FROM sim WHERE cosine >= 0.1 UNION ALL SELECT lang_b, lang_a FROM sim WHERE cosine >= 0.1)
 SELECT w.lang, m.n, m.gram, round(-max(m.weight), 6) AS weight FROM ways w JOIN model m ON m.lang = w.other
 ANTI JOIN model o ON o.lang = w.lang AND o.gram = m.gram GROUP BY ALL""",
 )
-def model_stop_grams(spark: SparkSession, d: str) -> DataFrame:
-    model = G.train(_docs(spark, d), SMALL, K)
+def model_stop_grams(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    model = G.train(_docs(spark, d), lengths, k)
     return G.stop_grams(model, G.model_similarity(model), 0.1).withColumn("weight", F.round("weight", 6))
 
 
@@ -178,29 +197,29 @@ scores AS (SELECT doc_id, line_no, m.lang AS guess, sum(weight * s.n) / greatest
 best AS (SELECT doc_id, line_no, arg_max(guess, (score, guess)) AS guess, max(score) AS score FROM scores GROUP BY ALL)"""
 
 
-def line_scores(spark: SparkSession, d: str) -> DataFrame:
+def line_scores(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
     docs = _docs(spark, d)
-    return G.identify(G.lines(docs), G.train(docs, SMALL, K), lengths=SMALL)
+    return G.identify(G.lines(docs), G.train(docs, lengths, k), lengths=lengths)
 
 
-@query("identify_lines", f"WITH {scores_sql(SMALL, K)} SELECT doc_id, line_no, guess, round(score, 4) AS score FROM scores")
-def identify_lines(spark: SparkSession, d: str) -> DataFrame:
-    return line_scores(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "guess", F.round("score", 4).alias("score"))
+@sized("identify_lines", lambda n, k: f"WITH {scores_sql(n, k)} SELECT doc_id, line_no, guess, round(score, 4) AS score FROM scores")
+def identify_lines(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    return line_scores(spark, d, lengths, k).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "guess", F.round("score", 4).alias("score"))
 
 
-@query(
+@sized(
     "label_lines",
-    f"""WITH {scores_sql(SMALL, K)}, rk AS (SELECT *, round(score, 9) AS s, max(round(score, 9)) OVER (PARTITION BY doc_id, line_no) AS top,
+    lambda n, k: f"""WITH {scores_sql(n, k)}, rk AS (SELECT *, round(score, 9) AS s, max(round(score, 9)) OVER (PARTITION BY doc_id, line_no) AS top,
   row_number() OVER (PARTITION BY doc_id, line_no ORDER BY round(score, 9) DESC, guess) AS place FROM scores)
 SELECT doc_id, line_no, place, CASE WHEN s <= 0.2 THEN '??' WHEN s < 1.2 THEN guess || '?' ELSE guess END AS label FROM rk WHERE place <= 3 AND s > 0.01 AND s >= 0.8 * top""",
 )
-def label_lines(spark: SparkSession, d: str) -> DataFrame:
-    best = G.cut_off(line_scores(spark, d).withColumn("score", F.round("score", 9)))
+def label_lines(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    best = G.cut_off(line_scores(spark, d, lengths, k).withColumn("score", F.round("score", 9)))
     return best.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("place").cast("long").alias("place"), G.mark(F.col("score"), F.col("guess")).alias("label"))
 
 
-def _best(spark: SparkSession, d: str) -> DataFrame:
-    top = G.cut_off(line_scores(spark, d).withColumn("score", F.round("score", 9)), top=1)
+def _best(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    top = G.cut_off(line_scores(spark, d, lengths, k).withColumn("score", F.round("score", 9)), top=1)
     every = G.lines(_docs(spark, d)).filter(F.trim("line") != "")
     return every.join(top, ["doc_id", "line_no"], "left")
 
@@ -210,30 +229,30 @@ lab AS (SELECT l.doc_id, l.line_no, l.lang, guess FROM (SELECT * FROM l1 WHERE t
 acc AS (SELECT lang, sum(CASE WHEN lang IS NOT DISTINCT FROM guess THEN 0 ELSE 1 END)::BIGINT AS errors, count(*) AS total FROM lab GROUP BY lang)"""
 
 
-@query("accuracy_report", f"WITH {scores_sql(SMALL, K)}, {_TOP1} SELECT lang, errors, total, round(errors / total, 6) AS rate FROM acc")
-def accuracy_report(spark: SparkSession, d: str) -> DataFrame:
-    return G.accuracy(_best(spark, d)).withColumn("rate", F.round("rate", 6))
+@sized("accuracy_report", lambda n, k: f"WITH {scores_sql(n, k)}, {_TOP1} SELECT lang, errors, total, round(errors / total, 6) AS rate FROM acc")
+def accuracy_report(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    return G.accuracy(_best(spark, d, lengths, k)).withColumn("rate", F.round("rate", 6))
 
 
-@query("accuracy_micro_macro", f"WITH {scores_sql(SMALL, K)}, {_TOP1} SELECT round(sum(errors) / sum(total), 6) AS micro, round(avg(errors / total), 6) AS macro FROM acc")
-def accuracy_micro_macro(spark: SparkSession, d: str) -> DataFrame:
-    return G.accuracy_overall(G.accuracy(_best(spark, d))).select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
+@sized("accuracy_micro_macro", lambda n, k: f"WITH {scores_sql(n, k)}, {_TOP1} SELECT round(sum(errors) / sum(total), 6) AS micro, round(avg(errors / total), 6) AS macro FROM acc")
+def accuracy_micro_macro(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    return G.accuracy_overall(G.accuracy(_best(spark, d, lengths, k))).select(F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
 
 
-@query(
+@sized(
     "accuracy_equivalence",
-    f"""WITH {scores_sql(SMALL, K)}, {_TOP1}, f AS (SELECT CASE WHEN lang IN ('fr', 'es') THEN 'roa' ELSE lang END AS lang, CASE WHEN guess IN ('fr', 'es') THEN 'roa' ELSE guess END AS guess FROM lab)
+    lambda n, k: f"""WITH {scores_sql(n, k)}, {_TOP1}, f AS (SELECT CASE WHEN lang IN ('fr', 'es') THEN 'roa' ELSE lang END AS lang, CASE WHEN guess IN ('fr', 'es') THEN 'roa' ELSE guess END AS guess FROM lab)
 SELECT lang, sum(CASE WHEN lang IS NOT DISTINCT FROM guess THEN 0 ELSE 1 END)::BIGINT AS errors, count(*) AS total FROM f GROUP BY lang""",
 )
-def accuracy_equivalence(spark: SparkSession, d: str) -> DataFrame:
+def accuracy_equivalence(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
     classes = spark.createDataFrame([("fr", "roa"), ("es", "roa")], "source string, target string")
-    both = G.folded(G.folded(_best(spark, d).select("lang", "guess"), classes, "lang"), classes, "guess")
+    both = G.folded(G.folded(_best(spark, d, lengths, k).select("lang", "guess"), classes, "lang"), classes, "guess")
     return G.accuracy(both).drop("rate")
 
 
-@query("language_histogram", f"WITH {scores_sql(SMALL, K)}, {_TOP1} SELECT coalesce(guess, '??') AS label, count(*) AS line_count FROM lab GROUP BY 1")
-def language_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _best(spark, d).groupBy(F.coalesce("guess", F.lit("??")).alias("label")).agg(F.count(F.lit(1)).alias("line_count")).orderBy(F.desc("line_count"))
+@sized("language_histogram", lambda n, k: f"WITH {scores_sql(n, k)}, {_TOP1} SELECT coalesce(guess, '??') AS label, count(*) AS line_count FROM lab GROUP BY 1")
+def language_histogram(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    return _best(spark, d, lengths, k).groupBy(F.coalesce("guess", F.lit("??")).alias("label")).agg(F.count(F.lit(1)).alias("line_count")).orderBy(F.desc("line_count"))
 
 
 @query(
@@ -245,30 +264,30 @@ def block_scan(spark: SparkSession, d: str) -> DataFrame:
     return G.blocks(_docs(spark, d)).select("doc_id", F.col("block_start").cast("long").alias("block_start"), F.col("block_end").cast("long").alias("block_end"))
 
 
-@query("identify_blocks")
-def identify_blocks(spark: SparkSession, d: str) -> DataFrame:
+@sized("identify_blocks")
+def identify_blocks(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
     docs = _docs(spark, d)
     key = ("doc_id", "block_start")
-    scores = G.identify(G.blocks(docs), G.train(docs, SMALL, K), key, SMALL)
+    scores = G.identify(G.blocks(docs), G.train(docs, lengths, k), key, lengths)
     return G.cut_off(scores.withColumn("score", F.round("score", 6)), key)
 
 
-@query("label_smoothed")
-def label_smoothed(spark: SparkSession, d: str) -> DataFrame:
+@sized("label_smoothed")
+def label_smoothed(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
     sized = G.lines(_docs(spark, d)).select("doc_id", "line_no", F.octet_length("line").alias("len"))
-    mixed = G.smoothed(line_scores(spark, d).join(sized, ["doc_id", "line_no"]))
+    mixed = G.smoothed(line_scores(spark, d, lengths, k).join(sized, ["doc_id", "line_no"]))
     return G.cut_off(mixed.withColumn("score", F.round("score", 6)), top=1).select("doc_id", "line_no", "guess", "score")
 
 
-@query("model_statistics", f"WITH {model_sql(SMALL, K)} SELECT lang, n, count(*) AS postings, sum(cnt)::BIGINT AS occurrences, max(cnt) AS highest FROM model GROUP BY ALL")
-def model_statistics(spark: SparkSession, d: str) -> DataFrame:
-    model = G.train(_docs(spark, d), SMALL, K)
+@sized("model_statistics", lambda n, k: f"WITH {model_sql(n, k)} SELECT lang, n, count(*) AS postings, sum(cnt)::BIGINT AS occurrences, max(cnt) AS highest FROM model GROUP BY ALL")
+def model_statistics(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    model = G.train(_docs(spark, d), lengths, k)
     return model.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("postings"), F.sum("cnt").alias("occurrences"), F.max("cnt").alias("highest"))
 
 
-@query("prefix_join_grams", f"WITH {model_sql(SMALL, K)} SELECT a.lang, a.gram AS head, count(*) AS longer FROM model a JOIN model b ON a.lang = b.lang AND b.n = 4 AND starts_with(b.gram, a.gram) WHERE a.n = 3 GROUP BY ALL")
-def prefix_join_grams(spark: SparkSession, d: str) -> DataFrame:
-    model = G.train(_docs(spark, d), SMALL, K)
+@sized("prefix_join_grams", lambda n, k: f"WITH {model_sql(n, k)} SELECT a.lang, a.gram AS head, count(*) AS longer FROM model a JOIN model b ON a.lang = b.lang AND b.n = 4 AND starts_with(b.gram, a.gram) WHERE a.n = 3 GROUP BY ALL")
+def prefix_join_grams(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
+    model = G.train(_docs(spark, d), lengths, k)
     a = model.filter("n = 3").select("lang", F.col("gram").alias("head"))
     b = model.filter("n = 4").select("lang", F.substring("gram", 1, 3).alias("head"))
     return a.join(b, ["lang", "head"]).groupBy("lang", "head").agg(F.count(F.lit(1)).alias("longer"))

@@ -37,3 +37,13 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(plans.SQL) <= set(plans.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["label_lines", "accuracy_report", "model_statistics"])
+def test_full_models_equal_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, f"{name}_full")
+
+
+def test_full_models_have_all_lengths(spark):
+    rows = plans.QUERIES["model_statistics_full"](spark, DIR).collect()
+    assert {r.n for r in rows} == {3, 4, 5, 6} and max(r.postings for r in rows) > 500
