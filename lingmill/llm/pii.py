@@ -4,11 +4,11 @@ The patterns' spans are the base. The method adds terms by information content:
 value (an address, number ...) occurs in contexts, the windows of words around it; a term of
 such a window discloses the value where its pointwise mutual information with the value comes
 near the value's own information content, that is where meeting the term all but names the
-value. With N documents, c(v) contexts of the value, c(t) documents with the term anywhere in
+value. With N distinct texts, c(v) contexts of the value, c(t) distinct texts with the term anywhere in
 the corpus and c(v, t) contexts of both: PMI = log2(N c(v, t) / (c(v) c(t))), IC = log2(N / c(v)).
 Terms with PMI >= 0.9 IC and three contexts or more are generalised, those at 0.98 IC removed,
-wherever they stand beside that value. Equal contexts count once, so copies of a text are no
-evidence. All counts are over the whole corpus.
+wherever they stand beside that value. Equal contexts and equal texts count once, so copies of a text
+are no evidence, for a term or against it. All counts are over the whole corpus.
 
 Defined cases: a null text is empty and has no spans; repeated rows are equal contexts;
 overlapping spans of different kinds all stay; an empty table gives no rows; other columns are
@@ -93,6 +93,12 @@ def _name(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) >> 1
 
 
+def _text_names(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _value(kind: int, text: str) -> int:
     """A name for a protected value, whatever its spelling."""
     plain = text.lower() if kind == 0 else "".join(c for c in text if c.isdigit() or c == "." and kind == 1)
@@ -126,7 +132,7 @@ def _links(spans: list[tuple[int, int, int]], text: str, data: np.ndarray, words
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans, and the terms beside every value, of every row."""
+    """doc_id, a name of the text, base spans, and the terms beside every value, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +156,14 @@ def found(docs: DataFrame) -> DataFrame:
                         words = Words(part, at, BETWEEN)
                         hashed = words.hashes(lower=True)
                     links[r] = _links(got, text, own, words, hashed, int(words.row[r]), int(words.row[r + 1]), int(at[r]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(spans, _SPAN_T), pa.array(links, _LINK_T)], names=["doc_id", "base", "links"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(_text_names(part, at), pa.binary()), pa.array(spans, _SPAN_T), pa.array(links, _LINK_T)], names=["doc_id", "name", "base", "links"])
+
+    return map_arrow(_texts(docs), run, f"doc_id long, name binary, base array<{SPAN}>, links array<{LINK}>")
+
 
-    return map_arrow(_texts(docs), run, f"doc_id long, base array<{SPAN}>, links array<{LINK}>")
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """Every text once, under one doc_id: the unit that holders and N are counted in."""
+    return _texts(docs).select(F.lit(0).cast("long").alias("doc_id"), "text").distinct()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -160,7 +171,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """term, holders: in how many rows of docs each term stands; of the wanted ones if given."""
+    """term, holders: in how many distinct texts of docs each term stands; of the wanted ones if given."""
     keep = None if wanted is None else np.sort(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +193,7 @@ def document_frequency(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
                 term, count = np.unique(name[fresh], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], names=["term", "holders"])
 
-    return map_arrow(_texts(docs), run, "term long, holders long").groupBy("term").agg(F.sum("holders").alias("holders"))
+    return map_arrow(_distinct_texts(docs), run, "term long, holders long").groupBy("term").agg(F.sum("holders").alias("holders"))
 
 
 def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
@@ -198,7 +209,7 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     else:
         holders = document_frequency(docs, None).join(terms, "term", "left_semi")
     contexts = met.select("value", "context").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("seen"))
-    n = max(2, rows.count())
+    n = max(2, rows.select("name").distinct().count())
     pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("seen") * F.col("holders")))
     ic = F.log2(F.lit(float(n)) / F.least("seen", F.lit(n - 1)))
     return together.join(holders, "term").join(contexts, "value").select("value", "term", (pmi / ic).alias("ratio")).filter(F.col("ratio") >= GENERALISE)

@@ -246,3 +246,9 @@ def test_html_copies_and_long_frames(spark):
     every += pages("copies.example", [(f"a/1{q}", "one story in many words of its own") for q in ("", "?utm_source=a", "?utm_source=b", "?utm_source=c")] + [("a/2", "another story told at its own length")], "site")
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(every)], "page_id long, url string, html string")).collect()}
     assert got == {i: text for i, (_, _, text) in enumerate(every)}
+
+
+def test_pii_copies_do_not_hide_a_term(spark):
+    rows = [f"w{i}a w{i}b Zorblax me@x.example.com w{i}c w{i}d" for i in range(3)] + ["w0a w0b Zorblax me@x.example.com w0c w0d"] * 200 + [f"nothing here {i}" for i in range(300)]
+    got = pii.spans(stage(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "pii")).collect()
+    assert all([s.kind for s in r["all"]] == [4, 0] for r in got if r.doc_id < 203)
