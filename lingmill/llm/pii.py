@@ -7,7 +7,7 @@ near the value's own information content, that is where meeting the term all but
 value. With N distinct texts, c(v) contexts of the value, c(t) distinct texts with the term anywhere in
 the corpus and c(v, t) contexts of both: PMI = log2(N c(v, t) / (c(v) c(t))), IC = log2(N / c(v)).
 Terms with PMI >= 0.9 IC and three contexts or more are generalised, those at 0.98 IC removed,
-wherever they stand beside that value. Equal contexts and equal texts count once, so copies of a text
+wherever they stand in the corpus. Equal contexts and equal texts count once, so copies of a text
 are no evidence, for a term or against it. All counts are over the whole corpus.
 
 Defined cases: a null text is empty and has no spans; repeated rows are equal contexts;
@@ -106,9 +106,9 @@ def _value(kind: int, text: str) -> int:
 
 
 SPAN = "struct<start:int,kind:int,end:int>"
-LINK = "struct<value:long,term:long,context:long,start:int,end:int>"
+LINK = "struct<value:long,term:long,context:long>"
 _SPAN_T = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_LINK_T = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_LINK_T = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("context", pa.int64())]))
 
 
 def _links(spans: list[tuple[int, int, int]], text: str, data: np.ndarray, words: Words, hashed: np.ndarray, lo: int, hi: int, first_byte: int) -> list[dict]:
@@ -126,8 +126,8 @@ def _links(spans: list[tuple[int, int, int]], text: str, data: np.ndarray, words
         names = (hashed[lo:hi][near] >> np.uint64(1)).astype(np.int64).tolist()
         context = _name(np.array(names, np.int64).tobytes())
         value = _value(kind, text[a:b])
-        for i, name in zip(near, names, strict=True):
-            out.append({"value": value, "term": name, "context": context, "start": int(np.searchsorted(points, starts[i])), "end": int(np.searchsorted(points, ends[i]))})
+        for name in names:
+            out.append({"value": value, "term": name, "context": context})
     return out
 
 
@@ -215,20 +215,55 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     return together.join(holders, "term").join(contexts, "value").select("value", "term", (pmi / ic).alias("ratio")).filter(F.col("ratio") >= GENERALISE)
 
 
+def marked(docs: DataFrame, terms: np.ndarray, gone: np.ndarray) -> DataFrame:
+    """doc_id, base, all, remove of every row: each place of the (sorted) terms outside base spans is one; gone says which go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            for i, j in slices(off):
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                words = Words(part, at, BETWEEN)
+                name = (words.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
+                place = np.minimum(np.searchsorted(terms, name), len(terms) - 1)
+                hits = np.flatnonzero(terms[place] == name)
+                first = np.searchsorted(hits, words.row)
+                base, every, remove = [], [], []
+                for r in range(j - i):
+                    own = part[at[r] : at[r + 1]]
+                    got = base_spans(own.tobytes().decode()) if HINT[own].any() else []
+                    put, out = [], []
+                    mine = hits[first[r] : first[r + 1]]
+                    if len(mine):
+                        points = np.flatnonzero((own & 0xC0) != 0x80)
+                        starts, ends = np.searchsorted(points, words.start[mine] - at[r]).tolist(), np.searchsorted(points, words.end[mine] - at[r]).tolist()
+                        free = np.ones(len(mine), bool)
+                        for a, _, b in got:
+                            free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = False
+                        for h, a, b, ok in zip(mine.tolist(), starts, ends, free.tolist(), strict=True):
+                            if ok:
+                                put.append((a, 4, b))
+                                if gone[place[h]]:
+                                    out.append(a)
+                    as_rows = lambda spans: [{"start": a, "kind": k, "end": b} for a, k, b in spans]
+                    base.append(as_rows(got))
+                    every.append(as_rows(sorted([*got, *put])))
+                    remove.append(out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, j - i), pa.array(base, _SPAN_T), pa.array(every, _SPAN_T), pa.array(remove, pa.list_(pa.int32()))], names=["doc_id", "base", "all", "remove"]
+                )
+
+    return map_arrow(_texts(docs), run, f"doc_id long, base array<{SPAN}>, all array<{SPAN}>, remove array<int>")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base and all (with the terms; remove says which go) for every row of docs."""
-    rows = stage(found(docs).withColumn("rid", F.monotonically_increasing_id()), "spans")
+    rows = stage(found(docs), "spans")
     told = disclosing(docs, rows)
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    if told is None:
+    best = [] if told is None else told.groupBy("term").agg(F.max("ratio").alias("ratio")).orderBy("term").collect()
+    if not best:
         return rows.select("doc_id", "base", F.col("base").alias("all"), F.expr("cast(array() as array<int>)").alias("remove"))
-    placed = rows.select("rid", F.explode("links").alias("l")).select("rid", "l.value", "l.term", "l.start", "l.end").join(told, ["value", "term"])
-    per_row = placed.groupBy("rid").agg(
-        F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"), F.collect_set(F.when(F.col("ratio") >= REMOVE, F.col("start"))).alias("remove")
-    )
-    return rows.join(per_row, "rid", "left").select(
-        "doc_id", "base", F.sort_array(F.concat("base", F.coalesce("terms", empty))).alias("all"), F.coalesce("remove", F.expr("cast(array() as array<int>)")).alias("remove")
-    )
+    return marked(docs, np.array([r.term for r in best], np.int64), np.array([r.ratio >= REMOVE for r in best]))
 
 
 def written(spans_column: str) -> Column:

@@ -252,3 +252,13 @@ def test_pii_copies_do_not_hide_a_term(spark):
     rows = [f"w{i}a w{i}b Zorblax me@x.example.com w{i}c w{i}d" for i in range(3)] + ["w0a w0b Zorblax me@x.example.com w0c w0d"] * 200 + [f"nothing here {i}" for i in range(300)]
     got = pii.spans(stage(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "pii")).collect()
     assert all([s.kind for s in r["all"]] == [4, 0] for r in got if r.doc_id < 203)
+
+
+def test_pii_terms_are_marked_everywhere(spark):
+    near = [f"w{i}a w{i}b Zorblax me@x.example.com w{i}c w{i}d é{i} a{i} b{i} c{i} d{i} e{i} f{i} zorblax." for i in range(4)]
+    rows = [*near, "Zorblax alone, at 10.0.0.1"] + [f"nothing here {i}" for i in range(300)]
+    got = {r.doc_id: r for r in pii.spans(stage(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "pii")).collect()}
+    for i, text in enumerate(rows):
+        terms = [(s.start, s.end) for s in got[i]["all"] if s.kind == 4]
+        assert terms == ([m.span() for m in re.finditer("zorblax", text, re.I)])
+        assert [tuple(s) for s in got[i].base] == pii.base_spans(text) and set(got[i].remove) <= {a for a, _ in terms}
