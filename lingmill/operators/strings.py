@@ -88,11 +88,12 @@ def rank_charsets(data: bytes) -> list[str]:
     return [*out, "ascii", "latin-1"]
 
 
-def _scan(data: bytes, charset: str, least: int, gap: int) -> Iterator[tuple[int, int, str]]:
-    """(offset, bytes, text) of decodable printable runs; a run of over gap other characters ends one."""
+def _scan(data: bytes, charset: str, least: int, gap: int, at: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, str]]:
+    """(offset, bytes, text) of decodable printable runs that start from at to stop; a run of over gap other characters ends one."""
     wide = {"utf-16-be": 2, "utf-16-le": 2, "utf-32-be": 4, "utf-32-le": 4}.get(charset, 1)
-    at, n = 0, len(data)
-    while at < n:
+    n = len(data)
+    stop = n if stop is None else stop
+    while at < stop:
         text, start, used, other = [], at, 0, 0
         while at < n:
             step, char = 0, ""
@@ -115,9 +116,9 @@ def _scan(data: bytes, charset: str, least: int, gap: int) -> Iterator[tuple[int
         at = max(at, start) + (wide if at == start or at < n else 0)
 
 
-def best_strings(data: bytes, charsets: list[str], least: int = 4, gap: int = 1000) -> list[dict]:
+def best_strings(data: bytes, charsets: list[str], least: int = 4, gap: int = 1000, at: int = 0, stop: int | None = None) -> list[dict]:
     """Strings in order of offset; of overlapping ones the longest, of equal ones the first charset."""
-    found = [(o, o + b, t, k) for k, c in enumerate(charsets) for o, b, t in _scan(data, c, least, gap)]
+    found = [(o, o + b, t, k) for k, c in enumerate(charsets) for o, b, t in _scan(data, c, least, gap, at, stop)]
     out: list[dict] = []
     for o, e, t, k in sorted(found, key=lambda x: (-(x[1] - x[0]), x[3], x[0])):
         if all(e <= p["offset"] or o >= p["offset"] + p["length"] for p in out):
@@ -125,16 +126,44 @@ def best_strings(data: bytes, charsets: list[str], least: int = 4, gap: int = 10
     return sorted(out, key=lambda x: x["offset"])
 
 
+#: Bytes whose charsets are ranked at once, and from which strings start before they are ranked again.
+SCAN, STEP = 384, 256
+
+
+def sniffed_strings(data: bytes, least: int = 4, gap: int = 1000) -> list[dict]:
+    """Strings in order of offset, with the charsets ranked again for every block of the scan.
+
+    A string may run past its block; the next block starts where it ends. UTF-8 stays a
+    candidate of later blocks, a wide form of those that hold zeros for a quarter.
+    """
+    out: list[dict] = []
+    at = end = 0
+    before: list[str] = []
+    while at < len(data):
+        block = data[at : at + SCAN]
+        own = rank_charsets(block)
+        wide = 4 * block.count(0) >= len(block)
+        before = [c for c in before if c not in own and (c == "utf-8" or wide)]
+        charsets = [*own[:-2], *before, *own[-2:]]
+        before = charsets[:-2]
+        for s in best_strings(data, charsets, least, gap, at, min(at + STEP, len(data))):
+            if s["offset"] >= end:
+                out.append(s)
+                end = s["offset"] + s["length"]
+        at = max(at + STEP, end & ~3)
+    return out
+
+
 STRING = "struct<offset:long,length:int,encoding:string,text:string>"
 
 
 def extract(files: DataFrame, content: str = "content", key: str = "path", charsets: list[str] | None = None, least: int = 4) -> DataFrame:
-    """key, offset, length, encoding, text of the strings in binary contents; charsets None: sniffed."""
+    """key, offset, length, encoding, text of the strings in binary contents; charsets None: sniffed block by block."""
     kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int32()), ("encoding", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [best_strings(b, charsets or rank_charsets(b[:384]), least) if b else [] for b in batch.column(1).to_pylist()]
+            rows = [(best_strings(b, charsets, least) if charsets else sniffed_strings(b, least)) if b else [] for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[key, "found"])
 
     ship_package(files.sparkSession)

@@ -94,3 +94,10 @@ def test_streams_carry_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.line for r in spark.sql("select * from carried").collect()) == ["one", "two"]
+
+
+def test_charsets_are_ranked_again_along_a_file(spark):
+    head, wide, tail = "A plain header line of letters. " * 20, "wide letters of a second part ", "où é à la fin déjà très près né " * 6
+    data = head.encode() + bytes(160) + (wide * 4).encode("utf-16-le") + bytes(160) + tail.encode()
+    got = {(r.encoding, r.text) for r in strings.extract(spark.createDataFrame([("f", bytearray(data))], "path string, content binary")).collect()}
+    assert got == {("utf-8", head), ("utf-16-le", wide * 4), ("utf-8", tail)}
