@@ -130,7 +130,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix in training order: rows sorted by range of their first position, those without one last."""
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    mixed = mix(table(spark, sf_dir, "documents")).withColumn("position", first)
+    order = ["position", "doc_id", "rid"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

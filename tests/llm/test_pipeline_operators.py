@@ -262,3 +262,10 @@ def test_pii_terms_are_marked_everywhere(spark):
         terms = [(s.start, s.end) for s in got[i]["all"] if s.kind == 4]
         assert terms == ([m.span() for m in re.finditer("zorblax", text, re.I)])
         assert [tuple(s) for s in got[i].base] == pii.base_spans(text) and set(got[i].remove) <= {a for a, _ in terms}
+
+
+def test_mixing_comes_in_training_order(spark):
+    folder = "/root/testdata/sf0.001"
+    got = [r.doc_id for r in mixing.op4_mixing(spark, folder).collect()]
+    at = {r.doc_id: r.positions[0] if r.positions else 2.0 for r in mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert got == sorted(at, key=lambda i: (at[i], i))
