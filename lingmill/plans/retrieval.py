@@ -94,6 +94,12 @@ def lm_longest_match(spark: SparkSession, d: str) -> DataFrame:
     return R.longest_match(_docs(spark, d), most=3).select("doc_id", F.col("pos").cast("long").alias("pos"), "n")
 
 
+@query("lm_longest_match_whole")
+def lm_longest_match_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As lm_longest_match, without its bound of three words."""
+    return R.longest_match(_docs(spark, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "n")
+
+
 @query("lm_match_with_gap", f"WITH {_W} SELECT a.doc_id, a.pos AS p1, b.pos AS p2 FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 WHERE a.term = 'the' AND b.term = 'of'")
 def lm_match_with_gap(spark: SparkSession, d: str) -> DataFrame:
     t = R.terms(_docs(spark, d)).withColumn("pos", F.col("pos").cast("long"))

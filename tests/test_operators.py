@@ -101,3 +101,19 @@ def test_charsets_are_ranked_again_along_a_file(spark):
     data = head.encode() + bytes(160) + (wide * 4).encode("utf-16-le") + bytes(160) + tail.encode()
     got = {(r.encoding, r.text) for r in strings.extract(spark.createDataFrame([("f", bytearray(data))], "path string, content binary")).collect()}
     assert got == {("utf-8", head), ("utf-16-le", wide * 4), ("utf-8", tail)}
+
+
+def test_longest_match_has_no_bound(spark):
+    long = " ".join(f"w{i % 7}{i // 5}" for i in range(23))
+    texts = [f"a b {long} c", f"{long}", "a b a b a b", "x", None, f"d {long} c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = {i: (t or "").split() for i, t in enumerate(texts)}
+    every = [(i, p) for i, w in words.items() for p in range(len(w))]
+
+    def shared(a, b):
+        x, y = words[a[0]][a[1] :], words[b[0]][b[1] :]
+        return next((n for n, (v, u) in enumerate(zip(x, y)) if v != u), min(len(x), len(y)))
+
+    want = {a: max([1, *(shared(a, b) for b in every if b != a)]) for a in every}
+    assert max(want.values()) == 24
+    assert {(r.doc_id, r.pos): r.n for r in retrieval.longest_match(docs).collect()} == want
