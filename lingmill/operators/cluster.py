@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..stages import stage
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,7 +50,7 @@ def k_means(vectors: DataFrame, seeds: DataFrame, rounds: int = 10) -> DataFrame
     """vec_id, cluster after so many rounds or when nothing moves; seeds are (cluster, c)."""
     centres, last = seeds, None
     for _ in range(rounds):
-        now = assign(vectors, centres).select("vec_id", "cluster").persist()
+        now = stage(assign(vectors, centres).select("vec_id", "cluster"), "assigned")
         if last is not None and not now.join(last, ["vec_id", "cluster"], "left_anti").limit(1).count():
             return now
         centres = centroids(vectors.join(now, "vec_id"))
@@ -238,6 +239,6 @@ def hierarchical_seeds(vectors: DataFrame, k: int) -> DataFrame:
 
     The vectors given are merged in one task; callers pass a bounded set of them.
     """
-    groups = vectors.join(agglomerative(vectors, 3 * k), "vec_id").persist()
+    groups = stage(vectors.join(agglomerative(vectors, 3 * k), "vec_id"), "groups")
     largest = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(k).select("cluster")
     return centroids(groups.join(largest, "cluster", "left_semi"))

@@ -1,7 +1,7 @@
 """Entity-attribute-value frames as rows (frame, slot, facet, pos, filler), with inheritance.
 
-Relations are rows (src, dst). Ancestors are found breadth first, one join per level, each
-level cut from its lineage by a checkpoint when there are many; depth keeps the nearest value.
+Relations are rows (src, dst). Ancestors are found by doubling paths to a fixed point; depth
+keeps the nearest value.
 """
 
 from __future__ import annotations
@@ -9,18 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import drop_stage, stage
 
-def ancestors(edges: DataFrame, most: int = 32) -> DataFrame:
-    """src, dst, depth of every node's transitive parents, the least depth of each."""
-    front = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)).persist()
-    every = front
-    for depth in range(2, most + 1):
-        step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        front = front.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(every.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if not front.limit(1).count():
-            break
-        every = every.unionByName(front)
-    return every
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """src, dst, depth of every node's transitive parents, the least depth of each, at any depth.
+
+    Paths double in every round: least lengths of up to 2^k steps are joined with themselves,
+    until a round changes nothing. Each round is a stage table.
+    """
+    reach = stage(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)), "reach")
+    while True:
+        far = reach.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
+        longer = reach.join(far, "dst").select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
+        wider = stage(reach.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "reach")
+        if wider.count() == reach.count():
+            return reach
+        drop_stage(reach)
+        reach = wider
 
 
 def is_a(closure: DataFrame, src: str, dst: str) -> bool:

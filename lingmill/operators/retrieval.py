@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..stages import stage
 
 UNKNOWN_TERM = 1000.0
 BACKOFF = 0.4
@@ -116,7 +117,6 @@ def _longest_repeat(docs: DataFrame, key: str) -> DataFrame:
     Ranks of windows of 1, 2, 4 ... words are drawn until no whole window repeats; the length
     that two neighbours share is put together from them, the widest first. key is unique.
     """
-    from ..llm.common import stage
     from .sampling import numbered
 
     words_ = terms(docs, key)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import stage
+
 BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, kept and counted once, for broadcast where it has few rows; else for a shuffle join."""
-    df = df.persist()
+    """df, written once as a stage table and counted, for broadcast where it has few rows; else for a shuffle join."""
+    df = stage(df, "small")
     return F.broadcast(df) if df.count() <= rows else df
 
 
