@@ -1,53 +1,17 @@
-"""Shared plumbing of the pipeline operators: stage tables, table readers, column guards."""
+"""Shared plumbing of the pipeline operators: table readers, stage tables, column guards."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package, table  # noqa: F401
-
-_LOCAL_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which every executor can reach.
-
-    Only where the session leaves it unset (tests on local[n]) a folder of this process is
-    set as the session's checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL_DIR:
-        _LOCAL_DIR.append(tempfile.mkdtemp(prefix="stages-"))
-    return f"file://{_LOCAL_DIR[0]}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back.
-
-    The written table cuts the lineage and survives the loss of any executor; row ids that
-    were drawn on the way are fixed by it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
+from ..stages import drop_stage, keep, numbered, scope, shared_dir, stage  # noqa: F401
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Deletes a table made by stage() that no later result reads."""
-    path = getattr(df, "_stage_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def packed_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns put beside it clash with none."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
