@@ -2,32 +2,40 @@
 
 Sizes are words. Each source's target is its share of all words by weight, at most three
 times what the source has; what exceeds that is shared again by weight until no source is
-above (the fixed point is found in closed form over the sources, a table as small as their
-number). A source's documents, in a fixed pseudo-random order, form a stream that is read
-again from its start until the target is reached; the last document is read as far as needed.
+above. A source's documents, in a fixed pseudo-random order, form a stream that is read again
+from its start until the target is reached; the last document is read as far as needed.
 
 The schedule moves every source's rate linearly from its start rate at time 0 to its end rate
 at time 1. Its integral is the source's cumulative demand; inverted at a document's place in
 the stream it gives the training position, and documents are sorted by range of position.
 
+No source is a task: documents are sorted by range of (source, draw), running sums inside the
+sorted partitions carry on over their sources, and the partitions' totals (a row for each
+partition and source in it) give their bases.
+
 Defined cases: null texts have no words and are taken zero times; the null source is one
 source, last in order; ties in the order of a source are broken by all that is known of the
-row (repeated rows are alike, so any order of them is the same result); an empty table gives
-no rows; other columns are ignored.
+row (repeated rows are alike, so any order of them is the same result); a doc_id that a third
+of the rows repeat is dealt over partitions like any others; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import keep, map_arrow, numbered, packed_row, scope, stage, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]++"
-#: Rows per bucket of the two-level prefix sums.
-BUCKET_ROWS = 20_000
+#: Rows for sources, and for partitions and sources, up to this many (under 100 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 #: Rate of a source at time 0 relative to its mean, by its place in the repeating weights.
 START_RATES = (1.5, 1.0, 0.5)
 
@@ -39,71 +47,84 @@ def n_words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
     """From (source, source_size): place, weight and target of every source.
 
-    A capped source has cap * size; the others share the rest by weight. Sources are capped in
-    the order of size / weight, as many as are above their share of what is then left.
+    A capped source has cap * size; the others share the rest by weight. Rounds take out the
+    sources above their share of what is then left, which only raises that share, until none
+    is; each is an aggregate of two numbers, in whole numbers throughout.
     """
-    every = Window.orderBy(F.col("source").asc_nulls_last())
-    ratio = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("place"))
-    total = Window.partitionBy()
-    ranked = (
-        sizes.withColumn("place", F.row_number().over(every) - 1)
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
-        .withColumn("all_words", F.sum("source_size").over(total))
-        .withColumn("used", F.coalesce(F.sum("source_size").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * cap)
-        .withColumn("weight_left", F.sum("weight").over(ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("capped", F.col("weight") * (F.col("all_words") - F.col("used")) > F.col("source_size") * cap * F.col("weight_left"))
-    )
-    left = (
-        ranked.withColumn("rest", F.col("all_words") - cap * F.sum(F.when(F.col("capped"), F.col("source_size")).otherwise(0)).over(total))
-        .withColumn("free", F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(total))
-    )
-    return left.select(
-        "source", "source_size", "place", "weight",
-        F.when(F.col("capped"), (F.col("source_size") * cap).cast("double")).otherwise((F.col("weight") * F.col("rest")).cast("double") / F.col("free")).alias("target"),
-    )
+    ranked = numbered(sizes, [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    ranked = stage(ranked.withColumn("weight", weight), "sources")
+    wide = lambda c: c.cast("decimal(38,0)")
+    total, free = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    rest, capped = total or 0, F.lit(False)
+    while free:
+        capped = F.col("weight") * wide(F.lit(rest)) > F.col("source_size") * wide(F.lit(cap * free))
+        taken, left = ranked.agg(F.coalesce(F.sum(F.when(capped, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0))).first()
+        if left == free:
+            break
+        rest, free = total - cap * taken, left
+    shared = (F.col("weight") * F.lit(rest)).cast("double") / F.lit(free or 1)
+    return ranked.select("source", "source_size", "place", "weight", F.when(capped, (F.col("source_size") * cap).cast("double")).otherwise(shared).alias("target"))
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """rows, sorted inside partitions by place first, with within: the sum of size before each row in its partition and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = -1, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, size = np.asarray(batch.column("place")), np.asarray(batch.column("size"))
+            before = np.cumsum(size) - size
+            fresh = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            base = np.repeat(before[fresh], np.diff(np.append(fresh, len(place))))
+            within = before - base
+            if place[0] == last:
+                within[: fresh[1] if len(fresh) > 1 else None] += carry
+            last, carry = int(place[-1]), int(within[-1] + size[-1])
+            yield batch.append_column("within", pa.array(within))
+
+    return map_arrow(rows, run, rows.select("*", F.lit(0).cast("long").alias("within")).schema)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, start_rates: tuple[float, ...] = START_RATES) -> DataFrame:
-    """rid, doc_id, source, size, source_size, target, taken and positions of every row.
+    """rid, doc_id, source, tie, size, source_size, target, taken and positions of every row.
 
     positions has the training time of each whole lap; of the lap that the target cuts, where
     at least half of the document is taken.
-
-    Prefix sums take two levels: inside buckets of a source by a hash of the row, and over the
-    bucket totals; the number of buckets grows with the largest source, so none is unbounded.
     """
-    sized = stage(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw"), F.xxhash64("text").alias("tie")),
-        "sizes",
-    ).withColumn("rid", F.monotonically_increasing_id())
-    counts = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    most = counts.agg(F.max("rows")).first()[0] or 1
-    buckets = 1 << max(0, (most // BUCKET_ROWS).bit_length())
-    plan = targets(counts.drop("rows"), weights, cap)
-    bucket = (F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
-    dealt = sized.withColumn("bucket", bucket)
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = sums.withColumn("base", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).drop("bucket_size")
-    inside = Window.partitionBy("source", "bucket").orderBy("draw", "size", "tie", "rid")
-    ordered = dealt.withColumn("within", F.sum("size").over(inside) - F.col("size"))
-    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    b, t = named(before, "b"), named(plan, "t")
-    placed = (
-        ordered.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-        .join(F.broadcast(t) if counts.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("t_source")))
-        .withColumn("start", F.col("within") + F.col("b_base"))
-        .withColumn("goal", F.round("t_target").cast("long"))
-    )
-    size, total, goal, start = F.col("size"), F.col("t_source_size"), F.col("goal"), F.col("start")
-    laps = F.when(total > 0, F.expr("goal div t_source_size")).otherwise(0)
-    last = F.when(total > 0, F.least(size, F.greatest(F.lit(0), goal - laps * total - start))).otherwise(0)
-    rate = F.element_at(F.array(*map(F.lit, start_rates)), (F.col("t_place") % len(start_rates) + 1).cast("int"))
-    whole = F.when(size > 0, laps + F.when(2 * last >= size, 1).otherwise(0)).otherwise(0).cast("int")
-    at = lambda lap: invert_demand(F.least((lap * total + start + size / 2) / F.greatest(goal, F.lit(1)), F.lit(1.0)), rate)
-    return placed.select(
-        "rid", "doc_id", "source", "tie", "size", total.alias("source_size"), F.col("t_target").alias("target"), (laps * size + last).cast("long").alias("taken"),
-        F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), at)).otherwise(F.expr("cast(array() as array<double>)")).alias("positions"),
-    )
+    with scope():
+        sized = stage(
+            docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw"), F.xxhash64("text").alias("tie")),
+            "sizes",
+        ).withColumn("rid", F.monotonically_increasing_id())
+        plan = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
+        named = plan.select(*[F.col(c).alias(f"t_{c}") for c in plan.columns])
+        named = F.broadcast(named) if plan.count() <= BROADCAST_ROWS else named
+        met = sized.join(named, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumnRenamed("t_place", "place")
+        order = ["place", "draw", "size", "tie", "rid"]
+        ordered = stage(_running(met.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())), "ordered")
+        sums = ordered.groupBy("place", "part").agg(F.sum("size").alias("part_size"))
+        base = stage(sums.select("place", "part", (F.sum("part_size").over(Window.partitionBy("place").orderBy("part")) - F.col("part_size")).alias("base")), "bases")
+        placed = (
+            ordered.join(F.broadcast(base) if base.count() <= BROADCAST_ROWS else base, ["place", "part"])
+            .withColumn("start", F.col("within") + F.col("base"))
+            .withColumn("goal", F.round("t_target").cast("long"))
+        )
+        size, total, goal, start = F.col("size"), F.col("t_source_size"), F.col("goal"), F.col("start")
+        laps = F.when(total > 0, F.expr("goal div t_source_size")).otherwise(0)
+        last = F.when(total > 0, F.least(size, F.greatest(F.lit(0), goal - laps * total - start))).otherwise(0)
+        rate = F.element_at(F.array(*map(F.lit, start_rates)), (F.col("place") % len(start_rates) + 1).cast("int"))
+        whole = F.when(size > 0, laps + F.when(2 * last >= size, 1).otherwise(0)).otherwise(0).cast("int")
+        at = lambda lap: invert_demand(F.least((lap * total + start + size / 2) / F.greatest(goal, F.lit(1)), F.lit(1.0)), rate)
+        return keep(
+            placed.select(
+                "rid", "doc_id", "source", "tie", "size", total.alias("source_size"), F.col("t_target").alias("target"), (laps * size + last).cast("long").alias("taken"),
+                F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), at)).otherwise(F.expr("cast(array() as array<double>)")).alias("positions"),
+            ),
+            "mixed",
+        )
 
 
 def invert_demand(share: Column, rate: Column) -> Column:
@@ -125,16 +146,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     laps = mix(docs).groupBy("doc_id", "tie").agg(F.max(F.struct(F.size("positions").alias("n"), "positions")).alias("p"))
     taken = laps.select(F.col("doc_id").alias("taken_id"), F.col("tie").alias("taken_tie"), F.explode("p.positions").alias("position"))
-    met = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]) & (F.xxhash64(docs["text"]) == taken["taken_tie"]))
-    return met.repartitionByRange("position", "taken_id").sortWithinPartitions("position", "taken_id").select(*[docs[c] for c in docs.columns])
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_tie"))
+    met = rows.join(taken, F.col("own_id").eqNullSafe(F.col("taken_id")) & (F.col("own_tie") == F.col("taken_tie")))
+    order = ["position", "own_id", "own_tie"]
+    return met.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix in training order: rows sorted by range of their first position, those without one last."""
-    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
-    mixed = mix(table(spark, sf_dir, "documents")).withColumn("position", first)
-    order = ["position", "doc_id", "rid"]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0))).withColumn("late", F.col("position").isNull())
+    order = ["late", "position", "doc_id", "rid"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "source_size", "target", "taken", "position", F.size("positions").cast("long").alias("whole_laps"))
 
 
 SQL = r"""
@@ -145,11 +167,14 @@ c AS (SELECT *, sum(n) OVER ()::BIGINT AS total,
   coalesce(sum(n) OVER (ORDER BY n / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 3 AS used,
   sum(w) OVER (ORDER BY n / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS wl FROM p),
 f AS (SELECT *, w * (total - used) > n * 3 * wl AS capped FROM c),
-t AS (SELECT source, n, CASE WHEN capped THEN (3 * n)::DOUBLE
+t AS (SELECT source, n, k, CASE WHEN capped THEN (3 * n)::DOUBLE
   ELSE (w * (total - 3 * sum(CASE WHEN capped THEN n ELSE 0 END) OVER ()))::BIGINT::DOUBLE / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::BIGINT END AS target FROM f),
-o AS (SELECT d.doc_id, size, n AS source_size, target, round(target)::BIGINT AS goal,
-  (sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')) ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + least(size, greatest(0, goal % source_size - start)) END)::BIGINT AS taken FROM o
+o AS (SELECT d.doc_id, size, n AS source_size, k, target, round(target)::BIGINT AS goal,
+  (sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+l AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size END AS laps, CASE WHEN source_size = 0 THEN 0 ELSE least(size, greatest(0, goal % source_size - start)) END AS last,
+  least((start + size / 2) / greatest(goal, 1), 1.0::DOUBLE) AS share, ([1.5::DOUBLE, 1.0::DOUBLE, 0.5::DOUBLE])[((k - 1) % 3 + 1)::INT] AS rate FROM o),
+w AS (SELECT *, CASE WHEN size > 0 THEN laps + CASE WHEN 2 * last >= size THEN 1 ELSE 0 END ELSE 0 END AS whole FROM l)
+SELECT doc_id, size, source_size, target, (laps * size + last)::BIGINT AS taken, whole::BIGINT AS whole_laps,
+  CASE WHEN whole > 0 THEN CASE WHEN rate = 1 THEN share ELSE 2 * share / (rate + sqrt(rate * rate + 4 * (1 - rate) * share)) END END AS position FROM w
 """
