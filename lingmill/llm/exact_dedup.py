@@ -1,12 +1,13 @@
 """Exact duplicates by deterministic block naming, in DataFrame functions alone.
 
 A text (null: empty) is lower-cased A-Z and cut into blocks of a fixed number of UTF-8 bytes.
-All distinct blocks are sorted and numbered: equal blocks get equal integers. Then adjacent
-pairs of integers are sorted and numbered again, halving every document, until each has one
-integer. Equal (rounds, integer) means equal text, without collisions: a name stands for its
-content by construction. Block occurrences meet their names by a 64-bit routing hash; should
-two distinct blocks share a hash, which is counted over the whole dictionary, the contents
-themselves are joined instead.
+The distinct blocks are sorted, by a 64-bit hash and then by content, and numbered in that
+order: equal blocks get equal integers. Then adjacent pairs of integers are sorted and
+numbered again, halving every document, until each has one integer. Equal (rounds, integer)
+means equal text, without collisions: a name stands for its content by construction, and it is
+a place in a global order, which no number of partitions changes. Where no two distinct blocks
+share a hash, which is counted over the whole dictionary, the hash alone is the sort key and
+what occurrences meet their names by; else the contents themselves are.
 
 Defined cases: nulls are empty texts, all empty texts form one group; a null doc_id sorts
 below every number; of repeated rows exactly one is kept; an empty table gives no rows; other
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage, table, text_or_empty
+from .common import keep, numbered, packed_row, scope, stage, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_BYTES = 4096
@@ -49,23 +50,19 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route_bits:
     route_bits is smaller in tests alone, to force shared routing hashes.
     """
     body = docs.select(F.col("doc_id"), normalised(text_or_empty()).alias("norm")).withColumn("body", F.col("norm").cast("binary"))
-    blocks = body.select(F.explode(_blocks(block_bytes, "{block}")).alias("block"))
-    dictionary = (
-        blocks.distinct()
-        .sortWithinPartitions("block")
-        .select("block", F.expr(_route(route_bits, "block")).alias("route"), F.monotonically_increasing_id().alias("name"))
-    )
-    names = stage(dictionary.select("route", "name"), "block-names")
-    shared = names.groupBy("route").count().filter("count > 1").limit(1).count() > 0
-    occurrence = body.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("body", 256))
+    route = _route(route_bits, "block")
+    dictionary = body.select(F.explode(_blocks(block_bytes, "{block}")).alias("block")).distinct().select("block", F.expr(route).alias("route"))
+    routes = stage(dictionary.select("route"), "routes")
+    shared = routes.groupBy("route").count().filter("count > 1").limit(1).count() > 0
     if shared:
-        placed = occurrence.select("rid", "doc_id", "text_sha256", F.posexplode(_blocks(block_bytes, "{block}")).alias("pos", "key"))
-        named = placed.join(dictionary.select(F.col("block").alias("key"), "name"), "key")
+        names = numbered(dictionary, ["route", "block"], "name").select(F.col("block").alias("key"), "name")
     else:
-        placed = occurrence.select("rid", "doc_id", "text_sha256", F.posexplode(_blocks(block_bytes, _route(64 if route_bits >= 64 else route_bits, "{block}"))).alias("pos", "key"))
-        named = placed.join(names.withColumnRenamed("route", "key"), "key")
+        names = numbered(routes, ["route"], "name").select(F.col("route").alias("key"), "name")
+    occurrence = body.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_sha256", F.sha2("body", 256))
+    key = _blocks(block_bytes, "{block}" if shared else _route(route_bits, "{block}"))
+    placed = occurrence.select("rid", "doc_id", "text_sha256", F.posexplode(key).alias("pos", "key"))
+    named = placed.join(names, "key")
     state = stage(_gather(named.withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))), "level")
-    drop_stage(names)
     done = [_finished(state, 0)]
     left, level = state.agg(F.max(F.size("names"))).first()[0] or 0, 0
     while left > 1:
@@ -76,8 +73,8 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route_bits:
             "text_sha256",
             F.posexplode(F.expr("transform(sequence(0, size(names) - 1, 2), i -> struct(names[i] as a, coalesce(get(names, i + 1), -1L) as b))")).alias("pos", "pair"),
         ).select("rid", "doc_id", "text_sha256", "pos", "pair.a", "pair.b")
-        numbered = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("name"))
-        state = stage(_gather(pairs.join(numbered, ["a", "b"])), "level")
+        names = numbered(pairs.select("a", "b").distinct(), ["a", "b"], "name")
+        state = stage(_gather(pairs.join(names, ["a", "b"])), "level")
         done.append(_finished(state, level))
         left = (left + 1) // 2
     return reduce(DataFrame.unionByName, done)
@@ -99,14 +96,18 @@ def _finished(state: DataFrame, level: int) -> DataFrame:
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The row with the largest doc_id of each identity is kept. The group sizes are combined
-    before they are shuffled; the join back is one that Spark splits where it is skewed.
+    The row with the largest doc_id of each identity is kept. Groups are combined before they
+    are shuffled and written; rows then meet them in a join of two tables, whose large
+    partitions Spark splits.
     """
-    named = name_documents(docs, block_bytes, route_bits)
-    groups = named.groupBy("rounds", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["rounds", "name"]).select(
-        "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256"
-    )
+    with scope():
+        named = stage(name_documents(docs, block_bytes, route_bits), "named")
+        top = named.groupBy("rounds", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+        groups = stage(top, "groups")
+        return keep(
+            named.join(groups, ["rounds", "name"]).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256"),
+            "exact",
+        )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -115,13 +116,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Kept rows are found again by doc_id and the digest of their text; only where rows repeat
     both, which is looked up first, are they reduced to one.
     """
-    groups = stage(exact_groups(docs), "groups")
+    groups = exact_groups(docs)
     kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     digest = F.sha2(normalised(text_or_empty()).cast("binary"), 256)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (digest == kept["kept_sha"]), "left_semi")
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").alias("own_id"), digest.alias("own_sha"))
+    out = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
     if groups.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count():
-        out = out.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-    return out
+        out = out.dropDuplicates(["own_id", "own_sha"])
+    return out.select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
