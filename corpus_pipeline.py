@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact and near duplicates, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which run() writes as Parquet
-and reads back as the next stage's docs. All but the last give the columns of documents.
+and reads back as the next stage's docs. All but the last give the columns of documents. The
+training order of mix is the order of its rows in its files, by which pack goes.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed token stream, with the check sums of their ids."""
-    pieces = packing.pack(docs, packing.default_tokenizer())
+    """Pieces of the packed token stream, in the mix's training order, with the check sums of their ids."""
+    pieces = packing.pack(packing.in_file_order(docs), packing.default_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

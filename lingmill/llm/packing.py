@@ -1,12 +1,13 @@
 """Packing by concatenating and cutting: one token stream, cut every 4096 tokens.
 
 Pass one tokenises every document (null: empty) once and writes ids with the running count
-inside its partition. The partitions' totals, one row each, are prefix-summed to the global
-offset of every partition. Pass two cuts the stream at multiples of the window: a document
+inside its section: its partition, or a part of a file where the documents' order in their
+files is to be the stream's. The sections' totals, one row each, are prefix-summed to the
+global offset of every section. Pass two cuts the stream at multiples of the window: a document
 that crosses a border leaves one record on either side. Only the last sequence is padded.
 
 Defined cases: an empty text is its end token alone; rows keep the order of the input's
-partitions, repeated rows are packed again; an empty table gives no pieces; other columns are
+sections, repeated rows are packed again; an empty table gives no pieces; other columns are
 ignored.
 """
 
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ WINDOW_TOKENS = 4096
 END_ID = 2
 #: Distinct words whose ids a worker keeps; beyond, it starts anew.
 CACHE_WORDS = 600_000
-#: Totals (16 bytes each, one per input partition) up to this many rows are broadcast.
-BROADCAST_PARTITIONS = 1_000_000
+#: Totals (about 200 bytes each, one per section) up to this many rows are broadcast.
+BROADCAST_SECTIONS = 200_000
 
 
 class WordIds(dict):
@@ -104,36 +104,51 @@ def encode(ids: WordIds, text: bytes) -> bytes:
     return b"".join(map(ids.__getitem__, text.split()))
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs, read from files, with __section: the part of a file that a row was read from.
+
+    Sections sort as the files' names do (longer names last, so that numbers in them count up)
+    and, in a file, as its parts; rows of a part come in order. Readers deal parts to tasks by
+    size, so partitions alone don't keep the order that the files were written in.
+    """
+    file = docs.metadataColumn("_metadata")
+    section = F.format_string("%08d %s %020d", F.length(file["file_path"]), file["file_path"], file["file_block_start"])
+    return docs.select(F.col("doc_id"), F.col("text"), section.alias("__section"))
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """part, before, doc_id, doc_tokens, ids (little-endian uint32, with the end token)."""
+    """section, before, doc_id, doc_tokens, ids (little-endian uint32, with the end token)."""
     end = np.array([end_id], "<u4").tobytes()
-    schema = "part int, before long, doc_id long, doc_tokens long, ids binary"
+    section = F.col("__section") if "__section" in docs.columns else F.format_string("%012d", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, before = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        ids, last, before = word_ids(tokenizer_path), None, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 coded = [encode(ids, text.as_buffer().to_pybytes() if text.is_valid else b"") + end for text in rows.column("text").cast(pa.large_binary())]
                 count = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                start = before + np.cumsum(count) - count
-                before += int(count.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(coded), part, np.int32)), pa.array(start), rows.column("doc_id").cast(pa.int64()), pa.array(count), pa.array(coded, pa.binary())],
-                    names=["part", "before", "doc_id", "doc_tokens", "ids"],
-                )
+                names = rows.column("section").to_pylist()
+                start = np.cumsum(count) - count
+                fresh = [k for k, name in enumerate(names) if name != (names[k - 1] if k else last)]
+                for lo, hi in zip([0, *fresh], [*fresh, len(names)], strict=True):
+                    if hi > lo:
+                        start[lo:hi] += (before if names[lo] == last else 0) - start[lo]
+                        last, before = names[lo], int(start[hi - 1] + count[hi - 1])
+                yield pa.RecordBatch.from_arrays([rows.column("section"), pa.array(start), rows.column("doc_id"), pa.array(count), pa.array(coded, pa.binary())], names=["section", "before", "doc_id", "doc_tokens", "ids"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, schema)
+    plain = docs.select(section.alias("section"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return map_arrow(plain, run, "section string, before long, doc_id long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (their own)."""
     tokens = stage(tokenise(docs, tokenizer_path, end_id), "tokens")
-    totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
-    base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    if totals.count() <= BROADCAST_PARTITIONS:
+    totals = tokens.groupBy("section").agg(F.sum("doc_tokens").alias("total"))
+    base = totals.select("section", (F.sum("total").over(Window.orderBy("section")) - F.col("total")).alias("base"))
+    if totals.count() <= BROADCAST_SECTIONS:
         base = F.broadcast(base)
-    placed = tokens.join(base, "part").withColumn("first", F.col("base") + F.col("before")).withColumn("last", F.col("first") + F.col("doc_tokens") - 1)
+    placed = tokens.join(base, "section").withColumn("first", F.col("base") + F.col("before")).withColumn("last", F.col("first") + F.col("doc_tokens") - 1)
     cut = placed.withColumn("sequence_id", F.explode(F.expr(f"sequence(first div {window}, last div {window})")))
     lo = F.greatest("first", F.col("sequence_id") * window)
     hi = F.least(F.col("last") + 1, (F.col("sequence_id") + 1) * window)
