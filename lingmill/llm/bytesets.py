@@ -19,6 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = U64(0x9E3779B97F4A7C15)
 NGRAM_BASE = U64(0xD1342543DE82EF95)
+#: Bytes worked on at a time inside long texts.
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,23 +91,70 @@ class Words:
         tails = off[1:][off[1:] > 0] - 1
         after[tails] = False
         self.end = np.flatnonzero(inside & ~after) + 1
-        self.inside = inside
         self.row = np.searchsorted(self.start, off)  # row r has words row[r]..row[r+1]
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash for every word; lower folds A-Z alone."""
-        if not len(self.start):
-            return np.zeros(0, U64)
-        length = self.end - self.start
-        byte = self.data[self.inside]
+        return span_hashes(self.data, self.start, self.end, lower)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit polynomial hash of the bytes of each span, in order of start.
+
+    Work goes on by about PIECE bytes, and longer spans piece by piece, so that memory beside
+    the result does not grow with the text.
+    """
+    out = np.zeros(len(start), U64)
+    length = end - start
+    done = np.cumsum(length)
+    i = 0
+    while i < len(start):
+        if length[i] > PIECE:
+            out[i] = _long_span(data[start[i] : end[i]], lower)
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(done, done[i] - length[i] + PIECE, side="right")))
+        own = length[i:j]
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        byte = data[place + np.repeat(start[i:j], own)]
         if lower:
             byte = LOWER[byte]
-        first = np.zeros(len(length), np.int64)
-        np.cumsum(length[:-1], out=first[1:])
-        place = np.arange(len(byte)) - np.repeat(first, length)
-        weight = powers(int(length.max()))[place]
-        h = np.add.reduceat((byte.astype(U64) + U64(1)) * weight, first)
-        return mix(h + length.astype(U64) * NGRAM_BASE)
+        some = own > 0
+        weighed = (byte.astype(U64) + U64(1)) * powers(int(own.max(initial=1)))[place]
+        if some.any():
+            out[i:j][some] = np.add.reduceat(weighed, first[some])
+        i = j
+    return mix(out + length.astype(U64) * NGRAM_BASE)
+
+
+def _long_span(data: np.ndarray, lower: bool) -> np.uint64:
+    """The sum of a span longer than PIECE bytes: pieces under their powers of the base."""
+    with np.errstate(over="ignore"):
+        weight, step, total = U64(1), powers(PIECE)[PIECE - 1] * BASE, U64(0)
+        for at in range(0, len(data), PIECE):
+            byte = data[at : at + PIECE]
+            byte = LOWER[byte] if lower else byte
+            total += weight * ((byte.astype(U64) + U64(1)) * powers(PIECE)[: len(byte)]).sum(dtype=U64)
+            weight *= step
+    return total
+
+
+def counted(members: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many bytes of every row are members; long rows go piece by piece."""
+    if len(data) > PIECE:
+        return np.array([sum(int(np.count_nonzero(members[data[k : min(b, k + PIECE)]])) for k in range(a, b, PIECE)) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+    run = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(members[data], out=run[1:], dtype=np.int32)
+    return (run[off[1:]] - run[off[:-1]]).astype(np.int64)
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """For every byte place, the code points that begin before it."""
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    out = np.zeros(len(data) + 1, kind)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:], dtype=kind)
+    return out
 
 
 def ngram_hashes(word: np.ndarray, n: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import U64, Words, mix, slices, utf8
+from .bytesets import U64, Words, counted, mix, slices, utf8
 from .common import map_arrow, stage, table, text_or_empty
 from .quality_rules import measure
 
@@ -37,8 +37,8 @@ FEATURES = ["words", "word_chars", "symbols", "capitals", "digits", "marks", "sh
 
 
 def _class_of(members: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int64)
-    out[list(members)] = 1
+    out = np.zeros(256, bool)
+    out[list(members)] = True
     return out
 
 
@@ -50,11 +50,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of transformed statistics for each text between neighbouring offsets."""
     m = measure(data, off)
     n, chars, size = np.maximum(m["n_words"], 1), np.maximum(m["word_chars"], 1), np.maximum(np.diff(off), 1)
-
-    def count(members: np.ndarray) -> np.ndarray:
-        run = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(members[data], out=run[1:])
-        return run[off[1:]] - run[off[:-1]]
+    count = lambda members: counted(members, data, off)
 
     words = Words(data, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(words.row))
@@ -77,16 +73,23 @@ def with_features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column("text"))
-            for i, j in slices(off):
-                x = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                flat = pa.array(x.ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * len(FEATURES)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "x"])
+            for part, x in _scanned(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(x)], names=["doc_id", "x"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), run, "doc_id long, x array<double>")
 
 
+def _scanned(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch, whose texts are column at, and their statistics."""
+    data, off = utf8(batch.column(at))
+    for i, j in slices(off):
+        yield batch.slice(i, j - i), features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+
+
 @dataclass
 class Discriminant:
     """Per class 0 and 1: prior, mean and regularised covariance of standardised statistics."""
@@ -175,7 +178,10 @@ def held_out(doc_id: Column) -> Column:
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant | None:
     """Learns from all labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out(F.col("doc_id")))
-    return fit(moments(stats.join(known, "doc_id")))
+    model = fit(moments(stats.join(known, "doc_id")))
+    if model:
+        model.factors  # noqa: B018  (computed here, so that tasks receive them)
+    return model
 
 
 def scored(stats: DataFrame, model: Discriminant | None) -> DataFrame:
@@ -200,21 +206,28 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are not predicted to be of low quality.
 
-    A second pass over the texts scores each row where it is, so that nothing is joined.
+    Rows are written once with their statistics, which the classifier learns from and scores.
     """
-    model = train(stage(with_features(docs), "features"), labels)
-    schema = docs.schema
-    at = docs.columns.index("text")
+    own = "x"
+    while own in docs.columns:
+        own += "_"
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x in _scanned(batch, at):
+                yield part.append_column(own, _lists(x))
+
+    wide = stage(map_arrow(docs, add, docs.select("*", F.expr("cast(array() as array<double>)").alias(own)).schema), "features")
+    model = train(wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(own).alias("x")), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(at))
-            for i, j in slices(off):
-                x = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                keep = model.score(x) >= 0.5 if model else np.ones(len(x), bool)
-                yield batch.slice(i, j - i).filter(pa.array(keep))
+            x = np.asarray(batch.column(own).flatten()).reshape(batch.num_rows, len(FEATURES))
+            keep = model.score(x) >= 0.5 if model else np.ones(len(x), bool)
+            yield batch.select(schema.names).filter(pa.array(keep))
 
-    return map_arrow(docs, run, schema)
+    return map_arrow(wide, run, schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import NGRAM_BASE, U64, Words, mix, ngram_hashes, powers, slices, utf8
+from .bytesets import U64, Words, code_points, counted, mix, ngram_hashes, slices, span_hashes, utf8
 from .common import map_arrow, table, text_or_empty
 
 #: n-gram length -> largest percentage of word characters inside repeated n-grams.
@@ -27,8 +27,8 @@ COVERAGE_LIMITS = {5: 15, 7: 13, 10: 10}
 #: Largest percentage of lines, and of word characters, in repeated lines.
 LINE_LIMIT, LINE_CHAR_LIMIT = 30, 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SYMBOLS = np.zeros(256, np.int64)
-SYMBOLS[list(b"#*$%&|<>")] = 1
+SYMBOLS = np.zeros(256, bool)
+SYMBOLS[list(b"#*$%&|<>")] = True
 
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -88,10 +88,10 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     hashed = words.hashes(lower=False)
     rows = len(off) - 1
     doc = np.repeat(np.arange(rows), np.diff(words.row))
-    point = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=point[1:])
-    size = point[words.end] - point[words.start]
-    out = {"n_words": np.diff(words.row), "word_chars": _sums(size, words.row), "n_symbols": _sums(SYMBOLS[data], off)}
+    point = code_points(data)
+    size = (point[words.end] - point[words.start]).astype(np.int64)
+    del point
+    out = {"n_words": np.diff(words.row), "word_chars": _sums(size, words.row), "n_symbols": counted(SYMBOLS, data, off)}
     # lines start at every row and after every newline; an empty row shares its start with the next
     breaks = np.flatnonzero(data == 10)
     starts = np.concatenate([off[:-1], breaks + 1])
@@ -104,7 +104,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     live = np.flatnonzero(per_line > 0)
     stops = np.append(breaks, len(data))
     end = np.minimum(stops[np.searchsorted(stops, starts[live])], off[1:][line_doc[live]])
-    key = mix(_line_hashes(data, starts[live], end) ^ (line_doc[live].astype(U64) * U64(0x9FB21C651E98DF25)))
+    key = mix(span_hashes(data, starts[live], end, lower=False) ^ (line_doc[live].astype(U64) * U64(0x9FB21C651E98DF25)))
     dup = _repeats(key, first_too=False)
     out["n_lines"] = np.bincount(line_doc[live], minlength=rows)
     out["n_dup_lines"] = np.bincount(line_doc[live][dup], minlength=rows)
@@ -115,19 +115,6 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def _line_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span, blanks included."""
-    if not len(start):
-        return np.zeros(0, U64)
-    length = end - start
-    first = np.cumsum(length) - length
-    total = int(length.sum())
-    place = np.arange(total) - np.repeat(first, length)
-    byte = data[place + np.repeat(start, length)].astype(U64) + U64(1)
-    weight = powers(int(length.max()))[place]
-    return mix(np.add.reduceat(byte * weight, first) + length.astype(U64) * NGRAM_BASE)
-
-
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars", "n_repeat_words", *(f"dup{n}_chars" for n in COVERAGE_LIMITS)]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lingmill.llm.queries import QUERIES
 
 #: Names that the operators use for columns of their own.
-CLASHES = "part before first last base ids label x quality score predicted kept keep_id group_size sequence_id offset start length n size taken target source_size token hash block pos component_id key value count kind spans bucket id head sid rep host path".split()
+CLASHES = list(dict.fromkeys("part before first last base ids label x quality score predicted kept keep_id group_size sequence_id offset start length n size taken target source_size token hash block pos component_id key value count kind spans bucket id sid rep host path position taken_id taken_tie late row own_id draw place part within rid __section name base spans start_ body head stream example".split()))
 TEXTS = [None, "", " \n\t", "a", "a b c d e f", "A B c d e f", "\x00\x01 b", "\U0001f600 é ß İ", "mail a@b.co 1.2.3.4", "z" * 200_000, "w v " * 20_000, "<b>&amp;</b>\n" * 3]
 DOCS = [(i if i % 5 else None, t, None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 3}", None) for i, t in enumerate(TEXTS)]
 PAGE = "<html><body><div><p>hi there</p><p>same line</p></div></body></html>"

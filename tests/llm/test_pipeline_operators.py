@@ -109,15 +109,25 @@ def test_word_ids_are_the_tokenizers(word):
 
 
 def test_chat_reads_back(spark):
-    turns = [(1, 0, "user", "a\\1<|turn|>[INST]"), (1, 1, "assistant", "b\n</s>"), (1, 2, "user", None), (2, 0, "us\ner", "x"), (3, 0, "assistant", ""), (3, 0, "assistant", "")]
-    formatted = chat.streams(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    back = {r.conv_id: r for r in chat.read_back(formatted).collect()}
-    for conv in (1, 2, 3):
+    turns = [(1, 0, "user", "a\\1<|turn|>[INST]"), (1, 1, "assistant", "b\n</s>"), (1, 2, "user", None), (1, 3, "assistant", "d"), (2, 0, "us\ner", "x"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (None, 1, "assistant", "n")]
+    placed = chat.placed(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    back = {r.conv_id: r for r in chat.streams(placed).select("conv_id", "stream", chat.read_back(F.col("stream")).alias("turns")).collect()}
+    shown = lambda text: text.replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\")
+    every = chat.examples(placed).collect()
+    for conv in (1, 2, 3, None):
         own = [(r, t or "") for c, _, r, t in turns if c == conv]
         assert [(t.role, t.text) for t in back[conv].turns] == own
-        assert list(back[conv].losses) == [t for r, t in own if r == "assistant"]
-    inline = chat.inline(formatted).filter("conv_id = 1").first()
-    assert chat.OPEN in inline.text and "[INST]" not in inline.text and inline.text.endswith(chat.CLOSE)
+        got = sorted((x for x in every if x.conv_id == conv), key=lambda x: x.example)
+        assert [x.example for x in got] == [k for k, (r, _) in enumerate(own) if r == "assistant"]
+        pieces = back[conv].stream.split(chat.OPEN)[1:]
+        for x in got:
+            assert shown(back[conv].stream[x.target_start : x.target_end]) == shown(x.target) == own[x.example][1]
+            head = f"{chat.OPEN}assistant\n"
+            assert back[conv].stream[: x.context_chars] == "".join(chat.OPEN + p for p in pieces[: x.example]) + head and x.context_turns == x.example
+    inline = {(r.conv_id, r.example): r for r in chat.inline(placed).collect()}
+    assert set(inline) == {(x.conv_id, x.example) for x in every}
+    one = inline[1, 1]
+    assert chat.OPEN in one.text and "[INST]" not in one.text and one.text.endswith(chat.CLOSE) and one.text[one.loss_start : one.loss_end] == "b\n\\1/s>"
 
 
 def test_pii_spans(docs, rows):
@@ -264,6 +274,87 @@ def test_pii_terms_are_marked_everywhere(spark):
         assert [tuple(s) for s in got[i].base] == pii.base_spans(text) and set(got[i].remove) <= {a for a, _ in terms}
 
 
+def test_packed_order_is_the_training_order(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    taken = sorted((p, r.doc_id) for r in mixing.mix(docs).collect() for p in r.positions)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            mixed = stage(mixing.repeated(docs), "mixed")
+            pieces = packing.pack(packing.in_file_order(mixed), packing.default_tokenizer()).filter("start = 0").collect()
+            assert [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))] == [i for _, i in taken]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_mixing_with_clashing_names_and_one_id(spark):
+    rows = [(None if i % 3 else 7, "w " * (i % 11), "en", "s", i, "p", "t") for i in range(300)]
+    table = stage(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, position long, taken_id string, row string"), "clash")
+    got = mixing.mix(table).collect()
+    assert sum(r.taken for r in got) == sum(r.size for r in got) == round(got[0].target)
+    assert mixing.repeated(table).columns == table.columns
+
+
+def test_targets_of_many_sources(spark):
+    draw = random.Random(4)
+    sizes = {f"s{i:03d}": draw.choice([0, 1, 3, 10, 400, 90_000]) for i in range(60)}
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame([(s, n) for s, n in sizes.items()] + [(None, 5)], "source string, source_size long")).collect()}
+    order = [*sorted(sizes), None]
+    sizes[None] = 5
+    weight, capped = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, set()
+    while True:
+        rest, free = sum(sizes.values()) - sum(3 * sizes[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if s not in capped and weight[s] * rest > 3 * sizes[s] * free}
+        if not more:
+            break
+        capped |= more
+    assert {s: got[s].target for s in order} == pytest.approx({s: 3 * sizes[s] if s in capped else weight[s] * rest / free for s in order})
+    assert [got[s].place for s in order] == list(range(61))
+
+
+def test_block_names_do_not_depend_on_partitions(spark, docs):
+    names = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            names.append(sorted((r.doc_id, r.rounds, r.name) for r in exact_dedup.name_documents(docs, 16).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert names[0] == names[1]
+
+
+def test_long_spans_hash_alike(monkeypatch):
+    from lingmill.llm import bytesets
+
+    data = np.frombuffer(random.Random(3).randbytes(5000), np.uint8)
+    start, end = np.array([0, 100, 100, 4000]), np.array([90, 100, 3000, 5000])
+    whole = bytesets.span_hashes(data, start, end, True)
+    monkeypatch.setattr(bytesets, "PIECE", 64)
+    assert (bytesets.span_hashes(data, start, end, True) == whole).all()
+    assert bytesets.counted(np.arange(256) > 99, data, np.array([0, 2500, 5000])).tolist() == [int((d > 99).sum()) for d in (data[:2500], data[2500:])]
+
+
+def test_discriminant_is_a_difference_of_log_densities(spark):
+    draw = np.random.default_rng(8)
+    x = [draw.normal(k, 1 + k, (40, len(quality_classifier.FEATURES))) for k in (0, 1)]
+    rows = [(v.tolist(), k) for k in (0, 1) for v in x[k]]
+    model = quality_classifier.fit(quality_classifier.moments(spark.createDataFrame(rows, "x array<double>, label int")), 0.5, 0.1)
+    every = np.vstack(x)
+    shift, scale = every.mean(0), every.std(0) + 1e-6
+    z = [(v - shift) / scale for v in x]
+    cov = [np.cov(v.T, bias=True) for v in z]
+    pooled, want = sum(cov) / 2, 0
+    for k, sign in ((0, -1), (1, 1)):
+        c = 0.5 * cov[k] + 0.5 * pooled
+        c = 0.9 * c + 0.1 * np.trace(c) / len(c) * np.eye(len(c))
+        d = (every - shift) / scale - z[k].mean(0)
+        want = want + sign * (np.log(0.5) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    assert model.difference(every) == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
 def test_mixing_comes_in_training_order(spark):
     folder = "/root/testdata/sf0.001"
     got = [r.doc_id for r in mixing.op4_mixing(spark, folder).collect()]
