@@ -1,6 +1,6 @@
 """Personal data: patterns for four kinds, and terms that give a protected value away.
 
-The patterns' spans are the base. The method adds terms by information content: a protected
+The patterns' spans are the base. The method adds terms by information content. A protected
 value (an address, number ...) occurs in contexts, the windows of words around it; a term of
 such a window discloses the value where its pointwise mutual information with the value comes
 near the value's own information content, that is where meeting the term all but names the
@@ -10,6 +10,13 @@ Terms with PMI >= 0.9 IC and three contexts or more are generalised, those at 0.
 wherever they stand in the corpus. Equal contexts and equal texts count once, so copies of a text
 are no evidence, for a term or against it. All counts are over the whole corpus.
 
+A term can also name its owner by itself: a run of 20 letters, digits and low lines or more, with
+four letters and four digits at least, that carries 80 bits by the entropy of its own characters,
+is a secret (a key, a token) and removed.
+
+Texts are known by their MD5. No list of terms reaches the driver or a task: words are screened
+by a bit map of fixed size of the terms' hashes, and what passes is joined with the terms.
+
 Defined cases: a null text is empty and has no spans; repeated rows are equal contexts;
 overlapping spans of different kinds all stay; an empty table gives no rows; other columns are
 ignored; long texts are whole, and every pattern runs in linear time.
@@ -18,22 +25,31 @@ ignored; long texts are whole, and every pattern runs in linear time.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import Words, slices, utf8
-from .common import map_arrow, stage, table, text_or_empty
+from .bytesets import Words, code_points, slices, utf8
+from .common import keep, map_arrow, scope, stage, table, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone", "term")
+#: The base kinds, in the order of spans that begin together, and those the method adds.
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+BASE_KINDS, TERM, SECRET = 4, 4, 5
 NEAR_WORDS = 6
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.9, 0.98
-#: Candidate terms (8 bytes each) up to this many go to every worker; beyond, they are joined.
+SECRET_BITS = 80
+#: Bits of the screen, 2 MB at any size of input.
+SCREEN_BITS = 24
+#: Rows for terms (16 bytes each) up to this many are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 1_000_000
+#: Texts with terms (a few hundred bytes each) up to this many are broadcast.
+BROADCAST_MARKS = 100_000
 
 #: Bytes between terms: all of ASCII but letters and digits.
 BETWEEN = np.ones(256, bool)
@@ -46,6 +62,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"[A-Za-z0-9_]{20,}")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -87,183 +104,242 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _name(data: bytes) -> int:
-    import xxhash
+def secrets(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans like base_spans() of the terms that name their owner by themselves; none overlaps base."""
+    out = []
+    for m in _SECRET.finditer(text):
+        count, n = Counter(m[0]), len(m[0])
+        digits, letters = sum(k for c, k in count.items() if c.isdigit()), sum(k for c, k in count.items() if c.isalpha())
+        if digits >= 4 and letters >= 4 and sum(k * log2(n / k) for k in count.values()) >= SECRET_BITS and all(b <= m.start() or a >= m.end() for a, _, b in base):
+            out.append((m.start(), SECRET, m.end()))
+    return out
 
-    return xxhash.xxh64_intdigest(data) >> 1
+
+def _own(text: str) -> list[tuple[int, int, int]]:
+    base = base_spans(text)
+    return sorted(base + secrets(text, base))
 
 
-def _text_names(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+def _name(data: bytes) -> int:
     import xxhash
 
-    return [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return xxhash.xxh64_intdigest(data) >> 1
 
 
 def _value(kind: int, text: str) -> int:
     """A name for a protected value, whatever its spelling."""
-    plain = text.lower() if kind == 0 else "".join(c for c in text if c.isdigit() or c == "." and kind == 1)
+    plain = text.lower() if kind == 0 else "".join(c for c in text if c.isdigit() or c == "." and kind == 1) if kind < BASE_KINDS else text
     return _name(f"{kind}:{plain}".encode())
 
 
 SPAN = "struct<start:int,kind:int,end:int>"
-LINK = "struct<value:long,term:long,context:long>"
-_SPAN_T = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_LINK_T = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("context", pa.int64())]))
-
-
-def _links(spans: list[tuple[int, int, int]], text: str, data: np.ndarray, words: Words, hashed: np.ndarray, lo: int, hi: int, first_byte: int) -> list[dict]:
-    """The terms beside each value; terms that overlap a base span are none."""
-    points = np.flatnonzero((data & 0xC0) != 0x80)  # byte of every code point
-    starts, ends = words.start[lo:hi] - first_byte, words.end[lo:hi] - first_byte
-    edge = np.append(points, len(data))
-    taken = np.zeros(hi - lo, bool)
-    for a, _, b in spans:
-        taken[np.searchsorted(ends, edge[a], side="right") : np.searchsorted(starts, edge[b], side="left")] = True
-    out = []
-    for a, kind, b in spans:
-        p, q = int(np.searchsorted(ends, edge[a], side="right")), int(np.searchsorted(starts, edge[b], side="left"))
-        near = [i for i in (*range(max(0, p - NEAR_WORDS), p), *range(q, min(hi - lo, q + NEAR_WORDS))) if not taken[i]]
-        names = (hashed[lo:hi][near] >> np.uint64(1)).astype(np.int64).tolist()
-        context = _name(np.array(names, np.int64).tobytes())
-        value = _value(kind, text[a:b])
-        for name in names:
-            out.append({"value": value, "term": name, "context": context})
-    return out
+LINKS = ["value", "term", "context"]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and its name, of every row."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return plain.withColumn("name", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+class _Slice:
+    """Some rows of a batch: their bytes, and their terms with hashes where asked for."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
+        self.data, self.at, self._words = data, at, None
+
+    def terms(self) -> tuple[Words, np.ndarray]:
+        if self._words is None:
+            words = Words(self.data, self.at, BETWEEN)
+            self._words = words, (words.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
+        return self._words
+
+    def hinted(self) -> np.ndarray:
+        """The rows with any byte that a pattern needs."""
+        hits = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum(HINT[self.data], out=hits[1:], dtype=np.int32)
+        return np.flatnonzero(hits[self.at[1:]] > hits[self.at[:-1]])
+
+    def text(self, r: int) -> str:
+        return self.data[self.at[r] : self.at[r + 1]].tobytes().decode()
+
+    def free(self, r: int, which: np.ndarray, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends, in code points of row r, of the row's words at these places, and which overlap no span."""
+        words, _ = self.terms()
+        points = code_points(self.data[self.at[r] : self.at[r + 1]])
+        starts, ends = points[words.start[which] - self.at[r]], points[words.end[which] - self.at[r]]
+        out = np.ones(len(which), bool)
+        for a, _, b in spans:
+            out[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = False
+        return starts, ends, out
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, a name of the text, base spans, and the terms beside every value, of every row."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Slice]]:
+    for batch in batches:
+        data, off = utf8(batch.column("text"))
+        for i, j in slices(off):
+            yield batch.slice(i, j - i), _Slice(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """value, term, context: the terms beside every protected value, of every row; terms that overlap a value are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = utf8(batch.column("text"))
-            for i, j in slices(off):
-                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                hits = np.zeros(len(part) + 1, np.int64)
-                np.cumsum(HINT[part], out=hits[1:])
-                some = np.flatnonzero(hits[at[1:]] > hits[at[:-1]])
-                spans: list[list] = [[] for _ in range(j - i)]
-                links: list[list] = [[] for _ in range(j - i)]
-                words = hashed = None
-                for r in some.tolist():
-                    own = part[at[r] : at[r + 1]]
-                    text = own.tobytes().decode()
-                    got = base_spans(text)
-                    if not got:
-                        continue
-                    spans[r] = [{"start": a, "kind": k, "end": b} for a, k, b in got]
-                    if words is None:
-                        words = Words(part, at, BETWEEN)
-                        hashed = words.hashes(lower=True)
-                    links[r] = _links(got, text, own, words, hashed, int(words.row[r]), int(words.row[r + 1]), int(at[r]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(_text_names(part, at), pa.binary()), pa.array(spans, _SPAN_T), pa.array(links, _LINK_T)], names=["doc_id", "name", "base", "links"])
-
-    return map_arrow(_texts(docs), run, f"doc_id long, name binary, base array<{SPAN}>, links array<{LINK}>")
-
-
-def _distinct_texts(docs: DataFrame) -> DataFrame:
-    """Every text once, under one doc_id: the unit that holders and N are counted in."""
-    return _texts(docs).select(F.lit(0).cast("long").alias("doc_id"), "text").distinct()
+        for _, part in _slices(batches):
+            flat: list[list[int]] = [[], [], []]
+            for r in part.hinted().tolist():
+                text = part.text(r)
+                spans = _own(text)
+                if not spans:
+                    continue
+                words, hashed = part.terms()
+                lo, hi = int(words.row[r]), int(words.row[r + 1])
+                starts, ends, free = part.free(r, np.arange(lo, hi), spans)
+                for a, kind, b in spans:
+                    p, q = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
+                    near = [lo + i for i in (*range(max(0, p - NEAR_WORDS), p), *range(q, min(hi - lo, q + NEAR_WORDS))) if free[i]]
+                    names = hashed[near].tolist()
+                    flat[0] += [_value(kind, text[a:b])] * len(names)
+                    flat[1] += names
+                    flat[2] += [_name(np.array(names, np.int64).tobytes())] * len(names)
+            if flat[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=LINKS)
+
+    return map_arrow(_texts(docs).select("text"), run, "value long, term long, context long")
+
+
+def screen(terms: DataFrame) -> np.ndarray:
+    """A bit for each place that the hash of any of the terms has modulo 2^24; what reaches the driver is of fixed size."""
+    slot = F.pmod(F.col("term"), F.lit(1 << SCREEN_BITS)) + 1
+    maps = terms.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out = np.zeros(1 << (SCREEN_BITS - 3), np.uint8)
+    for r in maps:  # 512 rows of 4 KB at most
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def _passing(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    slot = hashed & ((1 << SCREEN_BITS) - 1)
+    return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+
+
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def document_frequency(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """term, holders: in how many distinct texts of docs each term stands; of the wanted ones if given."""
-    keep = None if wanted is None else np.sort(wanted)
+def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, holders: in how many distinct texts of docs each of the terms stands."""
+    bits = screen(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = utf8(batch.column("text"))
-            for i, j in slices(off):
-                words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], BETWEEN)
-                name = (words.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
-                doc = np.repeat(np.arange(j - i), np.diff(words.row))
-                if keep is not None:
-                    if not len(keep):
-                        continue
-                    hit = keep[np.minimum(np.searchsorted(keep, name), len(keep) - 1)] == name
-                    name, doc = name[hit], doc[hit]
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                fresh = np.ones(len(name), bool)
-                fresh[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-                term, count = np.unique(name[fresh], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], names=["term", "holders"])
-
-    return map_arrow(_distinct_texts(docs), run, "term long, holders long").groupBy("term").agg(F.sum("holders").alias("holders"))
-
-
-def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+        for batch, part in _slices(batches):
+            words, hashed = part.terms()
+            at = _passing(bits, hashed)
+            name, doc = hashed[at], np.repeat(np.arange(batch.num_rows), np.diff(words.row))[at]
+            order = np.lexsort((doc, name))
+            name, doc = name[order], doc[order]
+            fresh = np.ones(len(name), bool)
+            fresh[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+            term, count = np.unique(name[fresh], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], names=["term", "holders"])
+
+    met = map_arrow(_texts(docs).select("text").distinct(), run, "term long, holders long")
+    return met.join(_sized(terms, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.sum("holders").alias("holders"))
+
+
+def disclosing(docs: DataFrame) -> DataFrame | None:
     """value, term, ratio = PMI / IC of the terms that give a value away; None if there is none."""
-    met = rows.select(F.explode("links").alias("l")).select("l.value", "l.term", "l.context").distinct()
+    met = stage(links(docs).distinct(), "links")
     together = stage(met.groupBy("value", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= MIN_CONTEXTS), "together")
-    terms = together.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
+    terms = stage(together.select("term").distinct(), "terms")
+    if not terms.limit(1).count():
         return None
-    if n_terms <= BROADCAST_TERMS:
-        holders = document_frequency(docs, np.array([r.term for r in terms.collect()], np.int64))
-    else:
-        holders = document_frequency(docs, None).join(terms, "term", "left_semi")
+    holders = document_frequency(docs, terms)
     contexts = met.select("value", "context").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("seen"))
-    n = max(2, rows.select("name").distinct().count())
+    n = max(2, _texts(docs).select("name").distinct().count())
     pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("seen") * F.col("holders")))
     ic = F.log2(F.lit(float(n)) / F.least("seen", F.lit(n - 1)))
     return together.join(holders, "term").join(contexts, "value").select("value", "term", (pmi / ic).alias("ratio")).filter(F.col("ratio") >= GENERALISE)
 
 
-def marked(docs: DataFrame, terms: np.ndarray, gone: np.ndarray) -> DataFrame:
-    """doc_id, base, all, remove of every row: each place of the (sorted) terms outside base spans is one; gone says which go."""
+def places(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """name, marks (start, end, gone): where the terms stand outside of other spans, of each text that has any."""
+    bits = screen(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = utf8(batch.column("text"))
-            for i, j in slices(off):
-                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                words = Words(part, at, BETWEEN)
-                name = (words.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
-                place = np.minimum(np.searchsorted(terms, name), len(terms) - 1)
-                hits = np.flatnonzero(terms[place] == name)
-                first = np.searchsorted(hits, words.row)
-                base, every, remove = [], [], []
-                for r in range(j - i):
-                    own = part[at[r] : at[r + 1]]
-                    got = base_spans(own.tobytes().decode()) if HINT[own].any() else []
-                    put, out = [], []
-                    mine = hits[first[r] : first[r + 1]]
-                    if len(mine):
-                        points = np.flatnonzero((own & 0xC0) != 0x80)
-                        starts, ends = np.searchsorted(points, words.start[mine] - at[r]).tolist(), np.searchsorted(points, words.end[mine] - at[r]).tolist()
-                        free = np.ones(len(mine), bool)
-                        for a, _, b in got:
-                            free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = False
-                        for h, a, b, ok in zip(mine.tolist(), starts, ends, free.tolist(), strict=True):
-                            if ok:
-                                put.append((a, 4, b))
-                                if gone[place[h]]:
-                                    out.append(a)
-                    as_rows = lambda spans: [{"start": a, "kind": k, "end": b} for a, k, b in spans]
-                    base.append(as_rows(got))
-                    every.append(as_rows(sorted([*got, *put])))
-                    remove.append(out)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(base, _SPAN_T), pa.array(every, _SPAN_T), pa.array(remove, pa.list_(pa.int32()))], names=["doc_id", "base", "all", "remove"]
-                )
-
-    return map_arrow(_texts(docs), run, f"doc_id long, base array<{SPAN}>, all array<{SPAN}>, remove array<int>")
+        for batch, part in _slices(batches):
+            words, hashed = part.terms()
+            at = _passing(bits, hashed)
+            first = np.searchsorted(at, words.row)
+            rows, starts, ends = [], [], []
+            for r in np.flatnonzero(np.diff(first)).tolist():
+                mine = at[first[r] : first[r + 1]]
+                own = part.data[part.at[r] : part.at[r + 1]]
+                a, b, free = part.free(r, mine, _own(part.text(r)) if HINT[own].any() else [])
+                rows.append(np.where(free, r, -1))
+                starts.append(a)
+                ends.append(b)
+            if rows:
+                row = np.concatenate(rows)
+                some = row >= 0
+                flat = [batch.column("name").take(pa.array(row[some])), *(pa.array(np.concatenate(x)[some].astype(np.int32)) for x in (starts, ends)), pa.array(hashed[np.concatenate([at[first[r] : first[r + 1]] for r in np.flatnonzero(np.diff(first))])][some])]
+                yield pa.RecordBatch.from_arrays(flat, names=["name", "start", "end", "term"])
+
+    met = map_arrow(_texts(docs).select("text", "name"), run, "name binary, start int, end int, term long").join(_sized(told, BROADCAST_TERMS), "term")
+    one = met.select("name", "start", "end", (F.col("ratio") >= REMOVE).alias("gone")).distinct()
+    return one.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gone"))).alias("marks"))
+
+
+def sanitise(text: str, spans: list[tuple[int, int, int]], gone: set[int]) -> str:
+    """The text with values and generalised terms replaced by their kind; secrets and terms that start in gone are left out."""
+    out, at = [], 0
+    for a, kind, b in spans:
+        if a >= at:
+            out += [text[at:a], "" if kind == SECRET or kind == TERM and a in gone else f"[{KINDS[kind].upper()}]"]
+        elif b <= at:
+            continue
+        at = b
+    return "".join([*out, text[at:]])
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and all (with the terms; remove says which go) for every row of docs."""
-    rows = stage(found(docs), "spans")
-    told = disclosing(docs, rows)
-    best = [] if told is None else told.groupBy("term").agg(F.max("ratio").alias("ratio")).orderBy("term").collect()
-    if not best:
-        return rows.select("doc_id", "base", F.col("base").alias("all"), F.expr("cast(array() as array<int>)").alias("remove"))
-    return marked(docs, np.array([r.term for r in best], np.int64), np.array([r.ratio >= REMOVE for r in best]))
+    """doc_id, base, all (with terms and secrets), remove (starts of the terms that go) and the sanitised text of every row."""
+    with scope():
+        told = disclosing(docs)
+        marks = None
+        if told is not None:
+            best = stage(told.groupBy("term").agg(F.max("ratio").alias("ratio")), "told")
+            marks = keep(places(docs, best), "marks") if best.limit(1).count() else None
+    texts = _texts(docs)
+    none = F.expr("cast(array() as array<struct<start:int,end:int,gone:boolean>>)")
+    if marks is None:
+        texts = texts.withColumn("marks", none)
+    else:
+        texts = texts.join(_sized(marks.withColumnRenamed("name", "of"), BROADCAST_MARKS), F.col("name") == F.col("of"), "left").withColumn("marks", F.coalesce("marks", none))
+    some = F.col("text").rlike("[0-9@]") | (F.size("marks") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, part in _slices(batches):
+            base, every, remove, clean = [], [], [], []
+            for r, marked in enumerate(batch.column("marks").to_pylist()):
+                text = part.text(r)
+                own = _own(text)
+                base.append([x for x in own if x[1] < BASE_KINDS])
+                every.append(sorted([*own, *((m["start"], TERM, m["end"]) for m in marked)]))
+                remove.append([m["start"] for m in marked if m["gone"]])
+                clean.append(sanitise(text, every[-1], set(remove[-1])) if every[-1] else text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _spans(base), _spans(every), pa.array(remove, pa.list_(pa.int32())), pa.array(clean, pa.string())], names=["doc_id", "base", "all", "remove", "sanitised"])
+
+    found = map_arrow(texts.filter(some).select("doc_id", "text", "marks"), run, f"doc_id long, base array<{SPAN}>, all array<{SPAN}>, remove array<int>, sanitised string")
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
+    plain = texts.filter(~some).select("doc_id", empty.alias("base"), empty.alias("all"), F.expr("cast(array() as array<int>)").alias("remove"), F.col("text").alias("sanitised"))
+    return found.unionByName(plain)
+
+
+def _spans(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
+    off = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.array([x for row in rows for x in row], np.int32).reshape(-1, 3)
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["start", "kind", "end"]))
 
 
 def written(spans_column: str) -> Column:
@@ -272,22 +348,10 @@ def written(spans_column: str) -> Column:
     return F.array_join(F.transform(spans_column, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitise(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, bool]]) -> str:
-    """The text with values and generalised terms replaced by their kind, removed terms left out."""
-    cuts = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in base] + [(a, b, "" if gone else "[TERM]") for a, b, gone in terms]
-    out, at = [], 0
-    for a, b, put in sorted(cuts):
-        if a >= at:
-            out += [text[at:a], put]
-            at = b
-        elif b > at:
-            at = b
-    return "".join([*out, text[at:]])
-
-
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return got.select(
-        "doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("all").alias("spans")
-    )
+        "doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)), F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("all").alias("spans"),
+        F.size("all").cast("long").alias("n_spans"), F.size("remove").cast("long").alias("n_removed_terms"), F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"),
+    )
