@@ -32,22 +32,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-class _Powers:
-    """Powers of BASE modulo 2**64, grown to the longest word met."""
+class _Weights:
+    """Pseudo-random odd weights of the places in a span, grown to the longest met up to PIECE.
+
+    Powers of one base would do for chance, but texts can be made that collide under any.
+    """
 
     def __init__(self) -> None:
-        self.table = np.ones(1, U64)
+        self.table = np.zeros(0, U64)
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.table) < n:
-            grown = np.full(max(n, 2 * len(self.table)), BASE, U64)
-            grown[0] = 1
-            self.table = np.multiply.accumulate(grown)
+            self.table = _weights_from(0, max(n, 2 * len(self.table)))
         return self.table
 
 
-_POWERS = _Powers()
-powers = _POWERS.upto
+def _weights_from(place: int, n: int) -> np.ndarray:
+    return mix(np.arange(place + 1, place + n + 1, dtype=U64) * BASE) | U64(1)
+
+
+_WEIGHTS = _Weights()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit polynomial hash of the bytes of each span, in order of start.
+    """A 64-bit hash of the bytes of each span, in order of start: their sum under the places' weights, mixed.
 
     Work goes on by about PIECE bytes, and longer spans piece by piece, so that memory beside
     the result does not grow with the text.
@@ -121,7 +125,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
         if lower:
             byte = LOWER[byte]
         some = own > 0
-        weighed = (byte.astype(U64) + U64(1)) * powers(int(own.max(initial=1)))[place]
+        weighed = (byte.astype(U64) + U64(1)) * _WEIGHTS.upto(int(own.max(initial=1)))[place]
         if some.any():
             out[i:j][some] = np.add.reduceat(weighed, first[some])
         i = j
@@ -129,15 +133,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
 
 
 def _long_span(data: np.ndarray, lower: bool) -> np.uint64:
-    """The sum of a span longer than PIECE bytes: pieces under their powers of the base."""
-    with np.errstate(over="ignore"):
-        weight, step, total = U64(1), powers(PIECE)[PIECE - 1] * BASE, U64(0)
-        for at in range(0, len(data), PIECE):
-            byte = data[at : at + PIECE]
-            byte = LOWER[byte] if lower else byte
-            total += weight * ((byte.astype(U64) + U64(1)) * powers(PIECE)[: len(byte)]).sum(dtype=U64)
-            weight *= step
-    return total
+    """The sum of a span longer than PIECE bytes."""
+    total = 0
+    for at in range(0, len(data), PIECE):
+        byte = data[at : at + PIECE]
+        byte = LOWER[byte] if lower else byte
+        total += int(((byte.astype(U64) + U64(1)) * _weights_from(at, len(byte))).sum(dtype=U64))
+    return U64(total & 0xFFFFFFFFFFFFFFFF)
 
 
 def counted(members: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:

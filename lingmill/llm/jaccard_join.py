@@ -9,15 +9,19 @@ or shuffled; where it does not, the set's lowest other tokens are added, and not
 Tokens of one document alone open the prefix and cannot match: a document with a fifth of such
 tokens leaves at once.
 
-Pairs are filtered by length, by position of the shared token and by a suffix bound (the
-parities of token counts in 512 hash cells: every token of one set alone flips one, so the
-cells that differ bound the Hamming distance), then verified once on whole sets.
+Pairs are filtered by length, by position of the shared token and by a suffix bound (what
+follows is divided by hash into 512 cells: every token of one set alone flips the parity of
+one, so the cells that differ bound the Hamming distance), then verified once on whole sets.
 
 Large groups: equal sets are one set from the start. Then each token's members meet only a few
-pivots drawn by hash; verified links make components. Pairs in one component need no further
-look, so what remains are members of a token outside its largest component, against all its
-members: every pair of different components that shares a prefix token is tried, none is
-dropped, and no group emits all its pairs.
+pivots drawn by hash; verified links make components, and pairs in one component need no
+further look. What remains are sets with a prefix token that another component has too. For
+these all tokens are counted, and the order begins anew: tokens that one component alone has
+cannot be common to two, so they come first, and positions are exact. Other pivots join what
+they can; then all pairs of different components meet. By its position a token bounds the size
+of any partner that it could be the first to share, so members of a token are dealt by size and
+meet only in sizes that both admit: where a template is on many pages that differ enough, no
+pair is made at all. A pair that was tried is not tried again.
 
 Defined cases: null, empty and blank texts have no tokens and link with nothing; texts under
 five words are one shingle; a null doc_id is never the smallest of a component while another
@@ -27,7 +31,6 @@ ignored; long texts are whole.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U64, Words, mix, shingle_sets, slices, utf8
-from .common import drop_stage, map_arrow, stage, table, text_or_empty
+from .common import drop_stage, keep, map_arrow, packed_row, scope, stage, table, text_or_empty
 
 #: One token in so many (by hash) is ordered by frequency; more than a prefix's share must be.
 HEAD_ONE_IN = 4
@@ -126,14 +129,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-def _reclaim(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def postings(sets: DataFrame) -> DataFrame:
-    """token, sid, n, own, pos and signature: the prefix tokens of every set that another set also has.
+    """token, sid, n, own and pos: the prefix tokens of every set that another set also has.
 
     own is the share of its counted tokens that no other set has.
 
@@ -145,29 +142,37 @@ def postings(sets: DataFrame) -> DataFrame:
     frequency = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     late = F.col("token") % 2
     shared = each.join(frequency, "token").withColumn("key", F.struct(late.alias("late"), F.when(late == 0, F.col("df")).otherwise(0).alias("df"), "token"))
-    ordered = shared.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("sid", "n", "n_first", *SIGNATURE), "sid")
+    ordered = shared.groupBy("sid").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sets.select("sid", "n", "n_first"), "sid")
     alone = F.col("n_first") - F.size(F.filter("keys", lambda k: k["late"] == 0))
     placed = ordered.withColumn("alone", alone).select(
-        "sid", "n", *SIGNATURE, (F.col("alone") / F.greatest("n_first", F.lit(1))).alias("own"), F.explode(F.transform("keys", lambda k, i: F.struct(k["token"].alias("token"), (F.col("alone") + i).alias("pos")))).alias("t")
+        "sid", "n", (F.col("alone") / F.greatest("n_first", F.lit(1))).alias("own"), F.explode(F.transform("keys", lambda k, i: F.struct(k["token"].alias("token"), (F.col("alone") + i).alias("pos")))).alias("t")
     )
-    return placed.select("t.token", "sid", "n", "own", "t.pos", *SIGNATURE).filter(F.col("pos") < F.col("n") - F.expr("(4 * n + 4) div 5") + 1)
+    return placed.select("t.token", "sid", "n", "own", "t.pos").filter(F.col("pos") < F.col("n") - F.expr("(4 * n + 4) div 5") + 1)
 
 
 def _fits(one: str, two: str) -> F.Column:
-    """Length, positional and suffix filters for a token that two rows of postings share.
+    """Length and positional filters for a token that two rows of postings share.
 
     A pair that links has a first common token, and all its common tokens are that one and
     later ones; so the pair passes by that token at least, and by others it need not.
     """
     c = lambda which, name: F.col(f"{which}{name}")
-    sizes = c(one, "n") + c(two, "n")
-    need = F.expr(f"(4 * ({one}n + {two}n) + 8) div 9")
     length = (5 * c(one, "n") >= 4 * c(two, "n")) & (5 * c(two, "n") >= 4 * c(one, "n"))
-    place = F.least(c(one, "n") - c(one, "pos"), c(two, "n") - c(two, "pos")) >= need
-    apart = F.bit_count(c(one, SIGNATURE[0]).bitwiseXOR(c(two, SIGNATURE[0])))
-    for s in SIGNATURE[1:]:
-        apart = apart + F.bit_count(c(one, s).bitwiseXOR(c(two, s)))
-    return length & place & (apart <= sizes - 2 * need)
+    return length & (9 * F.least(c(one, "n") - c(one, "pos"), c(two, "n") - c(two, "pos")) >= 4 * (c(one, "n") + c(two, "n")))
+
+
+def _alike(one: str, two: str) -> F.Column:
+    """The suffix filter, by the signatures of two rows."""
+    apart = F.lit(0)
+    for s in SIGNATURE:
+        apart = apart + F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s)))
+    return apart <= F.col(f"{one}n") + F.col(f"{two}n") - 2 * F.expr(f"(4 * ({one}n + {two}n) + 8) div 9")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) that pass the suffix filter."""
+    side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"{s}n"), *(F.col(c).alias(s + c) for c in SIGNATURE))
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter(_alike("x", "y")).select("x", "y")
 
 
 def _as(df: DataFrame, which: str, *columns: str) -> DataFrame:
@@ -211,62 +216,97 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    spark = docs.sparkSession
-    every = stage(sketches(docs), "sketches")
+    with scope():
+        return keep(_near_groups(docs, pivots), "near")
+
+
+def _near_groups(docs: DataFrame, pivots: int) -> DataFrame:
     keys = ["n", "d1", "d2"]
-    sets = stage(
-        every.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("n_first").alias("n_first"), *(F.first(c).alias(c) for c in SIGNATURE)).withColumn("sid", F.monotonically_increasing_id()),
-        "sets",
-    )
+    every = stage(sketches(docs), "sketches")
+    firsts = (F.first(c).alias(c) for c in ("head", "n_first", *SIGNATURE))
+    sets = stage(every.filter("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), *firsts).withColumn("sid", F.monotonically_increasing_id()), "sets")
     heads, every = every, stage(every.select("doc_id", *keys), "identities")
     drop_stage(heads)
-    _reclaim(spark)
     prefix = stage(postings(sets), "postings")
-    _reclaim(spark)
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
-    prefix2 = stage(prefix.join(shared, "token"), "postings")
-    drop_stage(prefix)
-    full = _full_sets(docs, sets, prefix2)
-    _reclaim(spark)
+    shared = stage(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token"), "shared")
+    prefix = stage(prefix.join(shared, "token"), "postings")
+    full = _full_sets(docs, sets, prefix)
 
     # pivots: the member with the least of its own, which of copies is their origin, and others by draw
-    row = ["sid", "n", "pos", *SIGNATURE]
-    drawn = [F.min(F.struct((F.col("own") if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("sid", F.lit(k)).alias("draw"), *row)).alias(f"p{k}") for k in range(pivots)]
-    chosen = prefix2.groupBy("token").agg(*drawn).select("token", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("p"))
-    chosen = chosen.select("token", *(F.col(f"p.{c}").alias(f"p{c}") for c in row)).dropDuplicates(["token", "psid"])
-    star = _as(prefix2, "m", *row).join(chosen, "token").filter((F.col("msid") != F.col("psid")) & _fits("m", "p")).select(F.col("msid").alias("sid"), F.col("psid").alias("pivot"))
-    edges = stage(verify(star.select(F.least("sid", "pivot").alias("x"), F.greatest("sid", "pivot").alias("y")).distinct(), full), "links")
+    rows = prefix.withColumn("comp", F.col("sid"))
+    tried = stage(_star(rows, F.col("own"), pivots, 0), "pairs")
+    edges = stage(verify(_plausible(tried, sets), full), "links")
     comps = components(edges)
-    _reclaim(spark)
 
-    rest = stage(verify(_between(prefix2, comps), full), "links")
-    if rest.limit(1).count():
-        comps = components(edges.unionByName(rest))
+    rows = crossings(prefix, full, comps, sets)
+    again = stage(_star(rows, F.lit(0.0), pivots, pivots, suffix=True).join(tried, ["x", "y"], "left_anti"), "pairs")
+    more = stage(verify(again, full), "links")
+    if more.limit(1).count():
+        edges = stage(edges.unionByName(more), "links")
+        comps = components(edges)
+    pairs = stage(between(rows, comps).join(tried.unionByName(again), ["x", "y"], "left_anti"), "pairs")
+    more = stage(verify(pairs, full), "links")
+    if more.limit(1).count():
+        comps = components(edges.unionByName(more))
     smallest = comps.join(sets.select("sid", "rep"), "sid").groupBy("comp").agg(F.min("rep").alias("least"))
     named = sets.select(*keys, "sid", "rep").join(comps.join(smallest, "comp").select("sid", "least"), "sid", "left").select(*keys, F.coalesce("least", "rep").alias("component_id"))
-    linked = every.filter("n > 0").select("doc_id", *keys).join(named, keys)
+    linked = every.filter("n > 0").select("doc_id", *keys).join(stage(named, "named"), keys)
     alone = every.filter("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    _reclaim(spark)
     return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def _between(prefix: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs that share a prefix token and lie in different components.
+def open_sets(prefix: DataFrame, comps: DataFrame) -> DataFrame:
+    """sid and comp of the sets with a prefix token that sets of another component have too."""
+    member = stage(prefix.select("token", "sid").join(comps, "sid", "left").select("token", "sid", F.coalesce("comp", "sid").alias("comp")), "members")
+    met = stage(member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token"), "met")
+    return member.join(met, "token").select("sid", "comp").distinct()
+
 
-    Per token, members outside its largest component meet all members; tokens whose members
-    are of one component have no such pairs.
+def _star(rows: DataFrame, own: F.Column, pivots: int, salt: int, suffix: bool = False) -> DataFrame:
+    """Pairs (x, y) of each token's members with a few of them, of different components and passing the filters."""
+    row = ["sid", "comp", "n", "pos", *(SIGNATURE if suffix else [])]
+    drawn = [F.min(F.struct((own if k == 0 else F.lit(0.0)).alias("own"), F.xxhash64("sid", F.lit(k + salt)).alias("draw"), *row)).alias(f"p{k}") for k in range(pivots)]
+    chosen = rows.groupBy("token").agg(*drawn).select("token", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("p"))
+    chosen = stage(chosen.select("token", *(F.col(f"p.{c}").alias(f"p{c}") for c in row)).dropDuplicates(["token", "psid"]), "pivots")
+    met = _as(rows, "m", *row).join(chosen, "token").filter((F.col("mcomp") != F.col("pcomp")) & _fits("m", "p"))
+    met = met.filter(_alike("m", "p")) if suffix else met
+    return met.select(F.least("msid", "psid").alias("x"), F.greatest("msid", "psid").alias("y")).distinct()
+
+
+def crossings(prefix: DataFrame, full: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, sid, comp, n, pos, most and signature: the exact prefix of every open set, of tokens that two components have.
+
+    With r tokens of n from one on, a pair that shares it first has r in common at most, and a
+    link needs 4 (n + m) / 9 of them where the partner has m; so m is most = (9 r - 4 n) / 4.
     """
-    member = prefix.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    member = stage(member, "members")
-    count = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    major = count.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", F.col("m.comp").alias("major"))
-    open_rows = member.join(major, "token").withColumn("first", F.col("comp") == F.col("major"))
-    row = ["sid", "n", "pos", "comp", *SIGNATURE]
-    x, y = _as(open_rows.filter("not first"), "x", *row), _as(open_rows, "y", *row, "first")
-    pairs = x.join(y, "token").filter((F.col("xcomp") != F.col("ycomp")) & (F.col("yfirst") | (F.col("xsid") < F.col("ysid"))) & _fits("x", "y"))
+    each = full.join(stage(open_sets(prefix, comps), "open"), "sid").select("sid", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    crossing = stage(each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo != hi").select("token", "df"), "crossing")
+    ranked = each.join(crossing, "token").groupBy("sid").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("keys"))
+    place = F.col("n") - F.size("keys")
+    rows = ranked.join(sets.select("sid", *SIGNATURE), "sid").select("sid", "comp", "n", *SIGNATURE, F.explode(F.transform("keys", lambda k, i: F.struct(k["token"].alias("token"), (place + i).alias("pos")))).alias("t"))
+    rows = rows.select("t.token", "sid", "comp", "n", "t.pos", F.expr("(9 * (n - t.pos) - 4 * n) div 4").alias("most"), *SIGNATURE)
+    return stage(rows.filter((F.col("pos") < F.col("n") - F.expr("(4 * n + 4) div 5") + 1) & (5 * F.col("most") >= 4 * F.col("n"))), "crossings")
+
+
+def between(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different components that share a token of crossings() and pass its filters.
+
+    The larger of a pair looks for its partners in the classes of size from 4 n / 5 to most.
+    """
+    now = rows.drop("comp").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    row = ["sid", "comp", "n", "pos", *SIGNATURE]
+    x = _as(now, "x", *row, "most").withColumn("size", F.explode(F.sequence(_size_class(F.expr("(4 * xn + 4) div 5")), _size_class(F.least("xn", "xmost")))))
+    y = _as(now.filter("most >= n"), "y", *row).withColumn("size", _size_class(F.col("yn")))
+    later = (F.col("yn") < F.col("xn")) | (F.col("yn") == F.col("xn")) & (F.col("ysid") < F.col("xsid"))
+    pairs = x.join(y, ["token", "size"]).filter((F.col("xcomp") != F.col("ycomp")) & later & _fits("x", "y") & _alike("x", "y"))
     return pairs.select(F.least("xsid", "ysid").alias("x"), F.greatest("xsid", "ysid").alias("y")).distinct()
 
 
+def _size_class(n: F.Column) -> F.Column:
+    """Sizes in steps of a twentieth."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
+
+
 def _full_sets(docs: DataFrame, sets: DataFrame, prefix: DataFrame) -> DataFrame:
     """sid and tokens of the sets that have a candidate; their texts are read again."""
     alive = stage(prefix.select("sid").distinct().join(sets.select("sid", "n", "d1", "d2", "rep"), "sid"), "alive")
@@ -283,11 +323,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat that doc_id with another text of the same group stay with it.
     """
-    groups = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(groups, docs["doc_id"].cast("long").eqNullSafe(groups["doc_id"]), "left_semi")
+    groups = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(packed_row(docs).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    return rows.join(groups, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
-
-

@@ -84,6 +84,36 @@ def test_near_groups(docs, rows, empty):
     assert jaccard_join.near_groups(empty).count() == 0
 
 
+def test_near_groups_of_a_template_make_no_pairs(spark, monkeypatch):
+    made = {}
+    plain = jaccard_join.stage
+
+    def spy(df, name):
+        out = plain(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", spy)
+    base = " ".join(f"t{i}" for i in range(104))
+    for n in (100, 1000):
+        made.clear()
+        rows = [(i, base + " " + " ".join(f"o{i}x{k}" for k in range(13))) for i in range(n)]
+        got = jaccard_join.near_groups(plain(spark.createDataFrame(rows, "doc_id long, text string"), "template")).collect()
+        assert all(r.component_id == r.doc_id for r in got) and len(got) == n
+        assert made["pairs"][1:] == [0, 0] and made["pairs"][0] <= 3 * n and max(made["crossings"]) <= 15 * n
+
+
+def test_near_groups_of_a_chain(spark):
+    draw = random.Random(21)
+    text = [f"v{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        text[draw.randrange(80)] = f"n{i}"
+        rows.append((i, " ".join(text[: draw.randint(70, 80)])))
+    want = components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_groups(stage(spark.createDataFrame(rows, "doc_id long, text string"), "chain")).collect()} == want
+
+
 def test_packing_round_trip(docs, rows, empty):
     from tokenizers import Tokenizer
 
