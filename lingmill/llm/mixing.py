@@ -9,9 +9,9 @@ The schedule moves every source's rate linearly from its start rate at time 0 to
 at time 1. Its integral is the source's cumulative demand; inverted at a document's place in
 the stream it gives the training position, and documents are sorted by range of position.
 
-No source is a task: documents are sorted by range of (source, draw), running sums inside the
-sorted partitions carry on over their sources, and the partitions' totals (a row for each
-partition and source in it) give their bases.
+No source is a task: documents are sorted by range of (source, draw) and the sorted partitions
+cut into blocks of a fixed number of rows. Running sums go in three levels: inside blocks, over
+the blocks of a partition, and over the partitions of a source.
 
 Defined cases: null texts have no words and are taken zero times; the null source is one
 source, last in order; ties in the order of a source are broken by all that is known of the
@@ -22,20 +22,18 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_arrow, numbered, packed_row, scope, stage, table
+from .common import keep, numbered, packed_row, scope, stage, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]++"
-#: Rows for sources, and for partitions and sources, up to this many (under 100 bytes each) are broadcast.
+#: Rows for sources, and for blocks and sources, up to this many (under 100 bytes each) are broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a block of the running sums.
+BLOCK_ROWS = 512
 #: Rate of a source at time 0 relative to its mean, by its place in the repeating weights.
 START_RATES = (1.5, 1.0, 0.5)
 
@@ -67,25 +65,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
     return ranked.select("source", "source_size", "place", "weight", F.when(capped, (F.col("source_size") * cap).cast("double")).otherwise(shared).alias("target"))
 
 
-def _running(rows: DataFrame) -> DataFrame:
-    """rows, sorted inside partitions by place first, with within: the sum of size before each row in its partition and place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, carry = -1, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            place, size = np.asarray(batch.column("place")), np.asarray(batch.column("size"))
-            before = np.cumsum(size) - size
-            fresh = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            base = np.repeat(before[fresh], np.diff(np.append(fresh, len(place))))
-            within = before - base
-            if place[0] == last:
-                within[: fresh[1] if len(fresh) > 1 else None] += carry
-            last, carry = int(place[-1]), int(within[-1] + size[-1])
-            yield batch.append_column("within", pa.array(within))
-
-    return map_arrow(rows, run, rows.select("*", F.lit(0).cast("long").alias("within")).schema)
+def _running(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with start: the sum of size of all rows of the same place before each in the given order, place first."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    at = F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)
+    ordered = stage(dealt.withColumn("at", at).withColumn("block", F.expr(f"at div {BLOCK_ROWS}")), "ordered")
+    blocks = ordered.groupBy("place", "part", "block").agg(F.sum("size").alias("total"))
+    blocks = stage(blocks.withColumn("in_part", F.sum("total").over(Window.partitionBy("place", "part").orderBy("block")) - F.col("total")), "blocks")
+    parts = blocks.groupBy("place", "part").agg(F.sum("total").alias("part_total"))
+    parts = parts.select("place", "part", (F.sum("part_total").over(Window.partitionBy("place").orderBy("part")) - F.col("part_total")).alias("of_part"))
+    bases = stage(blocks.join(parts, ["place", "part"]).select("place", "part", "block", (F.col("in_part") + F.col("of_part")).alias("base")), "bases")
+    inside = Window.partitionBy("part", "block", "place").orderBy("at")
+    summed = ordered.withColumn("within", F.sum("size").over(inside) - F.col("size"))
+    met = summed.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, ["place", "part", "block"])
+    return met.withColumn("start", F.col("within") + F.col("base")).drop("part", "at", "block", "within", "base")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS, start_rates: tuple[float, ...] = START_RATES) -> DataFrame:
@@ -104,14 +97,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPE
         named = F.broadcast(named) if plan.count() <= BROADCAST_ROWS else named
         met = sized.join(named, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumnRenamed("t_place", "place")
         order = ["place", "draw", "size", "tie", "rid"]
-        ordered = stage(_running(met.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())), "ordered")
-        sums = ordered.groupBy("place", "part").agg(F.sum("size").alias("part_size"))
-        base = stage(sums.select("place", "part", (F.sum("part_size").over(Window.partitionBy("place").orderBy("part")) - F.col("part_size")).alias("base")), "bases")
-        placed = (
-            ordered.join(F.broadcast(base) if base.count() <= BROADCAST_ROWS else base, ["place", "part"])
-            .withColumn("start", F.col("within") + F.col("base"))
-            .withColumn("goal", F.round("t_target").cast("long"))
-        )
+        placed = _running(met, order).withColumn("goal", F.round("t_target").cast("long"))
         size, total, goal, start = F.col("size"), F.col("t_source_size"), F.col("goal"), F.col("start")
         laps = F.when(total > 0, F.expr("goal div t_source_size")).otherwise(0)
         last = F.when(total > 0, F.least(size, F.greatest(F.lit(0), goal - laps * total - start))).otherwise(0)
