@@ -309,12 +309,54 @@ def test_html_blocks_and_differencing(spark):
 
 
 def test_licences(spark):
-    text = "plain words here\nReleased under the MIT License.\nthe driver lost his license\nLicensed under CC BY-NC 4.0."
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    text = f"plain words here\nReleased under the MIT License.\nthe driver lost his license\nLicensed under CC BY-NC 4.0.\n\n{wrapped}\n\nThis software is distributed under the Boost Software License, Version 1.0.\nZlib License"
     got = licenses.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [(f.family, text[f.start : f.end], f.confirmed) for f in got[0].findings] == [("mit", "Released under the MIT License.", True), ("cc-by-nc", "Licensed under CC BY-NC 4.0.", True)]
+    assert [(f.family, text[f.start : f.end], f.confirmed) for f in got[0].findings] == [
+        ("mit", "Released under the MIT License.", True), ("cc-by-nc", "Licensed under CC BY-NC 4.0.", True), ("mit", wrapped, True),
+        ("unknown", "This software is distributed under the Boost Software License, Version 1.0.", False), ("unknown", "Zlib License", False),
+    ]
     assert not got[1].findings
 
 
+def test_licence_model_is_calibrated():
+    model = licenses.train()
+    assert min(licenses.TEMPERATURES) < model.temperature < max(licenses.TEMPERATURES)
+    assert min(model.recall.values()) > 0.9 and model.family_min >= licenses.FAMILY_MIN
+    learnt = {p for _, p in licenses._samples(random.Random(11))[0]}
+    assert not any(name in p for name in licenses.CALIBRATING for p in learnt)
+
+
+def test_licence_scores_by_brute_force():
+    from lingmill.llm.bytesets import ngram_hashes, span_hashes
+
+    model = licenses.train()
+    lines = ["Licensed under the Apache License, Version 2.0.", "", "é nothing", "see the GNU GPL v3 for\tdetails", "Redistributions of source code must retain"]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    starts, ends, _, sums = licenses._scores(data, np.array([0, len(data)]), model)
+    at = {h: i for i, h in enumerate(model.known.tolist())}
+    want = {}
+    for line in lines:
+        own = np.frombuffer(line.encode(), np.uint8)
+        found = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", line.encode())]
+        word = span_hashes(own, np.array([a for a, _ in found], int), np.array([b for _, b in found], int), True)
+        hit = {at[h] for n in licenses.LENGTHS for h in ngram_hashes(word, n).tolist() if h in at}
+        if hit:
+            want[line] = sum(model.weights[i].astype(float) for i in hit) + model.weights[-1]
+    got = {data[a:b].tobytes().decode(): s for a, b, s in zip(starts, ends, sums, strict=True)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
+def test_paragraphs_join_wrapped_lines():
+    texts = ["a long line of words that goes on and on in\nthe next one\nshort\nother", "", "x\n\ny", "a long line of words that ends in a full stop.\nnext"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    starts, ends, row = licenses.paragraphs(data, off)
+    got = [(int(r), data[a:b].tobytes().decode()) for a, b, r in zip(starts, ends, row, strict=True)]
+    first = texts[0].split("\nshort")[0]
+    assert got == [(0, first), (0, "short"), (0, "other"), (1, ""), (2, "x"), (2, ""), (2, "y"), *[(3, x) for x in texts[3].split("\n")]]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
