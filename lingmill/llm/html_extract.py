@@ -14,8 +14,9 @@ was there to compare with and lacks them.
 
 Defined cases: a null html is empty; a page without text gives the empty string; null or
 unreadable URLs are one host of their own order; repeated rows each get their text; an empty
-table gives no rows; other columns are ignored; pages are whole at any length. Malformed tags
-end at the next tag; unclosed furniture ends where its parent does.
+table gives no rows; other columns are ignored; pages are whole at any length. A quote holds a
+value only right after "=" and where it is closed; any other is a letter of its tag. Unclosed
+furniture ends where its parent does.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, table
+from .common import keep, map_arrow, scope, stage, table
 
 #: Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,24 +54,32 @@ MARKED = set(
     " recommended recommendations newsletter subscribe subscription signup login search comment comments discussion disqus replies"
     " respond complementary contentinfo search skip copyright hidden".split()
 )
-#: Of these, words that inside an article mark its own heading.
-MARKED_OUTSIDE = {"header", "side", "copyright"}
+#: Inside an article these whole class names, ids and roles mark furniture; other words of theirs style its text.
+MARKED_INSIDE = set(
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination"
+    " footer comments comment-list comment-form discussion disqus disqus_thread replies respond reader-comments user-comments cookie-notice cookie-banner cookies consent"
+    " notice notices newsletter newsletter-signup subscribe related related-posts related-articles recommended recommendations share-buttons sharing social-share social"
+    " complementary contentinfo".split()
+)
+#: Elements that are furniture outside an article, and may be text in one.
+TEXT_INSIDE = {"math", "map", "svg", "dialog", "audio", "video"}
 #: Words that make an article element furniture.
 MARKED_ARTICLE = set("comment comments reply related ad advert sponsored promo".split())
 MAIN_IN = {"article", "main"}
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
 
 def _furniture(name: str, attrs: str, inside: bool) -> bool:
-    if name in FURNITURE:
+    if name in FURNITURE and not (inside and name in TEXT_INSIDE):
         return True
     if not attrs or name in ("body", "html", "main"):
         return False
-    marked = MARKED_ARTICLE if name == "article" else MARKED - MARKED_OUTSIDE if inside else MARKED
+    whole = inside and name != "article"
+    marked = MARKED_ARTICLE if name == "article" else MARKED_INSIDE if inside else MARKED
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
@@ -78,7 +87,7 @@ def _furniture(name: str, attrs: str, inside: bool) -> bool:
         if key == "style":
             if "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""):
                 return True
-        elif key in ("class", "id", "role") and not marked.isdisjoint(_WORDS.findall(value)):
+        elif key in ("class", "id", "role") and not marked.isdisjoint(value.split() if whole else _WORDS.findall(value)):
             return True
     return False
 
@@ -334,7 +343,8 @@ def decided(read: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of pages."""
     read = stage(parsed(pages), "parsed")
-    told = stage(decided(read), "decided")
+    with scope():
+        told = keep(decided(read), "decided")
     told = F.broadcast(told) if told.count() <= BROADCAST_PAGES else told
     by_tags = "CASE WHEN array_contains(kinds, 2) THEN filter(lines, (x, i) -> kinds[i] = 2) ELSE lines END"
     text = F.expr(f"array_join(CASE WHEN keep IS NULL THEN {by_tags} ELSE transform(keep, i -> lines[i]) END, '\n')")

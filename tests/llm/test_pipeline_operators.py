@@ -373,6 +373,43 @@ def test_pipeline_stages(spark, tmp_path):
     assert at.filter(F.col("text").isNull()).count() == 0
 
 
+def test_html_odd_markup():
+    text = lambda page: [t for t, k in html_extract.blocks(page) if k == 2]
+    assert text("""<article><p title="5" monitor">Hello world</p><p class="x">Bye</p></article>""") == ["Hello world", "Bye"]
+    assert text("<article><p data-x=it's>one</p><p title='a>b'>two</p><p a=\"open>three</p></article>") == ["one", "two", "three"]
+    assert text('<article><p class="share price">sold <math>x</math></p><p class="alert hidden-gem">kept</p><div class="comments">no</div><form>no</form><nav>no</nav></article>') == ["sold x", "kept"]
+    assert [k for _, k in html_extract.blocks("<p class='alert'>gone</p><p>here</p>")] == [0, 1]
+
+
+def test_common_lines_by_brute_force():
+    draw = random.Random(6)
+    for _ in range(300):
+        a, b = ([draw.randint(0, 5) for _ in range(draw.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        kept = [x for x, k in zip(a, html_extract.common_lines(a, b), strict=True) if k]
+        rest = iter(b)
+        assert len(kept) == best[-1][-1] and all(any(y == x for y in rest) for x in kept)
+        assert sum(html_extract.shared_lines(a, b)) == len(kept)
+
+
+def test_html_sites_by_brute_force(spark):
+    """A site of pages in one template: what all pages share goes, what each has alone stays."""
+    draw = random.Random(14)
+    frame = [f"menu item {k}" for k in range(6)]
+    pages, want = [], {}
+    for i in range(12):
+        own = [f"sentence {i} {k} " + " ".join(draw.choices(["of", "many", "words", "here"], k=12)) for k in range(draw.randint(2, 5))]
+        lines = frame[:3] + own + frame[3:]
+        pages.append((i, f"http://site.example/{i:02d}", "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"))
+        want[i] = "\n".join(own)
+    table = stage(spark.createDataFrame(pages, "page_id long, url string, html string"), "site")
+    assert {r.page_id: r.text for r in html_extract.extract(table).collect()} == want
+    assert html_extract._neighbours(html_extract.parsed(table)).filter("size(others) >= 4").count() == 12
+
+
 def test_html_articles_are_differenced(spark):
     marked = "<div><p>Site name</p></div><article><p>{0}</p><p>{1}</p><p>Share this story</p></article><div><p>{2}</p></div>"
     bodies = [(f"story {i} " * 9, "quoted by two" if i in (2, 3) else f"more of {i}", f"dateline {i}") for i in range(6)]
