@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,18 @@ def must_be(values: frozenset[int], b: int) -> bool:
 
 def could_be(values: frozenset[int], b: int) -> bool:
     return b in values
+
+
+def put(record: Column, name: str, value: Column) -> Column:
+    """A map with a value set, which takes the place of one that is there."""
+    return F.map_concat(removed(record, name), F.create_map(F.lit(name), value))
+
+
+def removed(record: Column, *names: str) -> Column:
+    return F.map_filter(record, lambda k, _: ~k.isin(*names))
+
+
+def prepared_lines(rows: DataFrame, most: int, low: int, high: int, encoding: str = "UTF-8", key: str = "doc_id", order: str = "line_no") -> DataFrame:
+    """The first lines of each text with low to high bytes, newline counted, and their bytes in the encoding."""
+    fit = rows.filter((F.octet_length("line") + 1).between(low, high))
+    return fit.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("__place") <= most).drop("__place").withColumn("bytes", F.encode("line", encoding))

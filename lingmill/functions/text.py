@@ -36,32 +36,89 @@ def decanonical(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, " ([.,;:!?)\\]}])", "$1"), "([(\\[{]) ", "$1")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end at . ! ? : before a blank that opens no lower-case letter, digit or mark, or at a blank line."""
-    return F.filter(F.transform(F.split(text, "(?<=[.!?:])(?<!\\b[A-Z]\\.)\\s+(?![\\p{Ll}0-9.,;:!?-])|\\n\\s*\\n"), lambda s: F.trim(F.regexp_replace(s, "\\s+", " "))), lambda s: s != "")
+def sentences(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
+    """Sentences end at . ! ? : before a blank that opens no lower-case letter, digit or mark, or at a blank line.
+
+    The point of an abbreviation or of an initial ends none.
+    """
+    held = F.regexp_replace(text, f"(^|[^\\p{{L}}])({'|'.join(map(re.escape, abbreviations))}|\\p{{Lu}})\\.([ \\t\\n\\r])", "$1$2\x01$3")
+    cut = F.regexp_replace(F.regexp_replace(held, "([.!?:])[ \\t\\n\\r]+([^\\p{Ll}0-9.,;:!? \\t\\n\\r-])", "$1\x02$2"), "\n[ \\t\\r]*\n", "\x02")
+    plain = lambda x: F.trim(F.regexp_replace(F.translate(x, "\x01", "."), "[ \\t\\n\\r]+", " "))
+    return F.filter(F.transform(F.split(cut, "\x02", -1), plain), lambda x: x != "")
+
+
+def known_abbreviation(word: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
+    """Whether a word, without the point behind it, is one of the list, as it is written there."""
+    return F.array_contains(F.array(*map(F.lit, abbreviations)), F.regexp_replace(word, "\\.$", ""))
+
+
+def character(point: Column) -> Column:
+    """The character of a code point; ? for none and from U+10FFFF on."""
+    odd = point.isNull() | (point >= 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    return F.when(odd, "?").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.when(odd, 63).otherwise(point)), 8, "0")), "UTF-32"))
 
 
 def decode_entities(text: Column) -> Column:
-    """Decimal entities with their semicolon; named ones stay."""
+    """Decimal entities as their characters; what ends the digits other than ; is echoed and opens none. Named ones stay."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s)&#[0-9]+(?:[^0-9]|$)|[^&]+|&"), F.lit(0))
 
-    ship_package(SparkSession.active())
+    def one(p: Column) -> Column:
+        digits = F.regexp_extract(p, "^&#([0-9]+)", 1)
+        last = F.when(p.endswith(";"), "").otherwise(F.regexp_extract(p, "(?s)^&#[0-9]+(.?)$", 1))
+        return F.when(digits == "", p).otherwise(F.concat(character(digits.try_cast("int")), last))
 
-    @F.pandas_udf("string")
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(decode_decimal, na_action="ignore")
+    return F.array_join(F.transform(pieces, one), "")
 
-    return run(text)
+
+def code_points(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def utf16_units(text: Column) -> Column:
+    """The length in 16-bit units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def converted(content: Column, source: str, target: str) -> Column:
+    """Bytes of one charset as bytes of another."""
+    return F.encode(F.decode(content, source), target)
+
+
+def up_to(text: Column, mark: str) -> Column:
+    """What stands before the first mark."""
+    return F.substring_index(text, mark, 1)
+
+
+def string_number(text: Column) -> Column:
+    """A whole number of 60 bits that texts are known by, the same everywhere."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def decode_decimal(text: str) -> str:
-    """&#n; as its character, ? from U+10FFFF on; another ending of the digits is echoed."""
+def random_number(key: Column, below: int, seed: int = 0) -> Column:
+    """A pseudo-random whole number from 0 on, below the bound, that key and seed fix."""
+    return string_number(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))) % below
 
-    def one(m: re.Match) -> str:
-        point = int(m[1])
-        put = "?" if point >= 0x10FFFF or 0xD800 <= point < 0xE000 else chr(point)
-        return put + ("" if m[2] == ";" else m[2])
 
-    return re.sub(r"&#([0-9]+)(.|\Z)", one, text, flags=re.S)
+_ENTITY = "\\[\\[([A-Z]+):([^\\]|]*)(?:\\|([^\\]]*))?\\]\\]"
+
+
+def named_entities(text: Column) -> Column:
+    """array<struct<kind, surface, name>> of the marked entities [[KIND:surface]] and [[KIND:surface|name]]."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(k))
+    return F.transform(F.arrays_zip(part(1).alias("kind"), part(2).alias("surface"), part(3).alias("name")), lambda e: F.struct(e["kind"].alias("kind"), e["surface"].alias("surface"), F.nullif(e["name"], F.lit("")).alias("name")))
+
+
+def strip_entities(text: Column) -> Column:
+    """Marked entities by their surface."""
+    return F.regexp_replace(text, _ENTITY, "$2")
+
+
+def cognate_score(a: Column, b: Column, classes: tuple[str, ...] = ("cks", "dt", "fv", "iy", "gj", "uw")) -> Column:
+    """1 less the edits over the longer length, where letters of one class are equal; 1 of two empty words."""
+    came, to = "".join(c[1:] for c in classes), "".join(c[0] * (len(c) - 1) for c in classes)
+    x, y = F.translate(F.lower(a), came, to), F.translate(F.lower(b), came, to)
+    n = F.greatest(F.char_length(x), F.char_length(y))
+    return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / n)
 
 
 def strip_comments(html: Column) -> Column:
@@ -77,9 +134,42 @@ def hrefs(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit("<[aA]\\s[^>]*?[hH][rR][eE][fF]=\"([^\"]*)\""), F.lit(1)))
 
 
+def tag_attributes(html: Column) -> Column:
+    """array<struct<name, attributes>> of the tags that open: names in upper case, quoted attributes as text."""
+    tag = "<([A-Za-z][A-Za-z0-9]*)((?:\\s+[A-Za-z-]+\\s*=\\s*\"[^\"]*\")*)\\s*/?>"
+    names, rest = (F.regexp_extract_all(html, F.lit(tag), F.lit(k)) for k in (1, 2))
+    attribute = "([A-Za-z-]+)\\s*=\\s*\"([^\"]*)\""
+    pair = lambda r: F.zip_with(F.regexp_extract_all(r, F.lit(attribute), F.lit(1)), F.regexp_extract_all(r, F.lit(attribute), F.lit(2)), lambda k, v: F.concat(F.upper(k), F.lit("="), v))
+    return F.zip_with(names, rest, lambda n, r: F.struct(F.upper(n).alias("name"), pair(r).alias("attributes")))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A link as an address: absolute ones as they are, others by host or folder of the base."""
+    root, folder = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(F.regexp_extract(base, "^[^?#]*", 0), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)[^/]*$", 1)
+    scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    return (
+        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(base, "^[^#]*", 0), link)).otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link))
+    )
+
+
+def absolute_links(html: Column, url: Column, same_folder: bool = False) -> Column:
+    """hrefs() resolved against the page's BASE or its own address, each once; with same_folder those below it alone."""
+    base = F.coalesce(F.nullif(F.regexp_extract(html, "<[bB][aA][sS][eE]\\s[^>]*?[hH][rR][eE][fF]=\"([^\"]*)\"", 1), F.lit("")), url)
+    out = F.array_distinct(F.transform(hrefs(html), lambda x: resolved(x, base)))
+    folder = F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
+    return F.filter(out, lambda x: x.startswith(folder)) if same_folder else out
+
+
+def plain_links(text: Column) -> Column:
+    """Addresses that stand in a text without tags, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?:https?|ftp)://[^\\s<>\"')]+"), F.lit(0)))
+
+
 def strip_markup(html: Column) -> Column:
     """Text of a page: scripts, styles and comments out, blocks on lines of their own, entities decoded."""
     out = F.regexp_replace(strip_comments(html), "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    out = F.regexp_replace(out, "(?i)<img\\s[^>]*?alt=\"([^\"]*)\"[^>]*>", "[$1]")
     out = F.regexp_replace(out, "(?i)</?(p|h[1-6]|br|li|hr|div|ul|ol|tr|article|nav|footer|title)[^>]*>", "\n")
     out = F.regexp_replace(out, "<[^>]*>", "")
     for name, char in ENTITIES.items():
@@ -98,14 +188,14 @@ def url_part(url: Column, part: str) -> Column:
 
 def wrap(text: Column, width: int) -> Column:
     """Lines of at most width characters, broken at blanks; a longer word is a line of its own."""
+    plain = F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " "))
+    return F.regexp_extract_all(plain, F.lit(f"([^ ]{{{width + 1},}}|.{{0,{width - 1}}}[^ ])(?: |$)"), F.lit(1))
 
-    @F.pandas_udf("array<string>")
-    def run(col: pd.Series) -> pd.Series:
-        import textwrap
-
-        return col.map(lambda t: textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False), na_action="ignore")
 
-    return run(text)
+def wrapped_texts(text: Column, width: int, least: int, few: int = 100) -> Column:
+    """wrap() of each line, short pieces dropped; where fewer than few are left, of the whole text."""
+    each = F.filter(F.flatten(F.transform(F.split(text, "\n", -1), lambda x: wrap(x, width))), lambda x: F.char_length(x) >= least)
+    return F.when(F.size(each) < few, F.filter(wrap(text, width), lambda x: F.char_length(x) >= least)).otherwise(each)
 
 
 def romanised(text: str) -> str:

@@ -53,8 +53,27 @@ def uniform_bytes(sizes: Column, n: int) -> Column:
 
 
 def random_rows(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement; the draw of a row is a hash of all its columns and the seed."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns).limit(n)
+    """n rows without replacement; the draw of a row is the MD5 of the seed and all its columns."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)).cast("binary"))
+    return rows.orderBy(draw, *rows.columns).limit(n)
+
+
+def similarity_ordered(vectors: DataFrame) -> DataFrame:
+    """vec_id, v, score of a small set, by the sum of squared cosines to all others, the least alike first.
+
+    The set is a sample of at most a documented size, which its caller draws; it is broadcast to itself.
+    """
+    from .cluster import cosine
+
+    other = F.broadcast(vectors.select(F.col("vec_id").alias("other"), F.col("v").alias("w")))
+    near = vectors.join(other, F.col("vec_id") != F.col("other"), "left").withColumn("s", F.coalesce(F.pow(cosine(F.col("v"), F.col("w")), F.lit(2)), F.lit(0.0)))
+    return near.groupBy("vec_id").agg(F.first("v").alias("v"), F.round(F.sum("s"), 6).alias("score")).orderBy("score", "vec_id")
+
+
+def diversity_sample(vectors: DataFrame, n: int, of: int, seed: int = 0) -> DataFrame:
+    """The n least alike of a random sample of so many vectors."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("vec_id").cast("string")).cast("binary"))
+    return similarity_ordered(vectors.orderBy(draw, "vec_id").limit(of)).limit(n)
 
 
 def rejects(rows: DataFrame, kept: DataFrame, key: list[str]) -> DataFrame:

@@ -46,6 +46,38 @@ def confidence(text: Column, language: Column | None = None, covered: Column | N
     return F.when(n == 0, 0.0).otherwise(F.least(own, F.lit(CAP)))
 
 
+def confidence_floor(given: float | None, bare: bool = False, automatic: bool = False) -> float:
+    """The least confidence of a string: as given, 10 for a bare switch, 7 where charset and language are found, and never under 0.1."""
+    floor = given if given is not None else 10.0 if bare else 7.0 if automatic else 0.0
+    return floor if floor > 0 else 0.1
+
+
+def after_newlines(text: Column) -> Column:
+    """Without the ends of line and zeros that a string's end leaves."""
+    return F.regexp_replace(text, "^[\\s\\x00]+", "")
+
+
+#: Letters beyond a to z that the languages' sets desire.
+DESIRED = {
+    "english": "", "french": "éèêëàâçîïôûùœæ", "german": "äöüß", "spanish": "áéíóúñü", "italian": "àèéìòù", "portuguese": "áâãàçéêíóôõú", "swedish": "åäö", "danish": "æøå", "norwegian": "æøå",
+    "finnish": "äö", "dutch": "ëïé", "polish": "ąćęłńóśźż", "czech": "áčďéěíňóřšťúůýž", "hungarian": "áéíóöőúüű", "turkish": "çğıöşü", "romanian": "ăâîșț",
+}
+#: Ranges of the scripts that other sets desire.
+SCRIPTS = {"greek": "0x370-0x3FF,0x1F00-0x1FFF", "cyrillic": "0x400-0x52F", "hebrew": "0x590-0x5FF", "arabic": "0x600-0x6FF,0x750-0x77F", "devanagari": "0x900-0x97F", "thai": "0xE00-0xE7F", "georgian": "0x10A0-0x10FF", "hangul": "0xAC00-0xD7AF,0x1100-0x11FF", "japanese": "0x3040-0x30FF,0x4E00-0x9FFF", "chinese": "0x4E00-0x9FFF", "armenian": "0x530-0x58F"}
+
+
+def language_class(name: str) -> str:
+    """The desired characters of a language or script by name, as a class of a regular expression; name may stand behind an encoding and a colon."""
+    from ..sources.files import range_class
+
+    name = name.rsplit(":", 1)[-1].lower()
+    if name in DESIRED:
+        return f"[a-zA-Z{DESIRED[name]}{DESIRED[name].upper().replace('SS', '')}]"
+    if name in SCRIPTS:
+        return range_class(SCRIPTS[name])
+    raise KeyError(f"no set of characters is named {name}")
+
+
 def blended(conf: Column, raw: Column, size: Column) -> Column:
     """Confidence mixed with ten times the raw language score, by length."""
     part = F.when(size <= 8, 1 / 4).when(size <= 20, 1 / 3).when(size <= 40, 1 / 2).when(size <= 60, 2 / 3).when(size <= 80, 4 / 5).otherwise(7 / 8)

@@ -61,12 +61,15 @@ def sample_uniform_bytes(spark: SparkSession, d: str) -> DataFrame:
     return kept.filter("keep").select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query("sample_random")
+_DRAWN = "r AS (SELECT doc_id, line_no, row_number() OVER (ORDER BY md5('0:' || doc_id || ':' || line_no), doc_id, line_no) AS k FROM n)"
+
+
+@query("sample_random", f"WITH {_L}, {_DRAWN} SELECT doc_id, line_no FROM r WHERE k <= 100")
 def sample_random(spark: SparkSession, d: str) -> DataFrame:
     return S.random_rows(_lines(spark, d).select("doc_id", "line_no"), 100)
 
 
-@query("sample_random_rejects")
+@query("sample_random_rejects", f"WITH {_L}, {_DRAWN} SELECT doc_id, line_no FROM r WHERE k > 100")
 def sample_random_rejects(spark: SparkSession, d: str) -> DataFrame:
     rows = _lines(spark, d).select("doc_id", "line_no")
     return S.rejects(rows, S.random_rows(rows, 100), ["doc_id", "line_no"])
@@ -97,3 +100,13 @@ def line_interleave(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("i")
     out = both.join(F.broadcast(shortest), i < F.expr("n div 2 * 2"))
     return out.select((F.floor(i / 2) * 4 + F.col("file_no") * 2 + i % 2).alias("place"), "file_no", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query(
+    "sample_diversity",
+    """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT 60),
+r AS (SELECT a.vec_id, round(sum(pow(list_cosine_similarity(a.v, b.v), 2)), 6) AS score FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT vec_id, score FROM r ORDER BY score, vec_id LIMIT 20""",
+)
+def sample_diversity(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return S.diversity_sample(v, 20, 60).select("vec_id", "score")

@@ -35,9 +35,15 @@ def text_words_ends(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", w.alias("w")).select("doc_id", F.get("w", F.lit(0)).alias("first_word"), F.try_element_at("w", F.lit(-1)).alias("last_word"), F.size("w").cast("long").alias("n"))
 
 
-@query("text_sentences")
+ABBREVIATED = "|".join(T.ABBREVIATIONS)
+_SENTENCES = rf"""h AS (SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}])({ABBREVIATED}|\p{{Lu}})\.([ \t\n\r])', '\1\2' || chr(1) || '\3', 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([.!?:])[ \t\n\r]+([^\p{{Ll}}0-9.,;:!? \t\n\r-])', '\1' || chr(2) || '\2', 'g'), '\n[ \t\r]*\n', chr(2), 'g') AS t FROM h),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(2)), lambda x: trim(regexp_replace(replace(x, chr(1), '.'), '[ \t\n\r]+', ' ', 'g'))), lambda x: x <> '') AS ss FROM b)"""
+
+
+@query("text_sentences", f"WITH {_SENTENCES} SELECT doc_id, generate_subscripts(ss, 1) - 1 AS i, unnest(ss) AS sentence FROM s")
 def text_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+    return _docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("text_case", "SELECT doc_id, md5(upper(replace(text, 'ß', 's'))) AS up, md5(lower(text)) AS low, md5(reverse(text)) AS back, strpos(lower(text), 'the') AS the_at, length(text) AS chars, octet_length(encode(text)) AS bytes FROM documents")
@@ -46,9 +52,9 @@ def text_case(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", h(F.upper(F.replace(t, F.lit("ß"), F.lit("s")))).alias("up"), h(F.lower(t)).alias("low"), h(F.reverse(t)).alias("back"), F.instr(F.lower(t), "the").cast("long").alias("the_at"), F.char_length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"))
 
 
-@query("text_translate", "SELECT doc_id, md5(translate(text, 'éèêüöäñ', 'eeeuoan')) AS plain, base64(encode(substr(text, 1, 20))) AS b64, md5(text) AS h FROM documents")
+@query("text_translate", "SELECT doc_id, md5(translate(text, 'éèêüöäñ', 'eeeuoan')) AS plain, md5(base64(encode(text))) AS b64, md5(text) AS h FROM documents")
 def text_translate(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.md5(F.translate("text", "éèêüöäñ", "eeeuoan").cast("binary")).alias("plain"), F.base64(F.substring("text", 1, 20).cast("binary")).alias("b64"), F.md5(F.col("text").cast("binary")).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(F.translate("text", "éèêüöäñ", "eeeuoan").cast("binary")).alias("plain"), F.md5(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\\r\\n]", "").cast("binary")).alias("b64"), F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 @query("text_glob", "SELECT doc_id, text GLOB 'The*' AS starts, regexp_matches(text, '(?si)^.h.*the.*$') AS mid FROM documents")
@@ -61,19 +67,28 @@ def text_regex_dialect(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.col("text").rlike(T.list_regex("(the,der,les) [a-z]+ing")).alias("hit"))
 
 
-@query("text_wrap")
+@query("text_wrap", r"""WITH w AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), '([^ ]{81,}|.{0,79}[^ ])(?: |$)', 1) AS ls FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM w""")
 def text_wrap(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(T.wrap(F.col("text"), 80)).alias("i", "line"))
+    return _docs(spark, d).select("doc_id", F.posexplode(T.wrap(F.col("text"), 80)).alias("i", "line")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("entities_decoded")
+@query("entities_decoded", r"""WITH p AS (SELECT page_id, regexp_extract_all(replace(html, 'an', '&#228;n'), '(?s)&#[0-9]+(?:[^0-9]|$)|[^&]+|&') AS ps FROM pages)
+SELECT page_id, md5(list_aggregate(list_transform(ps, lambda x: CASE WHEN regexp_matches(x, '^&#[0-9]') THEN chr(regexp_extract(x, '^&#([0-9]+)', 1)::INT) || CASE WHEN x[-1] = ';' THEN '' ELSE regexp_extract(x, '(?s)^&#[0-9]+(.?)$', 1) END ELSE x END), 'string_agg', '')) AS decoded FROM p""")
 def entities_decoded(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.decode_entities(F.col("html")).alias("decoded"))
+    """Pages with some letters written as entities."""
+    return table(spark, d, "pages").select("page_id", F.md5(T.decode_entities(F.replace("html", F.lit("an"), F.lit("&#228;n"))).cast("binary")).alias("decoded"))
+
 
+_GREEK, _LATIN = "αβγδεζικλμνξοπρστυωχ", ["a", "v", "g", "d", "e", "z", "i", "k", "l", "m", "n", "x", "o", "p", "r", "s", "t", "y", "o", "ch"]
+_PLAIN = "abcdefghijklmnopqrst"
 
-@query("romanised")
+
+@query("romanised", f"SELECT doc_id, md5(list_aggregate(list_transform(string_split(text, ''), lambda c: CASE {' '.join(f"WHEN c = '{a}' THEN '{b}'" for a, b in zip(_PLAIN, _LATIN, strict=True))} ELSE c END), 'string_agg', '')) AS latin, regexp_matches(text, '[{_PLAIN}]') AS other_script FROM documents WHERE text <> ''")
 def romanised(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.romanise(F.col("text")).alias("latin"), T.romanisable(F.col("text")).alias("other_script"))
+    """Texts whose first letters of the alphabet are written in Greek ones."""
+    greek = F.translate("text", _PLAIN, _GREEK)
+    return _docs(spark, d).filter("text <> ''").select("doc_id", F.md5(T.romanise(greek).cast("binary")).alias("latin"), T.romanisable(greek).alias("other_script"))
 
 
 @query("string_confidence", rf"""WITH {_L}, r AS (SELECT doc_id, line_no, length(line) AS n, list_sum(list_transform(regexp_extract_all(line, '[\p{{L}}\p{{N}} \t]+'), lambda x: CASE WHEN length(x) > 1 THEN length(x) * length(x) ELSE 0 END)) AS sq FROM l)
@@ -102,10 +117,13 @@ def strings_from_bytes(spark: SparkSession, d: str) -> DataFrame:
     return S.extract(packed)
 
 
-@query("strings_formatted", f"WITH {_L} SELECT doc_id, line_no, doc_id || ':' || chr(9) || line_no || chr(9) || md5(line) AS row_text FROM l")
+@query("strings_formatted", rf"""WITH {_L}, r AS (SELECT doc_id, line_no, line, length(line) AS n, coalesce(list_sum(list_transform(regexp_extract_all(line, '[\p{{L}}\p{{N}} \t]+'), lambda x: CASE WHEN length(x) > 1 THEN length(x) * length(x) ELSE 0 END)), 0) AS sq FROM l)
+SELECT doc_id, line_no, 'd' || doc_id || ':' || chr(9) || lpad(to_hex(line_no), 8, ' ') || ' ' || lpad(printf('%.3f', round(least(greatest(4 * (2 * sq / (n * n)) * 0.5 * sqrt(n), 0), 99.999) + 1e-9, 3)), 6, ' ') || chr(9) || 'xx' || chr(9) || CASE WHEN octet_length(encode(line)) = n THEN 'ascii' ELSE 'utf-8' END || chr(9) || line AS row_text FROM r WHERE n > 0""")
 def strings_formatted(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("line_no").cast("string")
-    return lines(_docs(spark, d), keep=("doc_id",)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.concat_ws("\t", F.concat(F.col("doc_id").cast("string"), F.lit(":")), n, F.md5(F.col("line").cast("binary"))).alias("row_text"))
+    """Lines as output rows: file, offset in radix 16, confidence, language, encoding, text."""
+    encoding = F.when(F.octet_length("line") == F.char_length("line"), "ascii").otherwise("utf-8")
+    row = S.formatted(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.col("line_no"), F.round(S.confidence(F.col("line")) + 1e-9, 3), F.lit("xx"), encoding, F.col("line"))
+    return lines(_docs(spark, d), keep=("doc_id",)).filter("line <> ''").select("doc_id", F.col("line_no").cast("long").alias("line_no"), row.alias("row_text"))
 
 
 @query("url_parts", r"""SELECT page_id, nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1), '') AS host,
@@ -129,7 +147,11 @@ def html_comments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(T.strip_comments(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("html_stripped")
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?i)<img\s[^>]*?alt="([^"]*)"[^>]*>', '[\1]', 'g'), '(?i)</?(?:p|h[1-6]|br|li|hr|div|ul|ol|tr|article|nav|footer|title)[^>]*>', chr(10), 'g')"""
+
+
+@query("html_stripped", rf"""WITH s AS (SELECT page_id, regexp_replace({_STRIPPED}, '<[^>]*>', '', 'g') AS t FROM pages), e AS (SELECT page_id, {"replace(" * len(T.ENTITIES)}t{"".join(f", '{k}', '{v}')" for k, v in T.ENTITIES.items())} AS t FROM s)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM e""")
 def html_stripped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.strip_markup(F.col("html")).alias("text"))
 

@@ -56,9 +56,9 @@ def model_texts(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]
     return models, grams.select("path", F.abs("n").alias("cnt"), "gram", (F.col("n") < 0).alias("is_stop"))
 
 
-def model_lines(model: DataFrame) -> DataFrame:
-    """The lines of a model text, one per n-gram."""
-    return model.select(F.concat(F.when(F.col("is_stop"), "-").otherwise(""), F.col("cnt").cast("string"), F.lit("\t"), escape_gram(F.col("gram"))).alias("value"))
+def model_lines(model: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The lines of a model text, one per n-gram, behind the columns to keep."""
+    return model.select(*keep, F.concat(F.when(F.col("is_stop"), "-").otherwise(""), F.col("cnt").cast("string"), F.lit("\t"), escape_gram(F.col("gram"))).alias("value"))
 
 
 def trigram_lists(spark: SparkSession, *paths: str) -> DataFrame:
@@ -102,6 +102,12 @@ def ranges(spec: str) -> list[tuple[int, int]]:
     return out
 
 
+def range_class(spec: str) -> str:
+    """The ranges as a class of a regular expression; an empty list matches nothing."""
+    found = ranges(spec)
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in found) + "]" if found else "[^\\x{0}-\\x{10ffff}]"
+
+
 def in_ranges(point: Column, spec: str) -> Column:
     found = F.lit(False)
     for lo, hi in ranges(spec):
@@ -122,6 +128,13 @@ def weight_spec(spec: str) -> dict[str, float]:
     return out
 
 
+def weight_specs(spec: Column) -> Column:
+    """weight_spec() of a column: a map from letter to weight."""
+    good = F.regexp_extract(spec, "^(?:(?:[A-Za-z][0-9]*\\.?[0-9]+)?(?:,|$))*", 0)
+    pairs = F.filter(F.split(good, ","), lambda p: p != "")
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring(p, 1, 1).alias("k"), F.substr(p, F.lit(2)).try_cast("double").alias("v"))))
+
+
 def write_strings(rows: DataFrame, folder: str, compression: str = "none") -> None:
     """One folder per input file, its strings as lines."""
     rows.select("path", "value").write.partitionBy("path").option("compression", compression).text(folder)

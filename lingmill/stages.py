@@ -40,11 +40,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     scope() it was made in, or when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     with _shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    target, files = _hadoop(spark, path)
-    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     if _OPEN.get():
@@ -67,6 +65,19 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target, files = _hadoop(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _hadoop(spark, path)
+    return files.exists(target)
+
+
 def _hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
