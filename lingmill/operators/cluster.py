@@ -1,15 +1,16 @@
 """Clustering: centroids, nearest centroid, grow-seeds, k-means, and in-memory methods.
 
-Vectors are rows (vec_id, v). Relational steps broadcast centroids, k rows by parameter; the
-order-dependent and spectral methods work on a set that one task holds, as their definition
-asks for all pairs or one order; callers bound that set.
+Vectors are rows (vec_id, v). Relational steps broadcast centroids, k rows by parameter. The
+order-dependent and spectral methods ask for all pairs or one order of their vectors, which one
+task holds: they cluster a basis of at most BASIS vectors, drawn by the MD5 of their ids (all of
+them where there are no more), and every other vector takes the nearest centroid of the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -63,27 +64,52 @@ def grow_seeds(vectors: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
     return assign(vectors, seeds).filter(F.col("sim") >= least)
 
 
-def neighbours(vectors: DataFrame, k: int) -> DataFrame:
-    """vec_id, other, sim: the k nearest of the same cluster, cluster by cluster in numpy blocks."""
+#: Vectors of a block of neighbours(), and the most that an in-memory method clusters.
+BLOCK, BASIS = 1024, 4000
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows["v"].tolist())
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        ids, out = rows["vec_id"].to_numpy(), []
-        for at in range(0, len(x), 512):
-            s = x[at : at + 512] @ x.T
-            s[np.arange(len(s)), at + np.arange(len(s))] = -2
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            for r, cols in enumerate(best):
-                out += [(ids[at + r], ids[c], s[r, c]) for c in cols if s[r, c] > -2]
-        return pd.DataFrame(out, columns=["vec_id", "other", "sim"])
 
-    return vectors.groupBy("cluster").applyInPandas(run, "vec_id long, other long, sim double")
+def neighbours(vectors: DataFrame, k: int) -> DataFrame:
+    """vec_id, other, sim: the k nearest of the same cluster.
 
+    A cluster is dealt into blocks, every two of which meet in a task of their own; of each the
+    k best are kept, and of these the k best of all.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, y = (np.array(rows.tolist(), float) for rows in (left["v"], right["w"]))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+            one, two = left["vec_id"].to_numpy(), right["other"].to_numpy()
+            for at in range(0, len(x), 256):
+                s = x[at : at + 256] @ y.T
+                s[one[at : at + 256, None] == two[None, :]] = -2
+                for r, best in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :k]):
+                    out += [(one[at + r], two[c], s[r, c]) for c in best if s[r, c] > -2]
+        return pd.DataFrame(out, columns=["vec_id", "other", "sim"])
 
-def _together(vectors: DataFrame, run, schema: str = "vec_id long, cluster int") -> DataFrame:
     ship_package(vectors.sparkSession)
-    return vectors.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, schema)
+    blocks = stage(vectors.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    dealt = vectors.join(F.broadcast(blocks) if blocks.count() <= 100_000 else blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("cluster", F.col("own").alias("i"), every.alias("j"), "vec_id", "v").groupBy("cluster", "i", "j")
+    right = dealt.select(F.col("cluster").alias("c2"), every.alias("i2"), F.col("own").alias("j2"), F.col("vec_id").alias("other"), F.col("v").alias("w")).groupBy("c2", "i2", "j2")
+    met = left.cogroup(right).applyInPandas(run, "vec_id long, other long, sim double")
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("sim"), "other"))
+    return met.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def _together(vectors: DataFrame, run, schema: str = "vec_id long, cluster int", basis: int = BASIS) -> DataFrame:
+    """run on a basis of the vectors in one task; the others by the nearest of its centroids."""
+    ship_package(vectors.sparkSession)
+    draw = F.md5(F.col("vec_id").cast("string").cast("binary"))
+    some = vectors.orderBy(draw, "vec_id").limit(basis)
+    done = stage(some.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, schema), "basis")
+    rest = vectors.join(F.broadcast(done.select("vec_id")), "vec_id", "left_anti")
+    if not rest.limit(1).count():
+        return done
+    centres = stage(centroids(vectors.join(F.broadcast(done), "vec_id")), "centres")
+    return done.unionByName(assign(rest, centres).select("vec_id", "cluster"))
 
 
 def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +123,12 @@ def _frame(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "cluster": cluster.astype(np.int32)})
 
 
-def group_average(vectors: DataFrame, least: float, limit: int = 1000, passes: int = 1) -> DataFrame:
+def group_average(vectors: DataFrame, least: float, limit: int, passes: int = 1) -> DataFrame:
     """One pass in id order: join the best cluster of at least this similarity, else open one.
 
-    At the limit of clusters a vector joins the best one regardless. With two passes the first
-    runs at 0.9 of the threshold and its centroids are kept for the second.
+    At the limit of clusters a vector joins the best one regardless, as the method asks; forced()
+    tells how many these are. With two passes the first runs at 0.9 of the threshold and its
+    centroids are kept for the second.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -242,3 +269,76 @@ def hierarchical_seeds(vectors: DataFrame, k: int) -> DataFrame:
     groups = stage(vectors.join(agglomerative(vectors, 3 * k), "vec_id"), "groups")
     largest = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(k).select("cluster")
     return centroids(groups.join(largest, "cluster", "left_semi"))
+
+
+def forced(vectors: DataFrame, assigned: DataFrame, least: float) -> DataFrame:
+    """vec_id, cluster, sim of the vectors whose own centroid is less like them than the threshold."""
+    centres = centroids(vectors.join(assigned, "vec_id"))
+    met = vectors.join(assigned, "vec_id").join(centres, "cluster").select("vec_id", "cluster", cosine(F.col("v"), F.col("c")).alias("sim"))
+    return met.filter(F.col("sim") < least)
+
+
+def vector_linkage(vectors: DataFrame, assigned: DataFrame, linkage: str = "average") -> DataFrame:
+    """vec_id, cluster, sim: how alike each vector and each cluster are, by its members or its centroid.
+
+    nearest and furthest are over the root of the larger size, which is the cluster's. Members
+    are broadcast, so callers pass clusters of a bounded number of vectors.
+    """
+    member = assigned.select("cluster", F.col("vec_id").alias("member"), F.col("v").alias("w"))
+    if linkage == "centroid":
+        return vectors.crossJoin(F.broadcast(centroids(assigned))).select("vec_id", "cluster", cosine(F.col("v"), F.col("c")).alias("sim"))
+    met = vectors.crossJoin(F.broadcast(member)).withColumn("s", cosine(F.col("v"), F.col("w")))
+    size = F.sqrt(F.count(F.lit(1)))
+    form = {"average": F.avg("s"), "rms": F.sqrt(F.avg(F.col("s") * F.col("s"))), "nearest": F.max("s") / size, "furthest": F.min("s") / size}[linkage]
+    return met.groupBy("vec_id", "cluster").agg(form.alias("sim"))
+
+
+def merged_equivalent(assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """Clusters of one seed name as one cluster, the first of them; names are (cluster, name)."""
+    first = names.withColumn("to", F.min("cluster").over(Window.partitionBy("name"))).select("cluster", "to")
+    return assigned.join(F.broadcast(first), "cluster", "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to")
+
+
+#: Names by which dispatch() knows the methods; any beginning that fits one alone will do.
+METHODS = ("agglomerative", "group-average", "k-means", "seeded-k-means", "spectral", "tight", "two-pass")
+LINKAGES = ("average", "centroid", "furthest", "nearest", "rms")
+
+
+def parameters(spec: str) -> dict[str, str]:
+    """`method=k-m,linkage=far` as a mapping, names completed; a bare word is the method."""
+    out: dict[str, str] = {}
+    for part in filter(None, spec.split(",")):
+        key, _, value = part.partition("=") if "=" in part else ("method", "", part)
+        key, value = key.strip().lower(), value.strip()
+        known = {"method": METHODS, "linkage": LINKAGES}.get(key)
+        if known:
+            fits = [m for m in known if m.startswith(value.lower())]
+            if len(fits) != 1:
+                raise ValueError(f"{value} is no beginning of one {key} alone")
+            value = fits[0]
+        out[key] = value
+    return out
+
+
+def dispatch(vectors: DataFrame, spec: str, singletons: bool = True) -> DataFrame:
+    """vec_id, cluster by the method that spec names; without singletons those of one vector are left out."""
+    p = parameters(spec)
+    k, least, limit = int(p.get("k", 10)), float(p.get("least", 0.5)), int(p.get("limit", 1000))
+    method = p.get("method", "k-means")
+    if method == "agglomerative":
+        out = agglomerative(vectors, k, p.get("linkage", "average"))
+    elif method in ("group-average", "two-pass"):
+        out = group_average(vectors, least, limit, 2 if method == "two-pass" else 1)
+    elif method == "spectral":
+        out = spectral(vectors, k)
+    elif method == "tight":
+        out = tight(vectors, k)
+    elif method == "seeded-k-means":
+        out = k_means(vectors, hierarchical_seeds(vectors, k))
+    else:
+        draw = F.md5(F.col("vec_id").cast("string").cast("binary"))
+        seeds = stage(vectors.orderBy(draw, "vec_id").limit(k).select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("cluster"), F.col("v").alias("c")), "seeds")
+        out = k_means(vectors, seeds)
+    if singletons:
+        return out
+    return out.join(out.groupBy("cluster").count().filter("count > 1").select("cluster"), "cluster", "left_semi").select("vec_id", "cluster")

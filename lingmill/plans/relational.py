@@ -141,8 +141,8 @@ def _clusters(run):
     return go
 
 
-query("cluster_group_average")(_clusters(lambda C, v: C.group_average(v, 0.4)))
-query("cluster_two_pass")(_clusters(lambda C, v: C.group_average(v, 0.4, passes=2)))
+query("cluster_group_average")(_clusters(lambda C, v: C.group_average(v, 0.4, limit=1000)))
+query("cluster_two_pass")(_clusters(lambda C, v: C.group_average(v, 0.4, limit=1000, passes=2)))
 query("cluster_agglomerative")(_clusters(lambda C, v: C.agglomerative(v, 10)))
 query("cluster_spectral")(_clusters(lambda C, v: C.spectral(v, 10)))
 query("cluster_tight")(_clusters(lambda C, v: C.tight(v, 10, samples=4)))
@@ -157,3 +157,34 @@ def cluster_k_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("cluster_k_means_seeded")(_clusters(lambda C, v: C.k_means(v, C.hierarchical_seeds(v, 5), 5)))
+
+
+_V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT * FROM v WHERE vec_id < 40)"
+
+
+@query(
+    "cluster_vector_linkage",
+    f"""WITH {_V}, p AS (SELECT a.vec_id, b.label AS cluster, list_cosine_similarity(a.e, b.e) AS s FROM v a CROSS JOIN m b)
+SELECT vec_id, cluster, round(avg(s), 6) AS average, round(sqrt(avg(s * s)), 6) AS rms, round(max(s) / sqrt(count(*)), 6) AS nearest, round(min(s) / sqrt(count(*)), 6) AS furthest FROM p GROUP BY ALL""",
+)
+def cluster_vector_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector against the clusters of the first forty."""
+    from ..operators import cluster as C
+
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    out = None
+    for kind in ("average", "rms", "nearest", "furthest"):
+        one = C.vector_linkage(v.drop("cluster"), v.filter("vec_id < 40"), kind).select("vec_id", "cluster", F.round("sim", 6).alias(kind))
+        out = one if out is None else out.join(one, ["vec_id", "cluster"])
+    return out
+
+
+@query("cluster_merged_equivalent", "WITH n AS (SELECT DISTINCT label, label % 3 AS name FROM embeddings) SELECT vec_id, min(n.label) OVER (PARTITION BY name) AS cluster FROM embeddings e JOIN n ON e.label = n.label")
+def cluster_merged_equivalent(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import cluster as C
+
+    v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+    return C.merged_equivalent(v, v.select("cluster", (F.col("cluster") % 3).alias("name")).distinct())
+
+
+query("cluster_dispatched")(_clusters(lambda C, v: C.dispatch(v, "method=agg,linkage=near,k=8", singletons=False)))
