@@ -14,6 +14,11 @@ def packed_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """df, a stage table, for broadcast where it has at most so many rows, else for a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers, where its caches outlive a task."""
     ship_package(df.sparkSession)

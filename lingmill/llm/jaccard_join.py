@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import U64, Words, mix, shingle_sets, slices, utf8
-from .common import drop_stage, keep, map_arrow, packed_row, scope, stage, table, text_or_empty
+from .common import drop_stage, keep, map_arrow, packed_row, scope, sized, stage, table, text_or_empty
 
 #: One token in so many (by hash) is ordered by frequency; more than a prefix's share must be.
 HEAD_ONE_IN = 4
@@ -48,7 +48,9 @@ CELLS = 512
 SIGNATURE = [f"s{k}" for k in range(CELLS // 64)]
 PIVOTS = 3
 #: Ids (8 bytes each) up to this many are broadcast; beyond, the texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
+#: Sets (40 bytes each) up to this many are broadcast to the texts that they are found in again.
+BROADCAST_SETS = 300_000
 SET_SCHEMA = "n int, d1 long, d2 long"
 
 
@@ -181,10 +183,11 @@ def _as(df: DataFrame, which: str, *columns: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (x, y), on whole sets."""
-    a = full.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
-    b = full.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
-    both = pairs.join(a, "x").join(b, "y")
+    """The linked ones of the pairs (x, y), on whole sets; sets of no pair are left out before any shuffle."""
+    pairs = stage(pairs, "pairs")
+    ids = stage(pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct(), "ids")
+    some = full.join(sized(ids, BROADCAST_IDS), "sid", "left_semi")
+    both = pairs.join(some.select(F.col("sid").alias("x"), F.col("tokens").alias("tx")), "x").join(some.select(F.col("sid").alias("y"), F.col("tokens").alias("ty")), "y")
     sizes = F.size("tx") + F.size("ty")
     common = F.size(F.array_intersect("tx", "ty"))
     return both.withColumn("common", common).filter(F.col("common") * 180 >= 80 * sizes).select("x", "y")
@@ -229,23 +232,23 @@ def _near_groups(docs: DataFrame, pivots: int) -> DataFrame:
     drop_stage(heads)
     prefix = stage(postings(sets), "postings")
     shared = stage(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token"), "shared")
-    prefix = stage(prefix.join(shared, "token"), "postings")
+    first, prefix = prefix, stage(prefix.join(shared, "token"), "postings")
+    drop_stage(first)
     full = _full_sets(docs, sets, prefix)
 
     # pivots: the member with the least of its own, which of copies is their origin, and others by draw
     rows = prefix.withColumn("comp", F.col("sid"))
-    tried = stage(_star(rows, F.col("own"), pivots, 0), "pairs")
+    tried = stage(_star(rows, F.col("own"), pivots, 0), "tried")
     edges = stage(verify(_plausible(tried, sets), full), "links")
     comps = components(edges)
 
     rows = crossings(prefix, full, comps, sets)
-    again = stage(_star(rows, F.lit(0.0), pivots, pivots, suffix=True).join(tried, ["x", "y"], "left_anti"), "pairs")
+    again = stage(_star(rows, F.lit(0.0), pivots, pivots, suffix=True).join(tried, ["x", "y"], "left_anti"), "tried")
     more = stage(verify(again, full), "links")
     if more.limit(1).count():
         edges = stage(edges.unionByName(more), "links")
         comps = components(edges)
-    pairs = stage(between(rows, comps).join(tried.unionByName(again), ["x", "y"], "left_anti"), "pairs")
-    more = stage(verify(pairs, full), "links")
+    more = stage(verify(between(rows, comps).join(tried.unionByName(again), ["x", "y"], "left_anti"), full), "links")
     if more.limit(1).count():
         comps = components(edges.unionByName(more))
     smallest = comps.join(sets.select("sid", "rep"), "sid").groupBy("comp").agg(F.min("rep").alias("least"))
@@ -256,10 +259,16 @@ def _near_groups(docs: DataFrame, pivots: int) -> DataFrame:
 
 
 def open_sets(prefix: DataFrame, comps: DataFrame) -> DataFrame:
-    """sid and comp of the sets with a prefix token that sets of another component have too."""
-    member = stage(prefix.select("token", "sid").join(comps, "sid", "left").select("token", "sid", F.coalesce("comp", "sid").alias("comp")), "members")
-    met = stage(member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token"), "met")
-    return member.join(met, "token").select("sid", "comp").distinct()
+    """sid and comp of the sets with a prefix token that sets of another component have too, of sizes that both admit."""
+    member = prefix.select("token", "sid", "n", "pos").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    most = F.least(F.expr("5 * n div 4"), F.expr("(9 * (n - pos) - 4 * n) div 4"))
+    own, wanted = _coarse_class(F.col("n")), F.explode(F.sequence(_coarse_class(F.expr("(4 * n + 4) div 5")), _coarse_class(most)))
+    member = member.filter(5 * most >= 4 * F.col("n")).select("token", "sid", "comp", own.alias("own"), wanted.alias("wanted"))
+    member = stage(member.select("sid", "comp", F.xxhash64("token", "own", "wanted").alias("has"), F.xxhash64("token", "wanted", "own").alias("seeks")), "members")
+    there = stage(member.groupBy("has", "seeks").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "classes")
+    facing = there.select(F.col("seeks").alias("has"), F.col("has").alias("seeks"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = stage(there.join(facing, ["has", "seeks"]).filter(F.least("lo", "lo2") != F.greatest("hi", "hi2")).select("has", "seeks"), "met")
+    return member.join(met, ["has", "seeks"]).select("sid", "comp").distinct()
 
 
 def _star(rows: DataFrame, own: F.Column, pivots: int, salt: int, suffix: bool = False) -> DataFrame:
@@ -279,7 +288,7 @@ def crossings(prefix: DataFrame, full: DataFrame, comps: DataFrame, sets: DataFr
     With r tokens of n from one on, a pair that shares it first has r in common at most, and a
     link needs 4 (n + m) / 9 of them where the partner has m; so m is most = (9 r - 4 n) / 4.
     """
-    each = full.join(stage(open_sets(prefix, comps), "open"), "sid").select("sid", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    each = full.join(sized(stage(open_sets(prefix, comps), "open"), BROADCAST_SETS), "sid").select("sid", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     crossing = stage(each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo != hi").select("token", "df"), "crossing")
     ranked = each.join(crossing, "token").groupBy("sid").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("keys"))
     place = F.col("n") - F.size("keys")
@@ -302,6 +311,11 @@ def between(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.select(F.least("xsid", "ysid").alias("x"), F.greatest("xsid", "ysid").alias("y")).distinct()
 
 
+def _coarse_class(n: F.Column) -> F.Column:
+    """Sizes in steps of a quarter, as far as a partner's may be off."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.25))).cast("int")
+
+
 def _size_class(n: F.Column) -> F.Column:
     """Sizes in steps of a twentieth."""
     return F.floor(F.log(n.cast("double")) / float(np.log(1.05))).cast("int")
@@ -310,12 +324,12 @@ def _size_class(n: F.Column) -> F.Column:
 def _full_sets(docs: DataFrame, sets: DataFrame, prefix: DataFrame) -> DataFrame:
     """sid and tokens of the sets that have a candidate; their texts are read again."""
     alive = stage(prefix.select("sid").distinct().join(sets.select("sid", "n", "d1", "d2", "rep"), "sid"), "alive")
-    ids = alive.select("rep").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    some = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["rep"]), "left_semi")
-    found = whole_sets(some).join(alive, ["n", "d1", "d2"])
-    return stage(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "whole")
+    ids = stage(alive.select("rep").distinct(), "ids")
+    some = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"].cast("long").eqNullSafe(F.col("rep")), "left_semi")
+    found = stage(whole_sets(some).join(sized(alive, BROADCAST_SETS), ["n", "d1", "d2"]).select("sid", "tokens"), "whole")
+    if found.count() == alive.count():
+        return found
+    return stage(found.groupBy("sid").agg(F.first("tokens").alias("tokens")), "whole")  # rows that repeat a doc_id and its set
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

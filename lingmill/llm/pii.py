@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import Words, code_points, slices, utf8
-from .common import keep, map_arrow, scope, stage, table, text_or_empty
+from .common import keep, map_arrow, scope, sized, stage, table, text_or_empty
 
 #: The base kinds, in the order of spans that begin together, and those the method adds.
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
@@ -223,10 +223,6 @@ def _passing(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
-def _sized(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, holders: in how many distinct texts of docs each of the terms stands."""
     bits = screen(terms)
@@ -244,7 +240,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], names=["term", "holders"])
 
     met = map_arrow(_texts(docs).select("text").distinct(), run, "term long, holders long")
-    return met.join(_sized(terms, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.sum("holders").alias("holders"))
+    return met.join(sized(terms, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.sum("holders").alias("holders"))
 
 
 def disclosing(docs: DataFrame) -> DataFrame | None:
@@ -285,7 +281,7 @@ def places(docs: DataFrame, told: DataFrame) -> DataFrame:
                 flat = [batch.column("name").take(pa.array(row[some])), *(pa.array(np.concatenate(x)[some].astype(np.int32)) for x in (starts, ends)), pa.array(hashed[np.concatenate([at[first[r] : first[r + 1]] for r in np.flatnonzero(np.diff(first))])][some])]
                 yield pa.RecordBatch.from_arrays(flat, names=["name", "start", "end", "term"])
 
-    met = map_arrow(_texts(docs).select("text", "name"), run, "name binary, start int, end int, term long").join(_sized(told, BROADCAST_TERMS), "term")
+    met = map_arrow(_texts(docs).select("text", "name"), run, "name binary, start int, end int, term long").join(sized(told, BROADCAST_TERMS), "term")
     one = met.select("name", "start", "end", (F.col("ratio") >= REMOVE).alias("gone")).distinct()
     return one.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gone"))).alias("marks"))
 
@@ -315,7 +311,7 @@ def spans(docs: DataFrame) -> DataFrame:
     if marks is None:
         texts = texts.withColumn("marks", none)
     else:
-        texts = texts.join(_sized(marks.withColumnRenamed("name", "of"), BROADCAST_MARKS), F.col("name") == F.col("of"), "left").withColumn("marks", F.coalesce("marks", none))
+        texts = texts.join(sized(marks.withColumnRenamed("name", "of"), BROADCAST_MARKS), F.col("name") == F.col("of"), "left").withColumn("marks", F.coalesce("marks", none))
     some = F.col("text").rlike("[0-9@]") | (F.size("marks") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
