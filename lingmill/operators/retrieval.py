@@ -144,3 +144,72 @@ def _longest_repeat(docs: DataFrame, key: str) -> DataFrame:
     for s in (1, 2):
         out = out.unionByName(met.select(F.col(f"k{s}").alias(key), F.col(f"p{s}").alias("pos"), "n"))
     return out.groupBy(key, "pos").agg(F.max("n").alias("n"))
+
+
+# index upkeep
+
+
+def updated(index: DataFrame, postings: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """An index (term, doc_id) with the postings of new or changed documents, without those that are gone (doc_id)."""
+    old = index.join(postings.select("doc_id").distinct(), "doc_id", "left_anti")
+    old = old if gone is None else old.join(gone.select("doc_id"), "doc_id", "left_anti")
+    return old.select("term", "doc_id").unionByName(postings.select("term", "doc_id").distinct())
+
+
+def filler_postings(frames: DataFrame, longest: int = 19) -> DataFrame:
+    """term, frame: an index of frames by filler; fillers of more characters are left out."""
+    return frames.filter(F.char_length("filler") <= longest).select(F.col("filler").alias("term"), "frame").distinct()
+
+
+def word_postings(frames: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """term, frame: an index of frames by the words of their fillers, split at blanks and marks."""
+    each = frames.select(F.explode(F.split("filler", "[ ,.?]+")).alias("term"), "frame").filter("term <> ''")
+    return (each.filter(~F.col("term").isin(*stop)) if stop else each).distinct()
+
+
+# word n-grams as an index
+
+
+def extended(matches: DataFrame, positions: DataFrame, words: tuple[str, ...], left: bool = False, gap: int = 0) -> DataFrame:
+    """Matches (doc_id, first, last) that one of the words follows, or precedes, with at most gap others between."""
+    near = positions.filter(F.col("term").isin(*words)).select("doc_id", F.col("pos").alias("at"))
+    edge = F.explode(F.array(*(F.col("first") - 1 - k if left else F.col("last") + 1 + k for k in range(gap + 1))))
+    met = matches.withColumn("at", edge).join(near, ["doc_id", "at"])
+    return met.select("doc_id", F.col("at").alias("first"), "last") if left else met.select("doc_id", "first", F.col("at").alias("last"))
+
+
+def restricted(matches: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Matches inside one of their document's intervals (doc_id, lo, hi), hi left out."""
+    return matches.join(intervals, "doc_id").filter((F.col("first") >= F.col("lo")) & (F.col("last") < F.col("hi"))).select("doc_id", "first", "last").distinct()
+
+
+def looked_up(positions: DataFrame, words: tuple[str, ...], backwards: bool = False) -> DataFrame:
+    """doc_id, first, last of every place of the words in a row; backwards they are found from the last one on."""
+    order = words[::-1] if backwards else words
+    out = positions.filter(F.col("term") == order[0]).select("doc_id", F.col("pos").alias("first"), F.col("pos").alias("last"))
+    for word in order[1:]:
+        out = extended(out, positions, (word,), left=backwards)
+    return out
+
+
+def class_sizes(positions: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, kinds, occurrences: how many words a class has, and how often they stand in the texts."""
+    return positions.join(classes, "term").groupBy("class").agg(F.count_distinct("term").alias("kinds"), F.count(F.lit(1)).alias("occurrences"))
+
+
+def merged_counts(*tables: DataFrame) -> DataFrame:
+    """gram, freq of several n-gram tables as one."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("gram").agg(F.sum("freq").alias("freq"))
+
+
+def estimated(grams: DataFrame, counted: dict[int, DataFrame], discount: float = 0.5) -> DataFrame:
+    """gram, freq, estimate: an n-gram's own count, or of its longest known ending with the discount for every word dropped."""
+    out = grams.select("gram").distinct().withColumn("estimate", F.lit(None).cast("double")).withColumn("rest", F.col("gram")).withColumn("share", F.lit(1.0))
+    for n in sorted(counted, reverse=True):
+        known = counted[n].select(F.col("gram").alias("rest"), F.col("freq").alias("f"))
+        out = out.join(known, "rest", "left").withColumn("estimate", F.coalesce("estimate", F.col("share") * F.col("f"))).drop("f")
+        out = out.withColumn("rest", F.when(F.col("rest").contains(" "), F.regexp_replace("rest", "^[^ ]* ", "")).otherwise(F.col("rest"))).withColumn("share", F.col("share") * discount)
+    return out.select("gram", F.coalesce("estimate", F.lit(0.0)).alias("estimate"))
