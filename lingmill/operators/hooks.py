@@ -205,7 +205,7 @@ class _NoiseStream(SimpleDataSourceStreamReader):
         return iter([("noise", k * self.buffer, np.random.default_rng(k).bytes(self.buffer)) for k in range(first, last)])
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(start["at"] + 1, self.most)
+        end = max(start["at"], self.most)  # what is there when it is asked
         return self._rows(start["at"], end), {"at": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
@@ -213,7 +213,7 @@ class _NoiseStream(SimpleDataSourceStreamReader):
 
 
 class NoiseSource(DataSource):
-    """spark.read.format("noise"): buffers (path, offset, content) of a custom input stream; as a stream a buffer at a time."""
+    """spark.read.format("noise"): buffers (path, offset, content) of a custom input stream; as a stream the buffers that are there."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,6 +6,7 @@ Every function takes and gives a streaming DataFrame; the caller starts the quer
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ngrams import GUESS, UNSURE
 from ..session import ship_package
 
 
@@ -67,23 +69,90 @@ def carry_over(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").applyInPandasWithState(run, "path string, line string", "rest string", "append", GroupStateTimeout.NoTimeout)
 
 
-def language_prior(scored: DataFrame, decay: float = 0.25) -> DataFrame:
-    """doc_id, line_no, guess, score: line scores mixed with their document's decaying prior.
+def mixed(own: dict[str, float], prior: dict[str, float] | None, size: int, unsure: float = UNSURE) -> tuple[dict[str, float], dict[str, float]]:
+    """A string's scores with the prior mixed in, and the prior after it: one step of smoothed()."""
+    size = max(float(size), 1.0)
+    if prior is None:
+        return own, {g: s * math.log(size) for g, s in own.items() if s > GUESS}
+    prior = {g: 0.25 * s for g, s in prior.items()}
+    w = max(0.0, 0.5 * size ** (1 / 3) + 0.3 * (max(own.values(), default=0.0) / unsure) ** 1.33)
+    share, every = w / (1 + w), {*own, *prior}
+    out = {g: share * own.get(g, 0.0) + (1 - share) * prior.get(g, 0.0) / (2 + 0.25 * math.log(size)) for g in every}
+    return out, {g: prior.get(g, 0.0) + own.get(g, 0.0) for g in every}
 
-    Rows are (doc_id, line_no, scores map); the prior is the state of a document.
+
+def language_prior(scored: DataFrame) -> DataFrame:
+    """doc_id, line_no, guess, score: the best guess of each line, mixed with its document's decaying prior.
+
+    Rows are (doc_id, line_no, size, scores map); the prior is the state of a document.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prior = json.loads(state.get[0]) if state.exists else {}
+        prior = json.loads(state.get[0]) if state.exists else None
         out = []
         for r in pd.concat(list(batches)).sort_values("line_no").itertuples():
-            own = dict(r.scores)
-            mixed = {g: 0.5 * own.get(g, 0.0) + 0.5 * decay * prior.get(g, 0.0) for g in {*own, *prior}} if prior else own
-            prior = {g: decay * prior.get(g, 0.0) + own.get(g, 0.0) for g in {*own, *prior}}
-            best = max(sorted(mixed), key=mixed.get)
-            out.append((key[0], r.line_no, best, mixed[best]))
+            got, prior = mixed(dict(r.scores), prior, r.size)
+            best = max(sorted(got), key=got.get)
+            out.append((key[0], r.line_no, best, got[best]))
         state.update((json.dumps(prior),))
         yield pd.DataFrame(out, columns=["doc_id", "line_no", "guess", "score"])
 
     ship_package(scored.sparkSession)
     return scored.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, line_no int, guess string, score double", "prior string", "append", GroupStateTimeout.NoTimeout)
+
+
+def redetections(strings: DataFrame, gap: int = 20, after: int = 2, least: int = 96) -> DataFrame:
+    """path, offset of the strings (path, offset, size) before which charsets are detected anew.
+
+    That is over a gap of more bytes than given, once so many strings and bytes have been seen.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end, seen, taken = state.get if state.exists else (0, 0, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("offset").itertuples():
+            if r.offset - end > gap and seen >= after and taken >= least:
+                out.append((key[0], r.offset))
+            end, seen, taken = r.offset + r.size, seen + 1, taken + r.size
+        state.update((int(end), int(seen), int(taken)))
+        yield pd.DataFrame(out, columns=["path", "offset"])
+
+    ship_package(strings.sparkSession)
+    return strings.groupBy("path").applyInPandasWithState(run, "path string, offset long", "end long, seen long, taken long", "append", GroupStateTimeout.NoTimeout)
+
+
+def reminders(events: DataFrame, key: str, every_ms: int) -> DataFrame:
+    """key, n: how many rows a key had, told each time none came for so many milliseconds of processing time."""
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.setTimeoutDuration(every_ms)
+            yield pd.DataFrame({key: [group[0]], "n": [n]})
+            return
+        state.update((n + sum(len(b) for b in batches),))
+        state.setTimeoutDuration(every_ms)
+        yield pd.DataFrame({key: [], "n": []})
+
+    ship_package(events.sparkSession)
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {dict(events.dtypes)[key]}, n long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def settled(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """What a stream gives once its input is used up, as a table at path.
+
+    Each batch is a folder that a repeated batch overwrites; a complete result is its last batch.
+    """
+    last = []
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        last.append(batch)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    where = f"{path}/batch={last[-1]}" if mode == "complete" else path
+    return spark.read.parquet(where).select(*stream.columns)
