@@ -55,9 +55,20 @@ def trainable(gram: Column) -> Column:
 
 
 def counts(docs: DataFrame, lengths: tuple[int, ...] = (3,), by: str = "lang") -> DataFrame:
-    """by, n, gram, cnt over tidy lines."""
-    rows = lines(docs, keep=(by,)).select(by, tidy(F.col("line")).alias("line"))
-    return explode_grams(rows, lengths).filter(trainable(F.col("gram"))).groupBy(by, "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """by, n, gram, cnt over tidy lines.
+
+    Only the longest n-gram at each place is exploded and counted (near a line's end what is
+    left of it); the shorter ones are beginnings of these, and are added up from their counts.
+    """
+    longest, rows = max(lengths), lines(docs, keep=(by,)).select(by, tidy(F.col("line")).alias("line"))
+    starts = F.expr(f"sequence(0, greatest(char_length(line) - 1, 0), {PIECE})")
+    pieces = rows.select(by, F.explode(F.transform(starts, lambda s: F.substr(F.col("line"), s + 1, F.lit(PIECE + longest - 1)))).alias("__piece")).filter("__piece <> ''")
+    each = pieces.select(by, F.explode(F.transform(F.expr(f"sequence(1, least(char_length(__piece), {PIECE}))"), lambda i: F.substr(F.col("__piece"), i, F.lit(longest)))).alias("__long"))
+    counted = each.filter((F.char_length("__long") >= min(lengths)) & trainable(F.col("__long"))).groupBy(by, "__long").agg(F.count(F.lit(1)).alias("cnt"))
+    if len(lengths) == 1:
+        return counted.select(by, F.lit(longest).alias("n"), F.col("__long").alias("gram"), "cnt")
+    heads = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.substring("__long", 1, n).alias("gram")) for n in lengths)), lambda g: F.char_length(g["gram"]) == g["n"])
+    return counted.select(by, F.explode(heads).alias("g"), "cnt").groupBy(by, "g.n", "g.gram").agg(F.sum("cnt").alias("cnt"))
 
 
 def top_k(counted: DataFrame, k: int, by: tuple[str, ...] = ("lang",), floor: int = 2) -> DataFrame:

@@ -52,14 +52,17 @@ def fetch_any(index: DataFrame, wanted: list[str], key: str = "doc_id") -> DataF
 
 
 def word_ngrams(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """key, pos, gram: windows of n words, cut from each document's own word array."""
+    """key, pos, gram: windows of n words, cut from each document's own word array.
+
+    Windows of k words are those of k - 1 zipped with the words behind them, so no row leaves
+    its task and no element is looked up from the start.
+    """
     ws = docs.select(key, words(F.lower("text")).alias("__w")).filter(F.size("__w") >= n)
-    if n == 1:
-        return ws.select(key, F.posexplode("__w").alias("pos", "gram"))
-    w = Window.partitionBy(key).orderBy("pos")
-    one = ws.select(key, F.posexplode("__w").alias("pos", "w"))
-    parts = [F.col("w"), *(F.lead("w", k).over(w) for k in range(1, n))]
-    return one.select(key, "pos", F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)).alias("gram")).filter("gram is not null")
+    grams = F.col("__w")
+    for k in range(2, n + 1):
+        rest = F.size("__w") - (k - 1)
+        grams = F.zip_with(F.slice(grams, 1, rest), F.slice("__w", k, rest), lambda g, w: F.concat_ws(" ", g, w))
+    return ws.select(key, F.posexplode(grams).alias("pos", "gram"))
 
 
 def ngram_counts(docs: DataFrame, n: int, least: int = 1) -> DataFrame:
