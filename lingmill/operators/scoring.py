@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .ngrams import GUESS, explode_grams, identify, tidy
+from .ngrams import GUESS, explode_grams, identify, smoothed, tidy, top_k
 
 #: Weight of the average bigram probability, share kept of a score in another charset, of a prior over a gap, and the bonus of a sole survivor.
 BIGRAM_WEIGHT, ALTERNATE_CHARSET, GAP_DECAY, SOLE_BONUS = 0.15, 0.9, 0.75, 1.15
@@ -240,6 +240,20 @@ def mapped(postings: DataFrame, score: Callable[[int], float] | Column) -> DataF
     return postings.join(postings.select("cnt").distinct().mapInArrow(run, "cnt long, score double"), "cnt")
 
 
+def grid(counted: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """lang, n, k, gram, cnt of the models of every size k, all from one table of counts of all lengths."""
+    out = None
+    for k in sizes:
+        one = top_k(counted, k, ("lang", "n")).select("lang", "n", F.lit(k).alias("k"), "gram", "cnt")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def maybe_smoothed(scores: DataFrame, sizes: DataFrame | None, on: bool) -> DataFrame:
+    """Line scores through smoothed() with the lines' sizes (doc_id, line_no, len), or as they are: blocks are never smoothed, strings are unless told otherwise."""
+    return smoothed(scores.join(sizes, ["doc_id", "line_no"])) if on else scores
+
+
 def fuzzy_errors(labelled: DataFrame, truth: str = "lang", guess: str = "guess", alike: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Per language the errors when a guess from a list of like languages counts as right."""
     pairs = [F.lit(f"{a}|{b}") for a, others in (alike or {}).items() for b in others]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,42 +123,93 @@ def rank_charsets(data: bytes) -> list[str]:
     return [*out, "ascii", "latin-1"]
 
 
-def _scan(data: bytes, charset: str, least: int, gap: int, at: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, str]]:
-    """(offset, bytes, text) of decodable printable runs that start from at to stop; a run of over gap other characters ends one."""
-    wide = {"utf-16-be": 2, "utf-16-le": 2, "utf-32-be": 4, "utf-32-le": 4}.get(charset, 1)
-    n = len(data)
-    stop = n if stop is None else stop
-    while at < stop:
-        text, start, used, other = [], at, 0, 0
-        while at < n:
-            step, char = 0, ""
-            for size in (wide, 2 * wide, 3, 4) if wide == 1 else (wide, 2 * wide):
-                try:
-                    char, step = data[at : at + size].decode(charset), size
-                    break
-                except (UnicodeDecodeError, LookupError):
-                    continue
-            if not step or len(char) != 1 or char == "\0" or not (char.isprintable() or char in "\t\r\n"):
-                break
-            other = 0 if char.isalnum() or char in " \t\n" else other + 1
-            if other > gap:
-                break
-            text.append(char)
-            at += step
-            used += step
-        if used >= least and any(c.isalnum() for c in text):
-            yield start, used, "".join(text)
-        at = max(at, start) + (wide if at == start or at < n else 0)
-
-
-def best_strings(data: bytes, charsets: list[str], least: int = 4, gap: int = 1000, at: int = 0, stop: int | None = None) -> list[dict]:
-    """Strings in order of offset; of overlapping ones the longest, of equal ones the first charset."""
-    found = [(o, o + b, t, k) for k, c in enumerate(charsets) for o, b, t in _scan(data, c, least, gap, at, stop)]
-    out: list[dict] = []
-    for o, e, t, k in sorted(found, key=lambda x: (-(x[1] - x[0]), x[3], x[0])):
-        if all(e <= p["offset"] or o >= p["offset"] + p["length"] for p in out):
-            out.append({"offset": o, "length": e - o, "encoding": charsets[k], "text": t})
-    return sorted(out, key=lambda x: x["offset"])
+#: What a string is made of, in any charset.
+_PRINTED = regex.compile(r"[\p{L}\p{M}\p{N}\p{P}\p{S} \t\r\n]+")
+_WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
+_WIDE = {"utf-16-be": 2, "utf-16-le": 2, "utf-32-be": 4, "utf-32-le": 4}
+
+
+def _decoded(data: bytes, charset: str, shift: int) -> tuple[str, np.ndarray]:
+    """The text of data from the byte shift on, undecodable bytes as unprintable characters, and where each character begins."""
+    wide = _WIDE.get(charset, 1)
+    body = data[shift:]
+    if wide > 1:
+        text = body[: len(body) // wide * wide].decode(charset, "replace")
+        units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.where(units > 0xFFFF, 4, 2) if wide == 2 else np.full(len(units), 4)
+        text = text.replace("\ufffd", "\0")
+    elif charset == "latin-1" or charset == "ascii":
+        text = body.decode("latin-1") if charset == "latin-1" else body.decode("latin-1").translate(_NOT_ASCII)
+        size = np.ones(len(text), np.int64)
+    else:
+        text = body.decode(charset, "surrogateescape")
+        units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if charset == "utf-8":
+            size = 1 + (units > 0x7F).astype(np.int64) + (units > 0x7FF) + (units > 0xFFFF)
+            size[(units >= 0xDC80) & (units <= 0xDCFF)] = 1
+        else:
+            size = np.array([len(c.encode(charset, "surrogateescape")) for c in text], np.int64)
+    return text, shift + np.append(0, np.cumsum(size))
+
+
+_NOT_ASCII = {c: 0 for c in range(128, 256)}
+
+
+class _Runs:
+    """The printable runs (start, end, text) of a content in one charset, found once; wide ones at every shift."""
+
+    def __init__(self, data: bytes, charset: str, least: int, gap: int) -> None:
+        self.least, self.texts, self.rows = least, [], []
+        far = regex.compile(rf"[^\p{{L}}\p{{N}} \t\n]{{{gap + 1},}}")
+        for shift in range(_WIDE.get(charset, 1) if len(data) else 0):
+            text, at = _decoded(data, charset, shift)
+            self.texts.append((text, at))
+            for m in _PRINTED.finditer(text):
+                lo = m.start()
+                for hole in (*far.finditer(m[0]), None):
+                    hi = m.end() if hole is None else m.start() + hole.start() + gap
+                    if hi > lo:
+                        self.rows.append((int(at[lo]), int(at[hi]), len(self.texts) - 1, lo, hi))
+                    lo = hi if hole is None else m.start() + hole.end()
+        self.rows.sort()
+        self.starts = [r[0] for r in self.rows]
+        self.longest = max((r[1] - r[0] for r in self.rows), default=0)
+
+    def between(self, at: int, stop: int) -> Iterator[tuple[int, int, str]]:
+        """Runs of enough bytes with a letter or digit that start from at to stop, and what is left of those that at cuts."""
+        k = bisect.bisect_left(self.starts, at - self.longest)
+        while k < len(self.rows) and self.rows[k][0] < stop:
+            start, end, which, lo, hi = self.rows[k]
+            k += 1
+            if end <= at:
+                continue
+            text, places = self.texts[which]
+            if start < at:
+                lo = lo + int(np.searchsorted(places[lo : hi + 1], at))
+                start = int(places[lo])
+            if end - start >= self.least and start < stop and _WORDLIKE.search(text, lo, hi):
+                yield start, end, text[lo:hi]
+
+
+def _apart(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Of overlapping ones the longest, of equal ones the first charset, then the most ASCII characters; in order of start."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, str, int]] = []
+    for row in sorted(found, key=lambda x: (x[0] - x[1], x[3], -len(x[2].encode("ascii", "ignore")), x[0])):
+        k = bisect.bisect_left(starts, row[0])
+        if (k == 0 or kept[k - 1][1] <= row[0]) and (k == len(kept) or kept[k][0] >= row[1]):
+            starts.insert(k, row[0])
+            kept.insert(k, row)
+    return kept
+
+
+def best_strings(data: bytes, charsets: list[str], least: int = 4, gap: int = 1000) -> list[dict]:
+    """Strings in order of offset; of overlapping ones the longest, of equal ones the first charset.
+
+    Charsets of several bytes a character are tried at every alignment.
+    """
+    found = [(o, e, t, k) for k, c in enumerate(charsets) for o, e, t in _Runs(data, c, least, gap).between(0, len(data))]
+    return [{"offset": o, "length": e - o, "encoding": charsets[k], "text": t} for o, e, t, k in _apart(found)]
 
 
 #: Bytes whose charsets are ranked at once, and from which strings start before they are ranked again.
@@ -171,6 +225,7 @@ def sniffed_strings(data: bytes, least: int = 4, gap: int = 1000) -> list[dict]:
     out: list[dict] = []
     at = end = 0
     before: list[str] = []
+    runs: dict[str, _Runs] = {}
     while at < len(data):
         block = data[at : at + SCAN]
         own = rank_charsets(block)
@@ -178,11 +233,15 @@ def sniffed_strings(data: bytes, least: int = 4, gap: int = 1000) -> list[dict]:
         before = [c for c in before if c not in own and (c == "utf-8" or wide)]
         charsets = [*own[:-2], *before, *own[-2:]]
         before = charsets[:-2]
-        for s in best_strings(data, charsets, least, gap, at, min(at + STEP, len(data))):
-            if s["offset"] >= end:
-                out.append(s)
-                end = s["offset"] + s["length"]
-        at = max(at + STEP, end & ~3)
+        for c in charsets:
+            if c not in runs:
+                runs[c] = _Runs(data, c, least, gap)
+        found = [(o, e, t, k) for k, c in enumerate(charsets) for o, e, t in runs[c].between(at, min(at + STEP, len(data)))]
+        for o, e, t, k in _apart(found):
+            if o >= end:
+                out.append({"offset": o, "length": e - o, "encoding": charsets[k], "text": t})
+                end = e
+        at = max(at + STEP, end)
     return out
 
 
@@ -204,6 +263,38 @@ def extract(files: DataFrame, content: str = "content", key: str = "path", chars
     return source.mapInArrow(run, typed).select(key, F.explode("found").alias("f")).select(key, "f.*")
 
 
+def sniffed(files: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
+    """key, is_utf8, is_ascii16, charsets: what the sniffs say of whole contents, and the charsets to try in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [b or b"" for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sniff_utf8(b) for b in data]), pa.array([sniff_ascii16(b) for b in data]), pa.array([rank_charsets(b) for b in data], pa.list_(pa.string()))], names=[key, "is_utf8", "is_ascii16", "charsets"])
+
+    ship_package(files.sparkSession)
+    source = files.select(key, F.col(content).alias("content"))
+    return source.mapInArrow(run, f"{key} {source.schema[0].dataType.simpleString()}, is_utf8 boolean, is_ascii16 boolean, charsets array<string>")
+
+
+#: Strings of so many bytes and a raw score above the guess threshold may change their charset.
+CONFLICT_BYTES, CONFLICT_SCORE = 12, 0.2
+
+
+def reextracted(strings: DataFrame, reliable: tuple[str, ...] = ("UTF-8",)) -> DataFrame:
+    """strings (text, encoding, length, score, charset of the best language) with text and encoding of that charset, and switched.
+
+    A string of an unreliable charset, long and sure enough, is read again from its bytes when
+    its best language is written in another one; a null language charset leaves it.
+    """
+    conflict = (F.col("length") >= CONFLICT_BYTES) & (F.col("score") > CONFLICT_SCORE) & ~F.col("encoding").isin(*reliable) & F.col("charset").isNotNull() & (F.col("charset") != F.col("encoding"))
+    again = F.when((F.col("encoding") == "ISO-8859-1") & (F.col("charset") == "UTF-8"), F.decode(F.encode("text", "ISO-8859-1"), "UTF-8"))
+    again = again.when((F.col("encoding") == "UTF-8") & (F.col("charset") == "ISO-8859-1"), F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    again = again.when((F.col("encoding") == "UTF-16LE") & (F.col("charset") == "UTF-16BE"), F.decode(F.encode("text", "UTF-16LE"), "UTF-16BE")).when((F.col("encoding") == "UTF-16BE") & (F.col("charset") == "UTF-16LE"), F.decode(F.encode("text", "UTF-16BE"), "UTF-16LE"))
+    other = [c for c in strings.columns if c not in ("text", "encoding")]
+    switched = F.coalesce(conflict & again.isNotNull(), F.lit(False))
+    return strings.select(*other, F.when(switched, again).otherwise(F.col("text")).alias("text"), F.when(switched, F.col("charset")).otherwise(F.col("encoding")).alias("encoding"), switched.alias("switched"))
+
+
 def byte_range(content: Column, start: int, end: int | None = None) -> Column:
     """Bytes from start to end, clamped to what there is."""
     stop = F.octet_length(content) if end is None else F.least(F.octet_length(content), F.lit(end))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lingmill.functions.text import decode_decimal, list_regex, romanised
+from lingmill.functions.text import decode_entities, list_regex, romanised
 from lingmill.operators import cluster, ngrams, retrieval, sampling, strings
 from lingmill.sources import files
 from lingmill.streaming import stateful
@@ -14,8 +14,8 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize(("text", "want"), [("&#65&#66;", "A&#66;"), ("&#233;x&amp;", "éx&amp;"), ("&#1114111;", "?")])
-def test_decimal_entities(text, want):
-    assert decode_decimal(text) == want
+def test_decimal_entities(spark, text, want):
+    assert one(spark, decode_entities(F.lit(text))) == want
 
 
 def test_quantised_one(spark):
@@ -81,7 +81,7 @@ def test_romanised_and_regex():
 
 def test_clusters_of_two_directions(spark):
     v = spark.createDataFrame([(i, [1.0, 0.05 * i] if i < 3 else [0.05 * i, 1.0]) for i in range(6)], "vec_id long, v array<double>")
-    for got in (cluster.group_average(v, 0.8), cluster.agglomerative(v, 2), cluster.spectral(v, 2)):
+    for got in (cluster.group_average(v, 0.8, limit=1000), cluster.agglomerative(v, 2), cluster.spectral(v, 2)):
         label = {r.vec_id: r.cluster for r in got.collect()}
         assert label[0] == label[1] == label[2] != label[3] == label[4] == label[5]
 
@@ -117,3 +117,48 @@ def test_longest_match_has_no_bound(spark):
     want = {a: max([1, *(shared(a, b) for b in every if b != a)]) for a in every}
     assert max(want.values()) == 24
     assert {(r.doc_id, r.pos): r.n for r in retrieval.longest_match(docs).collect()} == want
+
+
+def test_extraction_against_a_plain_scan():
+    """Runs by regular expression equal a scan of one character after the other, in every charset."""
+    import random
+
+    draw = random.Random(17)
+
+    def plain(data, wide, charset):
+        out = set()
+        for shift in range(wide):
+            at = shift
+            while at < len(data):
+                start, text = at, ""
+                while at < len(data):
+                    for size in (wide, 2 * wide) if wide > 1 else (1, 2, 3, 4):
+                        try:
+                            c = data[at : at + size].decode(charset)
+                        except UnicodeDecodeError:
+                            continue
+                        if len(c) == 1:
+                            break
+                    else:
+                        break
+                    if not (c.isprintable() or c in "\t\r\n") or c in "\xa0\u3000\u2028":
+                        break
+                    text, at = text + c, at + len(c.encode(charset))
+                if at - start >= 4 and any(x.isalnum() for x in text):
+                    out.add((start, at, text))
+                at = max(at, start) + wide if at == start or at < len(data) else at
+        return out
+
+    pieces = [b"plain words", "d\u00e9j\u00e0 vu".encode(), "wide".encode("utf-16-le"), "\u65e5\u672c".encode("utf-16-be"), b"\x00\x00", b"\xff\xfe", b"\x01", "\U0001f600x".encode(), b"~!"]
+    for _ in range(60):
+        data = b"".join(draw.choices(pieces, k=draw.randint(0, 9)))
+        for charset, wide in (("ascii", 1), ("latin-1", 1), ("utf-8", 1)):
+            got = set(strings._Runs(data, charset, 4, 1000).between(0, len(data)))
+            assert got == plain(data, wide, charset), (charset, data)
+    assert [s["text"] for s in strings.best_strings(b"\x00" + "shifted text".encode("utf-16-le"), ["utf-16-le"])] == ["shifted text"]
+
+
+def test_strings_are_read_again_in_their_languages_charset(spark):
+    rows = [("d\u00e9j\u00e0 vu, d\u00e9j\u00e0".encode().decode("latin-1"), "ISO-8859-1", 20, 0.9, "UTF-8"), ("short", "ISO-8859-1", 5, 0.9, "UTF-8"), ("unsure and long text", "ISO-8859-1", 20, 0.1, "UTF-8"), ("no language is known", "ISO-8859-1", 20, 0.9, None)]
+    got = strings.reextracted(spark.createDataFrame(rows, "text string, encoding string, length int, score double, charset string")).collect()
+    assert [(r.text, r.encoding, r.switched) for r in got] == [("d\u00e9j\u00e0 vu, d\u00e9j\u00e0", "UTF-8", True), *((t, e, False) for t, e, *_ in rows[1:])]
