@@ -29,5 +29,6 @@ SQL = {
     "op2_chat": chat.SQL,
     "op4_mixing": mixing.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
