@@ -325,7 +325,7 @@ def _full_sets(docs: DataFrame, sets: DataFrame, prefix: DataFrame) -> DataFrame
     """sid and tokens of the sets that have a candidate; their texts are read again."""
     alive = stage(prefix.select("sid").distinct().join(sets.select("sid", "n", "d1", "d2", "rep"), "sid"), "alive")
     ids = stage(alive.select("rep").distinct(), "ids")
-    some = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"].cast("long").eqNullSafe(F.col("rep")), "left_semi")
+    some = docs.select("doc_id", "text").join(sized(ids, BROADCAST_IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("rep")), "left_semi")
     found = stage(whole_sets(some).join(sized(alive, BROADCAST_SETS), ["n", "d1", "d2"]).select("sid", "tokens"), "whole")
     if found.count() == alive.count():
         return found

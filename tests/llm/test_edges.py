@@ -1,5 +1,9 @@
 """Every query of the subpackage on tables with nulls everywhere, ties, repeats, odd texts, clashing columns, and on empty ones."""
 
+import hashlib
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +50,27 @@ def test_defined_on_every_row(spark, folders, name, case):
         assert len(rows) == (len(DOCS) + 3 if case == "full" else 0)
 
 
+def test_values_on_every_row(spark, folders):
+    """What the digest columns are on nulls, repeats and odd texts, by plain Python."""
+    rows = DOCS + DOCS[3:6]
+    texts = [t or "" for _, t, *_ in rows]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    low = [t.translate({c: c + 32 for c in range(65, 91)}) for t in texts]
+    got = QUERIES["op6_exact_dedup"](spark, str(folders["full"])).collect()
+    assert Counter((r.text_sha256, r.group_size) for r in got) == Counter((digest(t), low.count(t)) for t in low)
+    assert sum(r.kept for r in got) == len(set(low))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    got = QUERIES["op10_quality_rules"](spark, str(folders["full"])).collect()
+    assert Counter((r.n_words, r.word_chars) for r in got) == Counter((len(w), sum(map(len, w))) for w in words)
+    got = QUERIES["op4_mixing"](spark, str(folders["full"])).collect()
+    assert Counter(r.size for r in got) == Counter(map(len, words)) and all(r.taken <= 3 * r.size for r in got)
+    got = QUERIES["op9_jaccard_join"](spark, str(folders["full"])).collect()
+    shingles = [len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) if len(w) >= 5 else min(len(w), 1) for w in words]
+    assert Counter(r.n_shingles for r in got) == Counter(shingles)
+    got = QUERIES["op8_pii"](spark, str(folders["full"])).collect()
+    assert sorted(r.n_email for r in got) == sorted(t.count("@") for t in texts) and {r.base_sha256 for r in got if not r.n_spans} == {digest("")}
+
+
 @pytest.mark.parametrize("case", ["full", "empty", "unlabelled"])
 def test_pipeline_runs(spark, folders, case):
     rows = QUERIES["pipeline"](spark, str(folders[case])).collect()

@@ -372,6 +372,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(i == top for i, (_, top) in left.items())
     assert at.filter(F.col("text").isNull()).count() == 0
 
+    # mix: laps of every document by hand, from sizes, targets and the order of draws
+    mixed = stage(corpus_pipeline.STAGES[3][1](spark, at, folder), "mixed")
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in kept}
+    by_source = {}
+    for r in kept:
+        by_source.setdefault(r["source"], []).append(r["doc_id"])
+    target = {r.source: r.target for r in mixing.mix(at).select("source", "target").distinct().collect()}
+    want = {}
+    for source, ids in by_source.items():
+        goal, total, start = round(target[source]), sum(size[i] for i in ids), 0
+        for i in sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            rest = min(size[i], max(0, goal % total - start)) if total else 0
+            want[i] = (goal // total if total else 0) + (2 * rest >= size[i]) if size[i] else 0
+            start += size[i]
+    got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert mixed.columns == docs.columns and got == {i: n for i, n in want.items() if n}
+
+    # pack: the stream is the mix's texts in training order
+    from tokenizers import Tokenizer
+
+    tokenizer, text = Tokenizer.from_file(packing.default_tokenizer()), {r["doc_id"]: r["text"] for r in kept}
+    order = [r.doc_id for r in sorted(mixing.mix(at).select("doc_id", "tie", F.explode("positions").alias("p")).collect(), key=lambda r: (r.p, r.doc_id, r.tie))]
+    stream = np.array([t for i in order for t in [*tokenizer.encode(text[i], add_special_tokens=False).ids, 2]], "<u4")
+    at_token = 0
+    for r in sorted(corpus_pipeline.STAGES[4][1](spark, mixed, folder).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert (r.sequence_id * 4096 + r.offset, r.ids_crc32) == (at_token, zlib.crc32(stream[at_token : at_token + r.length].tobytes()))
+        at_token += r.length
+    assert at_token == len(stream)
+
 
 def test_html_odd_markup():
     text = lambda page: [t for t, k in html_extract.blocks(page) if k == 2]
