@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +24,32 @@ def sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows of an Arrow batch where the session names no number: whole texts are a few MB then, on both sides of the pipe.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers, where its caches outlive a task."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """mapInArrow with this package on the workers, where its caches outlive a task; other memory is given back after it."""
+    spark = df.sparkSession
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    ship_package(spark)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Hands what a task has freed back to the system, as an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_or_empty(name: str = "text"):

@@ -24,8 +24,8 @@ from .common import map_arrow, stage, table, text_or_empty
 
 WINDOW_TOKENS = 4096
 END_ID = 2
-#: Distinct words whose ids a worker keeps; beyond, it starts anew.
-CACHE_WORDS = 600_000
+#: Distinct words, and runs of letters, whose ids a worker keeps; beyond, it starts anew.
+CACHE_WORDS, CACHE_RUNS = 300_000, 100_000
 #: Totals (about 200 bytes each, one per section) up to this many rows are broadcast.
 BROADCAST_SECTIONS = 200_000
 
@@ -56,7 +56,7 @@ class WordIds(dict):
         if ids is None:
             symbols = run if run.isascii() else run.encode().decode("latin-1").translate(self.symbols)
             ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-            if len(self.runs) >= CACHE_WORDS:
+            if len(self.runs) >= CACHE_RUNS:
                 self.runs.clear()
             self.runs[run] = ids
         return ids
