@@ -6,6 +6,7 @@ Arrow batches, never single rows, but for sinks on the driver, whose rows come i
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -230,5 +231,9 @@ class NoiseSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known. Its classes travel by value, as the process that plans a stream has no shipped package."""
+    from pyspark import cloudpickle
+
     ship_package(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(NoiseSource)

@@ -196,13 +196,11 @@ def accuracy_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return S.fuzzy_errors(_best(spark, d, SMALL, K), alike={"fr": ("es",)})
 
 
-_HELD = "CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END"
+_OCC = "FROM lines, (VALUES (3), (4)) v(n)),\nc AS"
+_HELD_SCORES = scores_sql(SMALL, K).replace(_OCC, _OCC.replace("v(n)),", "v(n) WHERE doc_id % 5 <> 0),"))
 
 
-@query(
-    "accuracy_held_out",
-    f"""WITH {scores_sql(SMALL, K).replace("FROM lines, (VALUES (3), (4)) v(n)),{chr(10)}c AS", "FROM lines, (VALUES (3), (4)) v(n) WHERE doc_id % 5 <> 0),{chr(10)}c AS")}, {_TOP1} SELECT l.lang, sum(CASE WHEN l.lang IS NOT DISTINCT FROM guess THEN 0 ELSE 1 END)::BIGINT AS errors, count(*) AS total FROM lab l WHERE doc_id % 5 = 0 GROUP BY l.lang""",
-)
+@query("accuracy_held_out", f"WITH {_HELD_SCORES}, {_TOP1} SELECT l.lang, sum(CASE WHEN l.lang IS NOT DISTINCT FROM guess THEN 0 ELSE 1 END)::BIGINT AS errors, count(*) AS total FROM lab l WHERE doc_id % 5 = 0 GROUP BY l.lang")
 def accuracy_held_out(spark: SparkSession, d: str) -> DataFrame:
     """Errors on every fifth document under models of the others."""
     docs = _docs(spark, d)
