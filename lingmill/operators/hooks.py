@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..session import ship_package
 
@@ -38,6 +39,32 @@ def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def notified(spark: SparkSession, call: Callable[[str, dict], None]) -> StreamingQueryListener:
+    """Calls call(event, facts) when a stream starts, gets on or ends; give the result to spark.streams.removeListener()."""
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:  # noqa: N802
+            call("started", {"id": str(event.id), "name": event.name})
+
+        def onQueryProgress(self, event) -> None:  # noqa: N802
+            call("progress", {"id": str(event.progress.id), "batch": event.progress.batchId, "rows": event.progress.numInputRows})
+
+        def onQueryIdle(self, event) -> None:  # noqa: N802
+            call("idle", {"id": str(event.id)})
+
+        def onQueryTerminated(self, event) -> None:  # noqa: N802
+            call("ended", {"id": str(event.id), "error": event.exception})
+
+    out = Listener()
+    spark.streams.addListener(out)
+    return out
+
+
+def received(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines that a server sends, as a stream."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
 # enumerations
 
 

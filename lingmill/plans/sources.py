@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import ngrams as G
 from ..operators import strings as S
 from ..operators.sizes import spread
@@ -91,6 +92,15 @@ def source_abbreviations(spark: SparkSession, d: str) -> DataFrame:
     return B.abbreviations(spark, _written(rows.unionByName(rows), "abbreviations"))
 
 
+@query("source_cognate_letters", "WITH n AS (SELECT n_name AS a, translate(lower(n_name), 'kt', 'cd') AS x FROM nation) SELECT p.a AS one, q.a AS two, round(1 - levenshtein(p.x, q.x) / greatest(length(p.x), length(q.x))::DOUBLE, 6) AS score FROM n p JOIN n q ON p.a < q.a")
+def source_cognate_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Cognate scores under classes of letters that a file lists."""
+    classes = B.cognate_classes(spark, _written(spark.createDataFrame([("; alike",), ("c k",), ("dt",)], "value string"), "cognates"))
+    n = table(spark, d, "nation")
+    both = n.select(F.col("n_name").alias("one")).join(F.broadcast(n.select(F.col("n_name").alias("two"))), F.col("one") < F.col("two"))  # 25 rows by definition
+    return both.select("one", "two", F.round(T.cognate_score(F.col("one"), F.col("two"), classes), 6).alias("score"))
+
+
 @query("source_models", f"WITH {model_sql((3,), K)} SELECT lang, gram, cnt, false AS is_stop FROM model")
 def source_models(spark: SparkSession, d: str) -> DataFrame:
     """Models written as model texts, a folder for each language, and read again."""

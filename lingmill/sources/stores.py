@@ -80,6 +80,15 @@ def desired_characters(spark: SparkSession, path: str) -> str:
     return row.line.strip() if row else ""
 
 
+def cognate_classes(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Letters that cognates exchange, a class on a line, blanks between them allowed; a short file by definition."""
+    rows = tidy_lines(spark, path).filter(~F.col("line").rlike("^[;#]")).select(F.regexp_replace("line", "\\s+", "").alias("letters"))
+    found = rows.filter(F.char_length("letters") > 1).limit(10_001).collect()
+    if len(found) > 10_000:
+        raise ValueError(f"{path} is no list of letters")
+    return tuple(sorted(r.letters for r in found))
+
+
 # bytes
 
 

@@ -170,3 +170,20 @@ def test_scanner_phases(spark):
             return batch
 
     assert H.scanned(spark.range(5), [Shout()])["Shout"].count() == 5 and Shout.started
+
+
+def test_listeners_hear_of_streams(spark):
+    import time
+
+    path, heard = scratch(spark, "in"), []
+    spark.createDataFrame([("a",)], "k string").write.parquet(path)
+    listener = H.notified(spark, lambda event, facts: heard.append(event))
+    try:
+        assert stateful.settled(spark.readStream.schema("k string").parquet(path), scratch(spark, "out"), scratch(spark, "cp")).count() == 1
+        for _ in range(40):
+            if "ended" in heard:
+                break
+            time.sleep(0.25)
+    finally:
+        spark.streams.removeListener(listener)
+    assert heard[0] == "started" and heard[-1] == "ended"
