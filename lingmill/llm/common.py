@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +37,7 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     ship_package(spark)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -45,6 +46,20 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(whole, schema)
 
 
+#: What empties the caches of this worker, by the module they serve.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cached(module: str, clear: Callable[[], None]) -> None:
+    """Names the caches of a module, which a worker keeps from task to task until it turns to another one."""
+    _CACHES[module] = clear
+
+
+def let_go(module: str) -> None:
+    for other in [m for m in _CACHES if m != module]:
+        _CACHES.pop(other)()
+
+
 def release() -> None:
     """Hands what a task has freed back to the system, as an idle worker would keep it."""
     pa.default_memory_pool().release_unused()

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, table, text_or_empty
+from .common import cached, map_arrow, stage, table, text_or_empty
 
 WINDOW_TOKENS = 4096
 END_ID = 2
 #: Distinct words, and runs of letters, whose ids a worker keeps; beyond, it starts anew.
-CACHE_WORDS, CACHE_RUNS = 300_000, 100_000
+CACHE_WORDS, CACHE_RUNS = 600_000, 300_000
 #: Totals (about 200 bytes each, one per section) up to this many rows are broadcast.
 BROADCAST_SECTIONS = 200_000
 
@@ -94,9 +94,10 @@ _IDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The cache of this Python worker; it outlives tasks."""
+    """The cache of this Python worker; it outlives tasks of this module."""
     if path not in _IDS:
         _IDS[path] = WordIds(path)
+        cached(__name__, _IDS.clear)
     return _IDS[path]
 
 

@@ -132,6 +132,16 @@ def test_packing_round_trip(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_caches_go_with_their_module():
+    from lingmill.llm import common
+
+    packing.word_ids(packing.default_tokenizer())
+    common.let_go("lingmill.llm.packing")
+    assert packing._IDS
+    common.let_go("lingmill.llm.pii")
+    assert not packing._IDS and not common._CACHES
+
+
 @pytest.mark.parametrize("word", ["don't", "ÀÉ!!", "İx", "ß,", "x<|endoftext|>y", "é", "日本", "ªb.", "12.5", "a b", "--", "it's,"])
 def test_word_ids_are_the_tokenizers(word):
     ids = packing.word_ids(packing.default_tokenizer())
