@@ -170,6 +170,38 @@ def test_chat_reads_back(spark):
     assert chat.OPEN in one.text and "[INST]" not in one.text and one.text.endswith(chat.CLOSE) and one.text[one.loss_start : one.loss_end] == "b\n\\1/s>"
 
 
+def test_chat_expands_to_whole_examples(spark, tmp_path, monkeypatch):
+    said = {1: ["user", "assistant", "user", "assistant", "user"], 2: ["user", "system"], 3: ["assistant", "user"], 4: ["user", "assistant"] * 150, None: ["user", "assistant"]}
+    turns = [(c, k, r, f"{c}<{k}\\[é" if k else "") for c, roles in said.items() for k, r in enumerate(roles)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    turns += [(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(["user", "assistant"])]
+    hide = lambda t: t.replace("\\", "\\0").replace("<", "\\1").replace("[", "\\2")
+    own = {c: [(r, t) for d, _, r, t in turns if d == c] for c in [*said, -1]}
+    shown = {c: [f"{chat.OPEN}{r}\n{hide(t)}{chat.CLOSE}" for r, t in ts] for c, ts in own.items()}
+    placed = chat.placed(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    want = {(c, k): ("".join(shown[c][:k]) + f"{chat.OPEN}assistant\n", hide(t)) for c, ts in own.items() for k, (r, t) in enumerate(ts) if r == "assistant"}
+    every = chat.examples(placed).collect()
+    assert {(x.conv_id, x.example): (x.context, x.target) for x in every} == want
+    assert all((x.target_start, x.target_end) == (len(x.context), len(x.context + x.target)) and x.context_chars == x.target_start for x in every)
+    assert all((x.mask_start, x.mask_end) == (len(x.context.encode()), len((x.context + x.target).encode())) for x in every)
+    rows = chat.expanded(placed).collect()
+    assert {(x.conv_id, x.context) for x in rows if x.closing} == {(c, "".join(shown[c])) for c in (1, 2, 3)} and sorted(str(x.conv_id) for x in rows if x.last) == sorted(map(str, own))
+    got = {x.conv_id: x for x in chat.op2_chat(spark, str(tmp_path)).collect()}
+    for c, ts in own.items():
+        loss, at = "".join(t for r, t in ts if r == "assistant"), [len(x) for (d, _), (x, _) in want.items() if d == c]
+        told = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
+        assert tuple(got[c]) == (c, len(ts), told, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len("".join(shown[c])), len(at), sum(at))
+    # a compiled generator would hold all contexts of a conversation at once
+    plan = chat.op2_chat(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert [line.split("Generate")[0].strip(" :+-") for line in plan.splitlines() if "Generate explode" in line] == [""]
+    # the query's rows are those of the expansion: text and mask of an example decide what is read
+    whole = chat.expanded
+    monkeypatch.setattr(chat, "expanded", lambda turns: whole(turns).withColumn("mask_end", F.col("mask_end") - 1).filter("last"))
+    cut = {x.conv_id: x for x in chat.op2_chat(spark, str(tmp_path)).collect()}
+    assert cut[1].n_examples == cut[1].loss_chars == 0 and cut[1].turns_sha256 == got[1].turns_sha256 and cut[4].n_examples == 1
+    assert cut[-1].loss_sha256 == hashlib.sha256("</s>[INST] ok [/INST".encode()).hexdigest()
+
+
 def test_pii_spans(docs, rows):
     got = {r.doc_id: r for r in pii.spans(docs).collect()}
     last = rows[-1][0]
