@@ -29,13 +29,17 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers, where its caches outlive a task; other memory is given back after it."""
-    spark = df.sparkSession
+def arrow_ready(spark: SparkSession) -> None:
+    """Small Arrow batches where the session names no size, and this package on the workers."""
     if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
     ship_package(spark)
 
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package on the workers, where its caches outlive a task; other memory is given back after it."""
+    arrow_ready(df.sparkSession)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go(run.__module__)
         try:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, jaccard_join, licenses, mixing, packing, pii, quality_classifier, quality_rules
+from . import chat, exact_dedup, fim, html_extract, jaccard_join, licenses, mixing, packing, pii, quality_classifier, quality_rules
+
 
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py, which stands beside this package."""
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_fim": fim.op11_fim,
     "pipeline": pipeline,
 }
 
@@ -31,4 +33,5 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_fim": fim.SQL,
 }
