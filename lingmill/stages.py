@@ -113,12 +113,12 @@ def keep(df: DataFrame, name: str = "result") -> DataFrame:
         _OPEN.reset(token)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
     """df with 0, 1, 2 ... in the given order as column name, whatever the number of partitions.
 
-    Two levels: places inside range partitions, and the counts of these, one row each.
+    within follows in the order, but takes no part in the bounds of the ranges. Two levels: places inside range partitions, and the counts of these, one row each.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order, *(within or []))
     placed = stage(placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "numbered")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     first = counts.select("__part", (F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")).alias("__first"))
