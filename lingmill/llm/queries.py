@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, fim, html_extract, jaccard_join, licenses, mixing, packing, pii, quality_classifier, quality_rules
+from . import bpe, chat, exact_dedup, fim, html_extract, jaccard_join, licenses, mixing, packing, pii, quality_classifier, quality_rules, repair
 
 
 def pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_fim": fim.op11_fim,
+    "op12_repair": repair.op12_repair,
     "op13_bpe": bpe.op13_bpe,
     "pipeline": pipeline,
 }
@@ -35,4 +36,5 @@ SQL = {
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op11_fim": fim.SQL,
+    "op12_repair": repair.SQL,
 }

@@ -44,6 +44,8 @@ def test_defined_on_every_row(spark, folders, name, case):
         assert sorted(str(r.conv_id) for r in rows) == (["-1", "1", "2", "None"] if case == "full" else ["-1"])
     elif name == "op3_html_extract":
         assert len(rows) == (len(PAGES) if case == "full" else 0) and all(r.text is not None for r in rows)
+    elif name == "op12_repair":
+        assert sorted(str(r.conv_id) for r in rows) == (["1", "2", "None"] if case == "full" else [])
     elif name == "op1_packing":
         assert sum(r.start == 0 for r in rows) == (len(DOCS) + 3 if case == "full" else 0)
     else:
