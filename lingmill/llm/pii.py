@@ -1,25 +1,32 @@
-"""Personal data: patterns for four kinds, and terms that give a protected value away.
-
-The patterns' spans are the base. The method adds terms by information content. A protected
-value (an address, number ...) occurs in contexts, the windows of words around it; a term of
-such a window discloses the value where its pointwise mutual information with the value comes
-near the value's own information content, that is where meeting the term all but names the
-value. With N distinct texts, c(v) contexts of the value, c(t) distinct texts with the term anywhere in
-the corpus and c(v, t) contexts of both: PMI = log2(N c(v, t) / (c(v) c(t))), IC = log2(N / c(v)).
-Terms with PMI >= 0.9 IC and three contexts or more are generalised, those at 0.98 IC removed,
-wherever they stand in the corpus. Equal contexts and equal texts count once, so copies of a text
-are no evidence, for a term or against it. All counts are over the whole corpus.
+"""Personal data: patterns for four kinds, and terms that give a protected entity away.
+
+The patterns' spans are the base. The method adds terms by information content. One event space
+holds all counts: the units of the corpus, its sentences (a sentence ends at a line's end or at
+. ! ? before white space, and after 64 words at the latest). Protected entities are every value
+itself, what it shares with others of its holder (user and host of an address, network of an ip,
+a phone's area, a card's issuer) and its kind. With N units, n(e) of them with the entity, n(t)
+with the term and n(e, t) with both, the term discloses the entity where its smoothed pointwise
+mutual information log2(N n(e, t) / (n(e) (n(t) + 1))) comes near the entity's own information
+content log2(N / n(e)), that is where meeting the term all but tells that the entity is there.
+Terms at 0.9 of it are generalised, at 0.98 removed, wherever they stand in the corpus.
+
+Copies are no evidence: a pair needs three sources. Sources of kinds and shared parts are distinct
+values. Those of one value are the origins of its units: the least hash of their other words,
+which near copies share unless that very word was edited. Sources times information must pass
+log2(pairs / 0.01), one percent over all pairs that are tried.
 
 A term can also name its owner by itself: a run of 20 letters, digits and low lines or more, with
 four letters and four digits at least, that carries 80 bits by the entropy of its own characters,
-is a secret (a key, a token) and removed.
+is a secret (a key, a token); it is removed, and is a protected value as the others are.
 
-Texts are known by their MD5. No list of terms reaches the driver or a task: words are screened
-by a bit map of fixed size of the terms' hashes, and what passes is joined with the terms.
+Links reach Spark as hashes of terms and entities, never as texts, and are added up before they
+are dealt. The terms that are tried are screened by a bit map of fixed size while the corpus is
+counted. Disclosing terms go to the workers up to a bound; beyond it, they are joined.
 
-Defined cases: a null text is empty and has no spans; repeated rows are equal contexts;
-overlapping spans of different kinds all stay; an empty table gives no rows; other columns are
-ignored; long texts are whole, and every pattern runs in linear time.
+Defined cases: a null text is empty and has no spans; repeated rows count in every number but the
+sources; spans that begin together go by kind, terms by place; overlapping spans of different
+kinds all stay; an empty table gives no rows; other columns are ignored; long texts are whole, and
+every pattern runs in linear time.
 """
 
 from __future__ import annotations
@@ -34,14 +41,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import Words, code_points, slices, utf8
+from .bytesets import SPACE, Words, code_points, slices, utf8
 from .common import keep, map_arrow, scope, sized, stage, table, text_or_empty
 
 #: The base kinds, in the order of spans that begin together, and those the method adds.
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
 BASE_KINDS, TERM, SECRET = 4, 4, 5
-NEAR_WORDS = 6
-MIN_CONTEXTS = 3
+UNIT_WORDS = 64
+MIN_SOURCES = 3
+#: The chance, over all pairs that are tried, of taking one that is none.
+CHANCE = 0.01
 GENERALISE, REMOVE = 0.9, 0.98
 SECRET_BITS = 80
 #: Bits of the screen, 2 MB at any size of input.
@@ -54,6 +63,8 @@ BROADCAST_MARKS = 100_000
 #: Bytes between terms: all of ASCII but letters and digits.
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+ENDS = np.zeros(256, bool)
+ENDS[[33, 46, 63]] = True
 HINT = np.zeros(256, bool)
 HINT[[64, *range(48, 58)]] = True
 
@@ -132,8 +143,26 @@ def _value(kind: int, text: str) -> int:
     return _name(f"{kind}:{plain}".encode())
 
 
+def entities(kind: int, text: str) -> list[tuple[int, bool]]:
+    """(name, whether it is the value itself) of what a protected value stands for."""
+    digits = "".join(c for c in text if c.isdigit())
+    shared = [f"kind:{kind}"]
+    if kind == 0:
+        user, _, host = text.lower().partition("@")
+        shared += [f"user:{user}", f"host:{host}"]
+    elif kind == 1:
+        shared.append(f"net:{text.rpartition('.')[0]}")
+    elif kind == 2:
+        shared.append(f"issuer:{digits[:6]}")
+    elif kind == 3:
+        shared.append(f"area:{digits[:-4]}")
+    return [*((_name(x.encode()), False) for x in shared), (_value(kind, text), True)]
+
+
 SPAN = "struct<start:int,kind:int,end:int>"
-LINKS = ["value", "term", "context"]
+LINKS = ["entity", "own", "term", "source", "units"]
+#: The name under which links count the units of an entity, whatever their terms.
+ANY = -1
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -154,6 +183,20 @@ class _Slice:
             self._words = words, (words.hashes(lower=True) >> np.uint64(1)).astype(np.int64)
         return self._words
 
+    def units(self) -> np.ndarray:
+        """The unit of every word, counted through the slice."""
+        words, _ = self.terms()
+        after = np.ones(len(self.data), bool)
+        after[:-1] = SPACE[self.data[1:]]
+        ends = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum((self.data == 10) | ENDS[self.data] & after, out=ends[1:], dtype=np.int32)
+        fresh = np.ones(len(words.start), bool)
+        fresh[1:] = np.diff(ends[words.start]) > 0
+        fresh[words.row[:-1][words.row[:-1] < len(fresh)]] = True
+        first = np.flatnonzero(fresh)
+        place = np.arange(len(fresh)) - np.repeat(first, np.diff(np.append(first, len(fresh))))
+        return np.cumsum(place % UNIT_WORDS == 0) - 1
+
     def hinted(self) -> np.ndarray:
         """The rows with any byte that a pattern needs."""
         hits = np.zeros(len(self.data) + 1, np.int32)
@@ -182,30 +225,45 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """value, term, context: the terms beside every protected value, of every row; terms that overlap a value are none."""
+    """entity, own, term, source, units: the terms in the units of every protected entity, of every row.
+
+    Terms that overlap a value are none. A unit counts once for an entity (units is 0 for its other
+    values there), under the term ANY also where it has no terms.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in _slices(batches):
-            flat: list[list[int]] = [[], [], []]
+            flat: list[list] = [[] for _ in LINKS]
+            unit = None
             for r in part.hinted().tolist():
                 text = part.text(r)
                 spans = _own(text)
                 if not spans:
                     continue
                 words, hashed = part.terms()
+                unit = part.units() if unit is None else unit
                 lo, hi = int(words.row[r]), int(words.row[r + 1])
-                starts, ends, free = part.free(r, np.arange(lo, hi), spans)
+                _, ends, free = part.free(r, np.arange(lo, hi), spans)
+                own_units, met = unit[lo:hi], set()
                 for a, kind, b in spans:
-                    p, q = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b, side="left"))
-                    near = [lo + i for i in (*range(max(0, p - NEAR_WORDS), p), *range(q, min(hi - lo, q + NEAR_WORDS))) if free[i]]
-                    names = hashed[near].tolist()
-                    flat[0] += [_value(kind, text[a:b])] * len(names)
-                    flat[1] += names
-                    flat[2] += [_name(np.array(names, np.int64).tobytes())] * len(names)
+                    u = own_units[min(int(np.searchsorted(ends, a, side="right")), hi - lo - 1)]
+                    i, j = int(np.searchsorted(own_units, u)), int(np.searchsorted(own_units, u, side="right"))
+                    terms = np.unique(hashed[lo + i : lo + j][free[i:j]]).tolist()
+                    least = terms[:2] + [0, 0]
+                    value = _value(kind, text[a:b])
+                    for name, own in entities(kind, text[a:b]):
+                        fresh = int((u, name) not in met)
+                        met.add((u, name))
+                        n = len(terms) + 1
+                        flat[0] += [name] * n
+                        flat[1] += [own] * n
+                        flat[2] += [ANY, *terms]
+                        flat[3] += [least[0], *(least[1] if t == least[0] else least[0] for t in terms)] if own else [value] * n
+                        flat[4] += [fresh] * n
             if flat[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], names=LINKS)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if k == 1 else pa.int64()) for k, x in enumerate(flat)], names=LINKS)
 
-    return map_arrow(_texts(docs).select("text"), run, "value long, term long, context long")
+    return map_arrow(docs.select(text_or_empty().alias("text")), run, "entity long, own boolean, term long, source long, units long")
 
 
 def screen(terms: DataFrame) -> np.ndarray:
@@ -223,39 +281,48 @@ def _passing(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, holders: in how many distinct texts of docs each of the terms stands."""
+def unit_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, holders: in how many units of docs each of the terms stands, and under ANY all units."""
     bits = screen(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in _slices(batches):
-            words, hashed = part.terms()
+        for _, part in _slices(batches):
+            _, hashed = part.terms()
+            if not len(hashed):
+                continue
+            unit = part.units()
             at = _passing(bits, hashed)
-            name, doc = hashed[at], np.repeat(np.arange(batch.num_rows), np.diff(words.row))[at]
+            name, doc = hashed[at], unit[at]
             order = np.lexsort((doc, name))
             name, doc = name[order], doc[order]
             fresh = np.ones(len(name), bool)
             fresh[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
             term, count = np.unique(name[fresh], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(count)], names=["term", "holders"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(term, ANY)), pa.array(np.append(count, unit[-1] + 1))], names=["term", "holders"])
 
-    met = map_arrow(_texts(docs).select("text").distinct(), run, "term long, holders long")
-    return met.join(sized(terms, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.sum("holders").alias("holders"))
+    met = map_arrow(docs.select(text_or_empty().alias("text")), run, "term long, holders long")
+    summed = met.groupBy("term").agg(F.sum("holders").alias("holders"))
+    wanted = terms.unionByName(terms.sparkSession.range(1).select(F.lit(ANY).cast("long").alias("term")))
+    return summed.join(wanted, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame) -> DataFrame | None:
-    """value, term, ratio = PMI / IC of the terms that give a value away; None if there is none."""
-    met = stage(links(docs).distinct(), "links")
-    together = stage(met.groupBy("value", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= MIN_CONTEXTS), "together")
-    terms = stage(together.select("term").distinct(), "terms")
-    if not terms.limit(1).count():
+    """entity, term, both, holders, holding, ratio = PMI / IC of the terms that give an entity away; None if there is none."""
+    met = stage(links(docs).groupBy("entity", "own", "term", "source").agg(F.sum("units").alias("units")), "links")
+    pairs = met.groupBy("entity", "own", "term").agg(F.sum("units").alias("both"), F.count(F.lit(1)).alias("sources"))
+    together = stage(pairs.filter((F.col("term") != ANY) & (F.col("sources") >= MIN_SOURCES)), "together")
+    tried = together.count()
+    if not tried:
         return None
-    holders = document_frequency(docs, terms)
-    contexts = met.select("value", "context").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("seen"))
-    n = max(2, _texts(docs).select("name").distinct().count())
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("seen") * F.col("holders")))
-    ic = F.log2(F.lit(float(n)) / F.least("seen", F.lit(n - 1)))
-    return together.join(holders, "term").join(contexts, "value").select("value", "term", (pmi / ic).alias("ratio")).filter(F.col("ratio") >= GENERALISE)
+    terms = stage(together.select("term").distinct(), "terms")
+    holders = stage(unit_counts(docs, terms), "holders")
+    n = float(holders.filter(F.col("term") == ANY).first()["holders"])
+    holding = met.filter(F.col("term") == ANY).groupBy("entity").agg(F.sum("units").alias("holding"))
+    pmi = F.log2(F.lit(n) * F.col("both") / (F.col("holding") * (F.col("holders") + 1)))
+    ic = F.log2(F.lit(n) / F.col("holding"))
+    every = together.join(holders, "term").join(holding, "entity").filter(F.col("holding") < n).withColumn("pmi", pmi)
+    told = every.filter((F.col("pmi") >= GENERALISE * ic) & (F.col("sources") * F.col("pmi") >= log2(tried / CHANCE)))
+    return told.select("entity", "term", "both", "holders", "holding", (F.col("pmi") / ic).alias("ratio"))
 
 
 def places(docs: DataFrame, told: DataFrame) -> DataFrame:
@@ -302,24 +369,29 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base, all (with terms and secrets), remove (starts of the terms that go) and the sanitised text of every row."""
     with scope():
         told = disclosing(docs)
-        marks = None
-        if told is not None:
-            best = stage(told.groupBy("term").agg(F.max("ratio").alias("ratio")), "told")
-            marks = keep(places(docs, best), "marks") if best.limit(1).count() else None
+        best = None if told is None else stage(told.groupBy("term").agg(F.max("ratio").alias("ratio")), "told")
+        few = best is None or best.count() <= BROADCAST_TERMS
+        known = _known(best) if few else None
+        marks = None if few else keep(places(docs, best), "marks")
     texts = _texts(docs)
     none = F.expr("cast(array() as array<struct<start:int,end:int,gone:boolean>>)")
     if marks is None:
         texts = texts.withColumn("marks", none)
     else:
         texts = texts.join(sized(marks.withColumnRenamed("name", "of"), BROADCAST_MARKS), F.col("name") == F.col("of"), "left").withColumn("marks", F.coalesce("marks", none))
-    some = F.col("text").rlike("[0-9@]") | (F.size("marks") > 0)
+    some = F.lit(True) if known else F.col("text").rlike("[0-9@]") | (F.size("marks") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in _slices(batches):
             base, every, remove, clean = [], [], [], []
+            found = _told(part, known.value) if known else {}
             for r, marked in enumerate(batch.column("marks").to_pylist()):
                 text = part.text(r)
-                own = _own(text)
+                own = _own(text) if HINT[part.data[part.at[r] : part.at[r + 1]]].any() else []
+                if r in found:
+                    at, gone = found[r]
+                    a, b, free = part.free(r, at, own)
+                    marked = [{"start": x, "end": y, "gone": z} for x, y, z in zip(a[free].tolist(), b[free].tolist(), gone[free].tolist(), strict=True)]
                 base.append([x for x in own if x[1] < BASE_KINDS])
                 every.append(sorted([*own, *((m["start"], TERM, m["end"]) for m in marked)]))
                 remove.append([m["start"] for m in marked if m["gone"]])
@@ -327,11 +399,33 @@ def spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _spans(base), _spans(every), pa.array(remove, pa.list_(pa.int32())), pa.array(clean, pa.string())], names=["doc_id", "base", "all", "remove", "sanitised"])
 
     found = map_arrow(texts.filter(some).select("doc_id", "text", "marks"), run, f"doc_id long, base array<{SPAN}>, all array<{SPAN}>, remove array<int>, sanitised string")
+    if known:
+        return found
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
     plain = texts.filter(~some).select("doc_id", empty.alias("base"), empty.alias("all"), F.expr("cast(array() as array<int>)").alias("remove"), F.col("text").alias("sanitised"))
     return found.unionByName(plain)
 
 
+def _known(best: DataFrame | None):
+    """The terms of best, sorted, and which of them go, on every worker; None if there are none."""
+    if best is None:
+        return None
+    got = best.select("term", (F.col("ratio") >= REMOVE).alias("gone")).toArrow().sort_by("term")
+    if not got.num_rows:
+        return None
+    return best.sparkSession.sparkContext.broadcast((got["term"].to_numpy(), got["gone"].to_numpy()))
+
+
+def _told(part: _Slice, known: tuple[np.ndarray, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The places of known terms, and which of them go, of each row that has any."""
+    words, hashed = part.terms()
+    terms, gone = known
+    slot = np.minimum(np.searchsorted(terms, hashed), len(terms) - 1)
+    at = np.flatnonzero(terms[slot] == hashed)
+    first = np.searchsorted(at, words.row)
+    return {r: (at[first[r] : first[r + 1]], gone[slot[at[first[r] : first[r + 1]]]]) for r in np.flatnonzero(np.diff(first)).tolist()}
+
+
 def _spans(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
     off = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.array([x for row in rows for x in row], np.int32).reshape(-1, 3)
@@ -347,7 +441,8 @@ def written(spans_column: str) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    count_all = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long")
     return got.select(
         "doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)), F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("all").alias("spans"),
-        F.size("all").cast("long").alias("n_spans"), F.size("remove").cast("long").alias("n_removed_terms"), F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"),
+        F.size("all").cast("long").alias("n_spans"), count_all(TERM).alias("n_terms"), F.size("remove").cast("long").alias("n_removed_terms"), F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"),
     )

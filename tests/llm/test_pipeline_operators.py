@@ -226,7 +226,7 @@ def test_pii_terms_that_name_a_value(spark):
     assert all(len(r["all"]) == 1 for r in pii.spans(stage(copies, "pii")).filter("doc_id < 5").collect())
     assert pii.sanitise("call me@x.example.com Zorblax", [(5, 0, 21), (22, pii.TERM, 29)], {22}) == "call [EMAIL] "
     clean = {r.doc_id: r.sanitised for r in pii.spans(stage(table, "pii")).collect()}
-    assert clean[2] == "w2a w2b  [EMAIL] w2c w2d" and clean[105] == "nothing here 5"
+    assert clean[2] == "w2a w2b [TERM] [EMAIL] w2c w2d" and clean[105] == "nothing here 5"
 
 
 def plain_spans(text):
@@ -249,39 +249,6 @@ def test_pii_patterns_by_brute_force():
             assert pii.base_spans(text) == plain_spans(text), text
 
 
-def test_pii_ratios_by_brute_force(spark):
-    from math import log2
-
-    draw = random.Random(12)
-    values = ["me@x.example.com", "10.0.0.77", "4111111111111111", "+1 (017) 555-7713"]
-    names = ["zorblax", "quimby", "vantel", "ostrik"]
-    common = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
-    texts = ["".join([" ".join(draw.choices(common, k=5)), f" {names[k]} {values[k]} ", " ".join(draw.choices(common, k=5))]) for k in range(4) for _ in range(6)]
-    texts += [texts[0]] * 5 + [" ".join(draw.choices(common, k=12)) for _ in range(80)] + [f"{names[3]} met {w}" for w in common[:4]]
-    split = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9]+", t)]
-    seen, both, holders = {}, {}, {}
-    for text in set(texts):
-        for w in {w for *_, w in split(text)}:
-            holders[w] = holders.get(w, 0) + 1
-        spans = plain_spans(text)
-        words = split(text)
-        free = lambda a, b: all(b <= x or a >= y for x, _, y in spans)
-        for a, kind, b in spans:
-            before, after = [w for w in words if w[1] <= a][-6:], [w for w in words if w[0] >= b][:6]
-            near = tuple(w for x, y, w in before + after if free(x, y))
-            seen.setdefault(text[a:b], set()).add(near)
-            for w in near:
-                both.setdefault((text[a:b], w), set()).add(near)
-    n, want = len(set(texts)), []
-    for (v, w), contexts in both.items():
-        ratio = log2(n * len(contexts) / (len(seen[v]) * holders[w])) / log2(n / len(seen[v]))
-        if len(contexts) >= 3 and ratio >= 0.9:
-            want.append(round(ratio, 9))
-    table = stage(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "pii")
-    got = pii.disclosing(table).collect()
-    assert sorted(round(r.ratio, 9) for r in got) == sorted(want) and len(want) >= 3
-
-
 def test_pii_secrets():
     text = 'say token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" to aaaaaaaaaaaaaaaaaaaa1234 or 12345678901234567890123 or a_name_with_nothing_in_it'
     assert [text[a:b] for a, _, b in pii.secrets(text, [])] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
