@@ -10,7 +10,8 @@ mutual information log2(N n(e, t) / (n(e) (n(t) + 1))) comes near the entity's o
 content log2(N / n(e)), that is where meeting the term all but tells that the entity is there.
 Terms at 0.9 of it are generalised, at 0.98 removed, wherever they stand in the corpus.
 
-Copies are no evidence: a pair needs three sources. Sources of kinds and shared parts are distinct
+Copies are no evidence, nor do they hide any: equal units with a value count once in all four
+numbers (other units count as often as they stand), and a pair needs three sources. Sources of kinds and shared parts are distinct
 values. Those of one value are the origins of its units: the least hash of their other words,
 which near copies share unless that very word was edited. Sources times information must pass
 log2(pairs / 0.01), one percent over all pairs that are tried.
@@ -23,8 +24,7 @@ Links reach Spark as hashes of terms and entities, never as texts, and are added
 are dealt. The terms that are tried are screened by a bit map of fixed size while the corpus is
 counted. Disclosing terms go to the workers up to a bound; beyond it, they are joined.
 
-Defined cases: a null text is empty and has no spans; repeated rows count in every number but the
-sources; spans that begin together go by kind, terms by place; overlapping spans of different
+Defined cases: a null text is empty and has no spans; repeated rows count as copies do; spans that begin together go by kind, terms by place; overlapping spans of different
 kinds all stay; an empty table gives no rows; other columns are ignored; long texts are whole, and
 every pattern runs in linear time.
 """
@@ -55,6 +55,8 @@ GENERALISE, REMOVE = 0.9, 0.98
 SECRET_BITS = 80
 #: Bits of the screen, 2 MB at any size of input.
 SCREEN_BITS = 24
+#: Counts that a task holds before it adds them up.
+HELD_COUNTS = 1_000_000
 #: Rows for terms (16 bytes each) up to this many are broadcast; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 1_000_000
 #: Texts with terms (a few hundred bytes each) up to this many are broadcast.
@@ -160,9 +162,9 @@ def entities(kind: int, text: str) -> list[tuple[int, bool]]:
 
 
 SPAN = "struct<start:int,kind:int,end:int>"
-LINKS = ["entity", "own", "term", "source", "units"]
-#: The name under which links count the units of an entity, whatever their terms.
-ANY = -1
+LINKS = ["entity", "own", "term", "source", "unit", "fresh"]
+#: The term under which links count an entity's units whatever their terms, and the entity that is in every unit with a value.
+ANY, EVERY = -1, -2
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -225,10 +227,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """entity, own, term, source, units: the terms in the units of every protected entity, of every row.
+    """entity, own, term, source, unit, fresh: the terms in the units of every protected entity, of every row.
 
-    Terms that overlap a value are none. A unit counts once for an entity (units is 0 for its other
-    values there), under the term ANY also where it has no terms.
+    Terms that overlap a value are none. A unit is named by its words. It counts once for an
+    entity (fresh is 0 for its other values there), under the term ANY also where it has no terms.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +253,8 @@ def links(docs: DataFrame) -> DataFrame:
                     terms = np.unique(hashed[lo + i : lo + j][free[i:j]]).tolist()
                     least = terms[:2] + [0, 0]
                     value = _value(kind, text[a:b])
-                    for name, own in entities(kind, text[a:b]):
+                    unit_name = _name(hashed[lo + i : lo + j].tobytes())
+                    for name, own in [(EVERY, False), *entities(kind, text[a:b])]:
                         fresh = int((u, name) not in met)
                         met.add((u, name))
                         n = len(terms) + 1
@@ -259,11 +262,12 @@ def links(docs: DataFrame) -> DataFrame:
                         flat[1] += [own] * n
                         flat[2] += [ANY, *terms]
                         flat[3] += [least[0], *(least[1] if t == least[0] else least[0] for t in terms)] if own else [value] * n
-                        flat[4] += [fresh] * n
+                        flat[4] += [unit_name] * n
+                        flat[5] += [fresh] * n
             if flat[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if k == 1 else pa.int64()) for k, x in enumerate(flat)], names=LINKS)
 
-    return map_arrow(docs.select(text_or_empty().alias("text")), run, "entity long, own boolean, term long, source long, units long")
+    return map_arrow(docs.select(text_or_empty().alias("text")), run, "entity long, own boolean, term long, source long, unit long, fresh long")
 
 
 def screen(terms: DataFrame) -> np.ndarray:
@@ -282,14 +286,19 @@ def _passing(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 
 
 def unit_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, holders: in how many units of docs each of the terms stands, and under ANY all units."""
+    """term, holders: in how many units of docs each of the terms stands, and under ANY all units; some others slip through the screen."""
     bits = screen(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, part in _slices(batches):
             _, hashed = part.terms()
             if not len(hashed):
                 continue
+            if sum(len(t) for t, _ in held) > HELD_COUNTS:
+                held = [_added(held)]
+                if len(held[0][0]) > HELD_COUNTS // 2:
+                    yield from _counts(*held.pop())
             unit = part.units()
             at = _passing(bits, hashed)
             name, doc = hashed[at], unit[at]
@@ -298,24 +307,39 @@ def unit_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             fresh = np.ones(len(name), bool)
             fresh[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
             term, count = np.unique(name[fresh], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(term, ANY)), pa.array(np.append(count, unit[-1] + 1))], names=["term", "holders"])
+            held.append((np.append(term, ANY), np.append(count, unit[-1] + 1)))
+        if held:
+            yield from _counts(*_added(held))
 
     met = map_arrow(docs.select(text_or_empty().alias("text")), run, "term long, holders long")
-    summed = met.groupBy("term").agg(F.sum("holders").alias("holders"))
-    wanted = terms.unionByName(terms.sparkSession.range(1).select(F.lit(ANY).cast("long").alias("term")))
-    return summed.join(wanted, "term", "left_semi")
+    return met.groupBy("term").agg(F.sum("holders").alias("holders"))
+
+
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same terms as one."""
+    term, count = (np.concatenate(x) for x in zip(*counts, strict=True))
+    term, place = np.unique(term, return_inverse=True)
+    return term, np.bincount(place, count, len(term)).astype(np.int64)
+
+
+def _counts(term: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(term), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(term[at : at + 50_000]), pa.array(count[at : at + 50_000])], names=["term", "holders"])
 
 
 def disclosing(docs: DataFrame) -> DataFrame | None:
     """entity, term, both, holders, holding, ratio = PMI / IC of the terms that give an entity away; None if there is none."""
-    met = stage(links(docs).groupBy("entity", "own", "term", "source").agg(F.sum("units").alias("units")), "links")
-    pairs = met.groupBy("entity", "own", "term").agg(F.sum("units").alias("both"), F.count(F.lit(1)).alias("sources"))
-    together = stage(pairs.filter((F.col("term") != ANY) & (F.col("sources") >= MIN_SOURCES)), "together")
+    each = links(docs).groupBy(*LINKS[:-1]).agg(F.max("fresh").alias("once"), F.sum("fresh").alias("rows"))
+    met = stage(each.groupBy("entity", "own", "term", "source").agg(F.sum("once").alias("units"), F.sum(F.col("rows") - F.col("once")).alias("copies")), "links")
+    pairs = met.filter(f"entity <> {EVERY} AND term <> {ANY}").groupBy("entity", "own", "term").agg(F.sum("units").alias("both"), F.count(F.lit(1)).alias("sources"))
+    together = stage(pairs.filter(F.col("sources") >= MIN_SOURCES), "together")
     tried = together.count()
     if not tried:
         return None
     terms = stage(together.select("term").distinct(), "terms")
-    holders = stage(unit_counts(docs, terms), "holders")
+    copies = met.filter(f"entity = {EVERY}").groupBy("term").agg(F.sum("copies").alias("copies"))
+    counted = unit_counts(docs, terms).join(copies, "term", "left").select("term", (F.col("holders") - F.coalesce("copies", F.lit(0))).alias("holders"))
+    holders = stage(counted, "holders")
     n = float(holders.filter(F.col("term") == ANY).first()["holders"])
     holding = met.filter(F.col("term") == ANY).groupBy("entity").agg(F.sum("units").alias("holding"))
     pmi = F.log2(F.lit(n) * F.col("both") / (F.col("holding") * (F.col("holders") + 1)))

@@ -30,7 +30,7 @@ def by_hand(texts):
     n, holders, holding, both = 0, defaultdict(int), defaultdict(int), defaultdict(int)
     sources = defaultdict(lambda: defaultdict(int))
     name = lambda w: w.translate(FOLD)
-    code = {}
+    code, known = {}, set()  # units with a value that have been counted
 
     def hashed(w):
         if w not in code:
@@ -42,10 +42,14 @@ def by_hand(texts):
         spans, units = pii._own(text), plain_units(text)
         first = {a: min(x for u in units for x, y in u if y > a) for a, _, _ in spans}
         for unit in units:
+            inside = [s for s in spans if first[s[0]] in {x for x, _ in unit}]
+            said = tuple(name(text[a:b]) for a, b in unit)
+            if inside and said in known:
+                continue
+            known.add(said)
             n += 1
             for w in {name(text[a:b]) for a, b in unit}:
                 holders[w] += 1
-            inside = [s for s in spans if first[s[0]] in {x for x, _ in unit}]
             free = {name(text[a:b]) for a, b in unit if all(b <= x or a >= z for x, _, z in spans)}
             met = set()
             for a, kind, b in inside:
