@@ -1,22 +1,25 @@
-"""Main text of web pages: nearest-URL differencing, with the page's structure as evidence.
-
-A page is read once into blocks. Page furniture (navigation, headers and footers of the page,
-asides, forms, adverts, notices, reader comments, hidden parts) is no text. All other blocks
-are lines, inside an article or main element or open. Pages of a host are ordered by URL path,
-every page is paired with the differing pages around it in that order, and the lines are
-aligned by longest common subsequence, as the parts that pages of a site share are its frame.
-Open lines that a neighbour shares are deleted. Pages of equal lines are copies and take one
-place in the order. Neighbours that share most of the page's characters are near copies where
-others share less, and are skipped; where all share most, their frame is long. A line of a marked article is deleted only
-where all pages of other content within reach, four or more, share it, as a paragraph that two
-articles quote is text in both. On a page with an article, open lines outside it are text where a neighbour
-was there to compare with and lacks them.
+"""Main text of web pages: nearest-URL differencing, checked by the page's structure.
+
+A page is read once into lines, all of them: furniture (navigation, headers and footers of the page,
+asides, forms, adverts, notices, reader comments, hidden parts), lines inside an article or main
+element, and open lines. Pages of a host are ordered by URL path, every page is paired with the
+differing pages around it in that order, and their lines are aligned by longest common subsequence,
+as the parts that pages of a site share are its frame. Shared lines are deleted. The structure is the
+check after it: furniture that no neighbour shares goes too (adverts, comments), and a shared line
+of a marked article stays unless all pages of other content within reach, four or more, share it, as
+a paragraph that two articles quote is text in both. Pages of equal lines are copies and take one
+place in the order. Neighbours that share most of the characters outside furniture are near copies
+where others share less, and are skipped; where all share most, their frame is long. On a page with
+an article, open lines outside it are text where a neighbour was there to compare with and lacks them.
+
+A form or a marked element that holds a page's only article or main is none of its furniture.
 
 Defined cases: a null html is empty; a page without text gives the empty string; null or
-unreadable URLs are one host of their own order; repeated rows each get their text; an empty
-table gives no rows; other columns are ignored; pages are whole at any length. A quote holds a
-value only right after "=" and where it is closed; any other is a letter of its tag. Unclosed
-furniture ends where its parent does.
+unreadable URLs are one host of their own order; pages of one path go by number, then content;
+repeated rows each get their text; an empty table gives no rows; other columns are ignored; pages
+are whole at any length, and are read in time that follows it. A quote holds a value only right
+after "=" and where it is closed; any other is a letter of its tag. Unclosed furniture ends where
+its parent does; an end tag without a start ends a line at most.
 """
 
 from __future__ import annotations
@@ -69,6 +72,7 @@ MAIN_IN = {"article", "main"}
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
+_HIDDEN = re.compile(r"\shidden(?=[\s=/>])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -92,12 +96,71 @@ def _furniture(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+#: Elements that an end tag of another kind does not close.
+BARRIERS = {"article", "main", "body", "td", "th", "table"}
+
+
+class _Open:
+    """The open elements of a page, with the places of each name, of block elements and of barriers."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int]] = []  # name, furniture and article depth before, place of its tag where marked
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+
+    def push(self, name: str, furniture: int, article: int, tag: int) -> None:
+        depth = len(self.stack)
+        self.stack.append((name, furniture, article, tag))
+        self.at.setdefault(name, []).append(depth)
+        if name in BLOCK:
+            self.blocks.append(depth)
+        if name in BARRIERS:
+            self.barriers.append(depth)
+
+    def close(self, depth: int) -> tuple[int, int]:
+        """Closes the elements from depth on; gives the furniture and article depths before them."""
+        gone = self.stack[depth:]
+        for name, *_ in gone:
+            self.at[name].pop()
+        for places in (self.blocks, self.barriers):
+            while places and places[-1] >= depth:
+                places.pop()
+        del self.stack[depth:]
+        return gone[0][1], gone[0][2]
+
+    def ended_by(self, name: str) -> int | None:
+        """The depth of what an end tag closes."""
+        places = self.at.get(name)
+        if not places or name not in BLOCK and self.barriers and self.barriers[-1] > places[-1]:
+            return None
+        return places[-1]
+
+    def ended_before(self, name: str) -> int | None:
+        """The depth of what a block's start tag closes: a paragraph, or an item, cell or row of its kind."""
+        if name not in CLOSES_P or not self.blocks:
+            return None
+        last = self.stack[self.blocks[-1]][0]
+        same = last == name == "li" or last == name == "tr" or name in ("td", "th") and last in ("td", "th")
+        return self.blocks[-1] if last == "p" or same else None
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, kind) of a page's blocks in order; kind 0 furniture, 1 open, 2 inside an article."""
+    out, holders = _blocks(page, frozenset())
+    if holders and not any(k == 2 for _, k in out):
+        again, _ = _blocks(page, frozenset(holders))
+        return again if any(k == 2 for _, k in again) else out
+    return out
+
+
+def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int]], list[int]]:
+    """The blocks, where tags at spared places are no furniture; and such places around the first article that stands in nothing else."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, furniture depth before, article depth before
+    opened = _Open()
     furniture = article = 0
     text: list[str] = []
+    holders: list[int] = []
 
     def flush() -> None:
         if text:
@@ -108,10 +171,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
     def close(depth: int) -> None:
         nonlocal furniture, article
-        if any(n in BLOCK or n in FURNITURE for n, _, _ in stack[depth:]):
+        if any(n in BLOCK or n in FURNITURE for n, *_ in opened.stack[depth:]):
             flush()
-        _, furniture, article = stack[depth]
-        del stack[depth:]
+        furniture, article = opened.close(depth)
 
     at, n = 0, len(page)
     while at < n:
@@ -132,42 +194,38 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         name, attrs = m[2].lower(), m[3]
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
-                if stack[depth][0] in ("article", "main", "body", "td", "th", "table") and name not in BLOCK:
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
+            depth = opened.ended_by(name)
+            if depth is not None:
+                close(depth)
+            elif name in BLOCK:
+                flush()
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p" or name == "li" and stack[depth][0] == "li" or name in ("td", "th") and stack[depth][0] in ("td", "th") or name == "tr" and stack[depth][0] == "tr":
-                        close(depth)
-                        break
-                    if stack[depth][0] in BLOCK:
-                        break
+            depth = opened.ended_before(name)
+            if depth is not None:
+                close(depth)
         if name == "br":
             text.append(" ")
             continue
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
-        marked = _furniture(name, attrs, article > 0) or name == "header" and not article
+        marked = lt not in spared and (_furniture(name, attrs, article > 0) or name == "header" and not article)
         if marked:
             flush()
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((name, furniture, article))
+        if name in MAIN_IN and furniture and not marked and not holders:
+            around = [(e, t) for e, _, _, t in opened.stack if t >= 0]
+            if all((e == "form" or e not in FURNITURE) and not _HIDDEN.search(page, t, page.find(">", t) + 1) for e, t in around):
+                holders = [t for _, t in around]
+        opened.push(name, furniture, article, lt if marked else -1)
         furniture += marked
         article += name in MAIN_IN
     flush()
-    return out
+    return out, holders
 
 
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -212,6 +270,8 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
 CLOSE_PERCENT = 80
 #: Differing pages of the host that are looked at on either side.
 REACH = 4
+#: Pages of a block.
+PAGES = 128
 #: Decisions up to this many go to every worker; beyond, they are joined.
 BROADCAST_PAGES = 100_000
 #: Least number of far pages, all sharing it, that make a line inside an article frame.
@@ -229,34 +289,38 @@ def shared_lines(own: list[int], other: list[int]) -> list[bool]:
     return out
 
 
-def kept_lines(kinds: list[int], sizes: list[int], names: list[int], others: list[tuple[int, list[int]]]) -> list[int]:
-    """The places of a page's lines that are text, from its differing neighbours (distance, names).
+def kept_lines(kinds: list[int], sizes: list[int], names: list[int], others: list[tuple[int, list[int]]]) -> tuple[list[int], int]:
+    """The places of a page's lines that are text, from its differing neighbours (distance, names), and how many furniture lines one of these shares.
 
     Open lines go where the nearest far page of either side shares them. With close pages alone
     around (a frame that is most of the text) lines go that the nearest of both sides share. Lines of an article go
     only where all far pages within reach share them and these are four or more, as two articles
     may quote the same paragraph. Outside a marked article an open line needs a neighbour that lacks it.
+    Furniture goes in any case.
     """
-    whole, marked = sum(sizes), 2 in kinds
+    whole, marked = sum(n for n, k in zip(sizes, kinds, strict=True) if k), 2 in kinds
     far: list[tuple[int, list[bool]]] = []
     close: list[tuple[int, list[bool]]] = []
     for distance, other in sorted(others, key=lambda x: (abs(x[0]), x[0])):
         shared = shared_lines(names, other)
-        is_far = 100 * sum(n for n, s in zip(sizes, shared, strict=True) if s) <= CLOSE_PERCENT * whole
+        is_far = 100 * sum(n for n, s, k in zip(sizes, shared, kinds, strict=True) if s and k) <= CLOSE_PERCENT * whole
         (far if is_far else close).append((distance, shared))
     nearest = [next((s for d, s in far or close if d * side > 0), None) for side in (-1, 1)]
     beside = [s for s in nearest if s is not None]
     shares = any if far else all
     around = [s for _, s in far]
-    out = []
+    out, aligned = [], 0
     for i, kind in enumerate(kinds):
+        if kind == 0:
+            aligned += any(s[i] for _, s in far + close)
+            continue
         if kind == 2:
             keep = len(around) < WITNESSES or not all(s[i] for s in around)
         else:
             keep = not (beside and shares(s[i] for s in beside)) and (bool(beside) or not marked)
         if keep:
             out.append(i)
-    return out
+    return out, aligned
 
 
 def _key(line: str) -> int:
@@ -276,7 +340,7 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, the lines that are no furniture with kinds, sizes and names, and a name of them all."""
+    """page_id, url, host, path, the lines with kinds, sizes and names, and a name of them all."""
     schema = "page_id long, url string, host string, path string, lines array<string>, kinds array<int>, sizes array<int>, names array<long>, content binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +349,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 200)
                 rows = []
                 for page_id, url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    got = [(t, k) for t, k in blocks(page or "") if k]
+                    got = blocks(page or "")
                     lines, kinds, names = [t for t, _ in got], [k for _, k in got], [_key(t) for t, _ in got]
                     rows.append((page_id, url, *place(url), lines, kinds, [len(t) for t in lines], names, _content(names, kinds)))
                 cols = list(zip(*rows, strict=True))
@@ -302,54 +366,70 @@ def _content(names: list[int], kinds: list[int]) -> bytes:
     return xxhash.xxh3_128_digest(np.array([names, kinds], np.int64).tobytes())
 
 
-def _neighbours(read: DataFrame) -> DataFrame:
-    """host, content, kinds, sizes, names and the differing pages around, of every distinct page of a host.
+def _dealt(read: DataFrame) -> DataFrame:
+    """block, rank, host, content, kinds, sizes, names of every distinct page with text, and of the pages within reach of its block.
 
     Pages of equal lines are one page, which stands at the first URL of them. These are
     numbered in the order of (host, path): a range sort gives the order inside partitions, the
-    partitions' counts (a row each) their first numbers. Neighbours then meet by number, in an
-    even join; a host of any size is never one task.
+    partitions' counts (a row each) their first numbers. A block of numbers is dealt out with the
+    few pages before and behind it; a host of any size is never one task.
     """
     order = ["host", "path", "page_id", "content"]
-    one = read.filter(F.size("names") > 0).groupBy("host", "content").agg(F.min(F.struct("path", "page_id", "kinds", "sizes", "names")).alias("p")).select("host", "content", "p.*")
+    one = read.filter(F.exists("kinds", lambda k: k > 0)).groupBy("host", "content").agg(F.min(F.struct("path", "page_id", "kinds", "sizes", "names")).alias("p")).select("host", "content", "p.*")
     light = stage(one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "order")
     first = light.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("base"))
-    ranked = light.join(first, "part").select("host", "content", "kinds", "sizes", "names", (F.col("base") + F.col("k")).alias("rank"))
-    steps = F.array(*[F.lit(d) for d in range(-REACH, REACH + 1) if d])
-    around = ranked.select(F.col("host").alias("h"), F.col("names").alias("other"), F.col("rank").alias("from"), F.explode(steps).alias("distance")).select("h", "distance", "other", (F.col("from") - F.col("distance")).alias("rank"))
-    found = F.collect_list(F.when(F.col("h") == F.col("host"), F.struct("distance", "other"))).alias("others")
-    own = F.first(F.struct("host", "content", "kinds", "sizes", "names")).alias("own")
-    return ranked.join(around, "rank", "left").groupBy("rank").agg(own, found).select("own.*", "others")
+    ranked = light.join(first, "part").select((F.col("base") + F.col("k")).alias("rank"), "host", "content", "kinds", "sizes", "names")
+    near = F.array_distinct(F.array(*(F.expr(f"(rank + {d}) div {PAGES}") for d in (-REACH, 0, REACH))))
+    return ranked.withColumn("block", F.explode(near)).repartition("block").sortWithinPartitions("block", "rank")
+
+
+def pairings(pages: list[tuple[int, str, list[int]]]) -> Iterator[list[tuple[int, list[int]]]]:
+    """For each of these pages (rank, host, names), in order of rank: the distances and names of its host's pages within reach."""
+    for i, (rank, host, _) in enumerate(pages):
+        yield [(r - rank, names) for r, h, names in pages[max(0, i - REACH) : i + REACH + 1] if h == host and r != rank]
 
 
 def decided(read: DataFrame) -> DataFrame:
-    """host, content, keep of the distinct pages whose text differs from what tags alone tell."""
+    """host, content, keep (null where it is what tags alone tell), aligned (furniture lines a neighbour shares) of the distinct pages."""
+
+    def of_block(block: int, rows: list[dict]) -> pa.RecordBatch:
+        host, content, kept, shared = [], [], [], []
+        for r, others in zip(rows, pairings([(r["rank"], r["host"], r["names"]) for r in rows]), strict=True):
+            if r["rank"] // PAGES != block:
+                continue
+            keep, aligned = kept_lines(r["kinds"], r["sizes"], r["names"], others)
+            host.append(r["host"])
+            content.append(r["content"])
+            kept.append(None if keep == [j for j, k in enumerate(r["kinds"]) if k == max(r["kinds"])] else keep)
+            shared.append(aligned)
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(content, pa.binary()), pa.array(kept, pa.list_(pa.int32())), pa.array(shared, pa.int64())], names=["host", "content", "keep", "aligned"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            keep, rows = [], []
-            for i, r in enumerate(batch.select(["kinds", "sizes", "names", "others"]).to_pylist()):
-                kinds = r["kinds"]
-                got = kept_lines(kinds, r["sizes"], r["names"], [(o["distance"], o["other"]) for o in r["others"]])
-                if got != [j for j, k in enumerate(kinds) if k == max(kinds)]:
-                    rows.append(i)
-                    keep.append(got)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("content").take(at), pa.array(keep, pa.list_(pa.int32()))], names=["host", "content", "keep"])
+            for row in (r for at in range(0, batch.num_rows, PAGES) for r in batch.slice(at, PAGES).to_pylist()):
+                if held and held[-1]["block"] != row["block"]:
+                    yield of_block(held[0]["block"], held)
+                    held = []
+                held.append(row)
+        if held:
+            yield of_block(held[0]["block"], held)
 
-    return map_arrow(_neighbours(read), run, "host string, content binary, keep array<int>")
+    return map_arrow(_dealt(read), run, "host string, content binary, keep array<int>, aligned long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every row of pages."""
+    """page_id, url and text of every row of pages; n_aligned and n_tagged, the furniture lines that went by alignment and by tags alone."""
     read = stage(parsed(pages), "parsed")
     with scope():
         told = keep(decided(read), "decided")
     told = F.broadcast(told) if told.count() <= BROADCAST_PAGES else told
-    by_tags = "CASE WHEN array_contains(kinds, 2) THEN filter(lines, (x, i) -> kinds[i] = 2) ELSE lines END"
+    by_tags = "filter(lines, (x, i) -> kinds[i] = CASE WHEN array_contains(kinds, 2) THEN 2 ELSE 1 END)"
     text = F.expr(f"array_join(CASE WHEN keep IS NULL THEN {by_tags} ELSE transform(keep, i -> lines[i]) END, '\n')")
-    return read.join(told, ["host", "content"], "left").select("page_id", "url", text.alias("text"))
+    aligned = F.coalesce("aligned", F.lit(0)).cast("long")
+    tagged = F.size(F.filter("kinds", lambda k: k == 0)).cast("long") - aligned
+    return read.join(told, ["host", "content"], "left").select("page_id", "url", text.alias("text"), aligned.alias("n_aligned"), tagged.alias("n_tagged"))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_aligned", "n_tagged")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -445,7 +446,44 @@ def test_html_sites_by_brute_force(spark):
         want[i] = "\n".join(own)
     table = stage(spark.createDataFrame(pages, "page_id long, url string, html string"), "site")
     assert {r.page_id: r.text for r in html_extract.extract(table).collect()} == want
-    assert html_extract._neighbours(html_extract.parsed(table)).filter("size(others) >= 4").count() == 12
+    rows = [(k, "h", [k]) for k in range(12)]
+    assert [[d for d, _ in o] for o in html_extract.pairings(rows)] == [[d for d in range(-4, 5) if d and 0 <= k + d < 12] for k in range(12)]
+
+
+def test_html_furniture_goes_by_alignment(spark, monkeypatch):
+    """Menus and footers that pages share go by alignment, adverts of one page by tags; without any names the shared ones go all the same."""
+    monkeypatch.setattr(html_extract, "PAGES", 5)
+    menu, foot = "<li>Start</li><li>News</li><li>About us</li>", "<p>All rights reserved</p>"
+    named = "<body><nav><ul>{menu}</ul></nav><div class='ad'>{ad}</div><article><h1>{head}</h1><p>{body}</p></article><footer>{foot}</footer></body>"
+    bare = "<body><div><ul>{menu}</ul></div><div><h1>{head}</h1><p>{body}</p></div><div>{foot}</div></body>"
+    pages, want = [], {}
+    for i in range(17):
+        parts = {"menu": menu, "foot": foot, "ad": f"buy {i}", "head": f"head {i}", "body": f"story {i} " + f"w{i} " * 20}
+        pages += [(i, f"http://n.example/{i:02d}", named.format(**parts)), (100 + i, f"http://b.example/{i:02d}", bare.format(**parts))]
+        want[i] = want[100 + i] = f"head {i}\n" + parts["body"].strip()
+    got = html_extract.extract(stage(spark.createDataFrame(pages, "page_id long, url string, html string"), "site")).collect()
+    assert {r.page_id: r.text for r in got} == want
+    assert {(r.n_aligned, r.n_tagged) for r in got if r.page_id < 100} == {(4, 1)} and {(r.n_aligned, r.n_tagged) for r in got if r.page_id >= 100} == {(0, 0)}
+
+
+def test_html_holders_of_the_article():
+    text = lambda page: [t for t, k in html_extract.blocks(page) if k == 2]
+    article = "<article><p>one</p><form>no</form></article>"
+    assert text(f"<form id=f><nav>menu</nav>{article}</form>") == ["one"]
+    assert text(f"<div class='content social'><div class=sidebar>{article}</div></div>") == ["one"]
+    assert text(f"<div class='related'>{article}</div>{article.replace('one', 'two')}") == ["two"]
+    assert text(f"<div class='modal' hidden>{article}</div>") == [] == text(f"<aside>{article}</aside>")
+
+
+def test_html_stray_tags_in_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        page = "<article>" + "<b>" * n + "<table>" + "x</i><p>y" * n + "</b></u>" * n + "</article>"
+        assert len(html_extract.blocks(page)) == n + 1
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 12 * took(8000) + 1
 
 
 def test_html_articles_are_differenced(spark):
