@@ -18,9 +18,10 @@ from ..stages import stage
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors; 0 where one has no length."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return dot / (norm(a) * norm(b))
+    return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
 def centroids(assigned: DataFrame) -> DataFrame:

@@ -226,7 +226,8 @@ def unpacked(rows: DataFrame) -> DataFrame:
 def mapped(postings: DataFrame, score: Callable[[int], float] | Column) -> DataFrame:
     """Postings with score, a function of cnt: a column expression, or a Python function of whole numbers.
 
-    Of a Python function each distinct count is asked once, and the table of its answers joined.
+    Of a Python function each distinct count is asked once, and the table of its answers joined; a
+    null count is not asked for and has a null score.
     """
     if isinstance(score, Column):
         return postings.withColumn("score", score)
@@ -237,7 +238,8 @@ def mapped(postings: DataFrame, score: Callable[[int], float] | Column) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(score(v)) for v in values], pa.float64())], names=["cnt", "score"])
 
     ship_package(postings.sparkSession)
-    return postings.join(postings.select("cnt").distinct().mapInArrow(run, "cnt long, score double"), "cnt")
+    told = postings.select("cnt").filter("cnt is not null").distinct().mapInArrow(run, "cnt long, score double")
+    return postings.join(told, "cnt", "left")
 
 
 def grid(counted: DataFrame, sizes: tuple[int, ...]) -> DataFrame:

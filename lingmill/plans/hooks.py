@@ -111,23 +111,6 @@ def hook_scanner(spark: SparkSession, d: str) -> DataFrame:
     return H.scanned(spread(table(spark, d, "documents")).select("doc_id", "text"), [LongWords()])["LongWords"]
 
 
-@query("source_noise", "SELECT 'noise-' || k AS path, 4 AS buffers, 32768 AS bytes FROM range(3) r(k)")
-def source_noise(spark: SparkSession, d: str) -> DataFrame:
-    """Buffers of an input stream of one's own."""
-    H.register(spark)
-    rows = spark.read.format("noise").option("parts", "3").option("size", "32768").load()
-    return rows.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("buffers"), F.sum(F.octet_length("content")).cast("int").alias("bytes"))
-
-
-@query("noise_false_positives")
-def noise_false_positives(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of strings found in noise, by confidence: what an extractor takes for text where there is none."""
-    H.register(spark)
-    rows = spark.read.format("noise").option("parts", "8").option("size", "131072").option("buffer", "131072").load()
-    found = S.extract(rows, charsets=["ascii", "latin-1"]).withColumn("confidence", S.confidence(F.col("text")))
-    return found.agg(*(F.coalesce(F.sum(F.when(F.col("confidence") >= t, F.col("length"))), F.lit(0)).cast("long").alias(f"bytes_from_{t}") for t in (4, 7, 10)))
-
-
 @query("hook_batches", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
 def hook_batches(spark: SparkSession, d: str) -> DataFrame:
     """A stream of a table whose batches a sink of one's own writes."""

@@ -131,23 +131,6 @@ def grow_seeds(spark: SparkSession, d: str) -> DataFrame:
     return C.grow_seeds(v, seeds, 0.1).select("vec_id", "cluster", F.round("sim", 6).alias("sim"))
 
 
-def _clusters(run):
-    def go(spark: SparkSession, d: str) -> DataFrame:
-        from ..operators import cluster as C
-
-        v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-        return run(C, v)
-
-    return go
-
-
-query("cluster_group_average")(_clusters(lambda C, v: C.group_average(v, 0.4, limit=1000)))
-query("cluster_two_pass")(_clusters(lambda C, v: C.group_average(v, 0.4, limit=1000, passes=2)))
-query("cluster_agglomerative")(_clusters(lambda C, v: C.agglomerative(v, 10)))
-query("cluster_spectral")(_clusters(lambda C, v: C.spectral(v, 10)))
-query("cluster_tight")(_clusters(lambda C, v: C.tight(v, 10, samples=4)))
-
-
 @query("cluster_k_means")
 def cluster_k_means(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import cluster as C
@@ -156,9 +139,6 @@ def cluster_k_means(spark: SparkSession, d: str) -> DataFrame:
     return C.k_means(v.drop("cluster"), v.groupBy("cluster").agg(F.min_by("v", "vec_id").alias("c")), 5)
 
 
-query("cluster_k_means_seeded")(_clusters(lambda C, v: C.k_means(v, C.hierarchical_seeds(v, 5), 5)))
-
-
 _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT * FROM v WHERE vec_id < 40)"
 
 
@@ -185,6 +165,3 @@ def cluster_merged_equivalent(spark: SparkSession, d: str) -> DataFrame:
 
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"))
     return C.merged_equivalent(v, v.select("cluster", (F.col("cluster") % 3).alias("name")).distinct())
-
-
-query("cluster_dispatched")(_clusters(lambda C, v: C.dispatch(v, "method=agg,linkage=near,k=8", singletons=False)))

@@ -28,10 +28,14 @@ def tidy_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 def unescape_gram(gram: Column) -> Column:
     r"""`\ ` is a blank, `\0` NUL, `\t` tab, `\n`, `\r`, `\f` themselves, `\\` a backslash."""
-    out = F.replace(gram, F.lit("\\\\"), F.lit(""))
-    for mark, char in ((" ", " "), ("0", "\0"), ("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
-        out = F.replace(out, F.lit("\\" + mark), F.lit(char))
-    return F.replace(out, F.lit(""), F.lit("\\"))
+
+    def between(part: Column) -> Column:
+        for mark, char in ((" ", " "), ("0", "\0"), ("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
+            part = F.replace(part, F.lit("\\" + mark), F.lit(char))
+        return part
+
+    # Backslashes pair from the left, so what stands between the pairs holds single ones only.
+    return F.array_join(F.transform(F.split(gram, r"\\\\", -1), between), "\\")
 
 
 def escape_gram(gram: Column) -> Column:

@@ -106,7 +106,8 @@ def file_type(content: Column) -> Column:
     for mark, name in MARKS:
         out = out.when(head.startswith(mark), name)
     digits = F.hex(content)
-    zero_first, zero_last = F.regexp_count(digits, F.lit("(?:00[0-7][0-9A-F])")) , F.regexp_count(digits, F.lit("(?:[0-7][0-9A-F]00)"))
+    # Units of two bytes from the start on: those that are ASCII stay, all others go.
+    zero_first, zero_last = (F.length(F.regexp_replace(digits, f"({ascii})|.{{4}}", "$1")) / 4 for ascii in ("00[0-7].", "[0-7].00"))
     wide = size >= 4
     plain = ~digits.rlike("^(?:..)*0[0-8BEF]") & ~digits.rlike("^(?:..)*1[0-9A-F]")
     return (

@@ -1,6 +1,9 @@
 """Streams: windows with watermarks, deduplication, count windows and the smoothed language prior.
 
-Every function takes and gives a streaming DataFrame; the caller starts the query.
+Every function takes and gives a streaming DataFrame; the caller starts the query. The stateful ones
+go through in_order(): rows of a key carry seq, 0, 1, 2 ... without gaps, and the last of them says
+so. They may come in any order and in any batches; a row that is ahead waits as state until those
+before it have come, one that comes again is left out. So results are those of one ordered pass.
 """
 
 from __future__ import annotations
@@ -35,38 +38,69 @@ def deduplicated(events: DataFrame, late: str, *key: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))
 
 
+def in_order(rows: DataFrame, key: str, columns: list[str], begin, step, end, schema: str, wait_ms: int = 0) -> DataFrame:
+    """What step() gives for the rows (key, seq, last, columns) of each key, taken by seq.
+
+    step(key, carried, row) gives what is carried on (plain values, as JSON knows them) and rows of
+    schema; end(key, carried) gives rows behind the last one. Where wait_ms is given, a key without
+    news for so long is taken to its end as well, over whatever is missing.
+    """
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        nxt, carried, waiting = json.loads(state.get[0]) if state.exists else (0, begin, {})
+        out: list[tuple] = []
+        over = wait_ms and state.hasTimedOut
+        if not over and nxt >= 0:
+            for batch in batches:
+                for seq, last, *row in batch[["seq", "last", *columns]].itertuples(index=False, name=None):
+                    if seq >= nxt:
+                        waiting[str(seq)] = [bool(last), row]
+        while nxt >= 0 and (str(nxt) in waiting or over and waiting):
+            nxt = nxt if str(nxt) in waiting else min(map(int, waiting))
+            last, row = waiting.pop(str(nxt))
+            carried, got = step(group[0], carried, row)
+            out += got
+            nxt += 1
+            if last or over and not waiting:
+                out += end(group[0], carried)
+                nxt, carried, waiting = -1, None, {}
+        if over and nxt >= 0:
+            out += end(group[0], carried)
+            nxt, carried = -1, None
+        state.update((json.dumps((nxt, carried, waiting)),))
+        if wait_ms and nxt >= 0:
+            state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
+
+    ship_package(rows.sparkSession)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", timeout)
+
+
 def count_windows(chunks: DataFrame, size: int = 4096) -> DataFrame:
     """path, block_start, block of an endless text: blocks of size, a quarter of it apart.
 
-    Chunks are (path, seq, text); what does not fill a block waits as state of its path.
+    Chunks are (path, seq, last, text); what does not fill a block waits as state of its path.
     """
-    step = size // 4
+    quarter = size // 4
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, rest = state.get if state.exists else (0, "")
-        text = rest + "".join(pd.concat(list(batches)).sort_values("seq")["text"])
-        out = []
-        while len(text) >= size:
-            out.append((key[0], at, text[:size]))
-            at, text = at + step, text[step:]
-        state.update((at, text))
-        yield pd.DataFrame(out, columns=["path", "block_start", "block"])
+    def step(path: str, carried: list, row: list) -> tuple[list, list[tuple]]:
+        at, text = carried[0], carried[1] + row[0]
+        starts = range(0, len(text) - size + 1, quarter)
+        done = len(starts) * quarter
+        return [at + done, text[done:]], [(path, at + k, text[k : k + size]) for k in starts]
 
-    ship_package(chunks.sparkSession)
-    return chunks.groupBy("path").applyInPandasWithState(run, "path string, block_start long, block string", "at long, rest string", "append", GroupStateTimeout.NoTimeout)
+    return in_order(chunks, "path", ["text"], [0, ""], step, lambda *_: [], "path string, block_start long, block string")
 
 
-def carry_over(chunks: DataFrame) -> DataFrame:
-    """path, line: complete lines of chunks (path, seq, text); an open last line waits as state."""
+def carry_over(chunks: DataFrame, wait_ms: int = 0) -> DataFrame:
+    """path, line: the lines of chunks (path, seq, last, text); the open last line comes with the last chunk."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest = state.get[0] if state.exists else ""
-        *lines, rest = (rest + "".join(pd.concat(list(batches)).sort_values("seq")["text"])).split("\n")
-        state.update((rest,))
-        yield pd.DataFrame({"path": [key[0]] * len(lines), "line": lines})
+    def step(path: str, carried: str, row: list) -> tuple[str, list[tuple]]:
+        *lines, rest = (carried + row[0]).split("\n")
+        return rest, [(path, x) for x in lines]
 
-    ship_package(chunks.sparkSession)
-    return chunks.groupBy("path").applyInPandasWithState(run, "path string, line string", "rest string", "append", GroupStateTimeout.NoTimeout)
+    return in_order(chunks, "path", ["text"], "", step, lambda path, rest: [(path, rest)], "path string, line string", wait_ms)
 
 
 def mixed(own: dict[str, float], prior: dict[str, float] | None, size: int, unsure: float = UNSURE) -> tuple[dict[str, float], dict[str, float]]:
@@ -84,41 +118,32 @@ def mixed(own: dict[str, float], prior: dict[str, float] | None, size: int, unsu
 def language_prior(scored: DataFrame) -> DataFrame:
     """doc_id, line_no, guess, score: the best guess of each line, mixed with its document's decaying prior.
 
-    Rows are (doc_id, line_no, size, scores map); the prior is the state of a document.
+    Rows are (doc_id, seq, last, line_no, size, scores map); the prior is the state of a document.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prior = json.loads(state.get[0]) if state.exists else None
-        out = []
-        for r in pd.concat(list(batches)).sort_values("line_no").itertuples():
-            got, prior = mixed(dict(r.scores), prior, r.size)
-            best = max(sorted(got), key=got.get)
-            out.append((key[0], r.line_no, best, got[best]))
-        state.update((json.dumps(prior),))
-        yield pd.DataFrame(out, columns=["doc_id", "line_no", "guess", "score"])
+    def step(doc: int, prior: dict | None, row: list) -> tuple[dict, list[tuple]]:
+        line, size, scores = row
+        got, prior = mixed(scores, prior, size)
+        best = max(sorted(got), key=got.get)
+        return prior, [(doc, line, best, got[best])]
 
-    ship_package(scored.sparkSession)
-    return scored.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, line_no int, guess string, score double", "prior string", "append", GroupStateTimeout.NoTimeout)
+    told = scored.withColumn("scores", F.to_json("scores"))
+    read = lambda doc, prior, row: step(doc, prior, [row[0], row[1], json.loads(row[2])])
+    return in_order(told, "doc_id", ["line_no", "size", "scores"], None, read, lambda *_: [], "doc_id long, line_no int, guess string, score double")
 
 
 def redetections(strings: DataFrame, gap: int = 20, after: int = 2, least: int = 96) -> DataFrame:
-    """path, offset of the strings (path, offset, size) before which charsets are detected anew.
+    """path, offset of the strings (path, seq, last, offset, size) before which charsets are detected anew.
 
     That is over a gap of more bytes than given, once so many strings and bytes have been seen.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        end, seen, taken = state.get if state.exists else (0, 0, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("offset").itertuples():
-            if r.offset - end > gap and seen >= after and taken >= least:
-                out.append((key[0], r.offset))
-            end, seen, taken = r.offset + r.size, seen + 1, taken + r.size
-        state.update((int(end), int(seen), int(taken)))
-        yield pd.DataFrame(out, columns=["path", "offset"])
-
-    ship_package(strings.sparkSession)
-    return strings.groupBy("path").applyInPandasWithState(run, "path string, offset long", "end long, seen long, taken long", "append", GroupStateTimeout.NoTimeout)
+    def step(path: str, carried: list, row: list) -> tuple[list, list[tuple]]:
+        (end, seen, taken), (offset, size) = carried, map(int, row)
+        again = offset - end > gap and seen >= after and taken >= least
+        return [offset + size, seen + 1, taken + size], [(path, offset)] if again else []
+
+    return in_order(strings, "path", ["offset", "size"], [0, 0, 0], step, lambda *_: [], "path string, offset long")
 
 
 def reminders(events: DataFrame, key: str, every_ms: int) -> DataFrame:

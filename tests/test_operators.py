@@ -86,14 +86,54 @@ def test_clusters_of_two_directions(spark):
         assert label[0] == label[1] == label[2] != label[3] == label[4] == label[5]
 
 
-def test_streams_carry_state(spark, tmp_path):
+def _told(spark, folder, chunks, schema, run):
+    """What run() gives over a stream whose rows come in these batches."""
+    source = str(folder / "in")
+    out = []
+    for n, batch in enumerate(chunks):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = run(stream).writeStream.foreachBatch(lambda df, n: out.append(df.collect())).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(out) >= len(chunks)
+    return [tuple(r) for rows in out for r in rows]
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [1, 0, 2], [2, 1, 0], [2, 0, 1]])
+@pytest.mark.parametrize("each", [1, 3])
+def test_streams_carry_state_in_any_order(spark, tmp_path, order, each):
+    """Chunks in one batch or in one each, in any order, one of them twice: the lines are those of the whole text."""
+    chunks = [("a", k, k == 2, t) for k, t in enumerate(["ab\ncd", "ef\ngh", "ij\nk"])]
+    rows = [chunks[k] for k in order] + [chunks[order[0]]]
+    batches = [rows[k : k + each] for k in range(0, len(rows), each)]
+    got = _told(spark, tmp_path, batches, "path string, seq int, last boolean, text string", stateful.carry_over)
+    assert got == [("a", "ab"), ("a", "cdef"), ("a", "ghij"), ("a", "k")]
+
+
+def test_windows_and_redetections_over_batches(spark, tmp_path):
+    text = "".join(chr(97 + k % 26) for k in range(50))
+    chunks = [[("p", k, k == 4, text[10 * k : 10 * k + 10])] for k in (3, 0, 4, 2, 1)]
+    got = _told(spark, tmp_path / "w", chunks, "path string, seq int, last boolean, text string", lambda s: stateful.count_windows(s, 16))
+    assert got == [("p", b, text[b : b + 16]) for b in range(0, 35, 4)]
+    rows = [("p", 0, False, 0, 60), ("p", 1, False, 60, 60), ("p", 2, False, 150, 10), ("p", 3, True, 170, 5)]
+    got = _told(spark, tmp_path / "r", [[rows[k]] for k in (2, 3, 0, 1)], "path string, seq int, last boolean, offset long, size int", stateful.redetections)
+    assert got == [("p", 150)]
+
+
+def test_streams_end_by_time_where_no_last_chunk_comes(spark, tmp_path):
     source = str(tmp_path / "in")
-    spark.createDataFrame([("a", 1, "one\ntw"), ("a", 2, "o\nthree")], "path string, seq int, text string").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("path string, seq int, text string").parquet(source)
-    q = stateful.carry_over(stream).writeStream.format("memory").queryName("carried").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.line for r in spark.sql("select * from carried").collect()) == ["one", "two"]
+    spark.createDataFrame([("a", 0, False, "one\ntw"), ("a", 2, False, "late")], "path string, seq int, last boolean, text string").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("path string, seq int, last boolean, text string").parquet(source)
+    q = stateful.carry_over(stream, 500).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(40):
+            q.awaitTermination(1)
+            got = [r.line for r in spark.sql("select * from ended").collect()]
+            if len(got) == 2:
+                break
+        assert got == ["one", "twlate"]
+    finally:
+        q.stop()
 
 
 def test_charsets_are_ranked_again_along_a_file(spark):

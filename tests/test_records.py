@@ -60,3 +60,38 @@ def test_hierarchical_seeds_find_separate_groups(spark):
     assert seeds.count() == 2
     got = C.k_means(v, seeds, 3)
     assert got.count() == 18 and got.select("cluster").distinct().count() == 2
+
+
+def test_zero_and_empty_vectors(spark):
+    from lingmill.operators import cluster, similarity
+
+    v = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, v array<double>")
+    seeds = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster int, c array<double>")
+    assert {(r.vec_id, r.cluster, r.sim) for r in cluster.assign(v, seeds).collect()} == {(0, 0, 0.0), (1, 0, 1.0), (2, 1, 1.0)}
+    pairs = spark.createDataFrame([([], [1.0, 2.0]), ([1.0, 2.0], []), ([], []), ([0.0], [0.0]), ([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    every = similarity.measures(F.col("a"), F.col("b"))
+    rows = pairs.select(*(similarity.similarity(n, F.col("a"), F.col("b")).alias(n) for n in every)).collect()
+    assert set(rows[0]) == set(rows[1]) == {0.0} and set(rows[2]) == {1.0} and len(every) > 25
+
+
+def test_escaped_grams_come_back(spark):
+    from lingmill.sources import files
+
+    grams = ["\ue000", "a\\b", "\\\\ \t", "\\0\0", "\\ t\\\\\\n\n", " ", "\\"]
+    df = spark.createDataFrame([(g,) for g in grams], "g string").withColumn("e", files.escape_gram(F.col("g")))
+    assert [(r.g, r.b) for r in df.select("g", files.unescape_gram(F.col("e")).alias("b")).collect()] == [(g, g) for g in grams]
+
+
+def test_types_of_bytes_in_units_of_two(spark):
+    from lingmill.sources import stores
+
+    known = {"90041004": "binary", "61006200": "utf-16-le", "00610062": "utf-16-be", "6162": "ascii", "c3a9": "utf-8", "": "empty", "0061000a0462": "utf-16-be", "1000200130023003": "binary"}
+    df = spark.createDataFrame([(h, bytearray.fromhex(h)) for h in known], "h string, b binary")
+    assert {r.h: r.t for r in df.select("h", stores.file_type(F.col("b")).alias("t")).collect()} == known
+
+
+def test_scores_of_null_counts(spark):
+    from lingmill.operators import scoring
+
+    df = spark.createDataFrame([("a", 2), ("b", None)], "gram string, cnt long")
+    assert {(r.gram, r.score) for r in scoring.mapped(df, lambda n: n * 0.5).collect()} == {("a", 1.0), ("b", None)}
