@@ -7,7 +7,7 @@ global offset of every section. Pass two cuts the stream at multiples of the win
 that crosses a border leaves one record on either side. Only the last sequence is padded.
 
 Defined cases: an empty text is its end token alone; rows keep the order of the input's
-sections, repeated rows are packed again; an empty table gives no pieces; other columns are
+sections (so there are no ties), repeated rows are packed again, long texts are whole; an empty table gives no pieces; other columns are
 ignored.
 """
 
@@ -105,8 +105,12 @@ def encode(ids: WordIds, text: bytes) -> bytes:
     return b"".join(map(ids.__getitem__, text.split()))
 
 
+#: The column in which in_file_order() names the part of a file that a row was read from.
+SECTION = "__section"
+
+
 def in_file_order(docs: DataFrame) -> DataFrame:
-    """docs, read from files, with __section: the part of a file that a row was read from.
+    """docs, read from files, with SECTION: the part of a file that a row was read from; for pack() with that section.
 
     Sections sort as the files' names do (longer names last, so that numbers in them count up)
     and, in a file, as its parts; rows of a part come in order. Readers deal parts to tasks by
@@ -114,13 +118,16 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     """
     file = docs.metadataColumn("_metadata")
     section = F.format_string("%08d %s %020d", F.length(file["file_path"]), file["file_path"], file["file_block_start"])
-    return docs.select(F.col("doc_id"), F.col("text"), section.alias("__section"))
+    return docs.select(F.col("doc_id"), F.col("text"), section.alias(SECTION))
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """section, before, doc_id, doc_tokens, ids (little-endian uint32, with the end token)."""
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, section: str | None = None) -> DataFrame:
+    """section, before, doc_id, doc_tokens, ids (little-endian uint32, with the end token).
+
+    A section is a partition, or a value of the column of that name, whose rows come one after another.
+    """
     end = np.array([end_id], "<u4").tobytes()
-    section = F.col("__section") if "__section" in docs.columns else F.format_string("%012d", F.spark_partition_id())
+    named = F.col(section) if section else F.format_string("%012d", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last, before = word_ids(tokenizer_path), None, 0
@@ -138,13 +145,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
                         last, before = names[lo], int(start[hi - 1] + count[hi - 1])
                 yield pa.RecordBatch.from_arrays([rows.column("section"), pa.array(start), rows.column("doc_id"), pa.array(count), pa.array(coded, pa.binary())], names=["section", "before", "doc_id", "doc_tokens", "ids"])
 
-    plain = docs.select(section.alias("section"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    plain = docs.select(named.alias("section"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return map_arrow(plain, run, "section string, before long, doc_id long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW_TOKENS, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW_TOKENS, end_id: int = END_ID, section: str | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (their own)."""
-    tokens = stage(tokenise(docs, tokenizer_path, end_id), "tokens")
+    tokens = stage(tokenise(docs, tokenizer_path, end_id, section), "tokens")
     totals = tokens.groupBy("section").agg(F.sum("doc_tokens").alias("total"))
     base = totals.select("section", (F.sum("total").over(Window.orderBy("section")) - F.col("total")).alias("base"))
     if totals.count() <= BROADCAST_SECTIONS:

@@ -149,6 +149,13 @@ def test_word_ids_are_the_tokenizers(word):
     assert np.frombuffer(packing.encode(ids, word.encode()), "<u4").tolist() == ids.tokenizer.encode(word, add_special_tokens=False).ids
 
 
+def test_packing_takes_no_column_for_a_section(spark):
+    """A table may have a column of the name that the pipeline's sections go by; offsets stay gapless."""
+    df = spark.createDataFrame([(i, "some words here", "xyx"[i % 3]) for i in range(8)], "doc_id long, text string, __section string").coalesce(1)
+    rows = sorted(packing.pack(df, packing.default_tokenizer()).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(8)] and [r.doc_id for r in rows] == [*range(8)]
+
+
 def test_chat_reads_back(spark):
     turns = [(1, 0, "user", "a\\1<|turn|>[INST]"), (1, 1, "assistant", "b\n</s>"), (1, 2, "user", None), (1, 3, "assistant", "d"), (2, 0, "us\ner", "x"), (3, 0, "assistant", ""), (3, 0, "assistant", ""), (None, 1, "assistant", "n")]
     placed = chat.placed(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
@@ -529,7 +536,7 @@ def test_packed_order_is_the_training_order(spark):
         for size in ("64k", "128m"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             mixed = stage(mixing.repeated(docs), "mixed")
-            pieces = packing.pack(packing.in_file_order(mixed), packing.default_tokenizer()).filter("start = 0").collect()
+            pieces = packing.pack(packing.in_file_order(mixed), packing.default_tokenizer(), section=packing.SECTION).filter("start = 0").collect()
             assert [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))] == [i for _, i in taken]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
