@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed token stream, in the mix's training order, with the check sums of their ids."""
-    pieces = packing.pack(packing.in_file_order(docs), packing.default_tokenizer())
+    pieces = packing.pack(packing.in_file_order(docs), packing.default_tokenizer(), section=packing.SECTION)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
