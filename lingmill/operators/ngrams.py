@@ -7,11 +7,18 @@ broadcast where it has few rows, by shuffle where not.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..stages import stage
 from .sizes import small
+from .trie import Trie
 
 #: Thresholds of the labels: unknown at or below, unsure below; lowest score shown.
 GUESS, UNSURE, ZERO = 0.2, 1.2, 0.01
@@ -182,8 +189,71 @@ def merged_by(model: DataFrame, charset: str) -> DataFrame:
 # labelling
 
 
+#: Models of up to so many rows (n-grams times languages) go to the workers as a trie; cells of a task's score table.
+TRIE_ROWS, CELLS = 1_000_000, 1 << 22
+
+
 def identify(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
-    """key, guess, score: sum of weight times length over occurrences, per character."""
+    """key, guess, score: sum of weight times length over occurrences, per character.
+
+    The model's n-grams are packed into a trie, which finds all of them at every character of an
+    Arrow batch; a row per line and language leaves the task. A model of more than TRIE_ROWS rows is
+    joined with the lines' n-grams instead.
+    """
+    known = stage(model.filter(F.col("n").isin(*lengths)).select(F.col(by).alias("guess"), "gram", "weight"), "model")
+    if known.count() > TRIE_ROWS:
+        return identify_joined(rows, model, key, lengths, by)
+    spark = rows.sparkSession
+    got = known.filter("gram is not null").toArrow()
+    trie = Trie(got["gram"].to_pylist())
+    names = got["guess"].unique()
+    gram = np.searchsorted(np.array(trie.strings, object), np.array(got["gram"].to_pylist(), object)) if got.num_rows else np.zeros(0, np.int64)
+    order = np.argsort(gram, kind="stable")
+    of = pc.index_in(got["guess"], value_set=names, skip_nulls=False).to_numpy()[order] if got.num_rows else order
+    worth = got["weight"].to_numpy()[order] * np.array([len(s) for s in trie.strings])[gram[order]] if got.num_rows else order.astype(float)
+    first = np.searchsorted(gram[order], np.arange(len(trie.strings) + 1))
+    shared = spark.sparkContext.broadcast((trie, first, of, worth, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, first, of, worth, names = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINES):
+                part = batch.slice(at, LINES)
+                lines = part.column("__line").to_pylist()
+                size = np.array([len(x) for x in lines], np.int64)
+                codes = np.zeros(int(size.sum()) + len(size), np.int32)
+                inside = np.arange(len(codes)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1) < np.repeat(size, size + 1)
+                codes[inside] = trie.codes(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"))
+                row_of = np.repeat(np.arange(len(size)), size + 1)
+                start, string = trie.matches(codes)
+                row, guess, raw = _added(row_of[start], string, first, of, worth, len(size), len(names))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in key), names.take(pa.array(guess)), pa.array(raw), pa.array(size[row])], names=[*key, "guess", "__raw", "__chars"])
+
+    ship_package(spark)
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in key), f"guess {dict(model.dtypes)[by]}, __raw double, __chars long"])
+    tidied = rows.select(*key, tidy(F.col("line")).alias("__line")).filter("__line is not null")
+    return tidied.mapInArrow(run, schema).groupBy(*key, "guess").agg((F.sum("__raw") / F.greatest(F.max("__chars"), F.lit(1))).alias("score"))
+
+
+#: Lines that are matched at a time.
+LINES = 2048
+
+
+def _added(row: np.ndarray, string: np.ndarray, first: np.ndarray, of: np.ndarray, worth: np.ndarray, rows: int, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, name and sum of the worth of the postings of strings found in rows; a table of all cells where it is small, else sorted."""
+    many = np.diff(first)[string]
+    place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[string], many)
+    cell = np.repeat(row, many) * names + of[place]
+    if rows * names <= CELLS:
+        met = np.flatnonzero(np.bincount(cell, minlength=1))
+        return met // max(names, 1), met % max(names, 1), np.bincount(cell, worth[place], 1)[met]
+    met, at = np.unique(cell, return_inverse=True)
+    return met // names, met % names, np.bincount(at, worth[place], len(met))
+
+
+def identify_joined(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
+    """identify() by a join of n-grams, for models of any size."""
     tidied = rows.select(*key, tidy(F.col("line")).alias("line"))
     seen = explode_grams(tidied.withColumn("chars", F.char_length("line")), lengths)
     known = small(model.select(F.col(by).alias("guess"), "gram", "weight"))
@@ -230,7 +300,6 @@ def smoothed(scores: DataFrame, doc: str = "doc_id", order: str = "line_no", max
     prior divided by 2 + 0.25 ln(len). Lines come with len. A document is one ordered fold, as
     each line depends on the one before.
     """
-    import numpy as np
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:

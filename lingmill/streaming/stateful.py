@@ -70,7 +70,8 @@ def in_order(rows: DataFrame, key: str, columns: list[str], begin, step, end, sc
         state.update((json.dumps((nxt, carried, waiting)),))
         if wait_ms and nxt >= 0:
             state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     ship_package(rows.sparkSession)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
