@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -216,23 +216,25 @@ def best_strings(data: bytes, charsets: list[str], least: int = 4, gap: int = 10
 SCAN, STEP = 384, 256
 
 
-def sniffed_strings(data: bytes, least: int = 4, gap: int = 1000) -> list[dict]:
+def sniffed_order(block: bytes, before: list[str]) -> list[str]:
+    """Charsets to try on a block: what the sniffs say, and of the earlier ones UTF-8, and a wide form where zeros are a quarter."""
+    own = rank_charsets(block)
+    wide = 4 * block.count(0) >= len(block)
+    return [*own[:-2], *(c for c in before[:-2] if c not in own and (c == "utf-8" or wide)), *own[-2:]]
+
+
+def sniffed_strings(data: bytes, least: int = 4, gap: int = 1000, order: Callable[[bytes, list[str]], list[str]] = sniffed_order) -> list[dict]:
     """Strings in order of offset, with the charsets ranked again for every block of the scan.
 
-    A string may run past its block; the next block starts where it ends. UTF-8 stays a
-    candidate of later blocks, a wide form of those that hold zeros for a quarter.
+    A string may run past its block; the next block starts where it ends. order gives the charsets
+    of a block, from its bytes and those of the block before.
     """
     out: list[dict] = []
     at = end = 0
-    before: list[str] = []
+    charsets: list[str] = []
     runs: dict[str, _Runs] = {}
     while at < len(data):
-        block = data[at : at + SCAN]
-        own = rank_charsets(block)
-        wide = 4 * block.count(0) >= len(block)
-        before = [c for c in before if c not in own and (c == "utf-8" or wide)]
-        charsets = [*own[:-2], *before, *own[-2:]]
-        before = charsets[:-2]
+        charsets = order(data[at : at + SCAN], charsets)
         for c in charsets:
             if c not in runs:
                 runs[c] = _Runs(data, c, least, gap)
