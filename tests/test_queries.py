@@ -9,7 +9,7 @@ from lingmill import plans
 from lingmill.session import TABLES
 
 DIR = "/root/testdata/sf0.001"
-CHOSEN = ["trigram_topk_by_lang", "ngram_scaled_weights", "accuracy_micro_macro", "sample_uniform_bytes", "list_sets", "tfidf_values", "similarity_jensen_shannon", "frame_inherited", "string_confidence", "join_range_steps", "span_ordered", "interval_merged", "interval_covered", "prefix_completion", "cluster_average_linkage", "bounded_neighbours", "weight_scaling", "similarity_tripartite", "grow_seeds", "scores_with_bigrams", "score_vectors", "source_models", "source_file_types", "frame_store", "frame_inheritance_modes", "frame_lines", "stream_lines", "stream_redetections", "hook_similarity", "strings_reextracted", "strings_shifted", "text_sentences", "text_wrap", "entities_decoded", "html_absolute_links", "language_sets", "lm_extended", "training_grid", "cluster_vector_linkage", "byte_model", "charsets_ranked"]
+CHOSEN = ["trigram_topk_by_lang", "ngram_scaled_weights", "accuracy_micro_macro", "sample_uniform_bytes", "list_sets", "tfidf_values", "similarity_jensen_shannon", "frame_inherited", "string_confidence", "join_range_steps", "span_ordered", "interval_merged", "interval_covered", "prefix_completion", "cluster_average_linkage", "bounded_neighbours", "weight_scaling", "similarity_tripartite", "grow_seeds", "scores_with_bigrams", "score_vectors", "source_models", "source_file_types", "frame_store", "frame_inheritance_modes", "frame_lines", "stream_lines", "stream_redetections", "hook_similarity", "strings_reextracted", "strings_shifted", "text_sentences", "text_wrap", "entities_decoded", "html_absolute_links", "language_sets", "lm_extended", "training_grid", "cluster_vector_linkage", "byte_model", "charsets_ranked", "dictionary_cover_longest"]
 
 
 def plain(row):
