@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..stages import exists
+from ..stages import _hadoop, exists
 from .files import binary, text_lines, tidy_lines, word_list
 
 #: Bytes that open a file, and what they say of it.
@@ -162,6 +164,10 @@ def compressed_lines(spark: SparkSession, *paths: str) -> DataFrame:
 # frames
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
 class FrameStore:
     """Frames (frame, slot, facet, pos, filler) in generations: every commit writes one, older ones stay readable.
 
@@ -172,14 +178,16 @@ class FrameStore:
         self.spark, self.path = spark, path
 
     def generations(self) -> list[int]:
-        n = 0
-        while exists(self.spark, f"{self.path}/g={n}/_SUCCESS"):
-            n += 1
-        return list(range(n))
+        """Numbers of the generations that are whole, in order."""
+        folder, files = _hadoop(self.spark, self.path)
+        if not files.exists(folder):
+            return []
+        named = [s.getPath().getName() for s in files.listStatus(folder)]
+        return sorted(int(n[2:]) for n in named if re.fullmatch("g=[0-9]+", n) and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
 
     def read(self, generation: int = -1) -> DataFrame:
-        """All frames of a generation, the last by default."""
-        return self.spark.read.parquet(f"{self.path}/g={self.generations()[generation]}")
+        """All frames of the generation of this number, or counted from the last one on if negative."""
+        return self.spark.read.parquet(f"{self.path}/g={generation if generation >= 0 else self.generations()[generation]}")
 
     def frame(self, name: str, generation: int = -1) -> DataFrame:
         return self.read(generation).filter(F.col("frame") == name)
@@ -187,27 +195,74 @@ class FrameStore:
     def names(self, generation: int = -1) -> DataFrame:
         return self.read(generation).select("frame").distinct()
 
-    def commit(self, frames: DataFrame) -> int:
-        n = len(self.generations())
-        frames.select("frame", "slot", "facet", "pos", "filler").write.mode("overwrite").parquet(f"{self.path}/g={n}")
+    def commit(self, frames: DataFrame, base: int | None = None) -> int:
+        """Writes frames as the next generation and returns its number.
+
+        They are written to a folder of their own first and renamed to the generation in one step. Of two
+        writers the first to rename has it; the other takes the next number. With base, the generation that
+        frames were made from, a commit is refused (Conflict) when a generation after it exists by then.
+        """
+        target, files = _hadoop(self.spark, f"{self.path}/new-{uuid.uuid4().hex}")
+        frames.select("frame", "slot", "facet", "pos", "filler").write.parquet(target.toString())
+        n = max(self.generations(), default=-1) + 1 if base is None else base + 1
+        stale = base is not None and self.generations()[-1:] != [base]
+        while stale or not self._claimed(files, target, n):
+            if base is not None:
+                files.delete(target, True)
+                raise Conflict(f"generation {base} is not the last one, or another writer claimed the next")
+            n += 1
         return n
 
+    def _claimed(self, files, target, n: int) -> bool:
+        """Whether the written folder became generation n.
+
+        A claim, a file that is made only where there is none, goes before the rename, as a folder
+        can be renamed into one that exists. Making it is one step on HDFS; local files are looked up first.
+        """
+        claim, _ = _hadoop(self.spark, f"{self.path}/g={n}.claimed")
+        try:
+            files.create(claim, False).close()
+        except Py4JJavaError:
+            # For any other reason than that the file is there, the error stands.
+            if not files.exists(claim):
+                raise
+            return False
+        place, _ = _hadoop(self.spark, f"{self.path}/g={n}")
+        if not files.rename(target, place):
+            files.delete(claim, False)
+            raise OSError(f"{target.toString()} could not be renamed")
+        return True
+
+    def release(self, n: int) -> bool:
+        """Takes back the claim of a writer that died before its generation was there; whether there was one."""
+        claim, files = _hadoop(self.spark, f"{self.path}/g={n}.claimed")
+        return n not in self.generations() and files.exists(claim) and bool(files.delete(claim, False))
+
+    def update(self, change: Callable[[DataFrame], DataFrame], tries: int = 8) -> int:
+        """Commits change(last generation); where another writer came first, makes the change again from its generation."""
+        for left in reversed(range(tries)):
+            base = self.generations()[-1]
+            try:
+                return self.commit(change(self.read(base)), base)
+            except Conflict:
+                if not left:
+                    raise
+        raise ValueError("an update takes one try at least")
+
     def create(self, frames: DataFrame) -> int:
         """Adds frames; one that is there already keeps what it has."""
-        old = self.read()
-        return self.commit(old.unionByName(frames.join(old.select("frame").distinct(), "frame", "left_anti").select(*old.columns)))
+        return self.update(lambda old: old.unionByName(frames.join(old.select("frame").distinct(), "frame", "left_anti").select(*old.columns)))
 
     def delete(self, *names: str) -> int:
-        return self.commit(self.read().filter(~F.col("frame").isin(*names)))
+        return self.update(lambda rows: rows.filter(~F.col("frame").isin(*names)))
 
     def rename(self, old: str, new: str) -> int:
         """The frame under its new name, in fillers too."""
         named = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c)).alias(c)
-        return self.commit(self.read().select(named("frame"), "slot", "facet", "pos", named("filler")))
+        return self.update(lambda rows: rows.select(named("frame"), "slot", "facet", "pos", named("filler")))
 
     def copy(self, old: str, new: str) -> int:
-        rows = self.read()
-        return self.commit(rows.filter(F.col("frame") != new).unionByName(rows.filter(F.col("frame") == old).withColumn("frame", F.lit(new))))
+        return self.update(lambda rows: rows.filter(F.col("frame") != new).unionByName(rows.filter(F.col("frame") == old).withColumn("frame", F.lit(new))))
 
     def revert(self, generation: int) -> int:
         """The frames of an older generation as a new one."""
