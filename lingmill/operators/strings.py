@@ -40,7 +40,7 @@ def confidence(text: Column, language: Column | None = None, covered: Column | N
     With a dictionary 2 (2 cov)^2 + 2 runs, else 4 runs, times half the root of the length;
     with a language score the mean of that and 8 scores; within 0 and 99.999.
     """
-    n = F.char_length(text)
+    n = F.char_length(text).cast("long")  # its square passes 32 bits
     share = (squared_runs(text) + squared_runs(text, desired)) / (n * n)
     base = 4 * share if covered is None else 2 * F.pow(2 * covered, F.lit(2)) + 2 * share
     own = F.greatest(base * 0.5 * F.sqrt(n), F.lit(0.0))
