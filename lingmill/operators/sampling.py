@@ -6,19 +6,19 @@ one; the byte sample is a recurrence over lines and is folded along them in orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import numbered as by_ranges
+
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """i, the 0-based place of every row in this order, in two levels.
 
-    A range sort orders partitions and rows inside them; a table of one row per partition
-    holds the first numbers.
+    The range sort is written as a stage table: run twice, for the rows and for the counts, its
+    bounds are sampled anew and its partitions merged differently, and numbers go astray.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
-    first = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))
-    return placed.join(first, "__p").withColumn("i", F.col("__base") + F.col("__k")).drop("__p", "__k", "__base")
+    return by_ranges(rows, list(order), "i")
 
 
 def every_nth(i: Column, n: int) -> Column:
