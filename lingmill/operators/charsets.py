@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..stages import stage
+from ..stages import keep, scope, stage
+from .counting import counted
 from .ngrams import CELLS, LINES, TRIE_ROWS, WEIGHT_POWER, top_k
 from .sizes import small
 from .strings import STRING, rank_charsets, sniffed_strings
@@ -25,8 +26,8 @@ from .trie import Trie
 ALIGN = {"utf-16-le": 2, "utf-16-be": 2, "utf-32-le": 4, "utf-32-be": 4}
 #: What Spark encodes by itself, whatever the characters.
 UNICODE = {"utf-8": "UTF-8", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
-#: Bytes of an n-gram; of a window and between two; of the pieces that n-grams are cut from.
-BYTES, WINDOW, APART, PIECE = (3, 4, 6), 384, 320, 256
+#: Bytes of an n-gram; of a window and between two.
+BYTES, WINDOW, APART = (3, 4, 6), 384, 320
 #: A candidate has this share of the best score and this score at least.
 SHARE, LEAST = 0.5, 0.05
 #: How far a charset is trusted; code pages lose ties to Unicode forms, as in windows of ASCII alone.
@@ -41,9 +42,7 @@ def encoded(text: Column, charset: str) -> Column:
     each = [bytes([b]).decode(charset, "ignore") for b in range(256)]
     if each[:128] != [chr(b) for b in range(128)]:
         raise ValueError(f"{charset} does not extend ASCII byte for byte")
-    high = {c: chr(b) for b, c in enumerate(each[128:], 128) if c}
-    known = F.regexp_replace(text, f"[^\\x00-\\x7F{''.join(high)}]", "?")
-    return F.encode(F.translate(known, "".join(high), "".join(high.values())), "ISO-8859-1")
+    return F.arrow_udf(lambda texts: pa.array([None if t is None else t.encode(charset, "replace") for t in texts.to_pylist()], pa.binary()), "binary")(text)
 
 
 def _align(charset: Column) -> Column:
@@ -62,26 +61,20 @@ def in_charsets(docs: DataFrame, charsets: tuple[str, ...], *keep: str, text: st
 def counts(contents: DataFrame, lengths: tuple[int, ...] = BYTES) -> DataFrame:
     """lang, charset, n, gram, cnt of contents (lang, charset, content); gram is Latin-1 text, a null lang is ''.
 
-    No n-gram holds a newline byte or opens with two blanks or two digits. Only the longest is cut at a
-    place; the others are its beginnings, and add up from its counts.
+    No n-gram holds a newline byte or opens with two blanks or two digits.
     """
-    longest = max(lengths)
-    starts = F.expr(f"sequence(0, greatest(octet_length(content) - 1, 0), {PIECE})")
-    pieces = contents.select(F.coalesce("lang", F.lit("")).alias("lang"), "charset", F.explode(F.transform(starts, lambda s: F.substring(F.col("content"), s + 1, F.lit(PIECE + longest - 1)))).alias("__p"))
-    cut = pieces.select("lang", "charset", F.decode("__p", "ISO-8859-1").alias("__b"), _align(F.col("charset")).alias("__a")).filter("__b <> ''")
-    places = F.expr(f"filter(sequence(1, least(char_length(__b), {PIECE})), i -> (i - 1) % __a = 0)")
-    longs = cut.select("lang", "charset", F.explode(F.transform(places, lambda i: F.substr(F.col("__b"), i, F.lit(longest)))).alias("__long")).groupBy("lang", "charset", "__long").agg(F.count(F.lit(1)).alias("cnt"))
-    heads = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.substring("__long", 1, n).alias("gram")) for n in lengths)), lambda g: (F.char_length(g["gram"]) == g["n"]) & ~g["gram"].rlike("\\n|^(  |[0-9][0-9])"))
-    return longs.select("lang", "charset", F.explode(heads).alias("g"), "cnt").groupBy("lang", "charset", "g.n", "g.gram").agg(F.sum("cnt").alias("cnt"))
+    rows = contents.select(F.coalesce("lang", F.lit("")).alias("lang"), "charset", "content")
+    return counted(rows, ("lang", "charset"), "content", lengths, ALIGN)
 
 
 def train(contents: DataFrame, lengths: tuple[int, ...] = BYTES, k: int = 3500, power: float = WEIGHT_POWER) -> DataFrame:
     """lang, charset, n, gram, cnt, weight of contents (lang, charset, content)."""
     by = ["lang", "charset", "n"]
-    counted = counts(contents, lengths)
-    total = counted.groupBy(*by).agg(F.sum("cnt").alias("total"))
-    kept = top_k(counted, k, tuple(by))
-    return kept.join(total, by).select(*by, "gram", "cnt", F.pow(F.col("cnt") / F.col("total"), F.lit(power)).alias("weight"))
+    with scope():
+        each = stage(counts(contents, lengths), "counts")
+        total = each.groupBy(*by).agg(F.sum("cnt").alias("total"))
+        kept = top_k(each, k, tuple(by))
+        return keep(kept.join(total, by).select(*by, "gram", "cnt", F.pow(F.col("cnt") / F.col("total"), F.lit(power)).alias("weight")), "model")
 
 
 def windows(contents: DataFrame, *keep: str) -> DataFrame:
@@ -91,6 +84,10 @@ def windows(contents: DataFrame, *keep: str) -> DataFrame:
     return contents.filter(F.octet_length("content") > 0).select(*keep, F.explode(cut).alias("__w")).select(*keep, "__w.*")
 
 
+#: Matches whose worth is added up at a time.
+ROWS = 1 << 16
+
+
 class ByteModels:
     """Models in a trie; table() scores many blocks of bytes in one walk."""
 
@@ -109,6 +106,16 @@ class ByteModels:
         self.names = len(names)
         self.charsets, self.begin = np.unique(np.array([c for c, _ in names], object).astype(str), return_index=True) if names else (np.zeros(0, str), np.zeros(0, np.int64))
         self.byte = self.trie.codes(np.arange(256))
+        # Worth by place in its unit, string and name; None where the model is too large for a table of all cells.
+        self.units, many = int(self.align.max(initial=1)), len(self.trie.strings)
+        self.cells = None
+        if 0 < self.units * many * self.names <= CELLS:
+            self.cells = np.zeros((self.units, many, self.names))
+            string = np.repeat(np.arange(many), np.diff(self.first))
+            for unit in range(self.units):
+                whole = unit % self.align[self.of] == 0
+                np.add.at(self.cells[unit], (string[whole], self.of[whole]), self.worth[whole])
+            self.cells = self.cells.reshape(-1, self.names)
 
     def table(self, blocks: list[bytes]) -> np.ndarray:
         """blocks x charsets: the best language's sum of weight times length over matches at whole units, per byte."""
@@ -121,6 +128,16 @@ class ByteModels:
         codes[begin + size] = 0
         start, string = self.trie.matches(codes)
         row = np.searchsorted(begin, start, "right") - 1
+        if self.cells is not None:
+            sums = np.zeros((len(blocks), self.names))
+            cell = (start - begin[row]) % self.units * len(self.trie.strings) + string
+            order = np.argsort(row, kind="stable")
+            row, cell = row[order], cell[order]
+            for at in range(0, len(row), ROWS):
+                own = row[at : at + ROWS]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                sums[own[first]] += np.add.reduceat(self.cells[cell[at : at + ROWS]], first, axis=0)
+            return np.maximum.reduceat(sums, self.begin, axis=1) / np.maximum(size, 1)[:, None]
         many = self.first[string + 1] - self.first[string]
         post = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - self.first[string], many)
         name = self.of[post]

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from ..stages import stage
+from ..stages import keep as kept_table
+from ..stages import scope, stage
+from .counting import counted
 from .sizes import small
 from .trie import Trie
 
@@ -64,18 +66,10 @@ def trainable(gram: Column) -> Column:
 def counts(docs: DataFrame, lengths: tuple[int, ...] = (3,), by: str = "lang") -> DataFrame:
     """by, n, gram, cnt over tidy lines.
 
-    Only the longest n-gram at each place is exploded and counted (near a line's end what is
-    left of it); the shorter ones are beginnings of these, and are added up from their counts.
+    They are counted inside tasks (counting.counted()); what leaves a task is a row per n-gram.
     """
-    longest, rows = max(lengths), lines(docs, keep=(by,)).select(by, tidy(F.col("line")).alias("line"))
-    starts = F.expr(f"sequence(0, greatest(char_length(line) - 1, 0), {PIECE})")
-    pieces = rows.select(by, F.explode(F.transform(starts, lambda s: F.substr(F.col("line"), s + 1, F.lit(PIECE + longest - 1)))).alias("__piece")).filter("__piece <> ''")
-    each = pieces.select(by, F.explode(F.transform(F.expr(f"sequence(1, least(char_length(__piece), {PIECE}))"), lambda i: F.substr(F.col("__piece"), i, F.lit(longest)))).alias("__long"))
-    counted = each.filter((F.char_length("__long") >= min(lengths)) & trainable(F.col("__long"))).groupBy(by, "__long").agg(F.count(F.lit(1)).alias("cnt"))
-    if len(lengths) == 1:
-        return counted.select(by, F.lit(longest).alias("n"), F.col("__long").alias("gram"), "cnt")
-    heads = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.substring("__long", 1, n).alias("gram")) for n in lengths)), lambda g: F.char_length(g["gram"]) == g["n"])
-    return counted.select(by, F.explode(heads).alias("g"), "cnt").groupBy(by, "g.n", "g.gram").agg(F.sum("cnt").alias("cnt"))
+    rows = lines(docs, keep=(by,)).select(by, tidy(F.col("line")).alias("line"))
+    return counted(rows, (by,), "line", lengths).select(by, "n", "gram", "cnt")
 
 
 def top_k(counted: DataFrame, k: int, by: tuple[str, ...] = ("lang",), floor: int = 2) -> DataFrame:
@@ -154,10 +148,11 @@ def quantised(value: Column) -> Column:
 
 def train(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, k: int = 3500, power: float = WEIGHT_POWER, by: str = "lang") -> DataFrame:
     """A model row per language and n-gram: lang, n, gram, cnt, weight."""
-    counted = counts(docs, lengths, by)
-    total = counted.groupBy(by, "n").agg(F.sum("cnt").alias("total"))
-    kept = top_k(counted, k, (by, "n"))
-    return kept.join(total, [by, "n"]).select(by, "n", "gram", "cnt", F.pow(F.col("cnt") / F.col("total"), F.lit(power)).alias("weight"))
+    with scope():
+        each = stage(counts(docs, lengths, by), "counts")
+        total = each.groupBy(by, "n").agg(F.sum("cnt").alias("total"))
+        kept = top_k(each, k, (by, "n"))
+        return kept_table(kept.join(total, [by, "n"]).select(by, "n", "gram", "cnt", F.pow(F.col("cnt") / F.col("total"), F.lit(power)).alias("weight")), "model")
 
 
 def model_similarity(model: DataFrame, by: str = "lang") -> DataFrame:
