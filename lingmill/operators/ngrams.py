@@ -7,6 +7,7 @@ broadcast where it has few rows, by shuffle where not.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -293,32 +294,68 @@ def smoothed(scores: DataFrame, doc: str = "doc_id", order: str = "line_no", max
     The first line's scores are the prior, weighted by ln(length). Each later line decays the
     prior to a quarter and mixes: w = 0.5 cbrt(len) + 0.3 (max / 1.2)^1.33, share w / (1 + w),
     prior divided by 2 + 0.25 ln(len). Lines come with len. A document is one ordered fold, as
-    each line depends on the one before.
+    each line depends on the one before; tasks take sorted documents one after the other.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot_table(index=[order, "len"], columns="guess", values="score", fill_value=0.0).sort_index()
-        prior, out = None, []
-        for (_, size), got in zip(wide.index, wide.to_numpy(), strict=True):
-            size = max(float(size), 1.0)
-            if prior is None:
-                prior = np.where(got > GUESS, got, 0) * np.log(size)
-                out.append(got)
-                continue
-            prior = prior * 0.25
-            w = max(0.0, 0.5 * np.cbrt(size) + 0.3 * (got.max() / max_unsure) ** 1.33)
-            share = w / (1 + w)
-            out.append(share * got + (1 - share) * prior / (2 + 0.25 * np.log(size)))
-            prior = prior + got
-        long = pd.DataFrame(np.array(out), columns=wide.columns)
-        long[order] = [i for i, _ in wide.index]
-        long = long.melt(id_vars=order, var_name="guess", value_name="score")
-        long.insert(0, doc, rows[doc].iloc[0])
-        return long[[doc, order, "guess", "score"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [], [])
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != now:
+                    _folded(now, held, out, max_unsure)
+                    held = []
+                    if len(out[0]) >= FOLDED:
+                        yield _as_batch(out)
+                        out = ([], [], [], [])
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            _folded(now, held, out, max_unsure)
+        yield _as_batch(out)
+
+    def _as_batch(out: tuple[list, ...]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=[doc, order, "guess", "score"])
 
     ship_package(scores.sparkSession)
-    return scores.groupBy(doc).applyInPandas(fold, f"{doc} long, {order} int, guess string, score double")
+    rows = scores.select(F.col(doc).cast("long"), F.col(order).cast("int"), "len", "guess", "score").repartition(doc).sortWithinPartitions(doc, order, "len")
+    return rows.mapInArrow(run, f"{doc} long, {order} int, guess string, score double")
+
+
+#: Rows that smoothed() gives at a time.
+FOLDED = 1 << 16
+
+
+def _folded(doc: int, rows: list[tuple], out: tuple[list, ...], max_unsure: float) -> None:
+    """Adds to out a row for every line of a document and every guess that it has anywhere; rows are (order, len, guess, score), sorted by line."""
+    guesses = sorted({r[2] for r in rows if r[3] is not None})
+    place = {g: k for k, g in enumerate(guesses)}
+    lines: list[tuple] = []
+    for line, size, guess, score in rows:
+        if score is None:
+            continue
+        if not lines or lines[-1][:2] != (line, size):
+            lines.append((line, size, [0.0] * len(guesses), [0] * len(guesses)))
+        lines[-1][2][place[guess]] += score
+        lines[-1][3][place[guess]] += 1
+    prior = None
+    for line, size, got, times in lines:
+        got = [s / n if n > 1 else s for s, n in zip(got, times, strict=True)]  # rows that come twice count as their mean
+        size = max(float(size), 1.0)
+        if prior is None:
+            mixed, prior = got, [s * math.log(size) if s > GUESS else 0.0 for s in got]
+        else:
+            prior = [s * 0.25 for s in prior]
+            w = max(0.0, 0.5 * math.cbrt(size) + 0.3 * (max(got) / max_unsure) ** 1.33)
+            share = w / (1 + w)
+            rest = (1 - share) / (2 + 0.25 * math.log(size))
+            mixed = [share * s + rest * b for s, b in zip(got, prior, strict=True)]
+            prior = [b + s for s, b in zip(got, prior, strict=True)]
+        out[0].extend([doc] * len(guesses))
+        out[1].extend([line] * len(guesses))
+        out[2].extend(guesses)
+        out[3].extend(mixed)
 
 
 def blocks(docs: DataFrame, size: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
