@@ -190,7 +190,16 @@ TRIE_ROWS, CELLS = 1_000_000, 1 << 22
 
 
 def identify(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
-    """key, guess, score: sum of weight times length over occurrences, per character.
+    """key, guess, score: sum of weight times length over occurrences, per character."""
+    return _per_character(sums(rows, model, key, lengths, by), key)
+
+
+def _per_character(summed: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    return summed.select(*key, "guess", (F.col("raw") / F.greatest("chars", F.lit(1))).alias("score"))
+
+
+def sums(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
+    """key, guess, raw, chars: sum of weight times length over occurrences, and the length of the line.
 
     The model's n-grams are packed into a trie, which finds all of them at every character of an
     Arrow batch; a row per line and language leaves the task. A model of more than TRIE_ROWS rows is
@@ -198,7 +207,7 @@ def identify(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id"
     """
     known = stage(model.filter(F.col("n").isin(*lengths)).select(F.col(by).alias("guess"), "gram", "weight"), "model")
     if known.count() > TRIE_ROWS:
-        return identify_joined(rows, model, key, lengths, by)
+        return _sums_joined(rows, model, key, lengths, by)
     spark = rows.sparkSession
     got = known.filter("gram is not null").toArrow()
     trie = Trie(got["gram"].to_pylist())
@@ -229,7 +238,7 @@ def identify(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id"
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in key), f"guess {dict(model.dtypes)[by]}, __raw double, __chars long"])
     tidied = rows.select(*key, tidy(F.col("line")).alias("__line")).filter("__line is not null")
-    return tidied.mapInArrow(run, schema).groupBy(*key, "guess").agg((F.sum("__raw") / F.greatest(F.max("__chars"), F.lit(1))).alias("score"))
+    return tidied.mapInArrow(run, schema).groupBy(*key, "guess").agg(F.sum("__raw").alias("raw"), F.max("__chars").alias("chars"))
 
 
 #: Lines that are matched at a time.
@@ -250,13 +259,14 @@ def _added(row: np.ndarray, string: np.ndarray, first: np.ndarray, of: np.ndarra
 
 def identify_joined(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
     """identify() by a join of n-grams, for models of any size."""
+    return _per_character(_sums_joined(rows, model, key, lengths, by), key)
+
+
+def _sums_joined(rows: DataFrame, model: DataFrame, key: tuple[str, ...], lengths: tuple[int, ...], by: str) -> DataFrame:
     tidied = rows.select(*key, tidy(F.col("line")).alias("line"))
     seen = explode_grams(tidied.withColumn("chars", F.char_length("line")), lengths)
     known = small(model.select(F.col(by).alias("guess"), "gram", "weight"))
-    return (
-        seen.join(known, "gram").groupBy(*key, "guess")
-        .agg((F.sum(F.col("weight") * F.col("n")) / F.greatest(F.max("chars"), F.lit(1))).alias("score"))
-    )
+    return seen.join(known, "gram").groupBy(*key, "guess").agg(F.sum(F.col("weight") * F.col("n")).alias("raw"), F.max("chars").cast("long").alias("chars"))
 
 
 def cut_off(scores: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), top: int = 3, ratio: float = 0.8, least: float = ZERO) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .ngrams import GUESS, explode_grams, identify, smoothed, tidy, top_k
+from .ngrams import GUESS, identify, smoothed, sums, top_k
 
 #: Weight of the average bigram probability, share kept of a score in another charset, of a prior over a gap, and the bonus of a sole survivor.
 BIGRAM_WEIGHT, ALTERNATE_CHARSET, GAP_DECAY, SOLE_BONUS = 0.15, 0.9, 0.75, 1.15
@@ -66,10 +66,8 @@ def with_stop_grams(model: DataFrame, stops: DataFrame, weight: float = 1.0) ->
 
 def with_bigrams(scores: DataFrame, rows: DataFrame, bigrams: DataFrame, key: tuple[str, ...], weight: float = BIGRAM_WEIGHT) -> DataFrame:
     """Scores plus weight times the average probability of a row's bigrams in the guess; bigrams are (lang, gram, p)."""
-    tidied = rows.select(*key, tidy(F.col("line")).alias("line"))
-    pairs = F.greatest(F.char_length("line") - 1, F.lit(1))
-    seen = explode_grams(tidied.withColumn("pairs", pairs), (2,))
-    extra = seen.join(bigrams.select(F.col("lang").alias("guess"), "gram", "p"), "gram").groupBy(*key, "guess").agg((F.sum("p") / F.max("pairs")).alias("extra"))
+    met = sums(rows, bigrams.select("lang", F.lit(2).alias("n"), "gram", F.col("p").alias("weight")), key, (2,))
+    extra = met.select(*key, "guess", (F.col("raw") / 2 / F.greatest(F.col("chars") - 1, F.lit(1))).alias("extra"))
     return scores.join(extra, [*key, "guess"], "left").select(*key, "guess", (F.col("score") + weight * F.coalesce("extra", F.lit(0.0))).alias("score"))
 
 

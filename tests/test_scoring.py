@@ -187,3 +187,16 @@ def test_listeners_hear_of_streams(spark):
     finally:
         spark.streams.removeListener(listener)
     assert heard[0] == "started" and heard[-1] == "ended"
+
+
+def test_bigrams_are_found_by_the_trie(spark):
+    """No row a character and language: the average probability is added up inside tasks."""
+    from lingmill.operators import scoring as S
+
+    rows = spark.createDataFrame([(1, 0, "abab"), (1, 1, "b"), (2, 0, "ABxx")], "doc_id long, line_no int, line string")
+    pairs = spark.createDataFrame([("en", "ab", 0.5), ("en", "ba", 0.25), ("de", "ab", 0.125)], "lang string, gram string, p double")
+    scores = spark.createDataFrame([(d, i, g, 1.0) for d, i in ((1, 0), (1, 1), (2, 0)) for g in ("en", "de")], "doc_id long, line_no int, guess string, score double")
+    out = S.with_bigrams(scores, rows, pairs, ("doc_id", "line_no"), 1.0)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc_id, r.line_no, r.guess): round(r.score, 9) for r in out.collect()}
+    assert got == {(1, 0, "en"): round(1 + 1.25 / 3, 9), (1, 0, "de"): round(1 + 0.25 / 3, 9), (1, 1, "en"): 1.0, (1, 1, "de"): 1.0, (2, 0, "en"): round(1 + 0.5 / 3, 9), (2, 0, "de"): round(1 + 0.125 / 3, 9)}
