@@ -38,44 +38,58 @@ def deduplicated(events: DataFrame, late: str, *key: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))
 
 
+#: Groups that the keys of in_order() are dealt to.
+BUCKETS = 2048
+
+
 def in_order(rows: DataFrame, key: str, columns: list[str], begin, step, end, schema: str, wait_ms: int = 0) -> DataFrame:
     """What step() gives for the rows (key, seq, last, columns) of each key, taken by seq.
 
     step(key, carried, row) gives what is carried on (plain values, as JSON knows them) and rows of
-    schema; end(key, carried) gives rows behind the last one. Where wait_ms is given, a key without
-    news for so long is taken to its end as well, over whatever is missing.
+    schema; end(key, carried) gives rows behind the last one. The keys of a bucket share a state row and a
+    call. Where wait_ms is given, a key without news for so long is taken to its end as well, over
+    whatever is missing; keys then have states of their own.
     """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt, carried, waiting = json.loads(state.get[0]) if state.exists else (0, begin, {})
+        held = {k: [*rest] for k, *rest in json.loads(state.get[0])} if state.exists else {}
         out: list[tuple] = []
-        over = wait_ms and state.hasTimedOut
-        if not over and nxt >= 0:
-            for batch in batches:
-                for seq, last, *row in batch[["seq", "last", *columns]].itertuples(index=False, name=None):
-                    if seq >= nxt:
-                        waiting[str(seq)] = [bool(last), row]
-        while nxt >= 0 and (str(nxt) in waiting or over and waiting):
-            nxt = nxt if str(nxt) in waiting else min(map(int, waiting))
-            last, row = waiting.pop(str(nxt))
-            carried, got = step(group[0], carried, row)
-            out += got
-            nxt += 1
-            if last or over and not waiting:
-                out += end(group[0], carried)
-                nxt, carried, waiting = -1, None, {}
-        if over and nxt >= 0:
-            out += end(group[0], carried)
-            nxt, carried = -1, None
-        state.update((json.dumps((nxt, carried, waiting)),))
-        if wait_ms and nxt >= 0:
+        over = bool(wait_ms) and state.hasTimedOut
+        news = dict.fromkeys(held) if over else {}
+        for batch in () if over else batches:
+            for told, seq, last, *row in batch[["__key", "seq", "last", *columns]].itertuples(index=False, name=None):
+                news[told] = None
+                nxt, _, waiting = held.setdefault(told, [0, begin, {}])
+                if nxt >= 0 and seq >= nxt:
+                    waiting[str(seq)] = [bool(last), row]
+        for told in news:
+            nxt, carried, waiting = held[told]
+            name = json.loads(told).get("k")
+            while nxt >= 0 and (str(nxt) in waiting or over and waiting):
+                nxt = nxt if str(nxt) in waiting else min(map(int, waiting))
+                last, row = waiting.pop(str(nxt))
+                carried, got = step(name, carried, row)
+                out += got
+                nxt += 1
+                if last or over and not waiting:
+                    out += end(name, carried)
+                    nxt, carried, waiting = -1, None, {}
+            if over and nxt >= 0:
+                out += end(name, carried)
+                nxt, carried = -1, None
+            held[told] = [nxt, carried, waiting]
+        state.update((json.dumps([[k, *rest] for k, rest in held.items()]),))
+        if wait_ms and any(nxt >= 0 for nxt, *_ in held.values()):
             state.setTimeoutDuration(wait_ms)
         if out:
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     ship_package(rows.sparkSession)
+    told = F.to_json(F.struct(F.col(key).alias("k")))
+    group = told if wait_ms else F.pmod(F.xxhash64(key), F.lit(BUCKETS))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", timeout)
+    own = rows.select(group.alias("__group"), told.alias("__key"), "seq", "last", *columns)
+    return own.groupBy("__group").applyInPandasWithState(run, schema, "state string", "append", timeout)
 
 
 def count_windows(chunks: DataFrame, size: int = 4096) -> DataFrame:
