@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,6 +156,15 @@ def _decoded(data: bytes, charset: str, shift: int) -> tuple[str, np.ndarray]:
 _NOT_ASCII = {c: 0 for c in range(128, 256)}
 
 
+@functools.cache
+def _printed() -> np.ndarray:
+    """Whether a string may hold a character, by code point."""
+    out = np.zeros(0x110000, bool)
+    for m in _PRINTED.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start() : m.end()] = True
+    return out
+
+
 class _Runs:
     """The printable runs (start, end, text) of a content in one charset, found once; wide ones at every shift."""
 
@@ -164,13 +174,17 @@ class _Runs:
         for shift in range(_WIDE.get(charset, 1) if len(data) else 0):
             text, at = _decoded(data, charset, shift)
             self.texts.append((text, at))
-            for m in _PRINTED.finditer(text):
-                lo = m.start()
-                for hole in (*far.finditer(m[0]), None):
-                    hi = m.end() if hole is None else m.start() + hole.start() + gap
+            units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            edges = np.flatnonzero(np.diff(_printed()[units], prepend=False, append=False))
+            begin, stop = edges[::2], edges[1::2]
+            enough = at[stop] - at[begin] >= least  # a cut run is shorter still
+            for first, end in zip(begin[enough].tolist(), stop[enough].tolist(), strict=True):
+                lo = first
+                for hole in (*(far.finditer(text, first, end) if end - first > gap else ()), None):
+                    hi = end if hole is None else hole.start() + gap
                     if hi > lo:
                         self.rows.append((int(at[lo]), int(at[hi]), len(self.texts) - 1, lo, hi))
-                    lo = hi if hole is None else m.start() + hole.end()
+                    lo = hi if hole is None else hole.end()
         self.rows.sort()
         self.starts = [r[0] for r in self.rows]
         self.longest = max((r[1] - r[0] for r in self.rows), default=0)
