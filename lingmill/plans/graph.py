@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as R
 from ..operators import retrieval as W
+from ..operators import trigrams
 from ..operators.sizes import spread
 from ..session import table
 from .registry import query
@@ -149,6 +150,4 @@ def lm_records(spark: SparkSession, d: str) -> DataFrame:
 SELECT q.gram, coalesce(k3.freq, 0.5::DOUBLE * k2.freq, 0.25::DOUBLE * c1.freq, 0)::DOUBLE AS estimate FROM q LEFT JOIN k3 ON q.gram = k3.gram LEFT JOIN k2 ON array_to_string(string_split(q.gram, ' ')[2:], ' ') = k2.gram LEFT JOIN c1 ON string_split(q.gram, ' ')[3] = c1.gram""",
 )
 def lm_estimated(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    counted = {n: W.ngram_counts(docs, n, least) for n, least in ((3, 3), (2, 2), (1, 1))}
-    return W.estimated(W.ngram_counts(docs, 3, 1), counted)
+    return trigrams.estimates(_docs(spark, d), (3, 2, 1))
