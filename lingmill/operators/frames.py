@@ -1,7 +1,8 @@
 """Entity-attribute-value frames as rows (frame, slot, facet, pos, filler), with inheritance.
 
 Relations are rows (src, dst). Ancestors are found by doubling paths to a fixed point; depth
-keeps the nearest value.
+keeps the nearest value. Relations and frames are joined by shuffle: as files they look small enough for a
+broadcast, which would pass all their rows through the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
     reach = stage(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)), "reach")
     while True:
         far = reach.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
-        longer = reach.join(far, "dst").select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = reach.join(far.hint("merge"), "dst").select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
         wider = stage(reach.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "reach")
         if wider.count() == reach.count():
             return reach
@@ -41,7 +42,7 @@ def with_inverse(edges: DataFrame) -> DataFrame:
 def inherited(frames: DataFrame, closure: DataFrame) -> DataFrame:
     """Fillers of every frame: its own, or of a slot it lacks, those of the nearest ancestor."""
     own = frames.withColumn("depth", F.lit(0))
-    up = closure.join(frames.withColumnRenamed("frame", "dst"), "dst").select(F.col("src").alias("frame"), "slot", "facet", "pos", "filler", "depth")
+    up = closure.join(frames.withColumnRenamed("frame", "dst").hint("merge"), "dst").select(F.col("src").alias("frame"), "slot", "facet", "pos", "filler", "depth")
     every = own.unionByName(up)
     w = Window.partitionBy("frame", "slot", "facet")
     return every.withColumn("near", F.min("depth").over(w)).filter(F.col("depth") == F.col("near")).drop("near")
@@ -80,44 +81,50 @@ def paths(edges: DataFrame) -> DataFrame:
     reach = stage(edges.select("src", "dst").distinct().withColumn("path", F.array("dst")), "paths")
     while True:
         far = reach.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("path").alias("more"))
-        longer = reach.join(far, "dst").filter(~F.arrays_overlap("path", "more") & ~F.array_contains("more", F.col("src"))).select("src", F.col("end").alias("dst"), F.concat("path", "more").alias("path"))
+        longer = reach.join(far.hint("merge"), "dst").filter(~F.arrays_overlap("path", "more") & ~F.array_contains("more", F.col("src"))).select("src", F.col("end").alias("dst"), F.concat("path", "more").alias("path"))
         wider = stage(reach.unionByName(longer).groupBy("src", "dst").agg(F.min("path").alias("path")), "paths")
-        if not wider.join(reach, ["src", "dst", "path"], "left_anti").limit(1).count():
+        if not wider.join(reach.hint("merge"), ["src", "dst", "path"], "left_anti").limit(1).count():
             return reach.select("src", "dst", F.size("path").alias("depth"), "path")
         drop_stage(reach)
         reach = wider
 
 
-def inherited_by(frames: DataFrame, is_a_edges: DataFrame, part_edges: DataFrame, mode: str) -> DataFrame:
-    """Fillers of every frame under one of MODES; local modes take from ancestors only facets named VALUE."""
+def inherited_by(frames: DataFrame, is_a_edges: DataFrame, part_edges: DataFrame, mode: str, known: dict[tuple[bool, bool], DataFrame] | None = None) -> DataFrame:
+    """Fillers of every frame under one of MODES; local modes take from ancestors only facets named VALUE.
+
+    known keeps ancestors for calls with other modes of the same relations.
+    """
     if mode == "none":
         return frames.withColumn("depth", F.lit(0))
     if mode == "simple":
         return inherited(frames, is_a_edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
     edges = part_edges if mode.startswith("part") else is_a_edges
     source = frames.filter(F.col("facet") == "VALUE") if mode.startswith("local") else frames
-    closure = paths(edges) if mode.endswith("dfs") else ancestors(edges)
+    known, way = {} if known is None else known, (mode.startswith("part"), mode.endswith("dfs"))
+    if way not in known:
+        known[way] = paths(edges) if way[1] else ancestors(edges)
+    closure = known[way]
     if mode.endswith("dfs"):
         return _first_path(frames, source, closure)
     return inherited(frames, closure) if source is frames else _nearest(frames, source, closure)
 
 
 def _nearest(frames: DataFrame, source: DataFrame, closure: DataFrame) -> DataFrame:
-    up = closure.join(source.withColumnRenamed("frame", "dst"), "dst").select(F.col("src").alias("frame"), "slot", "facet", "pos", "filler", "depth")
+    up = closure.join(source.withColumnRenamed("frame", "dst").hint("merge"), "dst").select(F.col("src").alias("frame"), "slot", "facet", "pos", "filler", "depth")
     every = frames.withColumn("depth", F.lit(0)).unionByName(up)
     return every.withColumn("near", F.min("depth").over(Window.partitionBy("frame", "slot", "facet"))).filter(F.col("depth") == F.col("near")).drop("near")
 
 
 def _first_path(frames: DataFrame, source: DataFrame, closure: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
-    up = closure.join(source.withColumnRenamed("frame", "dst"), "dst").select(F.col("src").alias("frame"), "slot", "facet", "pos", "filler", "depth", "path")
+    up = closure.join(source.withColumnRenamed("frame", "dst").hint("merge"), "dst").select(F.col("src").alias("frame"), "slot", "facet", "pos", "filler", "depth", "path")
     every = frames.withColumn("depth", F.lit(0)).withColumn("path", none).unionByName(up)
     return every.withColumn("first", F.min("path").over(Window.partitionBy("frame", "slot", "facet"))).filter(F.col("path") == F.col("first")).drop("first", "path")
 
 
 def collected_slots(frames: DataFrame, closure: DataFrame) -> DataFrame:
     """frame, slots: all slots of a frame and of its ancestors, each once, by name."""
-    up = closure.join(frames.select(F.col("frame").alias("dst"), "slot").distinct(), "dst").select(F.col("src").alias("frame"), "slot")
+    up = closure.join(frames.select(F.col("frame").alias("dst"), "slot").distinct().hint("merge"), "dst").select(F.col("src").alias("frame"), "slot")
     return frames.select("frame", "slot").unionByName(up).groupBy("frame").agg(F.sort_array(F.collect_set("slot")).alias("slots"))
 
 

@@ -47,9 +47,9 @@ _INHERITING = [m for m in R.MODES if m != "none"]
 @query("frame_inheritance_modes", f"WITH {_F} SELECT 'none' AS mode, frame, slot, facet, filler, 0 AS depth FROM f UNION ALL " + " UNION ALL ".join(_mode_sql(m) for m in _INHERITING))
 def frame_inheritance_modes(spark: SparkSession, d: str) -> DataFrame:
     """Every way to inherit; on a tree the first path is the nearest."""
-    tables, out = _tables(spark, d), None
+    tables, known, out = _tables(spark, d), {}, None
     for mode in R.MODES:
-        one = R.inherited_by(*tables, mode).select(F.lit(mode).alias("mode"), "frame", "slot", "facet", "filler", "depth")
+        one = R.inherited_by(*tables, mode, known).select(F.lit(mode).alias("mode"), "frame", "slot", "facet", "filler", "depth")
         out = one if out is None else out.unionByName(one)
     return out
 
