@@ -8,7 +8,8 @@ sorted table. Tables leave a task when they are large and at its end; Spark adds
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from ..session import ship_package
 #: Characters that are turned into numbers at once; numbers held before they are counted; distinct ones before they leave a task; rows of a batch that leaves.
 CHUNK, HELD, KEPT, OUT = 1 << 20, 1 << 22, 1 << 22, 1 << 18
 BLANK, ZERO, NINE, NEWLINE = 32, 48, 57, 10
+#: Of n-grams that are sent packed: characters of a whole number, bits of each, groups by their beginnings, and groups of a batch.
+WORD, POINT, BUCKETS, SENT = 3, 21, 256, 64
 
 
 def counted(rows: DataFrame, by: tuple[str, ...], column: str, lengths: tuple[int, ...], align: dict[str, int] | None = None) -> DataFrame:
@@ -29,13 +32,58 @@ def counted(rows: DataFrame, by: tuple[str, ...], column: str, lengths: tuple[in
     Of texts no n-gram is counted where two blanks or two digits stand at its place; of bytes none that
     opens so or holds a newline. align: bytes of a unit by the value of the last column of by.
     """
-    types = dict(rows.dtypes)
-    binary = types[column] == "binary"
-    kinds = [f.dataType for f in rows.select(*by).schema]
-    schema = ", ".join([*(f"`{c}` {k.simpleString()}" for c, k in zip(by, kinds, strict=True)), "n int, gram string, cnt long"])
+    binary = dict(rows.dtypes)[column] == "binary"
+    ship_package(rows.sparkSession)
+    run = _counting(by, lengths, binary, align or {}, False)
+    return rows.select(*by, column).mapInArrow(run, f"{_schema(rows, by)}, n int, gram string, cnt long").groupBy(*by, "n", "gram").agg(F.sum("cnt").alias("cnt"))
+
+
+def frequent(rows: DataFrame, by: tuple[str, ...], column: str, lengths: tuple[int, ...], most: int, floor: int = 2) -> DataFrame:
+    """Of counted() all rows that can be among the `most` most frequent of their by and n, ties with the last one too, and of at least floor; and by by and n a row of a null gram with the sum of all counts.
+
+    Tasks send the longest n-grams alone, as packed numbers dealt by their first characters. So all
+    n-grams of the same beginning meet in one group of many, where shorter ones are counted from
+    them, and rows are made only of what is left.
+    """
+    longest = max(lengths)
+
+    def merged(group: pa.Table) -> pa.Table:
+        cnt = np.concatenate([np.frombuffer(c, np.int64) for c in group["cnt"].to_pylist()])
+        words = np.concatenate([np.frombuffer(g, np.int64).reshape(-(-longest // WORD), -1) for g in group["grams"].to_pylist()], axis=1)
+        order = np.lexsort(words[::-1])
+        words, cnt = words[:, order], cnt[order]
+        letters = np.stack([words[k // WORD] >> POINT * (WORD - 1 - k % WORD) & (1 << POINT) - 1 for k in range(longest)], axis=1)
+        differs = np.append(np.ones((1, longest), bool), letters[1:] != letters[:-1], axis=0)
+        out = []
+        for n in lengths:
+            first = np.flatnonzero(differs[:, :n].any(axis=1))
+            head, times = letters[first, :n], np.add.reduceat(cnt, first)
+            whole = head[:, -1] > 0
+            head, times = head[whole], times[whole]
+            if not len(times):
+                continue
+            often = times[times >= floor]
+            kept = times >= (max(floor, int(np.partition(often, -most)[-most])) if len(often) > most else floor)
+            for gram, many in ((_strings(head[kept] - 1), times[kept]), (pa.nulls(1, pa.string()), times.sum(keepdims=True))):
+                out.append(pa.table([*(pa.repeat(group[c][0], len(many)) for c in by), pa.repeat(pa.scalar(n, pa.int32()), len(many)), gram, pa.array(many)], names=[*by, "n", "gram", "cnt"]))
+        return pa.concat_tables(out)
+
+    ship_package(rows.sparkSession)
+    run, schema = _counting(by, lengths, False, {}, True), _schema(rows, by)
+    sent = rows.select(*by, column).mapInArrow(run, f"{schema}, bucket int, grams binary, cnt binary")
+    return sent.groupBy(*by, "bucket").applyInArrow(merged, f"{schema}, n int, gram string, cnt long")
+
+
+def _schema(rows: DataFrame, by: tuple[str, ...]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+
+
+def _counting(by: tuple[str, ...], lengths: tuple[int, ...], binary: bool, align: dict[str, int], longest_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of a task: batches of by and a text or binary become batches of counts."""
+    batches_of = partial(_dealt, shortest=min(lengths)) if longest_only else _batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Table(lengths, binary, align or {})
+        table = _Table(lengths, binary, align, longest_only)
         for batch in batches:
             keys = batch.columns[:-1]
             codes = [pc.dictionary_encode(k, null_encoding="encode") for k in keys]
@@ -48,11 +96,32 @@ def counted(rows: DataFrame, by: tuple[str, ...], column: str, lengths: tuple[in
                 if len(part):
                     key = tuple(k[int(part[0])] for k in keys)
                     for done in table.add(key, [texts[i] for i in part.tolist() if texts[i]]):
-                        yield from _batches(done, by)
-        yield from _batches(table.taken(), by)
+                        yield from batches_of(done, by)
+        yield from batches_of(table.taken(), by)
 
-    ship_package(rows.sparkSession)
-    return rows.select(*by, column).mapInArrow(run, schema).groupBy(*by, "n", "gram").agg(F.sum("cnt").alias("cnt"))
+    return run
+
+
+def _dealt(found: Iterator[tuple], by: tuple[str, ...], shortest: int) -> Iterator[pa.RecordBatch]:
+    """A row per bucket of the first characters: its n-grams, a table of whole numbers of WORD characters each, and their counts."""
+    for key, letters, cnt in found:
+        words = np.zeros((-(-letters.shape[1] // WORD), len(letters)), np.int64)
+        for k in range(letters.shape[1]):
+            words[k // WORD] |= letters[:, k] << POINT * (WORD - 1 - k % WORD)
+        mixed = np.zeros(len(letters), np.uint64)
+        for k in range(shortest):
+            mixed = (mixed + letters[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = (mixed >> np.uint64(32)).astype(np.int64) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        bucket, words, cnt = bucket[order], words[:, order], cnt[order]
+        parts = np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1)
+        for at in range(0, len(parts), SENT):
+            some = [p for p in parts[at : at + SENT] if len(p)]
+            spans = [slice(int(p[0]), int(p[-1]) + 1) for p in some]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.repeat(k, len(some)) for k in key), pa.array([int(bucket[s.start]) for s in spans], pa.int32()), pa.array([np.ascontiguousarray(words[:, s]).tobytes() for s in spans], pa.binary()), pa.array([cnt[s].tobytes() for s in spans], pa.binary())],
+                names=[*by, "bucket", "grams", "cnt"],
+            )
 
 
 def _batches(found: Iterator[tuple], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +134,8 @@ def _batches(found: Iterator[tuple], by: tuple[str, ...]) -> Iterator[pa.RecordB
 class _Table:
     """Counts by key. Codes of characters are dealt as they come; 0 is the end of a text."""
 
-    def __init__(self, lengths: tuple[int, ...], binary: bool, align: dict[str, int]) -> None:
-        self.lengths, self.longest, self.binary, self.align = lengths, max(lengths), binary, align
+    def __init__(self, lengths: tuple[int, ...], binary: bool, align: dict[str, int], longest_only: bool = False) -> None:
+        self.lengths, self.longest, self.binary, self.align, self.longest_only = lengths, max(lengths), binary, align, longest_only
         self.bits = min(21, 63 // self.longest)
         self.code = np.arange(1, 257, dtype=np.int64) if binary else np.zeros(0x110000, np.int64)
         self.points = np.append(0, np.arange(256)) if binary else np.zeros(1, np.int64)
@@ -91,33 +160,41 @@ class _Table:
     def _chunk(self, key: tuple, part: list[tuple]) -> Iterator[Iterator[tuple]]:
         size = np.array([len(p) for p, _ in part], np.int64)
         starts = np.array([s for _, s in part], np.int64)
+        gap = self.longest - 1  # zeros behind every text, so that no n-gram runs into the next
+        first = np.cumsum(size + gap) - size - gap
         if self.binary:
-            points = np.frombuffer(b"".join(p for p, _ in part), np.uint8)
+            points = np.frombuffer(b"".join(x for p, _ in part for x in (p, bytes(gap))), np.uint8)
+            codes = self.code[points]
         else:
-            points = np.frombuffer("".join(p for p, _ in part).encode("utf-32-le", "surrogatepass"), "<u4")
-            new = np.unique(points[self.code[points] == 0])
+            points = np.frombuffer("".join(x for p, _ in part for x in (p, "\0" * gap)).encode("utf-32-le", "surrogatepass"), "<u4")
+            codes = self.code[points]
+            new = np.unique(points[codes == 0])
             if len(new) and len(self.points) + len(new) > 1 << self.bits:
                 yield self.taken()
                 self.code[:], self.points, new = 0, np.zeros(1, np.int64), np.unique(points)
                 if 1 + len(new) > 1 << self.bits:  # too many characters for a whole number
                     yield self._plain(key, part)
                     return
-            self.code[new] = np.arange(len(self.points), len(self.points) + len(new))
-            self.points = np.append(self.points, new)
-        step = size + self.longest - 1
-        first = np.cumsum(step) - step
-        place = np.arange(len(points)) + np.repeat(first - (np.cumsum(size) - size), size)
-        codes = np.zeros(int(step.sum()) + self.longest, np.int64)
-        codes[place] = self.code[points]
-        inside = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
-        at = place[(inside < np.repeat(starts, size)) & (inside % self.align.get(key[-1].as_py(), 1) == 0)]
-        at = at[codes[at + min(self.lengths) - 1] != 0]
-        if not self.binary:
-            one, two = self.points[codes[at]], self.points[codes[at + 1]] if self.longest > 1 else np.zeros(len(at))
-            at = at[~((one == BLANK) & (two == BLANK) | (one >= ZERO) & (one <= NINE) & (two >= ZERO) & (two <= NINE))]
-        keys = codes[at]
+            if len(new):
+                self.code[new] = np.arange(len(self.points), len(self.points) + len(new))
+                self.points = np.append(self.points, new)
+                codes = self.code[points]
+        codes[((first + size)[:, None] + np.arange(gap)).ravel()] = 0
+        many = max(len(points) - gap, 0)
+        good = (codes[:many] != 0) & (codes[min(self.lengths) - 1 :][:many] != 0)
+        for k in np.flatnonzero(starts < size).tolist():
+            good[first[k] + starts[k] : first[k] + size[k]] = False
+        unit = self.align.get(key[-1].as_py(), 1)
+        if unit > 1:
+            good &= ((np.arange(len(points)) - np.repeat(first, size + gap)) % unit == 0)[:many]
+        if not self.binary and self.longest > 1:
+            blank, digit = points == BLANK, (points >= ZERO) & (points <= NINE)
+            good &= ~(blank[:many] & blank[1:][:many] | digit[:many] & digit[1:][:many])
+        keys = codes[:many].copy()
         for k in range(1, self.longest):
-            keys = keys << self.bits | codes[at + k]
+            keys <<= self.bits
+            keys |= codes[k:][:many]
+        keys = keys[good]
         self.raw.setdefault(key, []).append(keys)
         self.held += len(keys)
         if self.held >= HELD:
@@ -140,11 +217,18 @@ class _Table:
         self.raw, self.held = {}, 0
 
     def taken(self) -> Iterator[tuple]:
-        """key, n, grams, counts of everything so far, which is forgotten; the codes it was made with are kept."""
+        """key, n, grams, counts of everything so far, which is forgotten; the codes it was made with are kept.
+
+        If longest_only: key, letters, counts, with a row of letters for each of the longest n-grams: code points plus one, 0 behind the end of a text.
+        """
         self._settle()
         sums, self.sums = self.sums, {}
         points = self.points
         for key, (keys, cnt) in sums.items():
+            if self.longest_only:
+                codes = np.stack([keys >> self.bits * (self.longest - 1 - k) & (1 << self.bits) - 1 for k in range(self.longest)], axis=1)
+                yield key, np.where(codes > 0, points[codes] + 1, 0), cnt.astype(np.int64)
+                continue
             for n in self.lengths:
                 head = keys >> self.bits * (self.longest - n)
                 first = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
@@ -165,6 +249,13 @@ class _Table:
         longs: Counter = Counter()
         for piece, starts in part:
             longs.update(g for i in range(starts) if len(g := piece[i : i + self.longest]) >= min(self.lengths) and not (g[:2] == "  " or len(g) > 1 and digit(g[0]) and digit(g[1])))
+        if self.longest_only:
+            if longs:
+                letters = np.zeros((len(longs), self.longest), np.int64)
+                size = np.array([len(g) for g in longs])
+                letters[np.arange(self.longest) < size[:, None]] = np.frombuffer("".join(longs).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) + 1
+                yield key, letters, np.array(list(longs.values()), np.int64)
+            return
         for n in self.lengths:
             heads: Counter = Counter()
             for g, c in longs.items():

@@ -8,7 +8,7 @@ broadcast where it has few rows, by shuffle where not.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from ..stages import keep as kept_table
 from ..stages import scope, stage
-from .counting import counted
+from .counting import counted, frequent
 from .sizes import small
 from .trie import Trie
 
@@ -35,8 +35,8 @@ def lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 
 def tidy(line: Column) -> Column:
-    """Lower case, runs of blanks and tabs as one blank."""
-    return F.regexp_replace(F.lower(line), "[ \\t\\r]+", " ")
+    """Lower case, runs of blanks and tabs as one blank; a blank by itself is no match, so most lines have none."""
+    return F.regexp_replace(F.lower(line), "[ \\t\\r]{2,}|[\\t\\r]", " ")
 
 
 #: Characters of a line whose n-grams are cut from one piece of it.
@@ -150,9 +150,10 @@ def quantised(value: Column) -> Column:
 def train(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, k: int = 3500, power: float = WEIGHT_POWER, by: str = "lang") -> DataFrame:
     """A model row per language and n-gram: lang, n, gram, cnt, weight."""
     with scope():
-        each = stage(counts(docs, lengths, by), "counts")
-        total = each.groupBy(by, "n").agg(F.sum("cnt").alias("total"))
-        kept = top_k(each, k, (by, "n"))
+        rows = lines(docs, keep=(by,)).select(by, tidy(F.col("line")).alias("line"))
+        each = stage(frequent(rows, (by,), "line", lengths, k), "counts")
+        total = each.filter("gram is null").groupBy(by, "n").agg(F.sum("cnt").alias("total"))
+        kept = top_k(each.filter("gram is not null"), k, (by, "n"))
         return kept_table(kept.join(total, [by, "n"]).select(by, "n", "gram", "cnt", F.pow(F.col("cnt") / F.col("total"), F.lit(power)).alias("weight")), "model")
 
 
@@ -185,7 +186,7 @@ def merged_by(model: DataFrame, charset: str) -> DataFrame:
 # labelling
 
 
-#: Models of up to so many rows (n-grams times languages) go to the workers as a trie; cells of a task's score table.
+#: Models of up to so many rows (n-grams times languages) go to the workers as a trie; cells of a table of scores or of worth by node.
 TRIE_ROWS, CELLS = 1_000_000, 1 << 22
 
 
@@ -205,42 +206,79 @@ def sums(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "l
     Arrow batch; a row per line and language leaves the task. A model of more than TRIE_ROWS rows is
     joined with the lines' n-grams instead.
     """
-    known = stage(model.filter(F.col("n").isin(*lengths)).select(F.col(by).alias("guess"), "gram", "weight"), "model")
-    if known.count() > TRIE_ROWS:
+    known = _known(model, lengths, by)
+    if known is None:
         return _sums_joined(rows, model, key, lengths, by)
-    spark = rows.sparkSession
-    got = known.filter("gram is not null").toArrow()
-    trie = Trie(got["gram"].to_pylist())
-    names = got["guess"].unique()
-    gram = np.searchsorted(np.array(trie.strings, object), np.array(got["gram"].to_pylist(), object)) if got.num_rows else np.zeros(0, np.int64)
-    order = np.argsort(gram, kind="stable")
-    of = pc.index_in(got["guess"], value_set=names, skip_nulls=False).to_numpy()[order] if got.num_rows else order
-    worth = got["weight"].to_numpy()[order] * np.array([len(s) for s in trie.strings])[gram[order]] if got.num_rows else order.astype(float)
-    first = np.searchsorted(gram[order], np.arange(len(trie.strings) + 1))
-    shared = spark.sparkContext.broadcast((trie, first, of, worth, names))
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, first, of, worth, names = shared.value
+        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, LINES):
                 part = batch.slice(at, LINES)
-                lines = part.column("__line").to_pylist()
-                size = np.array([len(x) for x in lines], np.int64)
-                codes = np.zeros(int(size.sum()) + len(size), np.int32)
-                inside = np.arange(len(codes)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1) < np.repeat(size, size + 1)
-                codes[inside] = trie.codes(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"))
-                row_of = np.repeat(np.arange(len(size)), size + 1)
-                start, string = trie.matches(codes)
-                row, guess, raw = _added(row_of[start], string, first, of, worth, len(size), len(names))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in key), names.take(pa.array(guess)), pa.array(raw), pa.array(size[row])], names=[*key, "guess", "__raw", "__chars"])
-
-    ship_package(spark)
+                size, row, guess, raw = known.scored(part.column("__line").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in key), known.names.take(pa.array(guess)), pa.array(raw), pa.array(size[row])], names=[*key, "guess", "__raw", "__chars"])
+
+    ship_package(rows.sparkSession)
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in key), f"guess {dict(model.dtypes)[by]}, __raw double, __chars long"])
     tidied = rows.select(*key, tidy(F.col("line")).alias("__line")).filter("__line is not null")
     return tidied.mapInArrow(run, schema).groupBy(*key, "guess").agg(F.sum("__raw").alias("raw"), F.max("__chars").alias("chars"))
 
 
+def _known(model: DataFrame, lengths: tuple[int, ...], by: str) -> _Known | None:
+    """A model's n-grams of these lengths for the workers; None if they are too many for that."""
+    known = stage(model.filter(F.col("n").isin(*lengths)).select(F.col(by).alias("guess"), "gram", "weight"), "model")
+    return _Known(known.filter("gram is not null").toArrow()) if known.count() <= TRIE_ROWS else None
+
+
+class _Known:
+    """A trie of a model's n-grams, and what they are worth (weight times length) to each guess.
+
+    Where nodes times guesses are few, worth is added up along the trie, so that a place of a text
+    gives its last node's sums; else every n-gram found is looked up among the postings.
+    """
+
+    def __init__(self, got: pa.Table) -> None:
+        self.trie = trie = Trie(got["gram"].to_pylist())
+        self.names = got["guess"].unique()
+        gram = np.searchsorted(np.array(trie.strings, object), np.array(got["gram"].to_pylist(), object)) if got.num_rows else np.zeros(0, np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.of = pc.index_in(got["guess"], value_set=self.names, skip_nulls=False).to_numpy()[order] if got.num_rows else order
+        self.worth = got["weight"].to_numpy()[order] * np.array([len(s) for s in trie.strings])[gram[order]] if got.num_rows else order.astype(float)
+        self.first = np.searchsorted(gram[order], np.arange(len(trie.strings) + 1))
+        self.sums = self.seen = None
+        if len(self.names) * len(trie.base) <= CELLS:
+            each = np.zeros((len(self.names), len(trie.strings)))
+            np.add.at(each, (self.of, gram[order]), self.worth)
+            self.sums = trie.along(each)
+            if not (self.worth > 0).all():  # else a sum above zero tells that something was found
+                each = np.zeros(each.shape)
+                np.add.at(each, (self.of, gram[order]), 1.0)
+                self.seen = trie.along(each)
+
+    def scored(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The lines' lengths, and the line, guess and sum of every pair of these with an n-gram found."""
+        size = np.array([len(x) for x in lines], np.int64)
+        if not len(size):
+            return size, size, size, size.astype(float)
+        ends = np.cumsum(size + 1) - 1
+        codes = self.trie.codes(np.frombuffer(("\0".join(lines) + "\0").encode("utf-32-le", "surrogatepass"), "<u4"))
+        codes[ends] = 0
+        if self.sums is not None:
+            node, first = self.trie.deepest(codes), ends - size
+            added = lambda table: np.stack([np.add.reduceat(t[node], first) for t in table]) if len(table) else np.zeros((0, len(size)))
+            return size, *self.found(added)
+        start, string = self.trie.matches(codes)
+        return size, *_added(np.repeat(np.arange(len(size)), size + 1)[start], string, self.first, self.of, self.worth, len(size), len(self.names))
+
+    def found(self, added: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, guess and sum where something was found; added gives the rows' sums (guess by row) of a table by guess and node."""
+        raw = added(self.sums).T
+        row, guess = np.nonzero(raw > 0 if self.seen is None else added(self.seen).T > 0)
+        return row, guess, raw[row, guess]
+
+
 #: Lines that are matched at a time.
 LINES = 2048
 
@@ -380,3 +418,91 @@ def blocks(docs: DataFrame, size: int = 4096, text: str = "text", key: str = "do
     return docs.filter(n > 0).select(key, F.explode(starts).alias("block_start"), F.col(text).alias("__t")).select(
         key, "block_start", F.least(F.col("block_start") + size, F.char_length("__t")).alias("block_end"), F.expr(f"substring(__t, block_start + 1, {size})").alias("line")
     )
+
+
+#: Characters of texts whose blocks are scored at a time.
+BLOCKED = 1 << 19
+
+
+def identify_blocks(docs: DataFrame, model: DataFrame, lengths: tuple[int, ...] = LENGTHS, size: int = 4096, text: str = "text", key: str = "doc_id", by: str = "lang") -> DataFrame:
+    """identify() of blocks(): key, block_start, guess, score.
+
+    Blocks overlap, but each character of a text is matched once: the sums between the ends of blocks
+    are added up for each. What an end cuts, an n-gram or a run of blanks, is looked at by itself. Only
+    texts whose lower case depends on where they are cut (capital sigma) or has another length
+    (capital I with a dot) are cut before.
+    """
+    known = _known(model, lengths, by)
+    if known is None or known.sums is None:
+        return identify(blocks(docs, size, text, key), model, (key, "block_start"), lengths, by)
+    size = max(size, 80)
+    step = size // 4
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            chars = np.cumsum(pc.utf8_length(batch.column("__text")).to_numpy(zero_copy_only=False)) // BLOCKED
+            cuts = [0, *(np.flatnonzero(np.diff(chars)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                at, whole = part.column("__at").to_numpy(), part.column("__whole").to_numpy(zero_copy_only=False)
+                of, start, long, row, guess, raw = _block_sums(known, part.column("__text").to_pylist(), whole, size, step)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(of[row])), pa.array((at[of] + start)[row].astype(np.int32)), known.names.take(pa.array(guess)), pa.array(raw), pa.array(long[row])], names=[key, "block_start", "guess", "__raw", "__chars"])
+
+    ship_package(docs.sparkSession)
+    t, n = F.col(text), F.char_length(text)
+    cut = t.contains("\u03a3") | t.contains("\u0130")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int") * step, F.lit(step))
+    piece = lambda at, whole, of: F.struct(at.alias("__at"), F.lit(whole).alias("__whole"), F.lower(of).alias("__text"))
+    pieces = F.when(cut, F.transform(starts, lambda s: piece(s, False, F.substr(t, s + 1, F.lit(size))))).otherwise(F.array(piece(F.lit(0), True, t)))
+    rows = docs.filter(n > 0).select(key, F.explode(pieces).alias("__p")).select(key, "__p.*")
+    summed = rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, block_start int, guess {dict(model.dtypes)[by]}, __raw double, __chars long")
+    return _per_character(summed.groupBy(key, "block_start", "guess").agg(F.sum("__raw").alias("raw"), F.max("__chars").alias("chars")), (key, "block_start"))
+
+
+def _block_sums(known: _Known, texts: list[str], whole: np.ndarray, size: int, step: int) -> tuple[np.ndarray, ...]:
+    """text, start and tidy length of every block of texts in lower case (all of a text that is not whole is one), and block, guess and sum of what is found."""
+    trie, over = known.trie, max(known.trie.longest - 1, 0)
+    chars = np.array([len(x) for x in texts], np.int64)
+    ends = np.cumsum(chars + 1) - 1
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = (points == 32) | (points == 9) | (points == 13)
+    stays = np.append(True, ~(blank[1:] & blank[:-1]))
+    codes = trie.codes(np.where(blank, np.uint32(32), points))
+    codes[ends] = 0
+    codes = codes[stays]
+    place = np.cumsum(stays) - stays  # how many stay before a character
+    many = np.where(whole, np.maximum(-((size - chars) // step), 0) + 1, 1)
+    of = np.repeat(np.arange(len(texts)), many)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) * step
+    begin = (ends - chars)[of] + start
+    end = np.where(whole[of], np.minimum(begin + size, ends[of]), ends[of])
+    first, last = place[begin], place[end]
+    inner = np.flatnonzero(end < ends[of])
+    free = last.copy()  # from here on an n-gram may run over the end
+    free[inner] = np.maximum(first[inner], last[inner] - over)
+    cuts = np.unique(np.concatenate([first, free, [0]]))
+    low, high = np.searchsorted(cuts, first), np.searchsorted(cuts, free)
+    node = trie.deepest(codes)
+    split = np.flatnonzero((start > 0) & blank[begin] & blank[begin - 1])  # begins with the rest of a run
+    reach = np.arange(over)
+    alone = lambda at, stop: np.where(at[:, None] + reach < stop[:, None], codes[np.minimum(at[:, None] + reach, len(codes) - 1)], 0)
+    zero = lambda rows: np.zeros((len(rows), 1), codes.dtype)
+    tail = trie.deepest(np.hstack([alone(free[inner], last[inner]), zero(inner)]).ravel()).reshape(len(inner), -1)
+    head = trie.deepest(np.hstack([zero(split) + trie.codes(np.array([32]))[0], alone(first[split], last[split]), zero(split)]).ravel()).reshape(len(split), over + 2)[:, 0]
+
+    def added(table: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(table), len(of)))
+        for got, worth in zip(out, table, strict=True):
+            between = np.add.reduceat(worth[node], cuts)
+            for k in range(int((high - low).max(initial=0))):
+                more = low + k < high
+                got[more] += between[(low + k)[more]]
+            got[inner] += worth[tail].sum(axis=1)
+            got[split] += worth[head]
+        return out
+
+    long = last - first
+    long[split] += 1
+    return of, start, long, *known.found(added)

@@ -4,14 +4,15 @@ A node is a place in two arrays: base, where its children begin, and check, whos
 The child for a character stands at base[node] + code, if check says so there. Nodes with several
 children are placed by first fit, the most children first; those with one fill what is left.
 All starts in a text walk down together, one character a step, and fall out where the trie ends.
+What the strings on the way to a node are worth can be added up before: then a start needs only its last node.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Places that are tried at a time for a node.
-TRIED = 4096
+#: Places that are tried at a time for a node; cells of the table of the first steps.
+TRIED, FIRST_STEPS = 4096, 1 << 21
 
 
 class Trie:
@@ -27,6 +28,8 @@ class Trie:
         #: Code of every character up to the highest one known; 0 is none of them.
         self.code = np.zeros(int(known[-1]) + 2 if len(known) else 2, np.int32)
         self.code[known] = np.arange(1, len(known) + 1)
+        #: Codes that there are, with that of no character.
+        self.letters = len(known) + 1
         first = np.cumsum(size) - size
         codes = self.code[flat]
         # Level by level: a node for each distinct pair of a parent and a character.
@@ -53,6 +56,9 @@ class Trie:
         self.base[slot] = base
         self.check[slot[1:]] = slot[parent]
         self.ends[slot] = ends
+        #: The nodes of every depth from 1 on.
+        self.levels = np.split(slot[1:], np.cumsum([len(p) for p in parents])[:-1]) if parents else []
+        self._heads: tuple[int, np.ndarray] | None = None
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         """The codes of characters."""
@@ -76,6 +82,54 @@ class Trie:
             found.append(string[ended])
         return np.concatenate(starts), np.concatenate(found)
 
+    def along(self, worth: np.ndarray) -> np.ndarray:
+        """Of values by string (the last axis) the sums along the way to every node, by node."""
+        out = np.zeros((*worth.shape[:-1], len(self.base)), worth.dtype)
+        ends = np.flatnonzero(self.ends >= 0)
+        out[..., ends] = worth[..., self.ends[ends]]
+        for level in self.levels:
+            out[..., level] += out[..., self.check[level]]
+        return out
+
+    def deepest(self, codes: np.ndarray) -> np.ndarray:
+        """The last node that the walk from every place reaches, 0 for none; codes of 0 part texts as in matches().
+
+        The first steps are looked up together in a table, as many as it has cells for.
+        """
+        if self._heads is None:
+            self._heads = self._first_steps()
+        steps, table = self._heads
+        padded = np.append(codes, np.zeros(self.longest + steps, codes.dtype))
+        cell = padded[: len(codes)]
+        for k in range(1, steps):
+            cell = cell * self.letters + padded[k : k + len(codes)]
+        out = table[cell]
+        at = np.flatnonzero(out > 0)
+        node = out[at]
+        np.abs(out, out=out)
+        for depth in range(steps, self.longest):
+            if not len(at):
+                break
+            to = self.base[node] + padded[at + depth]
+            stays = self.check[to] == node
+            at, node = at[stays], to[stays]
+            out[at] = node
+        return out
+
+    def _first_steps(self) -> tuple[int, np.ndarray]:
+        """How many steps a look-up takes (1 to 3), and by their codes the node reached; negative where the walk ended there or before."""
+        steps = max([1, *(k for k in (2, 3) if k <= self.longest and self.letters**k <= FIRST_STEPS)])
+        letters = np.arange(self.letters)
+        node, alive = np.zeros(1, np.int64), np.ones(1, bool)
+        for _ in range(steps):
+            to = self.base[node][:, None] + letters
+            on = alive[:, None] & (self.check[to] == node[:, None])
+            node, alive = np.where(on, to, node[:, None]).ravel(), on.ravel()
+        more = np.zeros(len(self.base), bool)
+        more[self.check[self.check >= 0]] = True
+        ended = ~(alive & more[node])
+        return steps, np.where(ended, -node, node).astype(np.int32)
+
 
 def _placed(parent: np.ndarray, letter: np.ndarray, count: int, width: int) -> np.ndarray:
     """base of every node: children stand at base + letter, no two at one place, none at 0."""

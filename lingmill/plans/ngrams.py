@@ -267,9 +267,8 @@ def block_scan(spark: SparkSession, d: str) -> DataFrame:
 @sized("identify_blocks")
 def identify_blocks(spark: SparkSession, d: str, lengths: tuple[int, ...], k: int) -> DataFrame:
     docs = _docs(spark, d)
-    key = ("doc_id", "block_start")
-    scores = G.identify(G.blocks(docs), G.train(docs, lengths, k), key, lengths)
-    return G.cut_off(scores.withColumn("score", F.round("score", 6)), key)
+    scores = G.identify_blocks(docs, G.train(docs, lengths, k), lengths)
+    return G.cut_off(scores.withColumn("score", F.round("score", 6)), ("doc_id", "block_start"))
 
 
 @sized("label_smoothed")

@@ -104,7 +104,7 @@ SELECT doc_id, block_start, guess, place FROM rk WHERE place <= 3 AND score > 0.
 def identify_blocks_small(spark: SparkSession, d: str) -> DataFrame:
     """The labels of blocks, as identify_blocks gives them, without scores."""
     docs, key = _docs(spark, d), ("doc_id", "block_start")
-    scores = G.identify(G.blocks(docs), G.train(docs, SMALL, K), key, SMALL)
+    scores = G.identify_blocks(docs, G.train(docs, SMALL, K), SMALL)
     return G.cut_off(scores.withColumn("score", F.round("score", 6)), key).select("doc_id", F.col("block_start").cast("long").alias("block_start"), "guess", F.col("place").cast("long").alias("place"))
 
 

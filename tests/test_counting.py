@@ -60,3 +60,27 @@ def test_window_scores_by_cells_and_by_postings(spark, monkeypatch):
     slow = B.ByteModels(rows)
     assert fast.cells is not None and slow.cells is None
     assert np.allclose(fast.table(blocks), slow.table(blocks)) and fast.table(blocks).any()
+
+
+@pytest.mark.parametrize("lengths", [(3, 4), (3, 4, 5, 6), (2, 7)])
+def test_frequent_rows_are_those_of_all_counts(spark, monkeypatch, lengths):
+    """The K most frequent with ties and the totals; no row per n-gram and task is shuffled, as for all counts."""
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 1500)))
+    texts = [("en", "the cat sat on the mat"), ("en", "the  cat 12 sat\0x\0"), (None, "abc" * 20), ("zh", many + many), ("en", "x😀y😀zé" * 50), ("de", "")] * 3
+    rows = spark.createDataFrame(texts, "lang string, line string").repartition(3)
+    out = counting.frequent(rows, ("lang",), "line", lengths, 5)
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.lang, r.n, r.gram, r.cnt) for r in out.collect()]
+    want = plain(texts, lengths)
+    total = Counter()
+    for (lang, n, _), c in want.items():
+        total[lang, n] += c
+    sums = Counter()
+    for lang, n, gram, c in got:
+        sums.update({(lang, n): c} if gram is None else {})
+        assert gram is None or want[lang, n, gram] == c
+    assert sums == total
+    for key in total:
+        all_counts = sorted((c for (lang, n, _), c in want.items() if (lang, n) == key and c > 1), reverse=True)
+        least = max(all_counts[min(5, len(all_counts)) - 1], 2) if len(all_counts) >= 5 else 2
+        assert {g for (lang, n, g), c in want.items() if (lang, n) == key and c >= least} <= {g for lang, n, g, c in got if (lang, n) == key}
