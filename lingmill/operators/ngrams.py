@@ -226,6 +226,34 @@ def sums(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "l
     return tidied.mapInArrow(run, schema).groupBy(*key, "guess").agg(F.sum("__raw").alias("raw"), F.max("__chars").alias("chars"))
 
 
+def vectors(rows: DataFrame, model: DataFrame, key: tuple[str, ...] = ("doc_id", "line_no"), lengths: tuple[int, ...] = LENGTHS, by: str = "lang") -> DataFrame:
+    """The columns of rows but line, and v: a map from guess to the score of identify(), in order of guess; rows in which nothing is found are left out.
+
+    A row is scored in its task and stays one row, so nothing is shuffled.
+    """
+    other = [c for c in rows.columns if c != "line"]
+    known = _known(model, lengths, by)
+    if known is None:
+        scores = identify_joined(rows, model, key, lengths, by).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("guess", "score")))).alias("v"))
+        return rows.select(*other).join(scores, list(key)).select(*other, "v")
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINES):
+                part = batch.slice(at, LINES)
+                size, row, guess, raw = known.scored(part.column("__line").to_pylist())
+                met, first = np.unique(row, return_index=True)
+                v = pa.MapArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), known.names.take(pa.array(guess)), pa.array(raw / np.maximum(size[row], 1)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(met)) for c in other), v], names=[*other, "v"])
+
+    ship_package(rows.sparkSession)
+    types = dict(rows.dtypes)
+    tidied = rows.select(*other, tidy(F.col("line")).alias("__line")).filter("__line is not null")
+    return tidied.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in other), f"v map<{dict(model.dtypes)[by]},double>"]))
+
+
 def _known(model: DataFrame, lengths: tuple[int, ...], by: str) -> _Known | None:
     """A model's n-grams of these lengths for the workers; None if they are too many for that."""
     known = stage(model.filter(F.col("n").isin(*lengths)).select(F.col(by).alias("guess"), "gram", "weight"), "model")
@@ -241,7 +269,8 @@ class _Known:
 
     def __init__(self, got: pa.Table) -> None:
         self.trie = trie = Trie(got["gram"].to_pylist())
-        self.names = got["guess"].unique()
+        names = got["guess"].unique()
+        self.names = names.take(pc.sort_indices(names))
         gram = np.searchsorted(np.array(trie.strings, object), np.array(got["gram"].to_pylist(), object)) if got.num_rows else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         self.of = pc.index_in(got["guess"], value_set=self.names, skip_nulls=False).to_numpy()[order] if got.num_rows else order

@@ -6,6 +6,7 @@ score where one row's vector is worked on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .ngrams import GUESS, identify, smoothed, sums, top_k
+from .ngrams import GUESS, UNSURE, identify, smoothed, sums, top_k
 
 #: Weight of the average bigram probability, share kept of a score in another charset, of a prior over a gap, and the bonus of a sole survivor.
 BIGRAM_WEIGHT, ALTERNATE_CHARSET, GAP_DECAY, SOLE_BONUS = 0.15, 0.9, 0.75, 1.15
@@ -156,26 +157,54 @@ def priors(strings: DataFrame, doc: str = "doc_id", order: str = "line_no") -> D
     """strings with their vectors mixed with those before, as (doc, order, v, gap, size) in order come.
 
     Over a gap of more than 20 bytes, after two strings and 96 bytes, the prior loses a quarter.
-    Where one language alone survives the guess threshold, the prior of it gains 15 percent. The
-    strings of a document are one ordered fold in the JVM, as each depends on the one before.
+    Where one language alone survives the guess threshold, the prior of it gains 15 percent. A
+    document is one ordered fold, as each string depends on the one before; tasks take the strings
+    of sorted documents as they come and hold the prior alone.
     """
-    rows = strings.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, "v", "gap", "size")), lambda a, b: a[order] - b[order]).alias("rows"))
-    empty = F.expr("cast(map() as map<string,double>)")
-    none = F.expr(f"cast(array() as array<struct<{order}:{dict(strings.dtypes)[order]},v:map<string,double>>>)")
-    start = F.struct(empty.alias("prior"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("bytes"), none.alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        far = (r["gap"] > GAP_BYTES) & (acc["seen"] >= GAP_STRINGS) & (acc["bytes"] >= GAP_FROM)
-        prior = scale(acc["prior"], F.when(far, F.lit(0.25 * GAP_DECAY)).otherwise(F.lit(0.25)))
-        share = smoothing_share(r["size"], highest(r["v"]))
-        mixed = F.when(acc["seen"] == 0, r["v"]).otherwise(combined(r["v"], prior, share, 2 + 0.25 * F.log(F.greatest(r["size"].cast("double"), F.lit(1.0)))))
-        own = F.when(acc["seen"] == 0, scale(F.map_filter(r["v"], lambda _, s: s > GUESS), F.log(F.greatest(r["size"].cast("double"), F.lit(1.0))))).otherwise(r["v"])
-        alive = F.map_filter(mixed, lambda _, s: s > GUESS)
-        sole = F.size(alive) == 1
-        after = F.transform_values(added(prior, own), lambda g, s: F.when(sole & F.array_contains(F.map_keys(alive), g), s * SOLE_BONUS).otherwise(s))
-        return F.struct(after.alias("prior"), (acc["seen"] + 1).alias("seen"), (acc["bytes"] + r["size"]).alias("bytes"), F.concat(acc["out"], F.array(F.struct(r[order].alias(order), mixed.alias("v")))).alias("out"))
-
-    return rows.select(doc, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o")).select(doc, f"o.{order}", "o.v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prior, seen, taken = object(), {}, 0, 0
+        for batch in batches:
+            v = batch.column("v")
+            at, names, scores = v.offsets.to_pylist(), v.keys.to_pylist(), v.items.to_pylist()
+            ends, guesses, out = [0], [], []
+            for i, (name, gap, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in (doc, "gap", "size")), strict=True)):
+                if name != now:
+                    now, prior, seen, taken = name, {}, 0, 0
+                own = dict(zip(names[at[i] : at[i + 1]], scores[at[i] : at[i + 1]], strict=True))
+                mixed, prior = _mixed(own, prior, seen, size, gap is not None and gap > GAP_BYTES and seen >= GAP_STRINGS and taken >= GAP_FROM)
+                seen, taken = seen + 1, taken + size
+                guesses.extend(mixed)
+                out.extend(mixed.values())
+                ends.append(len(out))
+            mixes = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(guesses, pa.string()), pa.array(out, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(doc), batch.column(order), mixes], names=[doc, order, "v"])
+
+    ship_package(strings.sparkSession)
+    types = dict(strings.dtypes)
+    rows = strings.select(doc, order, "v", "gap", "size").repartition(doc).sortWithinPartitions(doc, order, "size", "gap")
+    return rows.mapInArrow(run, f"{doc} {types[doc]}, {order} {types[order]}, v map<string,double>")
+
+
+def _mixed(own: dict[str, float], prior: dict[str, float], seen: int, size: int, far: bool) -> tuple[dict[str, float], dict[str, float]]:
+    """A string's scores mixed with the prior, and the prior of the next one."""
+    long = math.log(max(float(size), 1.0))
+    decay = 0.25 * GAP_DECAY if far else 0.25
+    prior = {g: s * decay for g, s in prior.items()}
+    if seen:
+        w = max(0.0, 0.5 * math.cbrt(size) + 0.3 * (max([0.0, *own.values()]) / UNSURE) ** 1.33)
+        share = w / (1 + w)
+        rest = (1 - share) / (2 + 0.25 * long)
+        mixed = {g: s * share + prior.get(g, 0.0) * rest for g, s in own.items()}
+        mixed.update((g, s * rest) for g, s in prior.items() if g not in own)
+    else:
+        mixed, own = own, {g: s * long for g, s in own.items() if s > GUESS}
+    for g, s in own.items():
+        prior[g] = prior.get(g, 0.0) + s
+    alive = [g for g, s in mixed.items() if s > GUESS]
+    if len(alive) == 1 and alive[0] in prior:
+        prior[alive[0]] *= SOLE_BONUS
+    return mixed, prior
 
 
 # models

@@ -220,9 +220,9 @@ def training_filters(spark: SparkSession, d: str) -> DataFrame:
 @query("label_priors")
 def label_priors(spark: SparkSession, d: str) -> DataFrame:
     """Best guess of each line with the prior of those before; blank lines are the gaps between strings."""
-    lines = G.lines(_docs(spark, d))
+    docs = _docs(spark, d)
     gap = F.when(F.col("line_no") % 9 == 8, 40).otherwise(1)
-    sized = lines.select(*KEY, F.octet_length("line").alias("size"), gap.alias("gap"))
-    mixed = S.priors(S.vectors(_scores(spark, d), KEY).join(sized, list(KEY)))
-    best = F.array_sort(F.map_entries("v"), lambda x, y: F.when(x["value"] > y["value"], -1).when(x["value"] < y["value"], 1).when(x["key"] < y["key"], -1).otherwise(1))
-    return mixed.select("doc_id", "line_no", F.get(best, F.lit(0)).alias("b")).select("doc_id", "line_no", F.col("b.key").alias("guess"), F.round("b.value", 6).alias("score"))
+    lines = G.lines(docs).filter("doc_id is not null").select(*KEY, F.octet_length("line").alias("size"), gap.alias("gap"), "line")
+    mixed = S.priors(G.vectors(lines, G.train(docs, SMALL, K), KEY, SMALL))
+    best = F.array_min(F.transform(F.map_entries("v"), lambda e: F.struct((-e["value"]).alias("low"), e["key"].alias("guess"))))
+    return mixed.select("doc_id", "line_no", best.alias("b")).select("doc_id", "line_no", "b.guess", F.round(-F.col("b.low"), 6).alias("score"))

@@ -200,3 +200,20 @@ def test_bigrams_are_found_by_the_trie(spark):
     assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.doc_id, r.line_no, r.guess): round(r.score, 9) for r in out.collect()}
     assert got == {(1, 0, "en"): round(1 + 1.25 / 3, 9), (1, 0, "de"): round(1 + 0.25 / 3, 9), (1, 1, "en"): 1.0, (1, 1, "de"): 1.0, (2, 0, "en"): round(1 + 0.5 / 3, 9), (2, 0, "de"): round(1 + 0.125 / 3, 9)}
+
+
+def test_vectors_and_priors_stay_rows(spark):
+    """A line is one row from its text to its mixed scores: no rows per guess are grouped and no array of a document's lines is built, whose copies grew with their square."""
+    from lingmill.operators import ngrams as G
+
+    grams = [("de", 3, "die", 0.5), ("en", 3, "the", 0.75), ("en", 3, "die", 0.125)]
+    model = spark.createDataFrame(grams, "lang string, n int, gram string, weight double")
+    texts = ["The die", "", "die die", "xyz", "the" * 30, "DIE  the"] * 300
+    lines = spark.createDataFrame([(d, i, len(t), 1, t) for d in (1, 2) for i, t in enumerate(texts)], "doc_id long, line_no int, size int, gap int, line string")
+    out = S.priors(G.vectors(lines, model, lengths=(3,)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "aggregate(" not in plan and plan.count("Exchange") == 1
+    rows = lines.collect()
+    want = {(r.doc_id, r.line_no): r.v for r in S.priors(S.vectors(G.identify_joined(lines, model, lengths=(3,)), ("doc_id", "line_no")).join(lines, ["doc_id", "line_no"])).collect()}
+    got = {(r.doc_id, r.line_no): r.v for r in out.collect()}
+    assert got.keys() == want.keys() == {(r.doc_id, r.line_no) for r in rows if r.line not in ("", "xyz")} and all(got[k] == pytest.approx(want[k]) for k in want)
