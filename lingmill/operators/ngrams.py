@@ -518,7 +518,7 @@ def _block_sums(known: _Known, texts: list[str], whole: np.ndarray, size: int, s
     reach = np.arange(over)
     alone = lambda at, stop: np.where(at[:, None] + reach < stop[:, None], codes[np.minimum(at[:, None] + reach, len(codes) - 1)], 0)
     zero = lambda rows: np.zeros((len(rows), 1), codes.dtype)
-    tail = trie.deepest(np.hstack([alone(free[inner], last[inner]), zero(inner)]).ravel()).reshape(len(inner), -1)
+    tail = trie.deepest(np.hstack([alone(free[inner], last[inner]), zero(inner)]).ravel()).reshape(len(inner), over + 1)
     head = trie.deepest(np.hstack([zero(split) + trie.codes(np.array([32]))[0], alone(first[split], last[split]), zero(split)]).ravel()).reshape(len(split), over + 2)[:, 0]
 
     def added(table: np.ndarray) -> np.ndarray:

@@ -32,6 +32,16 @@ def test_blocks_are_matched_once(spark, weight):
     assert "block_end" not in out._jdf.queryExecution().analyzed().toString()
 
 
+def test_texts_of_one_block_each():
+    """No end of a block within a text: nothing is cut."""
+    import pyarrow as pa
+
+    known = G._Known(pa.table({"guess": ["en", "de"], "gram": ["the", "die"], "weight": [1.0, 0.5]}))
+    of, start, long, row, guess, raw = G._block_sums(known, ["the die", "x"], np.array([True, True]), 80, 20)
+    assert of.tolist() == [0, 1] and start.tolist() == [0, 0] and long.tolist() == [7, 1]
+    assert {(i, known.names[g].as_py()): r for i, g, r in zip(row.tolist(), guess.tolist(), raw.tolist())} == {(0, "en"): 3.0, (0, "de"): 1.5}
+
+
 def test_last_nodes_give_what_matches_give():
     draw = random.Random(1)
     for letters in ("ab", "abcdefghij", "".join(map(chr, range(200, 900)))):
