@@ -139,9 +139,7 @@ def lm_merged(spark: SparkSession, d: str) -> DataFrame:
 @query("lm_records", f"WITH {_W} SELECT doc_id, pos, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS next_term FROM w")
 def lm_records(spark: SparkSession, d: str) -> DataFrame:
     """Every position's record and the word that follows it there."""
-    p = _positions(spark, d)
-    later = p.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("term").alias("next_term"))
-    return p.join(later, ["doc_id", "pos"], "left").select("doc_id", "pos", "term", "next_term")
+    return W.records(_docs(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
