@@ -8,9 +8,11 @@ units only, in training as in matching: that tells the two orders of 16-bit text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,17 @@ CODE_PAGE = 0.999
 
 def encoded(text: Column, charset: str) -> Column:
     """Bytes of a text in a Unicode form or a code page of one byte a character, which has ? for what it lacks."""
+    _checked(charset)
     if charset in UNICODE:
         return F.encode(text, UNICODE[charset])
-    each = [bytes([b]).decode(charset, "ignore") for b in range(256)]
-    if each[:128] != [chr(b) for b in range(128)]:
-        raise ValueError(f"{charset} does not extend ASCII byte for byte")
     return F.arrow_udf(lambda texts: pa.array([None if t is None else t.encode(charset, "replace") for t in texts.to_pylist()], pa.binary()), "binary")(text)
 
 
+def _checked(charset: str) -> None:
+    if charset not in UNICODE and [bytes([b]).decode(charset, "ignore") for b in range(128)] != [chr(b) for b in range(128)]:
+        raise ValueError(f"{charset} does not extend ASCII byte for byte")
+
+
 def _align(charset: Column) -> Column:
     out = F.lit(1)
     for name, units in ALIGN.items():
@@ -58,6 +63,26 @@ def in_charsets(docs: DataFrame, charsets: tuple[str, ...], *keep: str, text: st
     return docs.filter(F.col(text).isNotNull()).select(*keep, F.explode(each).alias("__e")).select(*keep, "__e.charset", "__e.content")
 
 
+#: Bytes of texts that are encoded at a time, one text at least.
+ENCODED = 1 << 22
+
+
+def _in_charsets(batches: Iterator[pa.RecordBatch], charsets: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """in_charsets() inside a task: batches of what is kept and a text become what is kept, charset, content."""
+    for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.columns[-1]))
+        if not batch.num_rows:
+            continue
+        group = np.cumsum(pc.binary_length(batch.columns[-1]).to_numpy().astype(np.int64)) // ENCODED
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        for a, z in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
+            part = batch.slice(a, z - a)
+            contents = pa.array([t.encode(c, "replace") for t in part.columns[-1].to_pylist() for c in charsets], pa.binary())
+            of = pa.array(np.repeat(np.arange(z - a), len(charsets)))
+            names = pa.array([*charsets] * (z - a), pa.string())
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in part.columns[:-1]), names, contents], names=[*batch.schema.names[:-1], "charset", "content"])
+
+
 def counts(contents: DataFrame, lengths: tuple[int, ...] = BYTES) -> DataFrame:
     """lang, charset, n, gram, cnt of contents (lang, charset, content); gram is Latin-1 text, a null lang is ''.
 
@@ -69,9 +94,21 @@ def counts(contents: DataFrame, lengths: tuple[int, ...] = BYTES) -> DataFrame:
 
 def train(contents: DataFrame, lengths: tuple[int, ...] = BYTES, k: int = 3500, power: float = WEIGHT_POWER) -> DataFrame:
     """lang, charset, n, gram, cnt, weight of contents (lang, charset, content)."""
+    return _trained(counts(contents, lengths), k, power)
+
+
+def train_texts(docs: DataFrame, charsets: tuple[str, ...], lengths: tuple[int, ...] = BYTES, k: int = 3500, power: float = WEIGHT_POWER, text: str = "text") -> DataFrame:
+    """train() of texts (lang, text) in each of the charsets; tasks encode what they count, no content leaves them."""
+    for c in charsets:
+        _checked(c)
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text)
+    return _trained(counted(rows, ("lang", "charset"), "content", lengths, ALIGN, partial(_in_charsets, charsets=charsets)), k, power)
+
+
+def _trained(counts: DataFrame, k: int, power: float) -> DataFrame:
     by = ["lang", "charset", "n"]
     with scope():
-        each = stage(counts(contents, lengths), "counts")
+        each = stage(counts, "counts")
         total = each.groupBy(*by).agg(F.sum("cnt").alias("total"))
         kept = top_k(each, k, tuple(by))
         return keep(kept.join(total, by).select(*by, "gram", "cnt", F.pow(F.col("cnt") / F.col("total"), F.lit(power)).alias("weight")), "model")
@@ -84,8 +121,8 @@ def windows(contents: DataFrame, *keep: str) -> DataFrame:
     return contents.filter(F.octet_length("content") > 0).select(*keep, F.explode(cut).alias("__w")).select(*keep, "__w.*")
 
 
-#: Matches whose worth is added up at a time.
-ROWS = 1 << 16
+#: Places whose worth is added up at a time.
+ROWS = 1 << 12
 
 
 class ByteModels:
@@ -106,38 +143,53 @@ class ByteModels:
         self.names = len(names)
         self.charsets, self.begin = np.unique(np.array([c for c, _ in names], object).astype(str), return_index=True) if names else (np.zeros(0, str), np.zeros(0, np.int64))
         self.byte = self.trie.codes(np.arange(256))
-        # Worth by place in its unit, string and name; None where the model is too large for a table of all cells.
-        self.units, many = int(self.align.max(initial=1)), len(self.trie.strings)
-        self.cells = None
-        if 0 < self.units * many * self.names <= CELLS:
-            self.cells = np.zeros((self.units, many, self.names))
+        # Of the names of each unit: which they are, what every node of the trie is worth to them with all on the way to it,
+        # and which nodes are worth anything. None where the model is too large for a table of all cells.
+        many = len(self.trie.strings)
+        self.nodes = None
+        if 0 < len(self.trie.base) * self.names <= CELLS:
             string = np.repeat(np.arange(many), np.diff(self.first))
-            for unit in range(self.units):
-                whole = unit % self.align[self.of] == 0
-                np.add.at(self.cells[unit], (string[whole], self.of[whole]), self.worth[whole])
-            self.cells = self.cells.reshape(-1, self.names)
+            cells = np.zeros((self.names, many))
+            np.add.at(cells, (self.of, string), self.worth)
+            along = self.trie.along(cells)
+            self.nodes = []
+            for unit in np.unique(self.align).tolist():
+                own = np.flatnonzero(self.align == unit)
+                self.nodes.append((unit, own, np.ascontiguousarray(along[own].T), along[own].any(axis=0)))
 
     def table(self, blocks: list[bytes]) -> np.ndarray:
         """blocks x charsets: the best language's sum of weight times length over matches at whole units, per byte."""
         if not blocks or not self.names:
             return np.zeros((len(blocks), len(self.charsets)))
+        # Texts of ASCII alone are the same bytes in many charsets.
+        places: dict[bytes, int] = {}
+        of = [places.setdefault(b, len(places)) for b in blocks]
+        return self._table(list(places))[of]
+
+    def _table(self, blocks: list[bytes]) -> np.ndarray:
         size = np.array([len(b) for b in blocks], np.int64)
         begin = np.cumsum(size + 1) - size - 1
         # A zero code between two blocks; byte 0 has a code of its own.
         codes = np.append(self.byte[np.frombuffer(b"\0".join(blocks), np.uint8)], np.int32(0))
         codes[begin + size] = 0
-        start, string = self.trie.matches(codes)
-        row = np.searchsorted(begin, start, "right") - 1
-        if self.cells is not None:
+        if self.nodes is not None:
             sums = np.zeros((len(blocks), self.names))
-            cell = (start - begin[row]) % self.units * len(self.trie.strings) + string
-            order = np.argsort(row, kind="stable")
-            row, cell = row[order], cell[order]
-            for at in range(0, len(row), ROWS):
-                own = row[at : at + ROWS]
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                sums[own[first]] += np.add.reduceat(self.cells[cell[at : at + ROWS]], first, axis=0)
+            node = self.trie.deepest(codes)
+            row = np.repeat(np.arange(len(blocks)), size + 1)
+            for unit, own, worth, some in self.nodes:
+                at = np.flatnonzero(some.take(node))
+                if unit > 1:
+                    at = at[(at - begin.take(row.take(at))) % unit == 0]
+                out = np.zeros((len(blocks), len(own)))
+                for a in range(0, len(at), ROWS):
+                    here = at[a : a + ROWS]
+                    of = row.take(here)
+                    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                    out[of[first]] += np.add.reduceat(worth.take(node.take(here), axis=0), first, axis=0)
+                sums[:, own] = out
             return np.maximum.reduceat(sums, self.begin, axis=1) / np.maximum(size, 1)[:, None]
+        start, string = self.trie.matches(codes)
+        row = np.searchsorted(begin, start, "right") - 1
         many = self.first[string + 1] - self.first[string]
         post = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - self.first[string], many)
         name = self.of[post]
@@ -170,28 +222,67 @@ def scores(blocks: DataFrame, model: DataFrame, key: tuple[str, ...], content: s
     known = stage(model.select("lang", "charset", "gram", "weight"), "bytes")
     if known.count() > TRIE_ROWS:
         return scores_joined(blocks, known, key, content)
-    spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast(ByteModels(known.toArrow()))
-    kind = pa.struct([("charset", pa.string()), ("score", pa.float64())])
+    shared = blocks.sparkSession.sparkContext.broadcast(ByteModels(known.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        many = max(1, min(LINES, CELLS // max(models.names, 1)))
+        many = _at_a_time(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, many):
                 part = batch.slice(at, many)
-                got = models.table([b or b"" for b in part.column("__c").to_pylist()])
-                row, col = np.nonzero(got)
-                offsets = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows)))
-                pairs = pa.StructArray.from_arrays([pa.array(models.charsets[col].tolist(), pa.string()), pa.array(got[row, col])], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], names=[*key, "found"])
+                found = _found(shared.value, [b or b"" for b in part.column("__c").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), found], names=[*key, "found"])
 
-    ship_package(spark)
+    ship_package(blocks.sparkSession)
     types = dict(blocks.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in key), f"found {SCORED}"])
     return blocks.select(*key, F.col(content).alias("__c")).mapInArrow(run, schema)
 
 
+def scores_of_texts(docs: DataFrame, charsets: tuple[str, ...], model: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """keep, truth, window_start, found: scores() of the windows() of the texts in each of the charsets, truth.
+
+    Tasks encode the texts and cut the windows that they score, so each text goes to a task's Python once.
+    """
+    known = stage(model.select("lang", "charset", "gram", "weight"), "bytes")
+    if known.count() > TRIE_ROWS:
+        return scores_joined(windows(in_charsets(docs, charsets, *keep, text=text).withColumnRenamed("charset", "truth"), *keep, "truth"), known, (*keep, "truth", "window_start"))
+    for c in charsets:
+        _checked(c)
+    shared = docs.sparkSession.sparkContext.broadcast(ByteModels(known.toArrow()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = _at_a_time(shared.value)
+        for batch in _in_charsets(batches, charsets):
+            contents = batch.columns[-1].to_pylist()
+            size = np.array([len(c) for c in contents], np.int64)
+            count = np.where(size > 0, np.maximum(-(-(size - WINDOW) // APART), 0) + 1, 0)
+            of = np.repeat(np.arange(len(size)), count)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * APART
+            for at in range(0, len(of), many):
+                own, begin = of[at : at + many], start[at : at + many]
+                found = _found(shared.value, [contents[k][a : a + WINDOW] for k, a in zip(own.tolist(), begin.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in batch.columns[:-1]), pa.array(begin, pa.int32()), found], names=[*keep, "truth", "window_start", "found"])
+
+    ship_package(docs.sparkSession)
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"truth string, window_start int, found {SCORED}"])
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
+def _at_a_time(models: ByteModels) -> int:
+    return max(1, min(LINES, CELLS // max(models.names, 1)))
+
+
+def _found(models: ByteModels, blocks: list[bytes]) -> pa.ListArray:
+    """Charsets and scores of each block, those of 0 left out."""
+    got = models.table(blocks)
+    row, col = np.nonzero(got)
+    offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(blocks))))
+    kind = [pa.field("charset", pa.string()), pa.field("score", pa.float64())]
+    pairs = pa.StructArray.from_arrays([pa.array(models.charsets.tolist(), pa.string()).take(pa.array(col)), pa.array(got[row, col])], fields=kind)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+
 def scores_joined(blocks: DataFrame, model: DataFrame, key: tuple[str, ...], content: str = "window") -> DataFrame:
     """scores() by a join of n-grams, for models of any size; a block without a match has a row too."""
     known = small(model.select("lang", "charset", "gram", "weight", F.char_length("gram").alias("__n"), _align(F.col("charset")).alias("__a")))

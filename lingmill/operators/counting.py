@@ -26,14 +26,19 @@ BLANK, ZERO, NINE, NEWLINE = 32, 48, 57, 10
 WORD, POINT, BUCKETS, SENT = 3, 21, 256, 64
 
 
-def counted(rows: DataFrame, by: tuple[str, ...], column: str, lengths: tuple[int, ...], align: dict[str, int] | None = None) -> DataFrame:
+def counted(rows: DataFrame, by: tuple[str, ...], column: str, lengths: tuple[int, ...], align: dict[str, int] | None = None, made: Callable | None = None) -> DataFrame:
     """by, n, gram, cnt of the n-grams in a column of rows: characters of a text, or bytes of a binary as Latin-1 text.
 
     Of texts no n-gram is counted where two blanks or two digits stand at its place; of bytes none that
     opens so or holds a newline. align: bytes of a unit by the value of the last column of by.
+    made: turns batches of rows into batches of by, all strings, and a binary, inside the task.
     """
-    binary = dict(rows.dtypes)[column] == "binary"
     ship_package(rows.sparkSession)
+    if made:
+        count = _counting(by, lengths, True, align or {}, False)
+        sent = rows.mapInArrow(lambda batches: count(made(batches)), ", ".join([*(f"`{c}` string" for c in by), "n int, gram string, cnt long"]))
+        return sent.groupBy(*by, "n", "gram").agg(F.sum("cnt").alias("cnt"))
+    binary = dict(rows.dtypes)[column] == "binary"
     run = _counting(by, lengths, binary, align or {}, False)
     return rows.select(*by, column).mapInArrow(run, f"{_schema(rows, by)}, n int, gram string, cnt long").groupBy(*by, "n", "gram").agg(F.sum("cnt").alias("cnt"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Places that are tried at a time for a node; cells of the table of the first steps.
-TRIED, FIRST_STEPS = 4096, 1 << 21
+TRIED, FIRST_STEPS = 4096, 1 << 22
 
 
 class Trie:

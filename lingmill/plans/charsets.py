@@ -31,14 +31,14 @@ tot AS (SELECT lang, charset, n, sum(cnt) AS total FROM c GROUP BY ALL),
 model AS (SELECT lang, charset, n, gram, cnt, pow(cnt / total, {B.WEIGHT_POWER}) AS weight FROM kept JOIN tot USING (lang, charset, n))"""
 
 
-def _contents(spark: SparkSession, d: str) -> DataFrame:
-    return B.in_charsets(_docs(spark, d), FIVE, "doc_id", "lang")
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    return B.train_texts(_docs(spark, d), FIVE, SMALL, K)
 
 
 @query("byte_model", f"WITH {MODEL_SQL} SELECT lang, charset, n, gram, cnt, round(weight, 9) AS weight FROM model")
 def byte_model(spark: SparkSession, d: str) -> DataFrame:
     """Models of byte n-grams of the documents in five charsets; n-grams as hex digits."""
-    return B.train(_contents(spark, d), SMALL, K).select("lang", "charset", "n", F.hex(F.encode("gram", "ISO-8859-1")).alias("gram"), "cnt", F.round("weight", 9).alias("weight"))
+    return _model(spark, d).select("lang", "charset", "n", F.hex(F.encode("gram", "ISO-8859-1")).alias("gram"), "cnt", F.round("weight", 9).alias("weight"))
 
 
 @query(
@@ -55,7 +55,5 @@ SELECT b.doc_id, b.truth, b.window_start, coalesce(string_agg(charset, ',' ORDER
 )
 def charsets_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The documents in five charsets: which ones their windows may be in, the likeliest first."""
-    contents = _contents(spark, d)
-    cut = B.windows(contents.withColumnRenamed("charset", "truth"), "doc_id", "truth")
-    got = B.ranked(B.scores(cut, B.train(contents, SMALL, K), ("doc_id", "truth", "window_start")))
+    got = B.ranked(B.scores_of_texts(_docs(spark, d), FIVE, _model(spark, d), "doc_id"))
     return got.select("doc_id", "truth", F.col("window_start").cast("long").alias("window_start"), F.concat_ws(",", F.col("ranked.charset")).alias("ranked"))

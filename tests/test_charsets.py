@@ -138,3 +138,30 @@ def test_order_of_trial(spark, held):
     assert models.order(b"\x01\x02", []) == ["ascii", "latin-1"]
     assert B.ByteModels(model.limit(0).toArrow()).order(german, [])[-1] == "latin-1"
     assert S.sniffed_order("ééééé".encode(), []) == ["utf-8", "ascii", "latin-1"]
+
+
+def test_texts_are_scored_inside_tasks(spark, monkeypatch):
+    """Encoding, windows and scores in one step are those of the steps one by one; equal windows are walked once."""
+    monkeypatch.setattr(B, "ENCODED", 300)
+    texts = ["", "a", "12 ab  cd\n99", "é" * 700, "the und " * 300, "the und " * 300, "Ça ño € \U0001f600 ж" * 40, None]
+    docs = spark.createDataFrame([(None if i == 2 else i, ["en", "fr", None][i % 3], t) for i, t in enumerate(texts)], "i int, lang string, text string").repartition(2)
+    contents = B.in_charsets(docs, FIVE, "i", "lang")
+    rows = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+    model = B.train_texts(docs, FIVE, (2, 4), 60)
+    assert rows(model) == rows(B.train(contents, (2, 4), 60))
+    whole = B.scores_of_texts(docs, FIVE, model, "i")
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "ArrowEval" not in plan
+    steps = B.scores(B.windows(contents.withColumnRenamed("charset", "truth"), "i", "truth"), model, ("i", "truth", "window_start"))
+    plain = lambda df: sorted(((r.i, r.truth, r.window_start, sorted((f.charset, round(f.score, 9)) for f in r.found)) for r in df.collect()), key=repr)
+    assert plain(whole) == plain(steps)
+    monkeypatch.setattr(B, "TRIE_ROWS", 1)
+    assert plain(B.scores_of_texts(docs, FIVE, model, "i")) == plain(steps)
+
+    models, walked = B.ByteModels(model.toArrow()), []
+    monkeypatch.setattr(models.trie, "deepest", lambda codes, real=models.trie.deepest: walked.append(len(codes)) or real(codes))
+    got = models.table([b"the und", b"", b"the und", b"the und"])
+    assert sum(walked) <= 9 and (got[0] == got[2]).all() and (got[0] == got[3]).all() and got[0].any() and not got[1].any()
+    monkeypatch.setattr(B, "CELLS", 1)
+    blocks = [t.encode("utf-16-le") for t in texts if t]
+    assert abs(B.ByteModels(model.toArrow()).table(blocks) - models.table(blocks)).max() < 1e-12
